@@ -482,3 +482,224 @@ def q_link_rewrite(spark, sf):
     from docscope.operators.links import rewrite_links
     plan = C.plan(spark, sf)
     return rewrite_links(_resolved_links(spark, sf), plan.select("url"))
+
+
+# --------------------------------------------------------------------------- #
+# Coverage and run totals
+# --------------------------------------------------------------------------- #
+def _captured(spark, sf, catalog_rows=None):
+    """Topics a run captured: its deduplicated plan joined to the HTML pages."""
+    p = PL.dedup_by_id(C.plan(spark, sf, catalog_rows))
+    pages = C.html_pages(C.crawled_pages(spark, sf)).select("url")
+    return p.join(pages, "url", "left_semi")
+
+
+def _coverage(spark, sf):
+    cat, _ = C.catalog(spark)
+    stored = _captured(spark, sf, FX.CATALOG_RAW_PREVIOUS).select("id", F.col("pid").alias("product"))
+    return CV.coverage(cat, C.plan(spark, sf), stored)
+
+
+_COVERAGE_SQL = """SELECT c.pid AS id, c.title, coalesce(o.n, 0) AS online_count, coalesce(l.n, 0) AS local_count,
+  greatest(0, coalesce(o.n, 0) - coalesce(l.n, 0)) AS missing_count
+FROM catalog c
+LEFT JOIN (SELECT pid, count(*) AS n FROM plan GROUP BY pid) o ON o.pid = c.pid
+LEFT JOIN (SELECT pid, count(*) AS n FROM prev_planned GROUP BY pid) l ON l.pid = c.pid"""
+
+
+@register("coverage", sql(_COVERAGE_SQL, "catalog", "plan", "prev_planned"))
+def q_coverage(spark, sf):
+    return _coverage(spark, sf).select("id", "title", "online_count", "local_count", "missing_count")
+
+
+@register("coverage_summary", sql(f"""SELECT bool_or(missing_count > 0) AS updates_available, count(*) AS products,
+  sum(missing_count) AS missing_total FROM ({_COVERAGE_SQL}) r""", "catalog", "plan", "prev_planned"))
+def q_coverage_summary(spark, sf):
+    return CV.coverage_summary(_coverage(spark, sf))
+
+
+@register("coverage_keys", sql("""SELECT pid, count(*) AS missing_keys FROM planned
+WHERE id NOT IN (SELECT id FROM prev_planned) GROUP BY pid""", "planned", "prev_planned"))
+def q_coverage_keys(spark, sf):
+    planned = PL.dedup_by_id(C.plan(spark, sf))
+    stored = _captured(spark, sf, FX.CATALOG_RAW_PREVIOUS)
+    return CV.coverage_keys(planned, stored)
+
+
+@register("run_totals", sql("""SELECT (SELECT count(*) FROM doc_urls) AS urls_in_sitemaps,
+  (SELECT count(*) FROM plan) AS planned,
+  (SELECT count(*) FROM topics) AS captured,
+  CASE WHEN (SELECT count(*) FROM plan) > 0 THEN CAST(round(100.0 * (SELECT count(*) FROM plan) / (SELECT count(*) FROM plan)) AS BIGINT) ELSE 0 END AS progress_pct,
+  (SELECT count(*) FROM topics) AS topic_count""", "doc_urls", "plan", "topics"))
+def q_run_totals(spark, sf):
+    urls = C.sitemap_urls(spark, sf).agg(F.count(F.lit(1)).alias("urls_in_sitemaps"))
+    planned = C.plan(spark, sf).agg(F.count(F.lit(1)).alias("planned"))
+    captured = _topics(spark, sf).agg(F.count(F.lit(1)).alias("captured"))
+    t = urls.crossJoin(planned).crossJoin(captured)
+    # every planned pair is visited once, so done == planned at the end of a run;
+    # the stored count falls back to the search index size when unset
+    return t.select("urls_in_sitemaps", "planned", "captured",
+                    CV.progress_pct(F.col("planned"), F.col("planned")).alias("progress_pct"),
+                    F.coalesce(F.nullif(F.col("captured"), F.lit(0)), F.col("captured")).alias("topic_count"))
+
+
+# --------------------------------------------------------------------------- #
+# Event time, retention, JSON, re-delivery
+# --------------------------------------------------------------------------- #
+TIME_FROM, TIME_TO = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
+
+
+@register("event_time", sql("""SELECT page_id, last_modified,
+  coalesce(try_strptime(last_modified, '%Y-%m-%dT%H:%M:%S.%gZ'), try_strptime(last_modified, '%Y-%m-%dT%H:%M:%SZ')) AS _time,
+  strftime(coalesce(try_strptime(last_modified, '%Y-%m-%dT%H:%M:%S.%gZ'), try_strptime(last_modified, '%Y-%m-%dT%H:%M:%SZ')), '%Y-%m-%d') AS updated
+FROM topics_fx""", "topics_fx"))
+def q_event_time(spark, sf):
+    from docscope.functions.times import day, event_time
+    fx = FX.topics_fx(spark, sf).select("page_id", "last_modified", event_time("last_modified").alias("_time"))
+    return fx.withColumn("updated", day("_time"))
+
+
+@register("time_range", f"""SELECT event_id, ts, event_type FROM events
+WHERE ts >= TIMESTAMP '{TIME_FROM}' AND ts < TIMESTAMP '{TIME_TO}'""")
+def q_time_range(spark, sf):
+    ev = table(spark, sf, "events")
+    return ev.where((F.col("ts") >= F.lit(TIME_FROM).cast("timestamp")) & (F.col("ts") < F.lit(TIME_TO).cast("timestamp"))) \
+        .select("event_id", "ts", "event_type")
+
+
+@register("retention_age", """SELECT event_id, ts FROM events
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 315360000 SECOND""")
+def q_retention_age(spark, sf):
+    from docscope.operators.retention import keep_by_age
+    ev = table(spark, sf, "events")
+    now = ev.agg(F.max("ts").alias("now"))
+    return keep_by_age(ev.crossJoin(now), "ts", F.col("now")).select("event_id", "ts")
+
+
+_EVENT_BYTES = "strlen(event_type) + strlen(props) + 32"
+
+
+@register("retention_size", f"""SELECT day, bytes, sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes,
+  sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {10240 * 1024 * 1024} AS kept
+FROM (SELECT CAST(ts AS DATE) AS day, CAST(sum({_EVENT_BYTES}) AS BIGINT) AS bytes FROM events GROUP BY 1) d""")
+def q_retention_size(spark, sf):
+    from docscope.operators.retention import MAX_SIZE_MB, day_sizes, size_cutoff
+    ev = table(spark, sf, "events")
+    size = F.octet_length("event_type") + F.octet_length("props") + F.lit(32)
+    return size_cutoff(day_sizes(ev, "ts", size), MAX_SIZE_MB * 1024 * 1024)
+
+
+@register("json_roundtrip", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  to_json({'event_type': event_type, 'k': CAST(json_extract(props, '$.k') AS BIGINT)}) AS encoded
+FROM events""")
+def q_json_roundtrip(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "k bigint").alias("p"))
+    return ev.select("event_id", F.col("p.k").alias("k"),
+                     F.to_json(F.struct("event_type", F.col("p.k").alias("k"))).alias("encoded"))
+
+
+@register("latest_events", """SELECT user_id, event_id, ts, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) q WHERE rn = 1""")
+def q_latest_events(spark, sf):
+    from docscope.streaming.ingest import latest_per_key
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    return latest_per_key(ev, ["user_id"], ["ts", "event_id"])
+
+
+@register("incremental_merge", sql("""SELECT id, pid AS product, url, run FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY run DESC) AS rn FROM (
+    SELECT id, pid, url, 0 AS run FROM prev_planned
+    UNION ALL SELECT id, pid, url, 1 AS run FROM planned) u) q WHERE rn = 1""", "planned", "prev_planned"))
+def q_incremental_merge(spark, sf):
+    from docscope.streaming.ingest import merge_topics
+    stored = PL.dedup_by_id(C.plan(spark, sf, FX.CATALOG_RAW_PREVIOUS)).select("id", "pid", "url").withColumn("run", F.lit(0))
+    new = PL.dedup_by_id(C.plan(spark, sf)).select("id", "pid", "url").withColumn("run", F.lit(1))
+    return merge_topics(stored, new).select("id", F.col("pid").alias("product"), "url", "run")
+
+
+# --------------------------------------------------------------------------- #
+# Published files read back: feed (batch and stream), navigation JSON, sitemaps
+# --------------------------------------------------------------------------- #
+def _scratch(spark, name):
+    import uuid
+
+    from docscope.session import work_dir
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_NDJSON_SQL = sql("""SELECT url, title, product, product_title, version, content_type, section,
+  last_modified, file, text AS body FROM topics""", "topics")
+
+
+@register("events_feed", _NDJSON_SQL)
+def q_events_feed(spark, sf):
+    from docscope.sources.feed import read_feed, write_feed
+    path = _scratch(spark, "feed")
+    write_feed(_events(spark, sf), path)
+    return read_feed(spark, path).drop("source")
+
+
+@register("stream_feed", _NDJSON_SQL)
+def q_stream_feed(spark, sf):
+    """Feed files (plus a non-feed decoy file) drained by a file-source stream
+    with ``availableNow`` into a Parquet table, read back."""
+    from docscope.publish_io import write_decoy
+    from docscope.sources.feed import write_feed
+    from docscope.streaming.ingest import ingest_stream
+    from docscope.operators.publish import EVENT_FIELDS
+    feed, out = _scratch(spark, "feed"), _scratch(spark, "ingest")
+    write_feed(_events(spark, sf), feed)
+    write_decoy(spark, feed)
+    q = ingest_stream(spark, feed, f"{out}/table", f"{out}/_checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/table").select(*EVENT_FIELDS)
+
+
+@register("nav_flatten", sql("SELECT product_title, version, title, file, section FROM nav", "nav"))
+def q_nav_flatten(spark, sf):
+    path = _scratch(spark, "nav")
+    PB.nav_tree(_topics(spark, sf)).write.mode("overwrite").json(path)
+    nav = spark.read.json(path)
+    return nav.select("product_title", "version", F.explode("leaves").alias("l")).select(
+        "product_title", "version", "l.title", "l.file", "l.section")
+
+
+def _site(spark, sf):
+    from docscope.sources.sitemaps import write_site
+    d = FX.doc_urls(spark, sf)
+    out = _scratch(spark, "site")
+    write_site(d.select(F.col("doc_url").alias("url"),
+                        F.element_at(F.split(U.url_path("doc_url"), "/"), 3).alias("folder")), out)
+    return out
+
+
+@register("robots_sitemaps")
+def q_robots_sitemaps(spark, sf):
+    from docscope.sources.sitemaps import DEFAULT_ROOT, robots_roots
+    out = _site(spark, sf)
+    return robots_roots(spark, f"{out}/robots", FX.DOC_HOST + DEFAULT_ROOT)
+
+
+@register("sitemap_expand")
+def q_sitemap_expand(spark, sf):
+    from docscope.sources.sitemaps import DEFAULT_ROOT, expand, robots_roots, sitemap_files
+    out = _site(spark, sf)
+    roots = robots_roots(spark, f"{out}/robots", FX.DOC_HOST + DEFAULT_ROOT)
+    return expand(spark, roots, sitemap_files(spark, out))
+
+
+@register("sitemap_urls", sql("SELECT doc_url AS url FROM doc_urls", "doc_urls"))
+def q_sitemap_urls(spark, sf):
+    from docscope.sources.sitemaps import DEFAULT_ROOT, expand, leaf_urls, robots_roots, sitemap_files
+    out = _site(spark, sf)
+    roots = robots_roots(spark, f"{out}/robots", FX.DOC_HOST + DEFAULT_ROOT)
+    visited = expand(spark, roots, sitemap_files(spark, out))
+    # file names of the reached leaves (one per sitemap file) select the input
+    leaves = [r.url for r in visited.where(F.col("kind") == "leaf").select("url").collect()]
+    return leaf_urls(spark, leaves).select("url")
+
+
+@register("asset_manifest")
+def q_asset_manifest(spark, sf):
+    from docscope.operators.links import asset_manifest
+    return asset_manifest(_topics(spark, sf))
