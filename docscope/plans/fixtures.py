@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docscope.session import local_df
 from docscope.sources.tables import table
 
 # The documentation host and the catalog the derived URLs are
@@ -66,9 +67,8 @@ def doc_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_raw(spark: SparkSession, rows=None) -> DataFrame:
     rows = CATALOG_RAW if rows is None else rows
-    return spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)],
-        "ord int, pid string, title string, root_path string, versions string, exclude string")
+    return local_df(spark, [(i, *r) for i, r in enumerate(rows)],
+                    "ord int, pid string, title string, root_path string, versions string, exclude string")
 
 
 def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:

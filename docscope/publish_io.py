@@ -8,4 +8,5 @@ from pyspark.sql import SparkSession
 def write_decoy(spark: SparkSession, directory: str) -> None:
     """A non-feed file next to the feed files (a text manifest), which the
     feed monitor must ignore."""
-    spark.createDataFrame([("manifest",)], "value string").write.mode("append").text(directory)
+    from docscope.session import local_df
+    local_df(spark, [("manifest",)], "value string").write.mode("append").text(directory)

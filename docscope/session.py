@@ -55,3 +55,16 @@ def work_dir(spark: SparkSession) -> str:
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def local_df(spark: SparkSession, rows, ddl: str):
+    """A small literal table built JVM-side (``inline`` of a literal array),
+    so no Python worker is needed to scan it and the optimizer can fold it
+    into a local relation. ``ddl`` is ``"name type, ..."``."""
+    from pyspark.sql import functions as F
+
+    fields = [f.strip().split(None, 1) for f in ddl.split(",")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for (n, t), v in zip(fields, r)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

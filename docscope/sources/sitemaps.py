@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docscope.session import local_df
+
 # The sitemap namespace and the default root.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 DEFAULT_ROOT = "/sitemap.xml"
@@ -33,7 +35,7 @@ def robots_roots(spark: SparkSession, robots_path: str, default_root: str) -> Da
                      F.struct("f", "line").alias("o")))
     found = roots.groupBy("url").agg(F.min("o").alias("o"))
     if found.isEmpty():
-        found = spark.createDataFrame([(default_root,)], "url string").withColumn(
+        found = local_df(spark, [(default_root,)], "url string").withColumn(
             "o", F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("line")))
     # ranks over the distinct roots only
     return found.select("url", F.dense_rank().over(Window.orderBy("o")).alias("ord"))
@@ -66,7 +68,7 @@ def expand(spark: SparkSession, roots: DataFrame, files: DataFrame, max_rounds:
     or in a cycle is visited once. The lineage is cut each round by a
     reliable checkpoint (shared checkpoint folder)."""
     files = files.cache()
-    visited = spark.createDataFrame([], "url string, kind string, depth int")
+    visited = local_df(spark, [], "url string, kind string, depth int")
     frontier = roots.select("url").distinct()
     for depth in range(max_rounds):
         new = frontier.join(visited.select("url"), "url", "left_anti").distinct()
@@ -82,7 +84,7 @@ def expand(spark: SparkSession, roots: DataFrame, files: DataFrame, max_rounds:
 def leaf_urls(spark: SparkSession, leaf_paths: list[str]) -> DataFrame:
     """``url/loc`` values of the leaf files (trimmed, empty skipped)."""
     if not leaf_paths:
-        return spark.createDataFrame([], "url string, sitemap string")
+        return local_df(spark, [], "url string, sitemap string")
     df = (spark.read.format("xml").option("rowTag", "url").option("mode", "DROPMALFORMED")
           .schema("loc string").load(leaf_paths))
     return (df.select(F.trim("loc").alias("url"), F.col("_metadata.file_path").alias("sitemap"))
@@ -109,5 +111,5 @@ def write_site(urls: DataFrame, out_dir: str) -> None:
     robots = indexes.select(F.explode(F.array(
         F.concat(F.lit("Sitemap: "), F.col("p")),
         F.concat(F.lit("SITEMAP:   "), F.col("p"), F.lit("  ")))).alias("value"))
-    other = spark.createDataFrame([("User-agent: *",), ("Disallow: /search",)], "value string")
+    other = local_df(spark, [("User-agent: *",), ("Disallow: /search",)], "value string")
     other.unionByName(robots).coalesce(1).write.mode("overwrite").text(f"{out_dir}/robots")
