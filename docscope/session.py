@@ -19,6 +19,19 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
 }
 
+# Join strategy: no broadcast on the optimizer's size *estimate* (a filtered or
+# derived side can be misjudged, and the page side carries whole HTML bodies);
+# AQE broadcasts a side only after its shuffle has run and its real size is
+# known to be under this bound. Explicit broadcasts are kept for inputs whose
+# size is bounded by construction (catalog, allow lists, day lists).
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # page rows are wide (whole HTML): keep Arrow batches to the parser small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "docscope") -> SparkSession:
@@ -35,8 +48,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def configure(spark: SparkSession) -> None:
-    """Pin the session settings results depend on (time zone for event time)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the session settings results and plans depend on (time zone for
+    event time, join strategy, Arrow batch size)."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
     work_dir(spark)
 
 

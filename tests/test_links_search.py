@@ -16,7 +16,7 @@ def test_rewrite_parts_links_and_images(spark):
             "<img src='img/pic.png'><img src='https://cdn.example.org/x'></p></article></body></html>")
     df = spark.createDataFrame([("i1", "https://d/en/p/a/t1", html)], "id string, url string, html string")
     parsed = parse_pages(df).select("id", "url", F.col("url").alias("crawl_url"), F.col("page.parts").alias("parts"),
-                                    F.lit("T").alias("title"))
+                                    F.lit("T").alias("title"), F.lit("i1.html").alias("file"))
     planned = spark.createDataFrame([("https://d/en/p/b/t2",), ("https://d/en/p/a/t1",)], "url string")
     manifest = L.asset_manifest(parsed, spark.createDataFrame([("https://d/en/p/a/img/pic.png",)], "abs_url string"))
     out = L.rewrite_parts(parsed, planned, manifest)
