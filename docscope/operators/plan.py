@@ -96,13 +96,19 @@ def plan_limit(plan: DataFrame, n: int) -> DataFrame:
 
 
 def dedup_by_id(plan: DataFrame) -> DataFrame:
-    """One row per topic id: the last planned pair wins, placed at the first
-    pair's position (``pord``/``uord`` of the first occurrence)."""
-    p = plan.withColumn("id", U.topic_id("url")).withColumn("o", F.struct("pord", "uord"))
-    g = p.groupBy("id").agg(F.max_by(F.struct(*[c for c in p.columns if c not in ("id", "o")]), "o").alias("last"),
-                            F.min("o").alias("first"))
-    return g.select("id", "last.*", "first").drop("pord", "uord").select(
-        "*", F.col("first.pord").alias("pord"), F.col("first.uord").alias("uord")).drop("first")
+    """One row per topic: the last planned pair wins, placed at the first
+    pair's position (``pord``/``uord`` of the first occurrence).
+
+    Topics are keyed by a function of the URL, so grouping is by URL: the
+    result is then hash-partitioned by URL, the key of the following join to
+    the pages, which reuses that partitioning instead of shuffling the plan
+    again. The aggregate is partial before the shuffle, so a URL listed many
+    times costs one row per task."""
+    p = plan.withColumn("o", F.struct("pord", "uord"))
+    cols = [c for c in p.columns if c not in ("url", "o", "pord", "uord")]
+    g = p.groupBy("url").agg(F.max_by(F.struct(*cols), "o").alias("last"), F.min("o").alias("first"))
+    return g.select(U.topic_id("url").alias("id"), "url", "last.*",
+                    F.col("first.pord").alias("pord"), F.col("first.uord").alias("uord"))
 
 
 def incremental_todo(plan: DataFrame, stored_ids: DataFrame) -> DataFrame:

@@ -66,13 +66,28 @@ def topics(spark: SparkSession, sf_dir: str, catalog_rows=None, limit: int = 0)
 _PUBLISHED: dict[tuple, str] = {}
 
 
-def published(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
-    """Topic records written once per application and read back."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), repr(catalog_rows))
-    path = _PUBLISHED.get(key)
+def _publish(spark: SparkSession, name: str, key: tuple, build) -> DataFrame:
+    """Write ``build()`` once per application under the shared work folder and
+    return the table read back."""
+    k = (spark.sparkContext.applicationId, name) + key
+    path = _PUBLISHED.get(k)
     if path is None:
-        digest = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-        path = f"{work_dir(spark)}/corpus-{digest}/topics"
-        topics(spark, sf_dir, catalog_rows).write.mode("overwrite").parquet(path)
-        _PUBLISHED[key] = path
+        digest = hashlib.sha1(repr(k).encode()).hexdigest()[:16]
+        path = f"{work_dir(spark)}/corpus-{digest}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _PUBLISHED[k] = path
     return spark.read.parquet(path)
+
+
+def published(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
+    """Topic records (with full text and HTML parts), written once per application."""
+    key = (sf_dir.rstrip("/"), repr(catalog_rows))
+    return _publish(spark, "topics", key, lambda: topics(spark, sf_dir, catalog_rows))
+
+
+def published_index(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
+    """The search index (1200-character excerpts), published beside the topics
+    so searches scan excerpts, not whole texts."""
+    key = (sf_dir.rstrip("/"), repr(catalog_rows))
+    return _publish(spark, "search_index", key,
+                    lambda: PB.search_index(published(spark, sf_dir, catalog_rows)))

@@ -248,7 +248,7 @@ def q_topic_records(spark, sf):
 @register("search_index", sql("""SELECT id, title, product, product_title, version, file, left(text, 1200) AS text
 FROM topics""", "topics"))
 def q_search_index(spark, sf):
-    return PB.search_index(_topics(spark, sf)).select(*PB.SEARCH_FIELDS)
+    return C.published_index(spark, sf).select(*PB.SEARCH_FIELDS)
 
 
 @register("ndjson_rows", sql("""SELECT url, title, product, product_title, version, content_type, section,
@@ -290,7 +290,7 @@ def q_total_topics(spark, sf):
 FROM (SELECT * FROM topics WHERE contains(lower(title), '{SEARCH_QUERY}') OR contains(lower(coalesce(left(text, 1200), '')), '{SEARCH_QUERY}')
       ORDER BY pord, uord LIMIT 200) h""", "topics"))
 def q_substring_search(spark, sf):
-    idx = PB.search_index(_topics(spark, sf))
+    idx = C.published_index(spark, sf)
     hits = S.substring_hits(idx, SEARCH_QUERY)
     total = hits.agg(F.count(F.lit(1)).alias("total_hits"))
     top = S.first_in_index_order(hits)
@@ -381,9 +381,8 @@ def q_section_breaks(spark, sf):
    ORDER BY pord, uord LIMIT 200) h
 WHERE h.product_title IN (SELECT product_title FROM nav)""", "topics", "nav"))
 def q_hits_in_nav(spark, sf):
-    t = _topics(spark, sf)
-    hits = S.first_in_index_order(S.substring_hits(PB.search_index(t), SEARCH_QUERY))
-    nav_products = PB.nav_rows(t).select("product_title").distinct()
+    hits = S.first_in_index_order(S.substring_hits(C.published_index(spark, sf), SEARCH_QUERY))
+    nav_products = PB.nav_rows(_topics(spark, sf)).select("product_title").distinct()
     return (hits.join(nav_products, "product_title", "left_semi")
             .select("id", "product_title", X.or_default("version", X.UNVERSIONED).alias("version")))
 
@@ -664,13 +663,21 @@ def q_nav_flatten(spark, sf):
         "product_title", "version", "l.title", "l.file", "l.section")
 
 
+_SITES: dict[tuple, str] = {}
+
+
 def _site(spark, sf):
+    """Sitemap and robots files of the documentation URLs, written once per
+    application (the site the discovery queries read)."""
     from docscope.sources.sitemaps import write_site
-    d = FX.doc_urls(spark, sf)
-    out = _scratch(spark, "site")
-    write_site(d.select(F.col("doc_url").alias("url"),
-                        F.element_at(F.split(U.url_path("doc_url"), "/"), 3).alias("folder")), out)
-    return out
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _SITES:
+        d = FX.doc_urls(spark, sf)
+        out = _scratch(spark, "site")
+        write_site(d.select(F.col("doc_url").alias("url"),
+                            F.element_at(F.split(U.url_path("doc_url"), "/"), 3).alias("folder")), out)
+        _SITES[key] = out
+    return _SITES[key]
 
 
 @register("robots_sitemaps")
