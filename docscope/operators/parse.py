@@ -281,13 +281,25 @@ def parse_html(html: str | None) -> dict:
             "text": text, "parts": _cut_parts(src, node, removed)}
 
 
-def parse_pages(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+def parse_pages(df: DataFrame, html_col: str = "html", keep: list[str] | None = None,
+                spread: bool = False) -> DataFrame:
     """Add a ``page`` struct column (``PARSED``) computed from ``html_col``.
 
     One Arrow batch at a time per task; the HTML column is dropped from the
     output so the wide text is not carried further than needed.
+
+    Parsing is the costly step, so it should run on every core. With
+    ``spread`` (for a direct file scan, whose split count is known at
+    planning time without running anything) an input arriving in fewer
+    partitions than the default parallelism - few, small files - is spread
+    round-robin first; a scan already split finer is parsed where it is.
+    Join outputs are parsed in the join's partitions.
     """
     keep = [c for c in (keep or df.columns) if c != html_col]
+    if spread:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
     out_schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("page", PARSED)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -122,7 +122,7 @@ def q_asset_names(spark, sf):
 @register("html_escape", sql("""SELECT page_id, replace(replace(replace(coalesce(title_raw, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped
 FROM parsed""", "parsed"))
 def q_html_escape(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html")
+    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
     return p.select("page_id", U.html_escape(F.col("page.title_raw")).alias("escaped"))
 
 
@@ -212,19 +212,19 @@ def q_pages_html(spark, sf):
 
 @register("page_titles", sql("SELECT page_id, title FROM parsed", "parsed"))
 def q_page_titles(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html")
+    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
     return p.select("page_id", X.clean_title(F.col("page.title_raw"), F.col("page.h1")).alias("title"))
 
 
 @register("page_text", sql("SELECT page_id, text FROM parsed", "parsed"))
 def q_page_text(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html")
+    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
     return p.select("page_id", F.col("page.text").alias("text"))
 
 
 @register("main_content", sql("SELECT page_id, content_node, length(text) AS n_chars FROM parsed", "parsed"))
 def q_main_content(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html")
+    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
     return p.select("page_id", F.col("page.content_node").alias("content_node"),
                     F.length("page.text").alias("n_chars"))
 
@@ -232,7 +232,7 @@ def q_main_content(spark, sf):
 @register("page_meta")
 def q_page_meta(spark, sf):
     """Meta tags of every page (name/property, content)."""
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html")
+    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
     return p.select("page_id", F.explode("page.metas").alias("m")).select(
         "page_id", "m.attr", "m.name", "m.content")
 
@@ -710,3 +710,47 @@ def q_sitemap_urls(spark, sf):
 def q_asset_manifest(spark, sf):
     from docscope.operators.links import asset_manifest
     return asset_manifest(_topics(spark, sf))
+
+
+# --------------------------------------------------------------------------- #
+# Search and facets at size: the documents table as an indexed feed
+# (whole texts; source and language as facet fields)
+# --------------------------------------------------------------------------- #
+DOC_KEYWORDS = ["the", "and"]
+
+
+def _documents_feed(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.col("source").alias("product_title"), F.col("lang").alias("version"),
+                    F.col("source").alias("title"), F.col("text").alias("body"), "n_chars")
+
+
+_DOC_KW_WHERE = " AND ".join(f"(source ILIKE '%{t}%' OR text ILIKE '%{t}%')" for t in DOC_KEYWORDS)
+
+
+@register("documents_keyword_search", f"""SELECT doc_id, coalesce(nullif(source, ''), 'Other') AS product_title,
+  coalesce(nullif(lang, ''), '—') AS version, n_chars FROM documents WHERE {_DOC_KW_WHERE}""")
+def q_documents_keyword_search(spark, sf):
+    """Every keyword in the whole text (or source), case-insensitive."""
+    hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
+    return S.normalise(hits, ("product_title", "version")).select("doc_id", "product_title", "version", "n_chars")
+
+
+@register("documents_page_of_results", f"""SELECT doc_id, source, lang FROM documents WHERE {_DOC_KW_WHERE}
+ORDER BY source, lang, doc_id LIMIT {S.PAGE_SIZE_DOCS} OFFSET {3 * S.PAGE_SIZE_DOCS}""")
+def q_documents_page_of_results(spark, sf):
+    hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
+    return S.paginate(hits.select("doc_id", F.col("product_title").alias("source"), F.col("version").alias("lang")),
+                      ["source", "lang", "doc_id"], 3, S.PAGE_SIZE_DOCS)
+
+
+@register("documents_facet_source", """SELECT source, count(*) AS count FROM documents
+WHERE source IS NOT NULL AND source <> '' GROUP BY source""")
+def q_documents_facet_source(spark, sf):
+    return S.facet_order(S.facet_counts(table(spark, sf, "documents"), "source"), "source")
+
+
+@register("documents_facet_lang", """SELECT lang, count(*) AS count FROM documents
+WHERE lang IS NOT NULL AND lang <> '' GROUP BY lang""")
+def q_documents_facet_lang(spark, sf):
+    return S.facet_order(S.facet_counts(table(spark, sf, "documents"), "lang"), "lang")
