@@ -39,3 +39,20 @@ def coverage_keys(planned: DataFrame, stored: DataFrame) -> DataFrame:
 
 def progress_pct(done, total):
     return F.when(total > 0, F.round(F.lit(100.0) * done / total).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def report_document(report: DataFrame, checked_at) -> DataFrame:
+    """The published report as one nested row: ``checked_at``,
+    ``updates_available`` and the per-product rows in catalog order. The
+    product list is catalog-sized (one row per configured product)."""
+    prod = F.struct("ord", "id", "title", "online_count", "local_count", "missing_count")
+    return report.agg(
+        F.bool_or(F.col("missing_count") > 0).alias("updates_available"),
+        F.transform(F.sort_array(F.collect_list(prod)),
+                    lambda p: p.dropFields("ord")).alias("products")).select(
+        checked_at.alias("checked_at"), "updates_available", "products")
+
+
+def write_report(doc: DataFrame, path: str) -> None:
+    """Replace the report file set as a whole (write then commit)."""
+    doc.coalesce(1).write.mode("overwrite").json(path)

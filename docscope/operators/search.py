@@ -122,13 +122,21 @@ def version_ranks(nav_rows: DataFrame) -> DataFrame:
 
 
 def section_breaks(nav_rows: DataFrame) -> DataFrame:
-    """Topic list order (section, title) with a heading flag where the section
-    changes; one window partition per (product, version) list."""
-    w = Window.partitionBy("product_title", "version").orderBy("section", "title", "file")
-    sec = F.coalesce(F.col("section"), F.lit(""))
-    prev = F.lag(sec).over(w)
-    return nav_rows.select(
-        "product_title", "version", "title", "file", "section",
-        (prev.isNull() | (prev != sec)).alias("is_break"),
-        F.when(sec == "", F.lit(GENERAL)).otherwise(sec).alias("heading"),
-        F.row_number().over(w).alias("item_rank"))
+    """Topic lists in (section, title) order with a heading flag on the first
+    topic of each section and the position in the list. Neither step puts a
+    whole (product, version) list in one task (see ``ranking``)."""
+    from docscope.operators.ranking import first_in_group, group_rank
+    rows = nav_rows.select("product_title", "version", "title", "file",
+                           F.coalesce(F.col("section"), F.lit("")).alias("section"))
+    flagged = first_in_group(rows, ["product_title", "version", "section"], ["title", "file"], "is_break")
+    ranked = group_rank(flagged, ["product_title", "version"], ["section", "title", "file"], "item_rank")
+    return ranked.select(
+        "product_title", "version", "title", "file", "section", "is_break",
+        F.when(F.col("section") == "", F.lit(GENERAL)).otherwise(F.col("section")).alias("heading"),
+        "item_rank")
+
+
+def ranked_list(nav_rows: DataFrame) -> DataFrame:
+    """Topic list of the selected (product, version) with its position."""
+    from docscope.operators.ranking import group_rank
+    return group_rank(nav_rows, ["product_title", "version"], ["section", "title", "file"], "item_rank")

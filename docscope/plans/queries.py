@@ -332,9 +332,7 @@ def q_browse(spark, sf):
     nav = PB.nav_rows(_topics(spark, sf))
     b = S.browse(nav, BROWSE_PRODUCT, BROWSE_VERSION)
     # one (product, version) list, ranked in topic-list order
-    return b.select("title", "file", "section",
-                    F.row_number().over(Window.partitionBy("product_title", "version")
-                                        .orderBy("section", "title", "file")).alias("item_rank"))
+    return S.ranked_list(b).select("title", "file", "section", "item_rank")
 
 
 _BKEY = """list_concat(list_transform(string_split(version, '.'), lambda x: coalesce(TRY_CAST(x AS INTEGER), 0)),
@@ -754,3 +752,22 @@ def q_documents_facet_source(spark, sf):
 WHERE lang IS NOT NULL AND lang <> '' GROUP BY lang""")
 def q_documents_facet_lang(spark, sf):
     return S.facet_order(S.facet_counts(table(spark, sf, "documents"), "lang"), "lang")
+
+
+@register("asset_rewrite", ORACLE["topic_docs"])
+def q_asset_rewrite(spark, sf):
+    """Topic documents after link and image rewriting over the published
+    topics: links against the plan, images against the asset manifest."""
+    from docscope.operators.links import asset_manifest, rewrite_parts
+    t = _topics(spark, sf)
+    out = rewrite_parts(t, C.plan(spark, sf).select("url"), asset_manifest(t))
+    return PB.topic_docs(out)
+
+
+@register("coverage_report")
+def q_coverage_report(spark, sf):
+    """The nested coverage report, written as JSON and read back."""
+    from docscope.functions.times import now_iso
+    path = _scratch(spark, "report")
+    CV.write_report(CV.report_document(_coverage(spark, sf), now_iso()), path)
+    return spark.read.json(path)

@@ -72,3 +72,18 @@ def test_paginate_and_version_ranks(spark):
     assert [x.version for x in r] == ["10.0", "9.10", "9.4", "9.4.0", "—"]
     page = S.paginate(nav, ["uord"], 1, 2).collect()
     assert [x.uord for x in page] == [2, 3]
+
+
+def test_group_rank_matches_window(spark):
+    from pyspark.sql import Window
+
+    from docscope.operators.ranking import first_in_group, group_rank
+    rows = [("big" if i % 3 else f"g{i % 5}", f"s{(i * 7) % 4}", f"t{(i * 13) % 17}", f"f{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, s string, t string, f string")
+    got = {(r.f, r.rank) for r in group_rank(df, ["g"], ["s", "t", "f"], partitions=7).collect()}
+    w = Window.partitionBy("g").orderBy("s", "t", "f")
+    want = {(r.f, r.rank) for r in df.withColumn("rank", F.row_number().over(w)).collect()}
+    assert got == want
+    firsts = {r.f for r in first_in_group(df, ["g", "s"], ["t", "f"]).where("is_first").collect()}
+    w2 = Window.partitionBy("g", "s").orderBy("t", "f")
+    assert firsts == {r.f for r in df.withColumn("n", F.row_number().over(w2)).where("n = 1").collect()}
