@@ -19,8 +19,15 @@ from docscope.operators.publish import EVENT_SCHEMA
 from docscope.sources.feed import FEED_GLOB
 
 
-def feed_stream(spark: SparkSession, path: str, glob: str = FEED_GLOB) -> DataFrame:
+# Files per micro-batch: bounds the size of one batch however many files
+# arrive (availableNow drains them in several batches).
+MAX_FILES_PER_TRIGGER = 1000
+
+
+def feed_stream(spark: SparkSession, path: str, glob: str = FEED_GLOB,
+                max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
     return (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob)
+            .option("maxFilesPerTrigger", max_files)
             .option("encoding", "UTF-8").json(path)
             .withColumn("source", F.col("_metadata.file_path"))
             .withColumn("_time", event_time("last_modified")))
