@@ -60,17 +60,26 @@ def product_urls(urls: DataFrame, catalog: DataFrame, catalog_rows: int | None =
     return j.withColumn("segs", U.version_segments(F.col("path"))).drop("exclude")
 
 
+def _newer_first(a, b):
+    """Comparator: larger version key first; equal keys by string, descending."""
+    ka, kb = U.version_key(a), U.version_key(b)
+    return (F.when(ka > kb, F.lit(-1)).when(ka < kb, F.lit(1))
+            .when(a > b, F.lit(-1)).when(a < b, F.lit(1)).otherwise(F.lit(0)))
+
+
 def allowed_versions(matched: DataFrame) -> DataFrame:
-    """(pid, allow array<string>) : the N newest distinct version strings per
-    product among its matched URLs. Distinct (pid, version) pairs are tiny, so
-    the rank runs over few rows whatever the URL count."""
-    v = (matched.select("pid", "versions", F.explode("segs").alias("seg")).distinct()
+    """(pid, allow array<string>): the N newest distinct version strings per
+    product among its matched URLs.
+
+    One aggregate: the distinct versions of a product form a small set (its
+    releases), whatever the URL count, and are collected with partial
+    aggregation before the shuffle; they are then sorted newest first inside
+    the array and cut to N."""
+    v = matched.select("pid", "versions", F.explode("segs").alias("seg"))
+    g = (v.groupBy("pid", "versions").agg(F.collect_set("seg").alias("found"))
          .withColumn("n", keep_count("versions")))
-    w = Window.partitionBy("pid").orderBy(F.desc(U.version_key("seg")), F.desc("seg"))
-    return (v.where(F.col("n").isNotNull())
-            .withColumn("rk", F.row_number().over(w))
-            .where(F.col("rk") <= F.col("n"))
-            .groupBy("pid").agg(F.collect_set("seg").alias("allow")))
+    return (g.where(F.col("n").isNotNull())
+            .select("pid", F.slice(F.array_sort("found", _newer_first), F.lit(1), F.col("n")).alias("allow")))
 
 
 def newest_versions(matched: DataFrame) -> DataFrame:
