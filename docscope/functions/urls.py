@@ -95,33 +95,71 @@ def asset_file(abs_url) -> Column:
     return F.concat(topic_id(abs_url), F.coalesce(F.nullif(ext, F.lit("")), F.lit(".img")))
 
 
+# Fixed value: schemes whose references resolve relative to a base.
+RELATIVE_SCHEMES = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+                    "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
+
+
+def _drop_empty_markers(u) -> Column:
+    """A URL re-assembled from its parts has no empty ``?`` or ``#``."""
+    u = F.regexp_replace(u, r"^([^?#]*)\?(#|$)", "$1$2")
+    return F.regexp_replace(u, r"^([^#]*)#$", "$1")
+
+
 def resolve_url(base, ref) -> Column:
-    """RFC 3986 resolution of ``ref`` against ``base`` (as ``urllib.parse.urljoin``
-    does for hierarchical http(s) URLs), natively."""
-    b, r = _c(base), _c(ref)
+    """Resolution of ``ref`` against ``base`` as ``urllib.parse.urljoin`` does
+    it, natively.
+
+    Path merge: base directory segments + reference segments (for a relative
+    reference, empty segments between the first and the last are dropped),
+    then ``.`` skipped and ``..`` removing the previous segment, with a
+    trailing ``/`` when the last segment was ``.``/``..``. An empty reference
+    path keeps the base path and, unless the reference has a query, the base
+    query. Empty ``?``/``#`` markers are dropped; a reference with another or
+    a non-hierarchical scheme is returned as it is."""
+    b, r0 = _c(base), _c(ref)
+    rs = F.lower(F.regexp_extract(r0, _SCHEME, 1))
+    bs = F.lower(F.regexp_extract(b, _SCHEME, 1))
+    same = (rs != "") & (rs == bs) & rs.isin(RELATIVE_SCHEMES)
+    foreign = (rs != "") & ~same
+    # "https:x" against an https base is the relative reference "x"
+    r = F.when(same & ~r0.rlike(_SCHEME + "//[^/?#]"), F.regexp_replace(r0, _SCHEME, "")).otherwise(r0)
+    # "//" with an empty authority adds nothing: the rest resolves as a path
+    empty_auth = r.rlike(r"^//([/?#]|$)")
+    network = r.startswith("//") & ~empty_auth
+    r = F.when(empty_auth, F.substring(r, 3, 1 << 30)).otherwise(r)
     sch = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     org = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     bp = F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    bnf = url_key(b)
     bnq = F.regexp_extract(b, r"^([^?#]*)", 1)
     bq = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
     rp = F.regexp_extract(r, r"^([^?#]*)", 1)
-    rt = F.substring(r, F.length(rp) + 1, F.lit(1 << 30))
-    merged = F.when(rp.startswith("/"), rp).otherwise(
-        F.concat(F.regexp_extract(F.when(bp == "", F.lit("/")).otherwise(bp), r"^(.*/)[^/]*$", 1), rp))
-    segs = F.filter(F.split(merged, "/"), lambda x, i: i > 0)
+    rq = F.regexp_extract(r, r"^[^?#]*\?([^#]*)", 1)
+    rf = F.regexp_extract(r, r"^[^#]*(#.*)?$", 1)
+    query = F.when(rq != "", F.concat(F.lit("?"), rq)).otherwise(F.lit(""))
+
+    bparts = F.split(bp, "/")
+    bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, F.lit(1), F.size(bparts) - 1)).otherwise(bparts)
+    joined = F.concat(bdir, F.split(rp, "/"))
+    n = F.size(joined)
+    relative_segs = F.when(n < 2, joined).otherwise(F.concat(
+        F.slice(joined, 1, 1), F.filter(F.slice(joined, F.lit(2), n - 2), lambda x: x != ""),
+        F.slice(joined, n, F.lit(1))))
+    segs = F.when(rp.startswith("/"), F.split(rp, "/")).otherwise(relative_segs)
     folded = F.aggregate(
         segs, F.array().cast("array<string>"),
         lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
-    tail = F.when(merged.rlike(r"(^|/)[.]{1,2}$"), F.lit("/")).otherwise(F.lit(""))
-    fold = F.concat(F.array_join(folded, "/"), tail)
-    # an empty path keeps the base path and, without its own query, the base query
-    empty_path = F.concat(bnq, F.when(rt.startswith("?"), F.lit("")).otherwise(bq), rt)
-    return (F.when(r == "", b)
-            .when(r.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), r)
-            .when(r.startswith("//"), F.concat(sch, r))
-            .when(r.startswith("#"), F.concat(bnf, r))
-            .when(r.startswith("?"), F.concat(bnq, r))
-            .when(rp == "", empty_path)
-            .otherwise(F.concat(org, F.lit("/"), F.regexp_replace(fold, "^/+", ""), rt)))
+    folded = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.array(F.lit(""))))\
+        .otherwise(folded)
+    path = F.array_join(folded, "/")
+    path = F.when(path == "", F.lit("/")).when(~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+
+    resolved = (F.when(r.rlike(_SCHEME + "//"), r)
+                .when(network, F.concat(sch, r))
+                .when(rp == "", F.concat(bnq, F.when(rq != "", query).otherwise(bq), rf))
+                .otherwise(F.concat(org, path, query, rf)))
+    return (F.when(r0 == "", b)
+            .when(foreign, r0)
+            .otherwise(_drop_empty_markers(resolved)))

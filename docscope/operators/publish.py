@@ -51,6 +51,9 @@ def topic_records(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at("segs", F.lit(1)), X.meta_content("_m1")).alias("version"),
         X.meta_content("_m2").alias("content_type"),
         U.first_or_empty("_crumbs").alias("section"),
+        # the reference's section of a versioned topic is its version; the
+        # first breadcrumb that is not a version names the section itself
+        U.first_or_empty(F.filter("_crumbs", lambda x: ~x.rlike(U.VERSION_SEGMENT))).alias("section_name"),
         F.col("_crumbs").alias("breadcrumb"),
         X.meta_content("_m3").alias("last_modified"),
         F.concat(F.col("id"), F.lit(".html")).alias("file"),

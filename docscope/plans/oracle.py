@@ -112,7 +112,9 @@ FROM pages""", []),
 FROM pp""", ["pp"]),
     "topics": ("""SELECT pl.id, pl.url, pa.title, pl.pid AS product, pl.product_title,
   coalesce(pl.segs[1], '') AS version, '' AS content_type,
-  coalesce(cr.crumbs[1], '') AS section, cr.crumbs AS breadcrumb, '' AS last_modified,
+  coalesce(cr.crumbs[1], '') AS section,
+  coalesce(list_filter(cr.crumbs, lambda x: NOT regexp_matches(x, '^[0-9]+[.][0-9]+([.][0-9]+)?$'))[1], '') AS section_name,
+  cr.crumbs AS breadcrumb, '' AS last_modified,
   pl.id || '.html' AS file, pa.text, pa.body_html, pa.content_node, pl.pord, pl.uord
 FROM planned pl
 JOIN doc_urls d ON d.doc_url = pl.url

@@ -52,10 +52,6 @@ def _topics(spark, sf):
     return C.published(spark, sf)
 
 
-def _join_str(col, sep="/"):
-    return F.array_join(F.col(col), sep)
-
-
 # --------------------------------------------------------------------------- #
 # URL functions and derived views
 # --------------------------------------------------------------------------- #
@@ -238,11 +234,11 @@ def q_page_meta(spark, sf):
 
 
 @register("topic_records", sql("""SELECT id, url, title, product, product_title, version, content_type, section,
-  array_to_string(breadcrumb, '/') AS breadcrumb, last_modified, file FROM topics""", "topics"))
+  array_to_string(breadcrumb, '/') AS breadcrumb, last_modified, file, section_name FROM topics""", "topics"))
 def q_topic_records(spark, sf):
     t = _topics(spark, sf)
     return t.select(*[F.array_join("breadcrumb", "/").alias("breadcrumb") if c == "breadcrumb" else F.col(c)
-                      for c in PB.TOPIC_FIELDS])
+                      for c in PB.TOPIC_FIELDS], "section_name")
 
 
 @register("search_index", sql("""SELECT id, title, product, product_title, version, file, left(text, 1200) AS text
@@ -640,7 +636,7 @@ def q_events_feed(spark, sf):
 def q_stream_feed(spark, sf):
     """Feed files (plus a non-feed decoy file) drained by a file-source stream
     with ``availableNow`` into a Parquet table, read back."""
-    from docscope.publish_io import write_decoy
+    from docscope.sources.feed import write_decoy
     from docscope.sources.feed import write_feed
     from docscope.streaming.ingest import ingest_stream
     from docscope.operators.publish import EVENT_FIELDS

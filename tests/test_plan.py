@@ -73,3 +73,16 @@ def test_incremental_and_limit(spark):
     todo = urls_of(PL.incremental_todo(p, stored))
     assert set(todo) == set(urls_of(p)) - set(urls_of(plan_for(spark, "1")))
     assert [r.url for r in PL.plan_limit(p, 2).collect()] == [URLS[0], URLS[1]]
+
+
+def test_full_equals_incremental_after_merge(spark):
+    from docscope.streaming.ingest import merge_topics
+    full = PL.dedup_by_id(plan_for(spark, "all")).select("id", "url")
+    stored = PL.dedup_by_id(plan_for(spark, "1")).select("id", "url").withColumn("run", F.lit(0))
+    todo = PL.incremental_todo(full, stored.select("id")).withColumn("run", F.lit(1))
+    merged = merge_topics(stored, todo)
+    full_ids = {r.id for r in full.collect()}
+    merged_ids = {r.id for r in merged.collect()}
+    # every planned topic is present after the merge; stored ones stay
+    assert full_ids <= merged_ids
+    assert merged_ids == full_ids | {r.id for r in stored.collect()}

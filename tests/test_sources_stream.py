@@ -52,7 +52,7 @@ def test_robots_roots(spark, tmp_dir):
 
 def test_stream_equals_batch_and_merge(spark, tmp_dir):
     from docscope.operators.publish import EVENT_FIELDS
-    from docscope.publish_io import write_decoy
+    from docscope.sources.feed import write_decoy
     from docscope.sources.feed import read_feed, write_feed
     from docscope.streaming.ingest import ingest_stream, merge_into
     rows = [tuple(f"{f}{i}" for f in EVENT_FIELDS[:-2]) + (f"f{i % 3}", "bödy\r\nx") for i in range(9)]

@@ -55,3 +55,28 @@ def test_html_escape(spark):
     df = spark.createDataFrame([("a&b<c>\"",), (None,)], "t string")
     got = [r.e for r in df.select(U.html_escape("t").alias("e")).collect()]
     assert got == ["a&amp;b&lt;c&gt;\"", ""]
+
+
+def test_resolve_url_random_pairs(spark):
+    """Generated references (dot segments, empty segments, queries,
+    fragments, network paths) agree with urllib on every pair."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    seg = st.sampled_from(["a", "b", "..", ".", "", "x.html", "9.4"])
+    path = st.lists(seg, min_size=0, max_size=5).map("/".join)
+    ref = st.tuples(st.sampled_from(["", "/", "//h2.example.org/"]), path,
+                    st.sampled_from(["", "?q=1", "?"]), st.sampled_from(["", "#f", "#"])).map("".join)
+    base = st.tuples(path, st.sampled_from(["", "?b=2"])).map(lambda t: "https://h.example.com/" + t[0] + t[1])
+    pairs = []
+
+    @settings(max_examples=300, suppress_health_check=list(HealthCheck), database=None, derandomize=True)
+    @given(base, ref)
+    def collect(b, r):
+        pairs.append((b, r))
+
+    collect()
+    df = spark.createDataFrame(pairs, "b string, r string")
+    got = [(x.b, x.r, x.u) for x in df.select("b", "r", U.resolve_url("b", "r").alias("u")).collect()]
+    bad = [(b, r, u, urljoin(b, r)) for b, r, u in got if u != urljoin(b, r)]
+    assert not bad, bad[:5]
