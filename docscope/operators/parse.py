@@ -14,13 +14,20 @@ elements left open end where their parent ends.
 from __future__ import annotations
 
 import re
+import sys
 from html.parser import HTMLParser
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The parser runs in the Python workers. Its functions are shipped by value
+# with the task (this module needs only the standard library, pandas and
+# pyspark there), so executors need no copy of this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values that must equal the reference's behaviour:
 # content selectors tried in this order, the minimum stripped-text length a
 # candidate needs, tags removed below the content node, and the class pattern
