@@ -13,9 +13,13 @@ DAY = "yyyy-MM-dd"
 
 
 def event_time(x) -> Column:
-    """Parse an ISO-8601 UTC string; NULL when it matches neither format."""
+    """Parse an ISO-8601 UTC string to its UTC wall-clock time (a timestamp
+    without zone, like the events table's ``ts``, so no reader re-zones it);
+    NULL when it matches neither format. Needs the UTC session zone that
+    ``session.configure`` pins."""
     c = F.col(x) if isinstance(x, str) else x
-    return F.coalesce(F.try_to_timestamp(c, F.lit(TS_MILLIS)), F.try_to_timestamp(c, F.lit(TS_SECONDS)))
+    t = F.coalesce(F.try_to_timestamp(c, F.lit(TS_MILLIS)), F.try_to_timestamp(c, F.lit(TS_SECONDS)))
+    return t.cast("timestamp_ntz")
 
 
 def day(ts) -> Column:

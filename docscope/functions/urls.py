@@ -107,9 +107,9 @@ def _drop_empty_markers(u) -> Column:
     return F.regexp_replace(u, r"^([^#]*)#$", "$1")
 
 
-def resolve_url(base, ref) -> Column:
-    """Resolution of ``ref`` against ``base`` as ``urllib.parse.urljoin`` does
-    it, natively.
+def with_resolved_url(df, base: str, ref: str, out: str):
+    """Add ``out``: ``ref`` resolved against ``base`` as ``urllib.parse.urljoin``
+    does it, natively.
 
     Path merge: base directory segments + reference segments (for a relative
     reference, empty segments between the first and the last are dropped),
@@ -117,49 +117,66 @@ def resolve_url(base, ref) -> Column:
     trailing ``/`` when the last segment was ``.``/``..``. An empty reference
     path keeps the base path and, unless the reference has a query, the base
     query. Empty ``?``/``#`` markers are dropped; a reference with another or
-    a non-hierarchical scheme is returned as it is."""
-    b, r0 = _c(base), _c(ref)
-    rs = F.lower(F.regexp_extract(r0, _SCHEME, 1))
-    bs = F.lower(F.regexp_extract(b, _SCHEME, 1))
-    same = (rs != "") & (rs == bs) & rs.isin(RELATIVE_SCHEMES)
-    foreign = (rs != "") & ~same
-    # "https:x" against an https base is the relative reference "x"
-    r = F.when(same & ~r0.rlike(_SCHEME + "//[^/?#]"), F.regexp_replace(r0, _SCHEME, "")).otherwise(r0)
+    a non-hierarchical scheme is returned as it is.
+
+    Computed in stages (one projection each), so every intermediate value is
+    evaluated once per row rather than copied into a deep expression tree.
+    """
+    b, r0 = F.col(base), F.col(ref)
+    s1 = df.withColumns({
+        "_rs": F.lower(F.regexp_extract(r0, _SCHEME, 1)),
+        "_bs": F.lower(F.regexp_extract(b, _SCHEME, 1)),
+    })
+    same = (F.col("_rs") != "") & (F.col("_rs") == F.col("_bs")) & F.col("_rs").isin(RELATIVE_SCHEMES)
+    s2 = s1.withColumns({
+        "_foreign": (F.col("_rs") != "") & ~same,
+        # "https:x" against an https base is the relative reference "x"
+        "_r1": F.when(same & ~r0.rlike(_SCHEME + "//[^/?#]"), F.regexp_replace(r0, _SCHEME, "")).otherwise(r0),
+    })
+    r1 = F.col("_r1")
     # "//" with an empty authority adds nothing: the rest resolves as a path
-    empty_auth = r.rlike(r"^//([/?#]|$)")
-    network = r.startswith("//") & ~empty_auth
-    r = F.when(empty_auth, F.substring(r, 3, 1 << 30)).otherwise(r)
-    sch = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    org = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    bp = F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    bnq = F.regexp_extract(b, r"^([^?#]*)", 1)
-    bq = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
-    rp = F.regexp_extract(r, r"^([^?#]*)", 1)
-    rq = F.regexp_extract(r, r"^[^?#]*\?([^#]*)", 1)
-    rf = F.regexp_extract(r, r"^[^#]*(#.*)?$", 1)
-    query = F.when(rq != "", F.concat(F.lit("?"), rq)).otherwise(F.lit(""))
-
-    bparts = F.split(bp, "/")
+    s3 = s2.withColumns({
+        "_network": r1.startswith("//") & ~r1.rlike(r"^//([/?#]|$)"),
+        "_r": F.when(r1.rlike(r"^//([/?#]|$)"), F.substring(r1, 3, 1 << 30)).otherwise(r1),
+    })
+    r = F.col("_r")
+    s4 = s3.withColumns({
+        "_rp": F.regexp_extract(r, r"^([^?#]*)", 1),
+        "_rq": F.regexp_extract(r, r"^[^?#]*\?([^#]*)", 1),
+        "_rf": F.regexp_extract(r, r"^[^#]*(#.*)?$", 1),
+        "_bparts": F.split(F.regexp_extract(b, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"),
+    })
+    bparts = F.col("_bparts")
     bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, F.lit(1), F.size(bparts) - 1)).otherwise(bparts)
-    joined = F.concat(bdir, F.split(rp, "/"))
-    n = F.size(joined)
+    s5 = s4.withColumn("_joined", F.concat(bdir, F.split(F.col("_rp"), "/")))
+    joined, n = F.col("_joined"), F.size(F.col("_joined"))
     relative_segs = F.when(n < 2, joined).otherwise(F.concat(
         F.slice(joined, 1, 1), F.filter(F.slice(joined, F.lit(2), n - 2), lambda x: x != ""),
         F.slice(joined, n, F.lit(1))))
-    segs = F.when(rp.startswith("/"), F.split(rp, "/")).otherwise(relative_segs)
+    s6 = s5.withColumn("_segs", F.when(F.col("_rp").startswith("/"), F.split(F.col("_rp"), "/"))
+                       .otherwise(relative_segs))
+    segs = F.col("_segs")
     folded = F.aggregate(
         segs, F.array().cast("array<string>"),
         lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
-    folded = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.array(F.lit(""))))\
-        .otherwise(folded)
-    path = F.array_join(folded, "/")
+    s7 = s6.withColumn("_path", F.array_join(F.when(F.element_at(segs, -1).isin(".", ".."),
+                                                    F.concat(folded, F.array(F.lit(""))))
+                                             .otherwise(folded), "/"))
+    path = F.col("_path")
     path = F.when(path == "", F.lit("/")).when(~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-
+    rq = F.col("_rq")
+    query = F.when(rq != "", F.concat(F.lit("?"), rq)).otherwise(F.lit(""))
+    bnq = F.regexp_extract(b, r"^([^?#]*)", 1)
+    bq = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
     resolved = (F.when(r.rlike(_SCHEME + "//"), r)
-                .when(network, F.concat(sch, r))
-                .when(rp == "", F.concat(bnq, F.when(rq != "", query).otherwise(bq), rf))
-                .otherwise(F.concat(org, path, query, rf)))
-    return (F.when(r0 == "", b)
-            .when(foreign, r0)
-            .otherwise(_drop_empty_markers(resolved)))
+                .when(F.col("_network"), F.concat(F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), r))
+                .when(F.col("_rp") == "", F.concat(bnq, F.when(rq != "", query).otherwise(bq), F.col("_rf")))
+                .otherwise(F.concat(F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1),
+                                    path, query, F.col("_rf"))))
+    s8 = s7.withColumn("_resolved", resolved)
+    result = (F.when(r0 == "", b).when(F.col("_foreign"), r0)
+              .otherwise(_drop_empty_markers(F.col("_resolved"))))
+    tmp = ["_rs", "_bs", "_foreign", "_r1", "_network", "_r", "_rp", "_rq", "_rf", "_bparts", "_joined",
+           "_segs", "_path", "_resolved"]
+    return s8.withColumn(out, result).drop(*tmp)

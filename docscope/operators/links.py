@@ -42,8 +42,8 @@ def asset_manifest(topics: DataFrame, available: DataFrame | None = None) -> Dat
     """Distinct absolute image URLs (resolved against the crawled URL) with
     their local file name and availability (from ``available(abs_url)``, the
     fetched assets; all unavailable when None)."""
-    imgs = (link_parts(topics).where(F.col("kind") == "src")
-            .select(U.resolve_url(F.col("crawl_url"), F.col("value")).alias("abs_url")).distinct())
+    imgs = U.with_resolved_url(link_parts(topics).where(F.col("kind") == "src"), "crawl_url", "value", "abs_url")
+    imgs = imgs.select("abs_url").distinct()
     m = imgs.withColumn("file", U.asset_file("abs_url"))
     if available is None:
         return m.withColumn("available", F.lit(False))
@@ -56,13 +56,12 @@ def rewrite_parts(topics: DataFrame, planned_urls: DataFrame, manifest: DataFram
     manifest). Only the rewritten attributes travel through the joins; they
     return to their topic as a small ``pos -> value`` map joined on ``id``."""
     lp = link_parts(topics)
-    links = (lp.where(F.col("kind") == "href")
-             .select(F.col("id").alias("src_id"), "pos", F.col("value").alias("href"),
-                     U.resolve_url(F.col("base"), F.col("value")).alias("abs_url")))
+    links = U.with_resolved_url(lp.where(F.col("kind") == "href"), "base", "value", "abs_url").select(
+        F.col("id").alias("src_id"), "pos", F.col("value").alias("href"), "abs_url")
     new_links = rewrite_links(links, planned_urls).select(F.col("src_id").alias("id"), "pos",
                                                           F.col("new_href").alias("new"))
-    imgs = (lp.where(F.col("kind") == "src")
-            .select("id", "pos", U.resolve_url(F.col("crawl_url"), F.col("value")).alias("abs_url"))
+    imgs = (U.with_resolved_url(lp.where(F.col("kind") == "src"), "crawl_url", "value", "abs_url")
+            .select("id", "pos", "abs_url")
             .join(manifest.select("abs_url", "file", "available"), "abs_url", "left")
             .select("id", "pos", F.when(F.col("available"), F.concat(F.lit("../assets/"), F.col("file")))
                     .otherwise(F.col("abs_url")).alias("new")))

@@ -74,8 +74,9 @@ def catalog_raw(spark: SparkSession, rows=None) -> DataFrame:
 def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_id, pos, href): the link targets are other pages' doc URLs."""
     urls = doc_urls(spark, sf_dir)
-    n = table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("n"))
-    src = urls.crossJoin(n).withColumn("tgt_id", (F.col("page_id") * 7 + 3) % F.col("n"))
+    # page count as a scalar subquery (evaluated once, no join)
+    n = table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).scalar()
+    src = urls.withColumn("tgt_id", (F.col("page_id") * 7 + 3) % n)
     tgt = urls.select(F.col("page_id").alias("tgt_id"), F.col("doc_url").alias("tgt_url"))
     pairs = src.join(tgt, "tgt_id").select(F.col("page_id").alias("src_id"), "doc_url", "tgt_url")
     k = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")

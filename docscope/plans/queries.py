@@ -288,12 +288,12 @@ FROM (SELECT * FROM topics WHERE contains(lower(title), '{SEARCH_QUERY}') OR con
 def q_substring_search(spark, sf):
     idx = C.published_index(spark, sf)
     hits = S.substring_hits(idx, SEARCH_QUERY)
-    total = hits.agg(F.count(F.lit(1)).alias("total_hits"))
+    total = hits.agg(F.count(F.lit(1))).scalar()  # the true count, beside the capped list
     top = S.first_in_index_order(hits)
     w = Window.orderBy("pord", "uord")  # over at most 200 rows
-    return top.crossJoin(total).select(
+    return top.select(
         F.row_number().over(w).alias("hit_rank"), "id", "title", "product_title", "version", "file",
-        X.hit_tag("product_title", "version").alias("tag"), "total_hits")
+        X.hit_tag("product_title", "version").alias("tag"), total.alias("total_hits"))
 
 
 def _events(spark, sf):
@@ -451,7 +451,7 @@ def q_facet_filter(spark, sf):
 # --------------------------------------------------------------------------- #
 def _resolved_links(spark, sf):
     links = FX.doc_links(spark, sf)
-    return links.select("src_id", "pos", "href", U.resolve_url(F.col("doc_url"), F.col("href")).alias("abs_url"))
+    return U.with_resolved_url(links, "doc_url", "href", "abs_url").select("src_id", "pos", "href", "abs_url")
 
 
 @register("resolve_links", sql("""SELECT src_id, pos, href, CASE
@@ -525,10 +525,11 @@ def q_coverage_keys(spark, sf):
   CASE WHEN (SELECT count(*) FROM plan) > 0 THEN CAST(round(100.0 * (SELECT count(*) FROM plan) / (SELECT count(*) FROM plan)) AS BIGINT) ELSE 0 END AS progress_pct,
   (SELECT count(*) FROM topics) AS topic_count""", "doc_urls", "plan", "topics"))
 def q_run_totals(spark, sf):
-    urls = C.sitemap_urls(spark, sf).agg(F.count(F.lit(1)).alias("urls_in_sitemaps"))
-    planned = C.plan(spark, sf).agg(F.count(F.lit(1)).alias("planned"))
-    captured = _topics(spark, sf).agg(F.count(F.lit(1)).alias("captured"))
-    t = urls.crossJoin(planned).crossJoin(captured)
+    count = F.count(F.lit(1))
+    t = spark.range(1).select(
+        C.sitemap_urls(spark, sf).agg(count).scalar().alias("urls_in_sitemaps"),
+        C.plan(spark, sf).agg(count).scalar().alias("planned"),
+        _topics(spark, sf).agg(count).scalar().alias("captured"))
     # every planned pair is visited once, so done == planned at the end of a run;
     # the stored count falls back to the search index size when unset
     return t.select("urls_in_sitemaps", "planned", "captured",
@@ -565,8 +566,8 @@ WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 315360000 SECOND""")
 def q_retention_age(spark, sf):
     from docscope.operators.retention import keep_by_age
     ev = table(spark, sf, "events")
-    now = ev.agg(F.max("ts").alias("now"))
-    return keep_by_age(ev.crossJoin(now), "ts", F.col("now")).select("event_id", "ts")
+    now = ev.agg(F.max("ts")).scalar()  # reference time: the newest event
+    return keep_by_age(ev, "ts", now).select("event_id", "ts")
 
 
 _EVENT_BYTES = "strlen(event_type) + strlen(props) + 32"

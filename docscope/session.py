@@ -30,6 +30,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # page rows are wide (whole HTML): keep Arrow batches to the parser small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Constraint inference over the large URL expressions (derived URLs,
+    # resolution stages) makes planning a join take tens of seconds; it only
+    # adds inferred not-null/equality filters, so it is switched off.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 

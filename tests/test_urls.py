@@ -17,7 +17,7 @@ REFS = ["", "t2", "./t2", "../x", "../../y/z", "/root/p", "//other.org/q", "#fra
 def test_resolve_url_matches_urljoin(spark):
     pairs = [(b, r) for b in BASES for r in REFS]
     df = spark.createDataFrame(pairs, "b string, r string")
-    got = [(x.b, x.r, x.u) for x in df.select("b", "r", U.resolve_url("b", "r").alias("u")).collect()]
+    got = [(x.b, x.r, x.u) for x in U.with_resolved_url(df, "b", "r", "u").select("b", "r", "u").collect()]
     bad = [(b, r, u, urljoin(b, r)) for b, r, u in got if u != urljoin(b, r)]
     assert not bad, bad[:5]
 
@@ -77,6 +77,6 @@ def test_resolve_url_random_pairs(spark):
 
     collect()
     df = spark.createDataFrame(pairs, "b string, r string")
-    got = [(x.b, x.r, x.u) for x in df.select("b", "r", U.resolve_url("b", "r").alias("u")).collect()]
+    got = [(x.b, x.r, x.u) for x in U.with_resolved_url(df, "b", "r", "u").select("b", "r", "u").collect()]
     bad = [(b, r, u, urljoin(b, r)) for b, r, u in got if u != urljoin(b, r)]
     assert not bad, bad[:5]
