@@ -82,16 +82,37 @@ def allowed_versions(matched: DataFrame) -> DataFrame:
             .select("pid", F.slice(F.array_sort("found", _newer_first), F.lit(1), F.col("n")).alias("allow")))
 
 
-def newest_versions(matched: DataFrame) -> DataFrame:
+def _version_allowed(segs, versions, allow):
+    """All version segments allowed (true when unversioned or ``all``); an
+    invalid ``versions`` value fails the job, as in the reference."""
+    keep = (versions == "all") | F.forall(
+        segs, lambda x: F.array_contains(F.coalesce(allow, F.array().cast("array<string>")), x))
+    checked = keep_count(versions)
+    return keep & (checked.isNull() | (checked >= 0))
+
+
+def newest_versions(matched: DataFrame, allow: DataFrame | None = None) -> DataFrame:
     """Keep unversioned URLs and those whose version segments are all among the
     product's N newest versions (``all`` keeps everything)."""
-    allow = allowed_versions(matched)
+    allow = allowed_versions(matched) if allow is None else allow
     j = matched.join(F.broadcast(allow), "pid", "left")
-    keep = (F.col("versions") == "all") | F.forall(
-        "segs", lambda x: F.array_contains(F.coalesce(F.col("allow"), F.array().cast("array<string>")), x))
-    # products whose versions value is invalid fail here, as in the reference
-    checked = keep_count("versions")
-    return j.where(keep & (checked.isNull() | (checked >= 0))).drop("allow")
+    return j.where(_version_allowed(F.col("segs"), F.col("versions"), F.col("allow"))).drop("allow")
+
+
+def planned_rows(df: DataFrame, catalog: DataFrame, allow: DataFrame, url: str = "url") -> DataFrame:
+    """Rows of ``df`` whose URL the plan keeps, decided per row: some product
+    matches it and allows all its version segments.
+
+    The catalog with its allow lists is tens of rows (broadcast), so this is a
+    narrow filter over ``df``: applied to the page bodies it drops pages the
+    plan does not want before any shuffle moves their HTML."""
+    c = (catalog.select("pid", "root_path", "versions", "exclude").join(F.broadcast(allow), "pid", "left")
+         .select(F.col("root_path").alias("_root"), F.col("versions").alias("_versions"),
+                 F.col("exclude").alias("_exclude"), F.col("allow").alias("_allow")))
+    d = df.withColumn("_path", U.url_path(url)).withColumn("_segs", U.version_segments(F.col("_path")))
+    cond = (_match_condition(F.col(url), F.col("_path"), F.col("_root"), F.col("_exclude"))
+            & _version_allowed(F.col("_segs"), F.col("_versions"), F.col("_allow")))
+    return d.join(F.broadcast(c), cond, "left_semi").drop("_path", "_segs")
 
 
 def build_plan(urls: DataFrame, catalog: DataFrame, catalog_rows: int | None = None) -> DataFrame:

@@ -55,9 +55,18 @@ def plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str, catalog_rows=None, limit: int = 0) -> DataFrame:
-    """Lazy topic records of a full build."""
-    p = PL.dedup_by_id(PL.plan_limit(plan(spark, sf_dir, catalog_rows), limit))
+    """Lazy topic records of a full build.
+
+    The page bodies are filtered by the plan's own predicate (catalog + allow
+    lists, broadcast) before the join, so only planned pages' HTML is
+    shuffled; the join then adds plan order and product fields."""
+    cat, n = catalog(spark, catalog_rows)
+    matched = PL.product_urls(sitemap_urls(spark, sf_dir), cat, n)
+    allow = PL.allowed_versions(matched)
+    p = PL.dedup_by_id(PL.plan_limit(PL.newest_versions(matched, allow), limit))
     pages = html_pages(crawled_pages(spark, sf_dir)).drop("content_type")
+    if catalog_rows is None or len(catalog_rows) <= PL.BROADCAST_CATALOG_ROWS:
+        pages = PL.planned_rows(pages, cat, allow)
     joined = p.join(pages, "url")
     parsed = P.parse_pages(joined, "html")
     return PB.topic_records(parsed)
