@@ -89,9 +89,13 @@ def _publish(spark: SparkSession, name: str, key: tuple, build) -> DataFrame:
 
 
 def published(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
-    """Topic records (with full text and HTML parts), written once per application."""
+    """Topic records (with full text and HTML parts), written once per
+    application. Each file is sorted by ``id`` (a per-task sort, no shuffle), so
+    Parquet row-group statistics let a lookup by ``id``/``file`` skip all but
+    one row group per file."""
     key = (sf_dir.rstrip("/"), repr(catalog_rows))
-    return _publish(spark, "topics", key, lambda: topics(spark, sf_dir, catalog_rows))
+    return _publish(spark, "topics", key,
+                    lambda: topics(spark, sf_dir, catalog_rows).sortWithinPartitions("id"))
 
 
 def published_index(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:

@@ -225,7 +225,15 @@ def q_main_content(spark, sf):
                     F.length("page.text").alias("n_chars"))
 
 
-@register("page_meta")
+_META_ATTR = """regexp_extract(tag, '\\s{a}\\s*=\\s*"([^"]*)"', 1)"""
+
+
+@register("page_meta", f"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS tag FROM pages)
+SELECT page_id, 'name' AS attr, {_META_ATTR.format(a='name')} AS name, {_META_ATTR.format(a='content')} AS content
+FROM m WHERE regexp_matches(tag, '\\sname\\s*=')
+UNION ALL
+SELECT page_id, 'property' AS attr, {_META_ATTR.format(a='property')} AS name, {_META_ATTR.format(a='content')} AS content
+FROM m WHERE regexp_matches(tag, '\\sproperty\\s*=')""")
 def q_page_meta(spark, sf):
     """Meta tags of every page (name/property, content)."""
     p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
@@ -701,7 +709,11 @@ def q_sitemap_urls(spark, sf):
     return leaf_urls(spark, leaves).select("url")
 
 
-@register("asset_manifest")
+@register("asset_manifest", sql("""SELECT abs_url, substring(sha1(abs_url), 1, 16) ||
+  coalesce(nullif(left(regexp_extract(regexp_replace(regexp_extract(abs_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''),
+    '[^/.][^/]*?(\\.[^./]*)$', 1), 5), ''), '.img') AS file, false AS available
+FROM (SELECT DISTINCT unnest(regexp_extract_all(body_html, '<img\\b[^>]*\\ssrc\\s*=\\s*"(https?://[^"]*)"', 1)) AS abs_url
+      FROM topics) i""", "topics"))
 def q_asset_manifest(spark, sf):
     from docscope.operators.links import asset_manifest
     return asset_manifest(_topics(spark, sf))
