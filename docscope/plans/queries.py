@@ -678,7 +678,8 @@ def _site(spark, sf):
         d = FX.doc_urls(spark, sf)
         out = _scratch(spark, "site")
         write_site(d.select(F.col("doc_url").alias("url"),
-                            F.element_at(F.split(U.url_path("doc_url"), "/"), 3).alias("folder")), out)
+                            F.element_at(F.split(U.url_path("doc_url"), "/"), 3).alias("folder"),
+                            F.col("page_id").alias("pos")), out)
         _SITES[key] = out
     return _SITES[key]
 

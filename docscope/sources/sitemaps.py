@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from docscope.session import local_df
 
-# The sitemap namespace and the default root.
+# The sitemap namespace, the default root, and the protocol's
+# limit of URLs per sitemap file.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 DEFAULT_ROOT = "/sitemap.xml"
+MAX_URLS_PER_FILE = 50_000
 
 
 def robots_roots(spark: SparkSession, robots_path: str, default_root: str) -> DataFrame:
@@ -94,12 +96,16 @@ def leaf_urls(spark: SparkSession, leaf_paths: list[str]) -> DataFrame:
 def write_site(urls: DataFrame, out_dir: str) -> None:
     """Leaf sitemaps per top-level folder, an index of them, and robots.txt.
 
-    ``urls`` has (url, folder). Written by the XML and text writers, one file
-    per task, so no file's content passes through a single group."""
+    ``urls`` has (url, folder, pos). A folder's URLs are cut into chunks of
+    consecutive positions holding at most 50,000 URLs, one file each, so a
+    large folder is written by many tasks and no file exceeds the protocol
+    limit."""
     spark = urls.sparkSession
     leaf_dir = f"{out_dir}/leaf"
-    (urls.select(F.col("url").alias("loc"), "folder").repartition("folder").write.mode("overwrite")
-     .partitionBy("folder").format("xml").option("rowTag", "url")
+    chunk = F.floor(F.col("pos") / MAX_URLS_PER_FILE).cast("long")
+    (urls.select(F.col("url").alias("loc"), "folder", chunk.alias("chunk"))
+     .repartition("folder", "chunk").write.mode("overwrite")
+     .partitionBy("folder", "chunk").format("xml").option("rowTag", "url")
      .option("rootTag", f'urlset xmlns="{SITEMAP_NS}"').save(leaf_dir))
     leaves = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml")
               .text(leaf_dir).select(F.col("_metadata.file_path").alias("loc")).distinct())
