@@ -67,6 +67,24 @@ WHERE m.versions = 'all' OR len(list_filter(m.segs, lambda x: NOT list_contains(
     }
 
 
+def _topics_sql(planned: str):
+    """Topic records of the run whose deduplicated plan is ``planned``."""
+    return (f"""SELECT pl.id, pl.url, pa.title, pl.pid AS product, pl.product_title,
+  coalesce(pl.segs[1], '') AS version, '' AS content_type,
+  coalesce(cr.crumbs[1], '') AS section,
+  coalesce(list_filter(cr.crumbs, lambda x: NOT regexp_matches(x, '^[0-9]+[.][0-9]+([.][0-9]+)?$'))[1], '') AS section_name,
+  cr.crumbs AS breadcrumb, '' AS last_modified,
+  pl.id || '.html' AS file, pa.text, pa.body_html, pa.content_node, pl.pord, pl.uord
+FROM {planned} pl
+JOIN doc_urls d ON d.doc_url = pl.url
+JOIN parsed pa ON pa.page_id = d.page_id
+JOIN (SELECT id, CASE WHEN len(rs) > 0 AND list_slice(p, 1, len(rs)) = rs THEN list_slice(p, len(rs) + 1, len(p)) ELSE p END AS crumbs
+      FROM (SELECT id, string_split(root_path, '/') AS rs,
+              CASE WHEN len(p0) > 0 AND p0[1] = 'en' THEN list_slice(p0, 2, len(p0)) ELSE p0 END AS p
+            FROM (SELECT id, root_path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p0 FROM {planned}) a) b) cr
+  ON cr.id = pl.id""", [planned, "doc_urls", "parsed"])
+
+
 CTES: dict[str, tuple[str, list[str]]] = {
     "doc_urls": (f"""SELECT page_id, concat('{DOC_HOST}/en/', root, '/',
   CASE WHEN page_id < 6 THEN '' ELSE concat(
@@ -110,20 +128,8 @@ FROM pages""", []),
   CASE WHEN length(array_to_string(art_p, '')) > 150 THEN art
        ELSE regexp_replace(bod, '{STRIP_BLOCKS}', '', 'g') END AS body_html
 FROM pp""", ["pp"]),
-    "topics": ("""SELECT pl.id, pl.url, pa.title, pl.pid AS product, pl.product_title,
-  coalesce(pl.segs[1], '') AS version, '' AS content_type,
-  coalesce(cr.crumbs[1], '') AS section,
-  coalesce(list_filter(cr.crumbs, lambda x: NOT regexp_matches(x, '^[0-9]+[.][0-9]+([.][0-9]+)?$'))[1], '') AS section_name,
-  cr.crumbs AS breadcrumb, '' AS last_modified,
-  pl.id || '.html' AS file, pa.text, pa.body_html, pa.content_node, pl.pord, pl.uord
-FROM planned pl
-JOIN doc_urls d ON d.doc_url = pl.url
-JOIN parsed pa ON pa.page_id = d.page_id
-JOIN (SELECT id, CASE WHEN len(rs) > 0 AND list_slice(p, 1, len(rs)) = rs THEN list_slice(p, len(rs) + 1, len(p)) ELSE p END AS crumbs
-      FROM (SELECT id, string_split(root_path, '/') AS rs,
-              CASE WHEN len(p0) > 0 AND p0[1] = 'en' THEN list_slice(p0, 2, len(p0)) ELSE p0 END AS p
-            FROM (SELECT id, root_path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p0 FROM planned) a) b) cr
-  ON cr.id = pl.id""", ["planned", "doc_urls", "parsed"]),
+    "topics": _topics_sql("planned"),
+    "prev_topics": _topics_sql("prev_planned"),
     "nav": ("""SELECT product_title, coalesce(nullif(version, ''), '—') AS version, title, file, section, pord, uord
 FROM topics""", ["topics"]),
     "topics_fx": ("""SELECT page_id, substring(sha1(doc_url), 1, 16) AS id, doc_url AS url,

@@ -781,3 +781,24 @@ def q_coverage_report(spark, sf):
     path = _scratch(spark, "report")
     CV.write_report(CV.report_document(_coverage(spark, sf), now_iso()), path)
     return spark.read.json(path)
+
+
+@register("stream_upsert", sql("""SELECT url, title, product, product_title, version, content_type, section,
+  last_modified, file, body, run FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY run DESC) AS rn FROM (
+    SELECT url, title, product, product_title, version, content_type, section, last_modified, file,
+      text AS body, 0 AS run FROM prev_topics
+    UNION ALL
+    SELECT url, title, product, product_title, version, content_type, section, last_modified, file,
+      text AS body, 1 AS run FROM topics) u) q WHERE rn = 1""", "topics", "prev_topics"))
+def q_stream_upsert(spark, sf):
+    """Feeds of two runs (previous and current catalog) drained by a file
+    stream whose foreachBatch merges every micro-batch into a versioned
+    table: per topic file, the newest run wins."""
+    from docscope.sources.feed import write_feed
+    from docscope.streaming.ingest import upsert_stream
+    feed, out = _scratch(spark, "feeds"), _scratch(spark, "upsert")
+    write_feed(PB.event_rows(C.published(spark, sf, FX.CATALOG_RAW_PREVIOUS)), f"{feed}/run0")
+    write_feed(_events(spark, sf), f"{feed}/run1")
+    latest = upsert_stream(spark, f"{feed}/*", f"{out}/table", f"{out}/_checkpoint")
+    return spark.read.parquet(latest).drop("source")

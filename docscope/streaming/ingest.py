@@ -58,10 +58,30 @@ def merge_topics(stored: DataFrame, new: DataFrame, key: str = "id", run_col: st
 def merge_into(table_dir: str, base: str | None = None, key: str = "id", run_col: str = "run"):
     """``foreachBatch`` function: merge each micro-batch into the table and
     write the result as a new version directory ``v<epoch>`` (readers of the
-    previous version are not disturbed). Epoch 0 merges into ``base``."""
+    previous version are not disturbed). Epoch 0 merges into ``base``. The
+    function's ``latest`` attribute names the newest version written."""
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         prev = base if epoch == 0 else f"{table_dir}/v{epoch - 1:08d}"
-        merged = batch if prev is None else merge_topics(spark.read.parquet(prev), batch, key, run_col)
-        merged.write.mode("overwrite").parquet(f"{table_dir}/v{epoch:08d}")
+        # a micro-batch may itself hold several runs of a key
+        merged = (latest_per_key(batch, [key], [run_col]) if prev is None
+                  else merge_topics(spark.read.parquet(prev), batch, key, run_col))
+        out = f"{table_dir}/v{epoch:08d}"
+        merged.write.mode("overwrite").parquet(out)
+        run.latest = out
+    run.latest = base
     return run
+
+
+def upsert_stream(spark: SparkSession, feed_glob: str, table_dir: str, checkpoint: str, key: str = "file",
+                  run_of_path: str = r"/run(\d+)/"):
+    """Drain feed files into a keyed table with ``foreachBatch`` upserts: each
+    file's run number comes from its path; per key the newest run wins.
+    Returns the path of the final table version."""
+    rows = feed_stream(spark, feed_glob).withColumn(
+        "run", F.regexp_extract("source", run_of_path, 1).cast("int")).drop("_time")
+    merge = merge_into(table_dir, key=key, run_col="run")
+    q = (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return merge.latest

@@ -72,3 +72,12 @@ def test_stream_equals_batch_and_merge(spark, tmp_dir):
     merge(spark.createDataFrame([("x", 1, "new")], "id string, run int, v string"), 0)
     got = {r.id: r.v for r in spark.read.parquet(os.path.join(tmp_dir, "merged", "v00000000")).collect()}
     assert got == {"x": "new", "y": "old"}
+
+
+def test_first_batch_with_two_runs_is_deduplicated(spark, tmp_dir):
+    from docscope.streaming.ingest import merge_into
+    merge = merge_into(os.path.join(tmp_dir, "m"))
+    batch = spark.createDataFrame([("x", 0, "old"), ("x", 1, "new"), ("y", 0, "only")], "id string, run int, v string")
+    merge(batch, 0)
+    got = {r.id: r.v for r in spark.read.parquet(merge.latest).collect()}
+    assert got == {"x": "new", "y": "only"}
