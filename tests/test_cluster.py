@@ -1,0 +1,35 @@
+"""Separate executor processes: queries run on ``local-cluster`` (two executor
+JVMs with their own Python workers, this package not installed there) and give
+the same rows as in local mode. Run in a subprocess: one SparkContext per
+process."""
+
+import os
+import subprocess
+import sys
+import textwrap
+
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+SCRIPT = textwrap.dedent(f"""
+    import sys
+    sys.path.insert(0, {REPO!r})
+    from pyspark.sql import SparkSession
+    spark = (SparkSession.builder.master("local-cluster[2,1,1024]")
+             .config("spark.sql.shuffle.partitions", "4").config("spark.executor.memory", "1g").getOrCreate())
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ["page_text", "substring_search", "section_breaks", "link_rewrite"]:
+        print("ROWS", name, qs[name](spark, "/root/testdata/sf0.001").count(), flush=True)
+    spark.stop()
+""")
+
+
+def test_queries_on_separate_executors(spark, tmp_path):
+    from __spark_entry__ import queries
+    want = {n: queries()[n](spark, "/root/testdata/sf0.001").count()
+            for n in ["page_text", "substring_search", "section_breaks", "link_rewrite"]}
+    res = subprocess.run([sys.executable, "-c", SCRIPT], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=900)
+    got = {ln.split()[1]: int(ln.split()[2]) for ln in res.stdout.splitlines() if ln.startswith("ROWS ")}
+    assert res.returncode == 0, res.stderr[-2000:]
+    assert got == want
