@@ -108,6 +108,15 @@ def paginate(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[str], after: tuple, size: int) -> DataFrame:
+    """Keyset page: the ``size`` rows that follow the key ``after`` in
+    ``order`` (ascending, a unique key). Unlike an offset, a deep page costs
+    no more than the first: each task keeps ``size`` rows."""
+    key = F.struct(*[F.col(c) for c in order])
+    last = F.struct(*[F.lit(v).alias(c) for c, v in zip(order, after)])
+    return df.where(key > last).orderBy(*order).limit(size)
+
+
 def browse(nav_rows: DataFrame, product_title: str, version: str) -> DataFrame:
     return nav_rows.where((F.col("product_title") == product_title) & (F.col("version") == version))
 

@@ -802,3 +802,17 @@ def q_stream_upsert(spark, sf):
     write_feed(_events(spark, sf), f"{feed}/run1")
     latest = upsert_stream(spark, f"{feed}/*", f"{out}/table", f"{out}/_checkpoint")
     return spark.read.parquet(latest).drop("source")
+
+
+# a key inside the data's range: the page after it is a deep page
+PAGE_AFTER_KEY = ("src5", "es", 0)
+
+
+@register("documents_page_after", f"""SELECT doc_id, source, lang FROM documents WHERE {_DOC_KW_WHERE}
+  AND (source, lang, doc_id) > ('{PAGE_AFTER_KEY[0]}', '{PAGE_AFTER_KEY[1]}', {PAGE_AFTER_KEY[2]})
+ORDER BY source, lang, doc_id LIMIT {S.PAGE_SIZE_DOCS}""")
+def q_documents_page_after(spark, sf):
+    """Keyset pagination: the result page following a (source, lang, doc_id) key."""
+    hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
+    rows = hits.select("doc_id", F.col("product_title").alias("source"), F.col("version").alias("lang"))
+    return S.page_after(rows, ["source", "lang", "doc_id"], PAGE_AFTER_KEY, S.PAGE_SIZE_DOCS)

@@ -87,3 +87,19 @@ def test_group_rank_matches_window(spark):
     firsts = {r.f for r in first_in_group(df, ["g", "s"], ["t", "f"]).where("is_first").collect()}
     w2 = Window.partitionBy("g", "s").orderBy("t", "f")
     assert firsts == {r.f for r in df.withColumn("n", F.row_number().over(w2)).where("n = 1").collect()}
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    rows = [(f"s{i % 4}", f"l{i % 3}", i) for i in range(53)]
+    df = spark.createDataFrame(rows, "source string, lang string, doc_id int")
+    order = ["source", "lang", "doc_id"]
+    key, pages = ("", "", -1), []
+    while True:
+        page = [tuple(r) for r in S.page_after(df, order, key, 10).collect()]
+        if not page:
+            break
+        pages.append(page)
+        key = page[-1]
+    for i, page in enumerate(pages):
+        assert page == [tuple(r) for r in S.paginate(df, order, i, 10).collect()]
+    assert sum(map(len, pages)) == 53
