@@ -816,3 +816,16 @@ def q_documents_page_after(spark, sf):
     hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
     rows = hits.select("doc_id", F.col("product_title").alias("source"), F.col("version").alias("lang"))
     return S.page_after(rows, ["source", "lang", "doc_id"], PAGE_AFTER_KEY, S.PAGE_SIZE_DOCS)
+
+
+@register("nav_tree_files", sql(f"""SELECT product_title, version, pord AS block_pord, uord // {PB.NAV_BLOCK} AS block,
+  string_agg(file, ',' ORDER BY pord, uord) AS files, count(*) AS n_leaves
+FROM nav GROUP BY product_title, version, pord, uord // {PB.NAV_BLOCK}""", "nav"))
+def q_nav_tree_files(spark, sf):
+    """The bounded navigation tree, one row per (product, version, block) with
+    its leaf files in arrival order."""
+    t = PB.nav_tree(_topics(spark, sf))
+    return t.select("product_title", "version", F.col("block.pord").alias("block_pord"),
+                    F.col("block.b").alias("block"),
+                    F.array_join(F.transform("leaves", lambda x: x["file"]), ",").alias("files"),
+                    F.size("leaves").cast("long").alias("n_leaves"))
