@@ -108,6 +108,18 @@ def paginate(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def time_range(df: DataFrame, ts: str, earliest=None, latest=None) -> DataFrame:
+    """Rows with ``earliest <= ts < latest``; an open bound (None) is no bound,
+    so earliest 0 and an empty latest select all time. A pushed-down range
+    predicate on the scan."""
+    cond = F.lit(True)
+    if earliest is not None:
+        cond = cond & (F.col(ts) >= F.lit(earliest).cast(df.schema[ts].dataType))
+    if latest is not None:
+        cond = cond & (F.col(ts) < F.lit(latest).cast(df.schema[ts].dataType))
+    return df.where(cond)
+
+
 def page_after(df: DataFrame, order: list[str], after: tuple, size: int) -> DataFrame:
     """Keyset page: the ``size`` rows that follow the key ``after`` in
     ``order`` (ascending, a unique key). Unlike an offset, a deep page costs

@@ -564,9 +564,7 @@ def q_event_time(spark, sf):
 @register("time_range", f"""SELECT event_id, ts, event_type FROM events
 WHERE ts >= TIMESTAMP '{TIME_FROM}' AND ts < TIMESTAMP '{TIME_TO}'""")
 def q_time_range(spark, sf):
-    ev = table(spark, sf, "events")
-    return ev.where((F.col("ts") >= F.lit(TIME_FROM).cast("timestamp")) & (F.col("ts") < F.lit(TIME_TO).cast("timestamp"))) \
-        .select("event_id", "ts", "event_type")
+    return S.time_range(table(spark, sf, "events"), "ts", TIME_FROM, TIME_TO).select("event_id", "ts", "event_type")
 
 
 @register("retention_age", """SELECT event_id, ts FROM events

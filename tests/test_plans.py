@@ -71,3 +71,12 @@ def test_coverage_report_document(spark):
     assert got == {"a": (2, 3, 0), "b": (1, 0, 1)}
     doc = report_document(rep, F.lit("2024-01-01T00:00:00Z")).collect()[0]
     assert doc.updates_available is True and [p.id for p in doc.products] == ["a", "b"]
+
+
+def test_time_range_open_bounds(spark):
+    from docscope.operators.search import time_range
+    rows = [(1, dt.datetime(2020, 1, 1)), (2, dt.datetime(2024, 5, 1)), (3, dt.datetime(2030, 1, 1))]
+    df = spark.createDataFrame(rows, "id int, ts timestamp")
+    assert time_range(df, "ts").count() == 3
+    assert [r.id for r in time_range(df, "ts", "2024-01-01").collect()] == [2, 3]
+    assert [r.id for r in time_range(df, "ts", None, "2024-05-01 00:00:00").collect()] == [1]
