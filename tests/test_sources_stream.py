@@ -81,3 +81,29 @@ def test_first_batch_with_two_runs_is_deduplicated(spark, tmp_dir):
     merge(batch, 0)
     got = {r.id: r.v for r in spark.read.parquet(merge.latest).collect()}
     assert got == {"x": "new", "y": "only"}
+
+
+def test_monitor_picks_up_files_arriving_later(spark, tmp_dir):
+    """A running ingest (processing-time trigger) takes files written after it
+    started; each file is ingested once, the decoy never."""
+    from docscope.operators.publish import EVENT_FIELDS
+    from docscope.sources.feed import write_decoy, write_feed
+    from docscope.streaming.ingest import ingest_stream
+
+    def batch(run, n):
+        rows = [tuple(f"{f}{run}-{i}" for f in EVENT_FIELDS[:-2]) + (f"f{run}-{i}", "b") for i in range(n)]
+        return spark.createDataFrame(rows, ", ".join(f"{f} string" for f in EVENT_FIELDS))
+
+    feed, table = os.path.join(tmp_dir, "feed"), os.path.join(tmp_dir, "table")
+    write_feed(batch(0, 4), os.path.join(feed, "run0"))
+    q = ingest_stream(spark, os.path.join(feed, "*"), table, os.path.join(tmp_dir, "ck"), available_now=False)
+    try:
+        q.processAllAvailable()
+        assert spark.read.parquet(table).count() == 4
+        write_feed(batch(1, 3), os.path.join(feed, "run1"))
+        write_decoy(spark, os.path.join(feed, "run1"))
+        q.processAllAvailable()
+        files = sorted(r.file for r in spark.read.parquet(table).collect())
+        assert files == sorted([f"f0-{i}" for i in range(4)] + [f"f1-{i}" for i in range(3)])
+    finally:
+        q.stop()
