@@ -104,3 +104,24 @@ def published_index(spark: SparkSession, sf_dir: str, catalog_rows=None) -> Data
     key = (sf_dir.rstrip("/"), repr(catalog_rows))
     return _publish(spark, "search_index", key,
                     lambda: PB.search_index(published(spark, sf_dir, catalog_rows)))
+
+
+def published_plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
+    """The crawl plan (product, URL, order, path, version segments) of one
+    catalog state, written once per application: the coverage, incremental,
+    totals and link queries consume it instead of re-planning from the URL
+    table each time."""
+    key = (sf_dir.rstrip("/"), repr(catalog_rows))
+    return _publish(spark, "plan", key, lambda: plan(spark, sf_dir, catalog_rows))
+
+
+def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
+    """The whole build for a data set: plans of the current and the previous
+    catalog state, the topic records of both runs and the search index."""
+    from docscope.plans.fixtures import CATALOG_RAW_PREVIOUS
+    prev = CATALOG_RAW_PREVIOUS if previous_rows is None else previous_rows
+    published_plan(spark, sf_dir)
+    published_plan(spark, sf_dir, prev)
+    published(spark, sf_dir)
+    published_index(spark, sf_dir)
+    published(spark, sf_dir, prev)

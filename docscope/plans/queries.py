@@ -174,8 +174,8 @@ def q_dedup_topics(spark, sf):
 @register("incremental_todo", sql("""SELECT id, pid, url FROM planned
 WHERE id NOT IN (SELECT id FROM prev_planned)""", "planned", "prev_planned"))
 def q_incremental_todo(spark, sf):
-    new = PL.dedup_by_id(C.plan(spark, sf))
-    stored = PL.dedup_by_id(C.plan(spark, sf, FX.CATALOG_RAW_PREVIOUS))
+    new = PL.dedup_by_id(C.published_plan(spark, sf))
+    stored = PL.dedup_by_id(C.published_plan(spark, sf, FX.CATALOG_RAW_PREVIOUS))
     return PL.incremental_todo(new, stored).select("id", "pid", "url")
 
 
@@ -201,7 +201,7 @@ def q_union_urls(spark, sf):
 FROM planned pl JOIN doc_urls d ON d.doc_url = pl.url JOIN pages p ON p.page_id = d.page_id""",
                             "planned", "doc_urls"))
 def q_pages_html(spark, sf):
-    p = PL.dedup_by_id(C.plan(spark, sf))
+    p = PL.dedup_by_id(C.published_plan(spark, sf))
     pages = C.html_pages(C.crawled_pages(spark, sf))
     return p.join(pages, "url").select("id", "url", F.length("html").alias("n_chars"))
 
@@ -481,8 +481,7 @@ LEFT JOIN (SELECT DISTINCT url, substring(sha1(url), 1, 16) AS id FROM plan) p O
                              "doc_links", "plan"))
 def q_link_rewrite(spark, sf):
     from docscope.operators.links import rewrite_links
-    plan = C.plan(spark, sf)
-    return rewrite_links(_resolved_links(spark, sf), plan.select("url"))
+    return rewrite_links(_resolved_links(spark, sf), C.published_plan(spark, sf).select("url"))
 
 
 # --------------------------------------------------------------------------- #
@@ -490,7 +489,7 @@ def q_link_rewrite(spark, sf):
 # --------------------------------------------------------------------------- #
 def _captured(spark, sf, catalog_rows=None):
     """Topics a run captured: its deduplicated plan joined to the HTML pages."""
-    p = PL.dedup_by_id(C.plan(spark, sf, catalog_rows))
+    p = PL.dedup_by_id(C.published_plan(spark, sf, catalog_rows))
     pages = C.html_pages(C.crawled_pages(spark, sf)).select("url")
     return p.join(pages, "url", "left_semi")
 
@@ -498,7 +497,7 @@ def _captured(spark, sf, catalog_rows=None):
 def _coverage(spark, sf):
     cat, _ = C.catalog(spark)
     stored = _captured(spark, sf, FX.CATALOG_RAW_PREVIOUS).select("id", F.col("pid").alias("product"))
-    return CV.coverage(cat, C.plan(spark, sf), stored)
+    return CV.coverage(cat, C.published_plan(spark, sf), stored)
 
 
 _COVERAGE_SQL = """SELECT c.pid AS id, c.title, coalesce(o.n, 0) AS online_count, coalesce(l.n, 0) AS local_count,
@@ -522,7 +521,7 @@ def q_coverage_summary(spark, sf):
 @register("coverage_keys", sql("""SELECT pid, count(*) AS missing_keys FROM planned
 WHERE id NOT IN (SELECT id FROM prev_planned) GROUP BY pid""", "planned", "prev_planned"))
 def q_coverage_keys(spark, sf):
-    planned = PL.dedup_by_id(C.plan(spark, sf))
+    planned = PL.dedup_by_id(C.published_plan(spark, sf))
     stored = _captured(spark, sf, FX.CATALOG_RAW_PREVIOUS)
     return CV.coverage_keys(planned, stored)
 
@@ -536,7 +535,7 @@ def q_run_totals(spark, sf):
     count = F.count(F.lit(1))
     t = spark.range(1).select(
         C.sitemap_urls(spark, sf).agg(count).scalar().alias("urls_in_sitemaps"),
-        C.plan(spark, sf).agg(count).scalar().alias("planned"),
+        C.published_plan(spark, sf).agg(count).scalar().alias("planned"),
         _topics(spark, sf).agg(count).scalar().alias("captured"))
     # every planned pair is visited once, so done == planned at the end of a run;
     # the stored count falls back to the search index size when unset
@@ -612,8 +611,9 @@ def q_latest_events(spark, sf):
     UNION ALL SELECT id, pid, url, 1 AS run FROM planned) u) q WHERE rn = 1""", "planned", "prev_planned"))
 def q_incremental_merge(spark, sf):
     from docscope.streaming.ingest import merge_topics
-    stored = PL.dedup_by_id(C.plan(spark, sf, FX.CATALOG_RAW_PREVIOUS)).select("id", "pid", "url").withColumn("run", F.lit(0))
-    new = PL.dedup_by_id(C.plan(spark, sf)).select("id", "pid", "url").withColumn("run", F.lit(1))
+    stored = (PL.dedup_by_id(C.published_plan(spark, sf, FX.CATALOG_RAW_PREVIOUS))
+              .select("id", "pid", "url").withColumn("run", F.lit(0)))
+    new = PL.dedup_by_id(C.published_plan(spark, sf)).select("id", "pid", "url").withColumn("run", F.lit(1))
     return merge_topics(stored, new).select("id", F.col("pid").alias("product"), "url", "run")
 
 
@@ -768,7 +768,7 @@ def q_asset_rewrite(spark, sf):
     topics: links against the plan, images against the asset manifest."""
     from docscope.operators.links import asset_manifest, rewrite_parts
     t = _topics(spark, sf)
-    out = rewrite_parts(t, C.plan(spark, sf).select("url"), asset_manifest(t))
+    out = rewrite_parts(t, C.published_plan(spark, sf).select("url"), asset_manifest(t))
     return PB.topic_docs(out)
 
 
