@@ -20,7 +20,7 @@ def coerce_scalar(raw) -> Column:
     v = F.trim(raw)
     return (F.when(v.isNull(), F.lit(None))
             .when(v == "", F.lit(""))
-            .when(v.rlike("^[0-9]+$"), v.cast("decimal(38,0)").cast("string"))
+            .when(v.rlike("^[0-9]+$"), F.coalesce(v.try_cast("decimal(38,0)").cast("string"), v))
             .when(F.lower(v).isin("all", "none"), F.lower(v))
             .otherwise(v))
 

@@ -85,3 +85,30 @@ def test_no_title_falls_back(spark):
     out = parse_pages(df).select("id", clean_title(F.col("page.title_raw"), F.col("page.h1")).alias("t"))
     got = dict((r.id, r.t) for r in out.collect())
     assert got == {1: "Hellox", 2: "Name", 3: "Guide", 4: "Untitled"}
+
+
+def test_topic_record_from_metas(spark):
+    from pyspark.sql import functions as F
+
+    from docscope.functions import urls as U
+    from docscope.operators.parse import parse_pages
+    from docscope.operators.publish import topic_records
+    head = ("<title>Stats | Docs</title>"
+            '<meta property="og:url" content=" https://d/en/p/canonical ">'
+            '<meta name="Version_Number" content="">'
+            '<meta property="Version_Number" content="9.4">'
+            '<meta property="contentType" content="reference">'
+            '<meta name="lastModifiedISO" content="2024-05-01T10:00:00.000Z">')
+    url = "https://d/en/p/search/stats"
+    df = spark.createDataFrame([(url, page(f"<main><p>{FILLER}</p></main>", head=head))], "url string, html string")
+    plan = df.select(U.topic_id("url").alias("id"), "url", "html", F.lit("p").alias("pid"),
+                     F.lit("P").alias("product_title"), F.lit("p").alias("root_path"),
+                     U.url_path("url").alias("path"), U.version_segments(U.url_path("url")).alias("segs"),
+                     F.lit(0).alias("pord"), F.lit(0).cast("long").alias("uord"))
+    r = topic_records(parse_pages(plan, "html")).collect()[0]
+    assert r.url == "https://d/en/p/canonical"        # og:url by property
+    assert r.version == ""                            # empty name match is not retried by property
+    assert r.content_type == "reference"
+    assert r.last_modified == "2024-05-01T10:00:00.000Z"
+    assert r.title == "Stats" and r.section == "search" and list(r.breadcrumb) == ["search", "stats"]
+    assert r.content_node == "main" and r.file == r.id + ".html"

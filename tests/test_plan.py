@@ -86,3 +86,13 @@ def test_full_equals_incremental_after_merge(spark):
     # every planned topic is present after the merge; stored ones stay
     assert full_ids <= merged_ids
     assert merged_ids == full_ids | {r.id for r in stored.collect()}
+
+
+def test_catalog_typing(spark):
+    # an empty value stays empty (newest-N reads it as 1); a missing one takes the default
+    raw = [("a", "", "/x/", "", ""), ("b", "B", "y", "007", "[p, , q]"), ("c", "C", "z/", "ALL", "[]"),
+           ("d", "D", "w", "None", "solo"), ("e", "E", "v", "latest", "[ r ]"), ("f", "F", "u", None, None)]
+    got = {r.pid: (r.title, r.root_path, r.versions, list(r.exclude))
+           for r in typed_catalog(FX.catalog_raw(spark, raw)).collect()}
+    assert got == {"a": ("a", "x", "", []), "b": ("B", "y", "7", ["p", "q"]), "c": ("C", "z", "all", []),
+                   "d": ("D", "w", "none", ["solo"]), "e": ("E", "v", "latest", ["r"]), "f": ("F", "u", "2", [])}
