@@ -20,12 +20,14 @@ def rewrite_links(links: DataFrame, planned_urls: DataFrame) -> DataFrame:
 
     Distinct lookup keys are matched against distinct planned URLs first, so a
     target linked from every page is probed once; the join back to the link
-    rows is a left outer equi join that AQE may split when one key is hot.
+    rows splits a hot target (say, a home page every topic links to) over
+    many tasks (``skew.salted_left_join``).
     """
+    from docscope.operators.skew import key_counts, salted_left_join
     lk = links.withColumn("key", U.url_key("abs_url")).withColumn("frag", U.url_fragment("abs_url"))
-    keys = lk.select("key").distinct()
-    hits = keys.join(planned_urls.select(F.col("url").alias("key")).distinct(), "key", "left_semi")
-    j = lk.join(hits.withColumn("hit", F.lit(True)), "key", "left")
+    counts = key_counts(lk, "key")  # distinct keys and hot keys from one aggregate
+    hits = counts.select("key").join(planned_urls.select(F.col("url").alias("key")).distinct(), "key", "left_semi")
+    j = salted_left_join(lk, hits.withColumn("hit", F.lit(True)), "key", counts=counts)
     new = F.when(F.col("hit"), F.concat(U.topic_id("key"), F.lit(".html"), F.col("frag"))).otherwise(F.col("href"))
     return j.select("src_id", "pos", "href", new.alias("new_href"))
 

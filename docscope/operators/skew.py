@@ -1,0 +1,48 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than this share of the big side's rows; at
+# most 1/HOT_SHARE keys can be hot, which bounds the broadcast hot-key list.
+HOT_SHARE = 1e-3
+# Minimum rows before a key is worth splitting, and the number of splits.
+HOT_MIN_ROWS = 100_000
+SALTS = 32
+
+
+def key_counts(big: DataFrame, key: str) -> DataFrame:
+    """(key, _n): rows per key, partially aggregated before the shuffle."""
+    return big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def hot_keys(counts: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """(key) of keys holding more than ``share`` of all rows and at least
+    ``min_rows``: at most ``1/share`` rows, so safe to broadcast. ``counts`` is
+    ``key_counts`` of the big side."""
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where((F.col("_n") > total * F.lit(share)) & (F.col("_n") >= min_rows)).select(key)
+
+
+def salted_left_join(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None,
+                     salts: int = SALTS, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """``big LEFT JOIN small USING (key)`` where ``small`` has one row per key.
+
+    Rows of a hot key are spread over ``salts`` values (by a hash of the whole
+    row) and that key's ``small`` row is repeated once per salt, so the hot
+    key is joined by ``salts`` tasks; other keys join with salt 0 as usual.
+    Pass ``counts`` (``key_counts(big, key)``) when the caller already has it,
+    so the same aggregate serves both."""
+    counts = key_counts(big, key) if counts is None else counts
+    hot = F.broadcast(hot_keys(counts, key, share, min_rows).withColumn("_hot", F.lit(True)))
+    b = (big.join(hot, key, "left")
+         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
+                     .otherwise(F.lit(0)).cast("int"))
+         .drop("_hot"))
+    s = (small.join(hot, key, "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                                        .otherwise(F.array(F.lit(0)))))
+         .drop("_hot"))
+    return b.join(s, [key, "_salt"], "left").drop("_salt")

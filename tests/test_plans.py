@@ -80,3 +80,14 @@ def test_time_range_open_bounds(spark):
     assert time_range(df, "ts").count() == 3
     assert [r.id for r in time_range(df, "ts", "2024-01-01").collect()] == [2, 3]
     assert [r.id for r in time_range(df, "ts", None, "2024-05-01 00:00:00").collect()] == [1]
+
+
+def test_salted_left_join_equals_plain_join(spark):
+    from docscope.operators.skew import hot_keys, key_counts, salted_left_join
+    rows = [("home" if i % 3 == 0 else f"k{i % 50}", i) for i in range(3000)]
+    big = spark.createDataFrame(rows, "key string, v int")
+    small = spark.createDataFrame([("home", "H"), ("k1", "A"), ("k2", "B")], "key string, tag string")
+    assert [r.key for r in hot_keys(key_counts(big, "key"), "key", share=0.1, min_rows=10).collect()] == ["home"]
+    got = sorted(map(tuple, salted_left_join(big, small, "key", salts=8, share=0.1, min_rows=10).collect()))
+    want = sorted(map(tuple, big.join(small, "key", "left").collect()))
+    assert got == want
