@@ -827,3 +827,19 @@ def q_nav_tree_files(spark, sf):
                     F.col("block.b").alias("block"),
                     F.array_join(F.transform("leaves", lambda x: x["file"]), ",").alias("files"),
                     F.size("leaves").cast("long").alias("n_leaves"))
+
+
+@register("coverage_report_products", sql(f"""SELECT row_number() OVER (ORDER BY c.ord) - 1 AS pos, r.id, r.title,
+  r.online_count, r.local_count, r.missing_count,
+  (SELECT bool_or(missing_count > 0) FROM ({_COVERAGE_SQL}) x) AS updates_available
+FROM ({_COVERAGE_SQL}) r JOIN catalog c ON c.pid = r.id""", "catalog", "plan", "prev_planned"))
+def q_coverage_report_products(spark, sf):
+    """The written coverage report read back: its product list in catalog
+    order, with the document's ``updates_available`` flag."""
+    from docscope.functions.times import now_iso
+    path = _scratch(spark, "report")
+    CV.write_report(CV.report_document(_coverage(spark, sf), now_iso()), path)
+    doc = spark.read.json(path)
+    return doc.select("updates_available", F.posexplode("products").alias("pos", "p")).select(
+        F.col("pos").cast("long").alias("pos"), "p.id", "p.title", "p.online_count", "p.local_count",
+        "p.missing_count", "updates_available")
