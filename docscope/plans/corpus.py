@@ -115,9 +115,18 @@ def published_plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataF
     return _publish(spark, "plan", key, lambda: plan(spark, sf_dir, catalog_rows))
 
 
+def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crawled page parsed once (``page_id``, ``page`` struct), written
+    once per application for the page-level queries."""
+    key = (sf_dir.rstrip("/"),)
+    return _publish(spark, "pages", key, lambda: P.parse_pages(
+        table(spark, sf_dir, "pages").select("page_id", "html"), "html", spread=True))
+
+
 def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     """The whole build for a data set: plans of the current and the previous
-    catalog state, the topic records of both runs and the search index."""
+    catalog state, the topic records of both runs, the search index and the
+    parsed pages."""
     from docscope.plans.fixtures import CATALOG_RAW_PREVIOUS
     prev = CATALOG_RAW_PREVIOUS if previous_rows is None else previous_rows
     published_plan(spark, sf_dir)
@@ -125,3 +134,4 @@ def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     published(spark, sf_dir)
     published_index(spark, sf_dir)
     published(spark, sf_dir, prev)
+    published_pages(spark, sf_dir)

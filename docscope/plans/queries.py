@@ -19,7 +19,6 @@ from docscope.operators import coverage as CV
 from docscope.operators import plan as PL
 from docscope.operators import publish as PB
 from docscope.operators import search as S
-from docscope.operators.parse import parse_pages
 from docscope.plans import corpus as C
 from docscope.plans import fixtures as FX
 from docscope.plans.oracle import PATH_RE, sql
@@ -118,7 +117,7 @@ def q_asset_names(spark, sf):
 @register("html_escape", sql("""SELECT page_id, replace(replace(replace(coalesce(title_raw, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped
 FROM parsed""", "parsed"))
 def q_html_escape(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
+    p = C.published_pages(spark, sf)
     return p.select("page_id", U.html_escape(F.col("page.title_raw")).alias("escaped"))
 
 
@@ -208,19 +207,19 @@ def q_pages_html(spark, sf):
 
 @register("page_titles", sql("SELECT page_id, title FROM parsed", "parsed"))
 def q_page_titles(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
+    p = C.published_pages(spark, sf)
     return p.select("page_id", X.clean_title(F.col("page.title_raw"), F.col("page.h1")).alias("title"))
 
 
 @register("page_text", sql("SELECT page_id, text FROM parsed", "parsed"))
 def q_page_text(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
+    p = C.published_pages(spark, sf)
     return p.select("page_id", F.col("page.text").alias("text"))
 
 
 @register("main_content", sql("SELECT page_id, content_node, length(text) AS n_chars FROM parsed", "parsed"))
 def q_main_content(spark, sf):
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
+    p = C.published_pages(spark, sf)
     return p.select("page_id", F.col("page.content_node").alias("content_node"),
                     F.length("page.text").alias("n_chars"))
 
@@ -236,7 +235,7 @@ SELECT page_id, 'property' AS attr, {_META_ATTR.format(a='property')} AS name, {
 FROM m WHERE regexp_matches(tag, '\\sproperty\\s*=')""")
 def q_page_meta(spark, sf):
     """Meta tags of every page (name/property, content)."""
-    p = parse_pages(table(spark, sf, "pages").select("page_id", "html"), "html", spread=True)
+    p = C.published_pages(spark, sf)
     return p.select("page_id", F.explode("page.metas").alias("m")).select(
         "page_id", "m.attr", "m.name", "m.content")
 
