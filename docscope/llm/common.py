@@ -9,8 +9,10 @@ lost executor costs the recomputation of a task, not of the whole lineage.
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from docscope.session import work_dir
@@ -20,7 +22,9 @@ ARROW_ROWS = "256"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the Python stages of this subpackage rely on."""
+    """Session settings that the Python stages of this subpackage rely on; its
+    functions are shipped by value, so executors need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 

@@ -217,10 +217,10 @@ def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, **
     the plan takes it, with ``mix_shard`` and ``mix_order`` (a hash to sort a shard
     by). Rows are matched to the plan by a written row key, so repeated doc_ids
     stay rows of their own."""
-    keyed = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    plan = plan_mix(keyed.select(F.col("_row").alias("doc_id"), "text", "source"), n_shards, seed, **options)
+    keyed = stash(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
+    plan = plan_mix(keyed.select(F.col("_mix_row").alias("doc_id"), "text", "source"), n_shards, seed, **options)
     taken = plan.filter("copies > 0").select(
-        F.col("doc_id").alias("_row"), F.posexplode("shards").alias("_copy", "mix_shard"))
-    return (keyed.join(taken, "_row")
-            .withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "_row", "_copy"))
-            .drop("_row", "_copy"))
+        F.col("doc_id").alias("_mix_row"), F.posexplode("shards").alias("_mix_copy", "mix_shard"))
+    return (keyed.join(taken, "_mix_row")
+            .withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "_mix_row", "_mix_copy"))
+            .drop("_mix_row", "_mix_copy"))

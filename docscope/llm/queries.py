@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm import chat_format, html_extract, mixing, sharding
+from docscope.llm import bagminhash, chat_format, html_extract, mixing, sharding
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op8_html_extract(spark, sf_dir):
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op9_bagminhash")
+def op9_bagminhash(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    out = bagminhash.duplicate_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_shingles")
+
+
 # The extra conversation of the query
 PROBE = "\\### Assistant: </turn> ok"
 
