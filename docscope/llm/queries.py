@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm import bagminhash, chat_format, html_extract, mixing, sharding
+from docscope.llm import bagminhash, chat_format, html_extract, mixing, sentencepiece_codec, sharding
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf_dir):
+    """Token ids of every document, and whether decoding them gives its text back."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = sentencepiece_codec.load_vocabulary()
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary), vocabulary)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                      F.char_length("decoded").cast("long").alias("decoded_chars"),
+                      F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 @query("op6_kk_sharding")
 def op6_kk_sharding(spark, sf_dir):
     """Byte-balanced shards of all documents, copies of a text together."""
