@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm import bagminhash, chat_format, html_extract, mixing, sentencepiece_codec, sharding
+import corpus_pipeline
+from docscope.llm import (bagminhash, chat_format, html_extract, mixing, quality, sentencepiece_codec, sharding,
+                          toxicity)
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_toxicity_chain")
+def op1_toxicity_chain(spark, sf_dir):
+    """Category probabilities of every document, and whether it is rejected."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", *[F.col(f"_p_{c}").alias(f"p_{c}") for c in toxicity.CATEGORIES],
+                      (F.col(f"_p_{toxicity.REJECT}") >= toxicity.CUT).alias("rejected"))
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark, sf_dir):
     """Token ids of every document, and whether decoding them gives its text back."""
@@ -35,6 +46,16 @@ def op3_sentencepiece(spark, sf_dir):
                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
 
 
+@query("op4_quality_rff")
+def op4_quality_rff(spark, sf_dir):
+    """Calibrated quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.score_documents(docs, quality.fit(docs, labels))
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    return out.select("doc_id", (rest == 0).alias("held_out"), F.col("_score").alias("score"),
+                      (F.col("_score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 @query("op6_kk_sharding")
 def op6_kk_sharding(spark, sf_dir):
     """Byte-balanced shards of all documents, copies of a text together."""
@@ -77,3 +98,9 @@ def op10_chat_format(spark, sf_dir):
         F.lit(role).alias("role"), F.lit(PROBE).alias("text"))
         for i, role in enumerate(("user", "assistant"))])))
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(probe)))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

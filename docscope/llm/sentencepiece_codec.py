@@ -349,13 +349,12 @@ def decode_ids(out: list[bytes], ids: list[int]) -> str:
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, key: str = "doc_id",
            text: str = "text") -> DataFrame:
     """(key, ids array<int>) of every row of ``docs``."""
-    spark = docs.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(vocabulary or load_vocabulary())  # bounded by the vocabulary file
+    prepare(docs.sparkSession)
+    vocabulary = vocabulary or load_vocabulary()
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(vocabulary)
         keys, texts, chars = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -379,13 +378,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, key: str = "do
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None, key: str = "doc_id") -> DataFrame:
     """(key, ids, decoded) of every row of ``encoded`` (key, ids)."""
-    spark = encoded.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast((vocabulary or load_vocabulary()).out)
+    prepare(encoded.sparkSession)
+    out = (vocabulary or load_vocabulary()).out
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = shared.value
         for batch in batches:
             texts = []
             for ids in batch.column(1):  # one list at a time: token lists are long
