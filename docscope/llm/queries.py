@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docscope.llm import (bagminhash, chat_format, html_extract, mixing, quality, sentencepiece_codec, sharding,
-                          toxicity)
+from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, mixing,
+                          quality, sentencepiece_codec, sharding, toxicity)
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op1_toxicity_chain(spark, sf_dir):
                       (F.col(f"_p_{toxicity.REJECT}") >= toxicity.CUT).alias("rejected"))
 
 
+@query("op2_rp_forest")
+def op2_rp_forest(spark, sf_dir):
+    """The 10 nearest neighbours of every hundredth vector."""
+    return ann_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark, sf_dir):
     """Token ids of every document, and whether decoding them gives its text back."""
@@ -56,6 +62,12 @@ def op4_quality_rff(spark, sf_dir):
                       (F.col("_score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+@query("op5_hnsw_dedup")
+def op5_hnsw_dedup(spark, sf_dir):
+    """Near-duplicate component of every vector."""
+    return hnsw_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_kk_sharding")
 def op6_kk_sharding(spark, sf_dir):
     """Byte-balanced shards of all documents, copies of a text together."""
