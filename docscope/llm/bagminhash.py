@@ -31,7 +31,8 @@ bucket is capped.
 
 Edge cases: a text without words (null, empty, white space) is its own class and
 links with nothing; equal texts are one class, whatever their language or source; repeated
-rows (equal doc_id and text) share a class. An empty table gives an empty
+rows (equal doc_id and text) share a class. A row without a doc_id joins the class of an equal
+text; a text that only such rows hold is not compared with others, and its class_id is null. An empty table gives an empty
 result. Extra input columns are ignored (``duplicate_classes``) or kept (``keep_one``).
 """
 
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docscope.llm.common import clean_columns, prepare, stash
+from docscope.llm.common import clean_columns, fresh, prepare, stash
 from docscope.llm.components import components
 
 SHINGLE = 5
@@ -301,12 +302,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of every class of ``docs``, all columns kept: the one with
     the smallest doc_id; texts without words all stay."""
     names = docs.columns
+    key, n, w, d, k = (fresh(x, names) for x in ("bmh_key", "bmh_n", "bmh_words", "bmh_doc", "bmh_text"))
     classes = duplicate_classes(docs, threshold)
-    kept = stash(classes.filter("doc_id = class_id or n_shingles = 0 or doc_id is null").groupBy(
-        "doc_id", "key").agg(F.count(F.lit(1)).alias("_bmh_n"), F.max("n_shingles").alias("_bmh_w")), "bmh-kept")
-    keyed = docs.withColumn("_bmh_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    k = kept.select(F.col("doc_id").alias("_bmh_d"), F.col("key").alias("_bmh_k"), "_bmh_n", "_bmh_w")
-    out = keyed.join(k, keyed["doc_id"].eqNullSafe(k["_bmh_d"]) & keyed["_bmh_key"].eqNullSafe(k["_bmh_k"]))
-    once = out.filter("_bmh_n = 1 or _bmh_w = 0").select(*names)
-    again = out.filter("_bmh_n > 1 and _bmh_w > 0").dropDuplicates(["_bmh_d", "_bmh_k"]).select(*names)
+    kept = stash(classes.filter(
+        "doc_id = class_id or n_shingles = 0 or (doc_id is null and class_id is null)").groupBy(
+            F.col("doc_id").alias(d), F.col("key").alias(k)).agg(
+                F.count(F.lit(1)).alias(n), F.max("n_shingles").alias(w)), "bmh-kept")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.col("text").cast("binary"))))
+    out = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & F.col(key).eqNullSafe(F.col(k)))
+    columns = [F.col(f"`{c}`") for c in names]
+    once = out.filter((F.col(n) == 1) | (F.col(w) == 0)).select(*columns)
+    again = out.filter((F.col(n) > 1) & (F.col(w) > 0)).dropDuplicates([d, k]).select(*columns)
     return once.unionByName(again)

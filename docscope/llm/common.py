@@ -47,3 +47,11 @@ def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra input columns, whatever their names, can
     then not clash with columns an operator adds."""
     return df.select(*names)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no input column has it (names ignore case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name

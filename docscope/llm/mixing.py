@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import blocks_for, clean_columns, prepare, stash
+from docscope.llm.common import blocks_for, fresh, prepare, stash
 
 #: A word is a maximal run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -215,12 +215,10 @@ def plan_mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, weights=W
 def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` (all their columns), each as often as
     the plan takes it, with ``mix_shard`` and ``mix_order`` (a hash to sort a shard
-    by). Rows are matched to the plan by a written row key, so repeated doc_ids
-    stay rows of their own."""
-    keyed = stash(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
-    plan = plan_mix(keyed.select(F.col("_mix_row").alias("doc_id"), "text", "source"), n_shards, seed, **options)
-    taken = plan.filter("copies > 0").select(
-        F.col("doc_id").alias("_mix_row"), F.posexplode("shards").alias("_mix_copy", "mix_shard"))
-    return (keyed.join(taken, "_mix_row")
-            .withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "_mix_row", "_mix_copy"))
-            .drop("_mix_row", "_mix_copy"))
+    by; both names are lengthened if ``docs`` has them). Rows are matched to the plan by a
+    written row key, so repeated doc_ids stay rows of their own."""
+    shard, order, row, copy = (fresh(x, docs.columns) for x in ("mix_shard", "mix_order", "mix_row", "mix_copy"))
+    keyed = stash(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    plan = plan_mix(keyed.select(F.col(row).alias("doc_id"), "text", "source"), n_shards, seed, **options)
+    taken = plan.filter("copies > 0").select(F.col("doc_id").alias(row), F.posexplode("shards").alias(copy, shard))
+    return keyed.join(taken, row).withColumn(order, F.xxhash64(F.lit(seed), shard, row, copy)).drop(row, copy)

@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docscope.llm.bagminhash import WordHashes, shingles
-from docscope.llm.common import prepare, stash
+from docscope.llm.common import fresh, prepare, stash
 
 MAX_TRAIN = 16_000
 FEATURES = 256
@@ -209,24 +210,26 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train:
     return model
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) of every row of ``docs``; or its columns ``keep`` and ``score``."""
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None,
+                    name: str = "score") -> DataFrame:
+    """(doc_id, score) of every row of ``docs``; or its columns ``keep`` and the score
+    under ``name``."""
     prepare(docs.sparkSession)
     names = keep or ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_score_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             score = model.score(statistics(texts, cache)) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*names, name])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{ddl}, `_score` double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``cut``, all columns kept."""
-    return score_documents(docs, fit(docs, labels), docs.columns).filter(F.col("_score") >= cut).select(
+    name = fresh("score", docs.columns)
+    return score_documents(docs, fit(docs, labels), docs.columns, name).filter(F.col(name) >= cut).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, mixing,
+from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, mixing, oracle,
                           quality, sentencepiece_codec, sharding, toxicity)
 from docscope.sources.tables import table
 
@@ -31,8 +31,8 @@ def op1_toxicity_chain(spark, sf_dir):
     """Category probabilities of every document, and whether it is rejected."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.score_documents(docs, toxicity.fit(docs, labels))
-    return out.select("doc_id", *[F.col(f"_p_{c}").alias(f"p_{c}") for c in toxicity.CATEGORIES],
-                      (F.col(f"_p_{toxicity.REJECT}") >= toxicity.CUT).alias("rejected"))
+    return out.select("doc_id", *[f"p_{c}" for c in toxicity.CATEGORIES],
+                      (F.col(f"p_{toxicity.REJECT}") >= toxicity.CUT).alias("rejected"))
 
 
 @query("op2_rp_forest")
@@ -58,11 +58,11 @@ def op4_quality_rff(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.score_documents(docs, quality.fit(docs, labels))
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    return out.select("doc_id", (rest == 0).alias("held_out"), F.col("_score").alias("score"),
-                      (F.col("_score") >= quality.CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", (rest == 0).alias("held_out"), "score",
+                      (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
-@query("op5_hnsw_dedup")
+@query("op5_hnsw_dedup", oracle.HNSW_DEDUP)
 def op5_hnsw_dedup(spark, sf_dir):
     """Near-duplicate component of every vector."""
     return hnsw_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -84,13 +84,13 @@ def op7_mix_sources(spark, sf_dir):
                        (F.col("size") * F.col("copies")).alias("taken"), "source", "shards")
 
 
-@query("op8_html_extract")
+@query("op8_html_extract", oracle.HTML_EXTRACT)
 def op8_html_extract(spark, sf_dir):
     """Main text of every page."""
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
-@query("op9_bagminhash")
+@query("op9_bagminhash", oracle.BAGMINHASH)
 def op9_bagminhash(spark, sf_dir):
     """Near-duplicate class of every document."""
     out = bagminhash.duplicate_classes(table(spark, sf_dir, "documents"))
@@ -101,7 +101,7 @@ def op9_bagminhash(spark, sf_dir):
 PROBE = "\\### Assistant: </turn> ok"
 
 
-@query("op10_chat_format")
+@query("op10_chat_format", oracle.CHAT_FORMAT)
 def op10_chat_format(spark, sf_dir):
     """All conversations and one that quotes the template, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docscope.llm.common import prepare, stash
 from docscope.llm.quality import N_CLASSES, byte_shares
@@ -236,11 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_featur
     return Chain(chosen, train_chain(rows, idx, data.num_rows, dense, y, max(1, len(chosen))))
 
 
-def score_documents(docs: DataFrame, model: Chain, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, p_<category>...) of every row; or its columns ``keep`` and the probabilities."""
+def score_documents(docs: DataFrame, model: Chain, keep: list[str] | None = None,
+                    prefix: str = "p_") -> DataFrame:
+    """(doc_id, p_<category>...) of every row; or its columns ``keep`` and the
+    probabilities under ``prefix``."""
     prepare(docs.sparkSession)
     names = keep or ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_score_text"))
+    scores = [f"{prefix}{c}" for c in model.categories]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias(scores[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = WordFeatures(model.chosen)
@@ -248,14 +252,16 @@ def score_documents(docs: DataFrame, model: Chain, keep: list[str] | None = None
             p = model.predict(batch.column(len(names)).to_pylist(), features)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], *[pa.array(np.ascontiguousarray(p[:, c])) for c in range(p.shape[1])]],
-                names=[*names, *(f"_p_{c}" for c in model_names)])
+                names=[*names, *scores])
 
-    model_names = list(model.categories)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, ddl + "".join(f", `_p_{c}` double" for c in model_names))
+    return rows.mapInArrow(run, T.StructType(
+        [*rows.schema.fields[:-1], *[T.StructField(c, T.DoubleType()) for c in scores]]))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns kept."""
-    return score_documents(docs, fit(docs, labels), docs.columns).filter(F.col(f"_p_{REJECT}") < cut).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    scored = score_documents(docs, fit(docs, labels), docs.columns, prefix)
+    return scored.filter(F.col(f"{prefix}{REJECT}") < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
