@@ -132,12 +132,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int,
         state = _mix(h[who] ^ (layer.astype(np.uint64) * _GOLD))
         time = np.zeros(len(who))
         cut = low + width > weight  # the layer that the count cuts
+        done = 0  # points made so far; neither they nor the times depend on how many are made at once
         while len(state):
             many = max(1, min(256, 20_000 // len(state)))
-            steps = np.arange(1, many + 1, dtype=np.uint64) * _GOLD
+            steps = np.arange(done + 1, done + many + 1, dtype=np.uint64) * _GOLD
+            done += many
             draw = _mix(state[:, None] + steps[None, :])
-            state = draw[:, -1].copy() ^ _M1
-            at = time[:, None] + np.cumsum(-np.log(_unit(draw)) / (width[:, None] * m), axis=1)
+            at = -np.log(_unit(draw)) / (width[:, None] * m)
+            at[:, 0] += time
+            np.cumsum(at, axis=1, out=at)
             second = _mix(draw ^ _M2)
             cell = ((second >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             place = owner[:, None] * m + cell
