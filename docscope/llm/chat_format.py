@@ -47,6 +47,7 @@ LOSS_ROLE = "assistant"
 _CONTROL = re.compile(r"(?<!\\)(\\*)(### |</turn>)")
 _ESCAPED = re.compile(r"(?<!\\)\\(\\*)(### |</turn>)")
 _HEADER = re.compile(r"### ([A-Za-z0-9_.%-]*)(?:~([12]))?: ")
+_PART_OF_HEADER = re.compile(r"#{1,3}|### [A-Za-z0-9_.%-]*(?:~[12]?)?:?")
 _HEX = re.compile(r"\\x([0-9a-f]{2})")
 LEVELS = (0, 1, 2)
 
@@ -82,6 +83,8 @@ def parse_turn(buffer: str, start: int = 0) -> tuple[str, str, int] | None:
         return None
     h = _HEADER.match(buffer, start)
     if not h:
+        if _PART_OF_HEADER.fullmatch(buffer, start):
+            return None
         raise ValueError("no turn header")
     at = h.end()
     while True:
@@ -94,7 +97,9 @@ def parse_turn(buffer: str, start: int = 0) -> tuple[str, str, int] | None:
             raise ValueError("a bare turn header inside a turn")
         else:
             break
-    if buffer[m.end():m.end() + 1] != "\n":
+    if m.end() == len(buffer):
+        return None
+    if buffer[m.end()] != "\n":
         raise ValueError("no line end after a turn")
     return unquote(h[1]), unescape(buffer[h.end():m.start()], int(h[2] or 0)), m.end() + 1
 
