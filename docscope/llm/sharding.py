@@ -14,9 +14,9 @@ partial partitions, whatever the input size.
 Edge cases: a null text has 0 bytes (size 1) and all null texts are one group;
 the empty text is another group of size-1 rows. Repeated rows (equal doc_id)
 are rows of their own and get slots of their own. An empty table gives an
-empty result. A group larger than ``total / n_shards`` cannot be divided by
-definition; its shard is then as large as that group and the rest balance
-around it. Extra input columns are ignored.
+empty result. A group as large as the average shard of what is left gets a shard of its
+own (at most ``n_shards - 1`` groups, found by a top-k), and the others are
+differenced over the remaining shards. Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +117,25 @@ def partition_groups(groups: DataFrame, n_shards: int = N_SHARDS, block_rows: in
                      fan_in: int = FAN_IN) -> DataFrame:
     """``groups``: (gid, bytes), one row per group. Returns (gid, shard)."""
     groups = stash(clean_columns(groups, "gid", "bytes"), "kk-groups")
-    n_blocks = blocks_for(groups.count(), block_rows)
+    whole = groups.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
+    left, alone = whole["bytes"] or 0, []
+    for g in groups.orderBy(F.desc("bytes"), "gid").limit(n_shards - 1).collect():
+        if g["bytes"] * (n_shards - len(alone)) < left:
+            break
+        alone.append(bytes(g["gid"]))
+        left -= g["bytes"]
+    is_alone = F.col("gid").isin([F.lit(g) for g in alone]) if alone else F.lit(False)
+    rest = _difference_blocks(groups.filter(~is_alone), whole["n"] - len(alone), n_shards - len(alone),
+                              block_rows, fan_in)
+    rest = rest.select("gid", (F.col("shard") + len(alone)).alias("shard"))
+    if not alone:
+        return rest
+    place = F.array_position(F.array(*[F.lit(g) for g in alone]), F.col("gid")) - 1
+    return groups.filter(is_alone).select("gid", place.cast("int").alias("shard")).unionByName(rest)
+
+
+def _difference_blocks(groups: DataFrame, n_groups: int, n_shards: int, block_rows: int, fan_in: int) -> DataFrame:
+    n_blocks = blocks_for(n_groups, block_rows)
     blocked = groups.withColumn("block", F.pmod(F.xxhash64("gid"), F.lit(n_blocks)).cast("long"))
     binned = stash(blocked.groupBy("block").applyInArrow(
         _groups_task(n_shards), "gid binary, block long, bytes long, bin int"), "kk-bins")

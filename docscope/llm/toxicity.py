@@ -7,9 +7,10 @@ other folds, so a later model never learns from an earlier one's memory.
 
 Features: presence of whole words (``\w+``, lower case) and of word beginnings of 4
 to 7 characters (insults live on in compounds), hashed; the ``n_features`` with the
-largest chi-square against any category among those in at least ``min_docs`` training
-documents; and shares of byte classes. Linear models: logistic regression with an L2
-penalty, by full-batch gradient steps.
+largest chi-square (at least ``MIN_CHI2``) against any category among those in at least
+``min_docs`` training documents; and shares of byte classes. Linear models: logistic
+regression with an L2 penalty on presence times the feature's log ratio between the
+classes, by full-batch gradient steps.
 
 Categories of the given labels, in chain order: ``spam`` (quality 0), ``toxic``
 (toxic 1), ``toxic_spam`` (both). A document is rejected if ``p_toxic >= 0.5``.
@@ -45,10 +46,12 @@ REJECT, CUT = "toxic", 0.5
 MAX_TRAIN = 16_000
 N_FEATURES = 2_048
 MIN_DOCS = 4
+#: Below this a feature is noise among the hundreds of thousands tried.
+MIN_CHI2 = 30.0
 BUCKETS = 1 << 21
 FOLDS = 3
-STEPS = 120
-PENALTY = 1e-4
+STEPS = 200
+PENALTY = 1e-5
 #: Words whose features a task remembers (it starts anew when full).
 WORD_CACHE = 400_000
 _WORD = re.compile(r"\w+")
@@ -113,14 +116,19 @@ def fit_linear(rows, idx, n, dense, y, n_features: int, steps: int = STEPS) -> L
     model.dense[-1] = np.log(y.mean() / (1 - y.mean()))
     g2s, g2d = np.full(n_features, 1e-8), np.full(len(model.dense), 1e-8)
     wide = np.hstack([dense, np.ones((n, 1))])
+    # a feature counts by its log ratio between the classes, so telling words outweigh the many others
+    ratio = (np.log((np.bincount(idx, weights=y[rows], minlength=n_features) + 0.5) / (y.sum() + 1))
+             - np.log((np.bincount(idx, weights=1 - y[rows], minlength=n_features) + 0.5) / (n - y.sum() + 1)))
+    own = np.zeros(n_features)
     for _ in range(steps):
         r = (model.predict(rows, idx, n, dense) - y) / n
-        gs = np.bincount(idx, weights=r[rows], minlength=n_features) + PENALTY * model.sparse
+        gs = ratio * np.bincount(idx, weights=r[rows], minlength=n_features) + PENALTY * own
         gd = wide.T @ r
         g2s += gs * gs
         g2d += gd * gd
-        model.sparse -= 0.5 * gs / np.sqrt(g2s)
-        model.dense -= 0.5 * gd / np.sqrt(g2d)
+        own -= 0.3 * gs / np.sqrt(g2s)
+        model.dense -= 0.3 * gd / np.sqrt(g2d)
+        model.sparse = ratio * own
     return model
 
 
@@ -210,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_featur
         below = F.col("n") * (n - F.col("n")) * pos * (n - pos)
         return F.when(below > 0, n * cross * cross / below).otherwise(0.0)
 
-    best = counted.select("bucket", F.greatest(*[chi2(c) for c in CATEGORIES]).alias("chi2")).orderBy(
-        F.desc("chi2"), "bucket").limit(n_features).collect()
+    best = counted.select("bucket", F.greatest(*[chi2(c) for c in CATEGORIES]).alias("chi2")).filter(
+        F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "bucket").limit(n_features).collect()
     chosen = {r["bucket"]: i for i, r in enumerate(best)}
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
