@@ -19,14 +19,15 @@ shares no band with probability 6e-4 (3e-6). Verification is exact, on whole
 multisets:
 
 1. equal texts are one node, so copies cost nothing below;
-2. every member of a bucket is compared with the bucket's smallest node (a star:
-   linear in the bucket), and verified links give first components;
+2. a bucket's head is its smallest node; every node is compared with the smallest of
+   its buckets' heads, and verified links give first components; then with the other
+   heads, as far as they are in another component (both linear in the bucket);
 3. in buckets that still hold several components, pairs of *different* components
    are compared; a one-bit sketch of the signature (``SKETCH_FAR`` differing bits of
    320 is six deviations beyond similarity 0.8) rejects most before their
    shingles are read. Pairs inside one component need no comparison: their class is known.
 
-So a group of thousands of near copies costs one comparison per member, and no
+So a group of thousands of near copies costs about one comparison per member, and no
 bucket is capped.
 
 Edge cases: a text without words (null, empty, white space) is its own class and
@@ -274,8 +275,23 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     stars = stash(
         shared.withColumn("s", F.struct("sketch")).filter("node <> h.node").filter(_far("s", "h") <= SKETCH_FAR)
         .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "bmh-stars")
-    links = verified(stars, docs, nodes, threshold)
+
+    def different(pairs: DataFrame, done: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components by now and that aren't compared yet."""
+        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        return stash(pairs.join(done, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").filter(
+            F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "bmh-more")
+
+    # one head a node first: it settles nearly all of a large group
+    compared = stash(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "bmh-first")
+    links = verified(compared, docs, nodes, threshold)
     roots = components(links.select("a", "b"))
+    others = different(stars, compared)
+    if not others.isEmpty():
+        compared = compared.unionByName(others)
+        links = links.unionByName(verified(others, docs, nodes, threshold))
+        roots = components(links.select("a", "b"))
 
     rooted = shared.select("bucket", "node", "sketch").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
@@ -286,8 +302,8 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     more = (a.join(b, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
                    & (F.col("l.root") != F.col("r.root")) & (_far("l", "r") <= SKETCH_FAR))
             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = stash(more, "bmh-more")
+            .join(compared, ["a", "b"], "left_anti"))
+    more = stash(more, "bmh-rest-pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, docs, nodes, threshold))
         roots = components(links.select("a", "b"))
