@@ -254,10 +254,13 @@ def extract(page_html: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame, max_labelled: int = MAX_LABELLED,
                   max_chars: int = MAX_LABELLED_CHARS, epochs: int = EPOCHS) -> dict[str, float]:
     """Weights from a bounded sample of labelled pages (``html`` with an article or main element)."""
-    rows = (pages.filter(F.length("html") <= max_chars)
-            .filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-            .select("html", F.xxhash64("url", "page_id").alias("_h"))
-            .orderBy("_h", "html").limit(max_labelled).collect())
+    labelled = (pages.filter(F.length("html") <= max_chars)
+                .filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+                .withColumn("_h", F.xxhash64("url", "page_id", "html")))
+    # hashes first, so that the pages of the sample alone reach the driver
+    wanted = [r["_h"] for r in labelled.select("_h").distinct().orderBy("_h").limit(max_labelled).collect()]
+    rows = labelled.filter(F.col("_h").isin(wanted)).select("_h", "html").dropDuplicates(["_h"]).collect()
+    rows.sort(key=lambda r: r["_h"])
     return train([r["html"] for r in rows], epochs)
 
 
