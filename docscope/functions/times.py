@@ -22,6 +22,13 @@ def event_time(x) -> Column:
     return t.cast("timestamp_ntz")
 
 
+def event_or_ingest_time(x, ingest) -> Column:
+    """Event time, or the ingest time of the record where it has none: an undated or
+    unreadable event is dated when it is indexed, so time filters keep it."""
+    i = F.col(ingest) if isinstance(ingest, str) else ingest
+    return F.coalesce(event_time(x), i.cast("timestamp_ntz"))
+
+
 def day(ts) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.date_format(c, DAY)

@@ -37,10 +37,10 @@ MIN_CONTENT_CHARS = 150
 STRIP_TAGS = ["script", "style", "nav", "header", "footer", "noscript", "form"]
 STRIP_CLASS = re.compile(r"(sidebar|breadcrumb|toc|cookie|feedback)", re.I)
 
+# Elements without content, and elements whose text is not document text.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input keygen link meta param source track wbr "
     "basefont bgsound command frame image isindex menuitem nextid spacer".split())
-# Text inside these elements is not document text.
 NON_TEXT_TAGS = frozenset({"script", "style", "template"})
 
 PART = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
@@ -53,8 +53,12 @@ PARSED = T.StructType([
     T.StructField("content_node", T.StringType()),
     T.StructField("text", T.StringType()),
     T.StructField("parts", T.ArrayType(PART)),
+    T.StructField("error", T.StringType()),
 ])
 
+# one attribute of a start tag: name, and its value with quotes if it has one
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+
 
 class _Node:
     __slots__ = ("tag", "attrs", "children", "parent", "start", "inner_start", "inner_end", "end")
@@ -100,11 +104,8 @@ class _TreeBuilder(HTMLParser):
         start = self._offset()
         raw = self.get_starttag_text() or ""
         parent = self.stack[-1]
-        d = {}
-        for k, v in attrs:
-            if k not in d:
-                d[k] = v
-        node = _Node(tag, d, parent, start, start + len(raw))
+        # of a repeated attribute the last value counts
+        node = _Node(tag, dict(attrs), parent, start, start + len(raw))
         parent.children.append(node)
         if tag in VOID_TAGS:
             node.inner_end = node.end = node.inner_start
@@ -137,7 +138,7 @@ class _TreeBuilder(HTMLParser):
         self.stack[-1].children.append(_Text(data, comment=True))
 
     def finish(self):
-        self.close()
+        """The tree as built so far; elements still open end with the source."""
         n = len(self.src)
         while len(self.stack) > 1:
             node = self.stack.pop()
@@ -147,22 +148,24 @@ class _TreeBuilder(HTMLParser):
 
 
 def _iter_elements(node):
-    for c in node.children:
-        if isinstance(c, _Node):
-            yield c
-            yield from _iter_elements(c)
+    """Elements below ``node`` in document order, however deep they nest."""
+    todo = [c for c in reversed(node.children) if isinstance(c, _Node)]
+    while todo:
+        c = todo.pop()
+        yield c
+        todo.extend(x for x in reversed(c.children) if isinstance(x, _Node))
 
 
 def _strings(node, skip=None):
     """Document text strings under ``node`` in order, skipping removed subtrees."""
-    for c in node.children:
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
         if isinstance(c, _Text):
             if not c.comment:
                 yield c.text
-        elif c.tag in NON_TEXT_TAGS or (skip is not None and id(c) in skip):
-            continue
-        else:
-            yield from _strings(c, skip)
+        elif c.tag not in NON_TEXT_TAGS and (skip is None or id(c) not in skip):
+            todo.extend(reversed(c.children))
 
 
 def _stripped(node, skip=None):
@@ -189,44 +192,50 @@ def _title_string(node):
         node = c
 
 
+def _kept_elements(node, removed):
+    """(kept, removed) elements below ``node``; of removed subtrees only the top."""
+    kept, tops = [], []
+    todo = [c for c in reversed(node.children) if isinstance(c, _Node)]
+    while todo:
+        c = todo.pop()
+        if id(c) in removed:
+            tops.append(c)
+            continue
+        kept.append(c)
+        todo.extend(x for x in reversed(c.children) if isinstance(x, _Node))
+    return kept, tops
+
+
+def _value_span(src, el, attr):
+    """(start, end, has value) of the last ``attr`` in the element's start tag."""
+    name_end = el.start + 1 + len(el.tag)
+    span = None
+    for m in _ATTRIBUTE.finditer(src, name_end, el.inner_start - 1):
+        if m[1].lower() == attr:
+            span = (m.start(2), m.end(2), True) if m[2] is not None else (m.end(1), m.end(1), False)
+    return span
+
+
 def _cut_parts(src, node, removed):
     """Source of ``node``'s interior minus removed subtrees, cut at link/image values."""
-    spans = []  # (start, end) of removed subtrees, outermost only
-
-    def walk(n):
-        for c in n.children:
-            if isinstance(c, _Node):
-                if id(c) in removed:
-                    spans.append((c.start, c.end))
-                else:
-                    walk(c)
-
-    walk(node)
-    cuts = []  # (start, end, kind, value) of attribute values to expose
-    skip = set(removed)
-    for el in _iter_elements(node):
-        if id(el) in skip:
-            # children of removed elements are gone as well
-            for sub in _iter_elements(el):
-                skip.add(id(sub))
-            continue
+    kept, tops = _kept_elements(node, removed)
+    events = [(e.start, e.end, None, None, True) for e in tops]
+    for el in kept:
         attr = "href" if el.tag == "a" else "src" if el.tag == "img" else None
-        if attr is None or el.attrs.get(attr) is None:
-            continue
-        raw = src[el.start:el.inner_start]
-        m = re.search(r"(?is)\s" + attr + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", raw)
-        if m:
-            cuts.append((el.start + m.start(1), el.start + m.end(1), attr, el.attrs.get(attr) or ""))
-    events = sorted([(s, e, None, None) for s, e in spans] + cuts)
+        if attr is not None and attr in el.attrs and (span := _value_span(src, el, attr)):
+            events.append((span[0], span[1], attr, el.attrs[attr] or "", span[2]))
+    events.sort(key=lambda e: e[:2])
     parts = []
     pos = node.inner_start if node.parent is not None else 0
     end = node.inner_end if node.parent is not None else len(src)
-    for s, e, kind, value in events:
+    for s, e, kind, value, has_value in events:
         if s < pos:
             continue
         if s > pos:
             parts.append(("html", src[pos:s]))
         if kind is not None:
+            if not has_value:  # a bare attribute gets the value it stands for
+                parts.append(("html", "="))
             parts.append((kind, value))
         pos = e
     if pos < end:
@@ -235,13 +244,16 @@ def _cut_parts(src, node, removed):
 
 
 def parse_html(html: str | None) -> dict:
-    """Parse one page; returns a dict shaped like ``PARSED``."""
+    """Parse one page; returns a dict shaped like ``PARSED``. A page that the tokenizer
+    gives up on keeps what was built before, and says so in ``error``."""
     src = html or ""
     tb = _TreeBuilder(src)
+    error = None
     try:
         tb.feed(src)
-    except Exception:  # noqa: BLE001 - keep what was built before the error
-        pass
+        tb.close()
+    except Exception as e:  # noqa: BLE001 - reported per page
+        error = f"{type(e).__name__}: {e}"[:200]
     root = tb.finish()
     elements = list(_iter_elements(root))
 
@@ -268,45 +280,25 @@ def parse_html(html: str | None) -> dict:
         node, which = (body, "body") if body is not None else (root, "document")
 
     removed = set()
-    below = list(_iter_elements(node))
-    for e in below:
-        if e.tag in STRIP_TAGS:
-            removed.add(id(e))
-    gone = set()
-    for e in below:  # descendants of removed elements are removed with them
-        if id(e) in removed:
-            gone.update(id(x) for x in _iter_elements(e))
-    for e in below:
-        if id(e) in removed or id(e) in gone:
-            continue
+    for e in _iter_elements(node):
         c = e.attrs.get("class")
-        if c and STRIP_CLASS.search(" ".join(c.split())):
+        if e.tag in STRIP_TAGS or c and STRIP_CLASS.search(" ".join(c.split())):
             removed.add(id(e))
-            gone.update(id(x) for x in _iter_elements(e))
     text = " ".join(_stripped(node, removed))
     return {"title_raw": title_raw, "h1": h1, "metas": metas, "content_node": which,
-            "text": text, "parts": _cut_parts(src, node, removed)}
+            "text": text, "parts": _cut_parts(src, node, removed), "error": error}
 
 
-def parse_pages(df: DataFrame, html_col: str = "html", keep: list[str] | None = None,
-                spread: bool = False) -> DataFrame:
+def parse_pages(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add a ``page`` struct column (``PARSED``) computed from ``html_col``.
 
     One Arrow batch at a time per task; the HTML column is dropped from the
     output so the wide text is not carried further than needed.
 
-    Parsing is the costly step, so it should run on every core. With
-    ``spread`` (for a direct file scan, whose split count is known at
-    planning time without running anything) an input arriving in fewer
-    partitions than the default parallelism - few, small files - is spread
-    round-robin first; a scan already split finer is parsed where it is.
-    Join outputs are parsed in the join's partitions.
+    Pages are parsed in the partitions they come in: split a scan of few large
+    files with ``spark.sql.files.maxPartitionBytes``.
     """
     keep = [c for c in (keep or df.columns) if c != html_col]
-    if spread:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
     out_schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("page", PARSED)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from docscope.functions import urls as U
 from docscope.sources.catalog import keep_count
 
-# A catalog at most this long is broadcast to the URL scan (nested-loop theta
-# join); a longer one is matched by equi-joining candidate root prefixes.
-BROADCAST_CATALOG_ROWS = 10_000
 # Locale sections never planned (fixed value).
 LOCALE_MARKERS = ["/ja-jp/", "/ja/"]
 
@@ -31,32 +28,30 @@ def _match_condition(url, path, root, exclude):
     return (under | landing) & ~excluded & ~locale
 
 
-def product_urls(urls: DataFrame, catalog: DataFrame, catalog_rows: int | None = None) -> DataFrame:
+def product_urls(urls: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every (product, url) pair whose URL lies under the product root (or is its
     landing page), contains no excluded substring and is not a locale copy.
 
-    A URL may match several products. ``catalog_rows`` is the catalog length
-    known on the driver; it decides between broadcast and prefix equi-join.
+    A URL may match several products. One plan for every catalog size: each URL's
+    candidate roots (runs of segments after an ``en`` segment) are equi-joined
+    with the catalog - a broadcast hash join while the catalog's measured size
+    allows it, a shuffled one beyond - and the match is checked on the pairs.
     """
     u = urls.withColumn("path", U.url_path("url"))
     c = catalog.select(F.col("pid"), F.col("title").alias("product_title"), "root_path",
                        "versions", F.col("ord").alias("pord"), "exclude")
-    if catalog_rows is not None and catalog_rows <= BROADCAST_CATALOG_ROWS:
-        j = u.join(F.broadcast(c), _match_condition(F.col("url"), F.col("path"),
-                                                   F.col("root_path"), F.col("exclude")))
-    else:
-        # candidate roots: every run of segments after an "en" segment
-        parts = F.split(F.col("path"), "/")
-        cands = F.flatten(F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda i: F.when(F.element_at(parts, i) == "en", F.transform(
-                F.sequence(i + 1, F.greatest(F.size(parts), i + 1)),
-                lambda j: F.array_join(F.slice(parts, i + 1, j - i), "/")))
-            .otherwise(F.array().cast("array<string>"))))
-        uc = u.withColumn("cand", F.explode(F.array_distinct(cands)))
-        j = (uc.join(c, uc["cand"] == c["root_path"])
-             .where(_match_condition(F.col("url"), F.col("path"), F.col("root_path"), F.col("exclude")))
-             .drop("cand"))
+    # candidate roots: every run of segments after an "en" segment
+    parts = F.split(F.col("path"), "/")
+    cands = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.when(F.element_at(parts, i) == "en", F.transform(
+            F.sequence(i + 1, F.greatest(F.size(parts), i + 1)),
+            lambda j: F.array_join(F.slice(parts, i + 1, j - i), "/")))
+        .otherwise(F.array().cast("array<string>"))))
+    uc = u.withColumn("cand", F.explode(F.array_distinct(cands)))
+    j = (uc.join(c, uc["cand"] == c["root_path"])
+         .where(_match_condition(F.col("url"), F.col("path"), F.col("root_path"), F.col("exclude")))
+         .drop("cand"))
     return j.withColumn("segs", U.version_segments(F.col("path"))).drop("exclude")
 
 
@@ -95,28 +90,12 @@ def newest_versions(matched: DataFrame, allow: DataFrame | None = None) -> DataF
     """Keep unversioned URLs and those whose version segments are all among the
     product's N newest versions (``all`` keeps everything)."""
     allow = allowed_versions(matched) if allow is None else allow
-    j = matched.join(F.broadcast(allow), "pid", "left")
+    j = matched.join(allow, "pid", "left")  # broadcast only if its measured size allows
     return j.where(_version_allowed(F.col("segs"), F.col("versions"), F.col("allow"))).drop("allow")
 
 
-def planned_rows(df: DataFrame, catalog: DataFrame, allow: DataFrame, url: str = "url") -> DataFrame:
-    """Rows of ``df`` whose URL the plan keeps, decided per row: some product
-    matches it and allows all its version segments.
-
-    The catalog with its allow lists is tens of rows (broadcast), so this is a
-    narrow filter over ``df``: applied to the page bodies it drops pages the
-    plan does not want before any shuffle moves their HTML."""
-    c = (catalog.select("pid", "root_path", "versions", "exclude").join(F.broadcast(allow), "pid", "left")
-         .select(F.col("root_path").alias("_root"), F.col("versions").alias("_versions"),
-                 F.col("exclude").alias("_exclude"), F.col("allow").alias("_allow")))
-    d = df.withColumn("_path", U.url_path(url)).withColumn("_segs", U.version_segments(F.col("_path")))
-    cond = (_match_condition(F.col(url), F.col("_path"), F.col("_root"), F.col("_exclude"))
-            & _version_allowed(F.col("_segs"), F.col("_versions"), F.col("_allow")))
-    return d.join(F.broadcast(c), cond, "left_semi").drop("_path", "_segs")
-
-
-def build_plan(urls: DataFrame, catalog: DataFrame, catalog_rows: int | None = None) -> DataFrame:
-    return newest_versions(product_urls(urls, catalog, catalog_rows))
+def build_plan(urls: DataFrame, catalog: DataFrame) -> DataFrame:
+    return newest_versions(product_urls(urls, catalog))
 
 
 def plan_limit(plan: DataFrame, n: int) -> DataFrame:

@@ -11,9 +11,10 @@ MAX_SIZE_MB = 10_240
 
 
 def keep_by_age(df: DataFrame, ts: str, now_col, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
-    """Rows not older than ``max_age_seconds`` before ``now_col``."""
+    """Rows not older than ``max_age_seconds`` before ``now_col``; undated rows stay
+    (date them by their ingest time first to let them age)."""
     cutoff = now_col - F.make_dt_interval(secs=F.lit(max_age_seconds))
-    return df.where(F.col(ts) >= cutoff)
+    return df.where((F.col(ts) >= cutoff) | F.col(ts).isNull())
 
 
 def day_sizes(df: DataFrame, ts: str, size_col) -> DataFrame:
@@ -24,12 +25,13 @@ def day_sizes(df: DataFrame, ts: str, size_col) -> DataFrame:
 
 def size_cutoff(days: DataFrame, max_bytes: int) -> DataFrame:
     """Newest days whose running total stays within ``max_bytes`` are kept,
-    older days are frozen. The running sum runs over one row per day."""
-    w = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    older days are frozen; undated rows (null day) count as the newest. The running
+    sum runs over one row per day."""
+    w = Window.orderBy(F.col("day").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return days.withColumn("cum_bytes", F.sum("bytes").over(w)).withColumn(
         "kept", F.col("cum_bytes") <= F.lit(max_bytes))
 
 
 def keep_by_size(df: DataFrame, ts: str, size_col, max_mb: int = MAX_SIZE_MB) -> DataFrame:
     cut = size_cutoff(day_sizes(df, ts, size_col), max_mb * 1024 * 1024).where("kept").select("day")
-    return df.join(F.broadcast(cut), F.to_date(F.col(ts)) == cut["day"], "left_semi")
+    return df.join(cut, F.to_date(F.col(ts)).eqNullSafe(cut["day"]), "left_semi")

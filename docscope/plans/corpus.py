@@ -1,7 +1,8 @@
 """The corpus build as one Spark plan, and its published tables.
 
-discover (sitemap URLs) -> plan (theta join + filters + newest-N) -> dedup by id
--> join crawled pages on URL -> parse (mapInPandas) -> topic records.
+discover (sitemap URLs) -> plan (prefix join + filters + newest-N) -> dedup by id
+-> join the parsed pages on URL -> topic records. Pages are parsed once (mapInPandas)
+where they are scanned.
 
 ``published(spark, sf_dir)`` writes the topic records once per application to
 the shared work folder and returns them read back, so every query over the
@@ -27,9 +28,8 @@ from docscope.sources.tables import table
 HTML_CONTENT_TYPE = "text/html; charset=utf-8"
 
 
-def catalog(spark: SparkSession, rows=None) -> tuple[DataFrame, int]:
-    rows = FX.CATALOG_RAW if rows is None else rows
-    return typed_catalog(FX.catalog_raw(spark, rows)), len(rows)
+def catalog(spark: SparkSession, rows=None) -> DataFrame:
+    return typed_catalog(FX.catalog_raw(spark, FX.CATALOG_RAW if rows is None else rows))
 
 
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled pages keyed by the URL they were fetched from, with the
     response content type; only ``text/html`` responses are parsed."""
     pages = FX.with_doc_url(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.select(F.col("doc_url").alias("url"), "html",
+    return pages.select("page_id", F.col("doc_url").alias("url"), "html",
                         F.lit(HTML_CONTENT_TYPE).alias("content_type"))
 
 
@@ -50,26 +50,15 @@ def html_pages(pages: DataFrame) -> DataFrame:
 
 
 def plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
-    cat, n = catalog(spark, catalog_rows)
-    return PL.build_plan(sitemap_urls(spark, sf_dir), cat, n)
+    return PL.build_plan(sitemap_urls(spark, sf_dir), catalog(spark, catalog_rows))
 
 
 def topics(spark: SparkSession, sf_dir: str, catalog_rows=None, limit: int = 0) -> DataFrame:
-    """Lazy topic records of a full build.
-
-    The page bodies are filtered by the plan's own predicate (catalog + allow
-    lists, broadcast) before the join, so only planned pages' HTML is
-    shuffled; the join then adds plan order and product fields."""
-    cat, n = catalog(spark, catalog_rows)
-    matched = PL.product_urls(sitemap_urls(spark, sf_dir), cat, n)
-    allow = PL.allowed_versions(matched)
-    p = PL.dedup_by_id(PL.plan_limit(PL.newest_versions(matched, allow), limit))
-    pages = html_pages(crawled_pages(spark, sf_dir)).drop("content_type")
-    if catalog_rows is None or len(catalog_rows) <= PL.BROADCAST_CATALOG_ROWS:
-        pages = PL.planned_rows(pages, cat, allow)
-    joined = p.join(pages, "url")
-    parsed = P.parse_pages(joined, "html")
-    return PB.topic_records(parsed)
+    """Lazy topic records of a full build: the published plan joined to the pages,
+    which are parsed once, where they are scanned; no HTML body is shuffled."""
+    planned = PL.dedup_by_id(PL.plan_limit(published_plan(spark, sf_dir, catalog_rows), limit))
+    pages = published_pages(spark, sf_dir)
+    return PB.topic_records(planned.join(html_pages(pages).select("url", "page"), "url"))
 
 
 _PUBLISHED: dict[tuple, str] = {}
@@ -116,11 +105,10 @@ def published_plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataF
 
 
 def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every crawled page parsed once (``page_id``, ``page`` struct), written
-    once per application for the page-level queries."""
+    """Every crawled page parsed once (``page_id``, ``url``, ``content_type``, ``page``
+    struct), written once per application for the topics and the page-level queries."""
     key = (sf_dir.rstrip("/"),)
-    return _publish(spark, "pages", key, lambda: P.parse_pages(
-        table(spark, sf_dir, "pages").select("page_id", "html"), "html", spread=True))
+    return _publish(spark, "pages", key, lambda: P.parse_pages(crawled_pages(spark, sf_dir), "html"))
 
 
 def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
@@ -129,9 +117,9 @@ def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     parsed pages."""
     from docscope.plans.fixtures import CATALOG_RAW_PREVIOUS
     prev = CATALOG_RAW_PREVIOUS if previous_rows is None else previous_rows
+    published_pages(spark, sf_dir)
     published_plan(spark, sf_dir)
     published_plan(spark, sf_dir, prev)
     published(spark, sf_dir)
     published_index(spark, sf_dir)
     published(spark, sf_dir, prev)
-    published_pages(spark, sf_dir)

@@ -99,8 +99,7 @@ FROM (SELECT pid, url, CASE WHEN list_slice(p, 1, len(rs)) = rs THEN list_slice(
         FROM (SELECT pid, url, root_path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p0 FROM m) a) b) c""",
                              "m"))
 def q_breadcrumbs(spark, sf):
-    cat, n = C.catalog(spark)
-    m = PL.product_urls(C.sitemap_urls(spark, sf), cat, n)
+    m = PL.product_urls(C.sitemap_urls(spark, sf), C.catalog(spark))
     cr = m.select("pid", "url", U.path_breadcrumb(F.col("path"), F.col("root_path")).alias("c"))
     return cr.select("pid", "url", F.array_join("c", "/").alias("breadcrumb"), U.first_or_empty("c").alias("section"))
 
@@ -126,16 +125,14 @@ def q_html_escape(spark, sf):
 # --------------------------------------------------------------------------- #
 @register("product_urls", sql("SELECT pid, product_title, url FROM m", "m"))
 def q_product_urls(spark, sf):
-    cat, n = C.catalog(spark)
-    return PL.product_urls(C.sitemap_urls(spark, sf), cat, n).select("pid", "product_title", "url")
+    return PL.product_urls(C.sitemap_urls(spark, sf), C.catalog(spark)).select("pid", "product_title", "url")
 
 
 @register("product_urls_prefix_join", sql("SELECT pid, product_title, url FROM m", "m"))
 def q_product_urls_prefix_join(spark, sf):
     """Same match through the equi-join on candidate root prefixes (the path
     taken when the catalog is too long to broadcast)."""
-    cat, _ = C.catalog(spark)
-    return PL.product_urls(C.sitemap_urls(spark, sf), cat, None).select("pid", "product_title", "url")
+    return PL.product_urls(C.sitemap_urls(spark, sf), C.catalog(spark)).select("pid", "product_title", "url")
 
 
 @register("locale_filter", sql("""SELECT page_id, doc_url, contains(doc_url, '/ja-jp/') OR contains(doc_url, '/ja/') AS is_locale
@@ -150,8 +147,7 @@ def q_locale_filter(spark, sf):
 
 @register("product_versions", sql("SELECT DISTINCT pid, unnest(segs) AS version FROM m", "m"))
 def q_product_versions(spark, sf):
-    cat, n = C.catalog(spark)
-    m = PL.product_urls(C.sitemap_urls(spark, sf), cat, n)
+    m = PL.product_urls(C.sitemap_urls(spark, sf), C.catalog(spark))
     return m.select("pid", F.explode("segs").alias("version")).distinct()
 
 
@@ -494,7 +490,7 @@ def _captured(spark, sf, catalog_rows=None):
 
 
 def _coverage(spark, sf):
-    cat, _ = C.catalog(spark)
+    cat = C.catalog(spark)
     stored = _captured(spark, sf, FX.CATALOG_RAW_PREVIOUS).select("id", F.col("pid").alias("product"))
     return CV.coverage(cat, C.published_plan(spark, sf), stored)
 
@@ -681,30 +677,49 @@ def _site(spark, sf):
     return _SITES[key]
 
 
-@register("robots_sitemaps")
+def _discovered(spark, sf):
+    """(files, visited): the site's sitemap files and those reached from its roots."""
+    from docscope.sources.sitemaps import candidate_roots, expand, sitemap_files
+    out = _site(spark, sf)
+    files = sitemap_files(spark, out)
+    return files, expand(spark, candidate_roots(spark, f"{out}/robots", files, FX.DOC_HOST), files)
+
+
+# the site has one index per write task, all named in robots.txt twice, and one leaf
+# file per folder and chunk; file names are unknown to SQL, counts are not
+@register("robots_sitemaps", "SELECT 1 AS ord, true AS in_index_folder")
 def q_robots_sitemaps(spark, sf):
-    from docscope.sources.sitemaps import DEFAULT_ROOT, robots_roots
+    """The site's sitemap roots: position, and whether the file is one of its indexes."""
+    from docscope.sources.sitemaps import candidate_roots, sitemap_files
     out = _site(spark, sf)
-    return robots_roots(spark, f"{out}/robots", FX.DOC_HOST + DEFAULT_ROOT)
+    roots = candidate_roots(spark, f"{out}/robots", sitemap_files(spark, out), FX.DOC_HOST)
+    return roots.select("ord", F.col("url").contains("/index/").alias("in_index_folder"))
 
 
-@register("sitemap_expand")
+@register("sitemap_expand", sql("""SELECT 0 AS depth, 'index' AS kind, '' AS folder, 1 AS n_files
+UNION ALL SELECT 1, 'leaf', string_split(doc_url, '/')[5], CAST(count(DISTINCT page_id // 50000) AS BIGINT)
+FROM doc_urls GROUP BY ALL""", "doc_urls"))
 def q_sitemap_expand(spark, sf):
-    from docscope.sources.sitemaps import DEFAULT_ROOT, expand, robots_roots, sitemap_files
-    out = _site(spark, sf)
-    roots = robots_roots(spark, f"{out}/robots", FX.DOC_HOST + DEFAULT_ROOT)
-    return expand(spark, roots, sitemap_files(spark, out))
+    """Visited sitemap files by depth, kind and the folder that a leaf covers."""
+    _, visited = _discovered(spark, sf)
+    folder = F.regexp_extract("url", "/folder=([^/]*)/", 1)
+    return visited.groupBy("depth", "kind", folder.alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @register("sitemap_urls", sql("SELECT doc_url AS url FROM doc_urls", "doc_urls"))
 def q_sitemap_urls(spark, sf):
-    from docscope.sources.sitemaps import DEFAULT_ROOT, expand, leaf_urls, robots_roots, sitemap_files
-    out = _site(spark, sf)
-    roots = robots_roots(spark, f"{out}/robots", FX.DOC_HOST + DEFAULT_ROOT)
-    visited = expand(spark, roots, sitemap_files(spark, out))
-    # file names of the reached leaves (one per sitemap file) select the input
-    leaves = [r.url for r in visited.where(F.col("kind") == "leaf").select("url").collect()]
-    return leaf_urls(spark, leaves).select("url")
+    from docscope.sources.sitemaps import leaf_urls
+    files, visited = _discovered(spark, sf)
+    return leaf_urls(visited, files).select("url")
+
+
+@register("plan_from_sitemaps", ORACLE["newest_versions"])
+def q_plan_from_sitemaps(spark, sf):
+    """Newest-N planning from the discovered URLs instead of the URL table."""
+    from docscope.sources.sitemaps import leaf_urls
+    files, visited = _discovered(spark, sf)
+    urls = leaf_urls(visited, files).select("url", F.col("ord").alias("uord"))
+    return PL.build_plan(urls, C.catalog(spark)).select("pid", "url")
 
 
 @register("asset_manifest", sql("""SELECT abs_url, substring(sha1(abs_url), 1, 16) ||
@@ -797,8 +812,7 @@ def q_stream_upsert(spark, sf):
     feed, out = _scratch(spark, "feeds"), _scratch(spark, "upsert")
     write_feed(PB.event_rows(C.published(spark, sf, FX.CATALOG_RAW_PREVIOUS)), f"{feed}/run0")
     write_feed(_events(spark, sf), f"{feed}/run1")
-    latest = upsert_stream(spark, f"{feed}/*", f"{out}/table", f"{out}/_checkpoint")
-    return spark.read.parquet(latest).drop("source")
+    return upsert_stream(spark, f"{feed}/*", f"{out}/table", f"{out}/_checkpoint").drop("source", "part")
 
 
 # a key inside the data's range: the page after it is a deep page

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,11 +63,14 @@ def configure(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and checkpoints.
 
-    On a cluster this is the folder named by ``spark.checkpoint.dir``. Only when
-    the session has none (local tests) is a private folder created and set.
+    On a cluster this is the folder named by ``spark.checkpoint.dir``, which all
+    executors share; without it the job fails here, before it writes parts to
+    machine-local disks. Only a local session (tests) gets a private folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="docscope-ckpt-", dir="/tmp")
         sc.setCheckpointDir(d)

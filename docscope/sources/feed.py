@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docscope.operators.publish import EVENT_FIELDS, EVENT_SCHEMA
 
-# Feed files are the JSON writer's part files; the monitor picks them by this
-# glob (the counterpart of the reference's file-name whitelist).
-FEED_GLOB = "*.json"
+# Feed files: ``*.ndjson`` from outside, and the JSON writer's part files; the
+# monitor picks them by this glob.
+FEED_GLOB = "*.{ndjson,json}"
 
 
 def write_feed(events: DataFrame, path: str) -> None:

@@ -1,13 +1,17 @@
 """Sitemap and robots.txt sources.
 
 * ``robots_roots``   - ``Sitemap:`` lines (any case) of robots files, value after
-  the first ``:`` trimmed, first occurrence order; a default root when none.
-* ``sitemap_files``  - every sitemap file with its root tag kind (index/leaf)
-  and, for indexes, the ``sitemap/loc`` children.
+  the first ``:`` trimmed, in order of first appearance (file path, then line).
+* ``candidate_roots`` - robots lines first, then the well-known sitemap files
+  that exist, else the default root.
+* ``sitemap_files``  - every sitemap file read once: root tag kind (index/leaf),
+  ``sitemap/loc`` children and ``url/loc`` values; a file that is not well-formed
+  is ``malformed`` as a whole and has neither.
 * ``expand``         - transitive closure from the roots over index files with
-  a visited set (cycles end); returns the leaf files reached.
-* ``leaf_urls``      - ``url/loc`` of leaf files via the XML source; empty
-  ``loc`` skipped, malformed files dropped.
+  a visited set (cycles end), as deep as the indexes go; ``path`` gives each
+  visited file a stable position.
+* ``leaf_urls``      - ``url/loc`` of the visited leaf files with a stable ``ord``
+  (root, file, position), by joining the one read; nothing is collected.
 * ``write_site``     - publishes sitemap/robots files for a URL table (Spark XML
   and text writers), as the documentation site does.
 """
@@ -17,80 +21,110 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docscope.operators.ranking import group_rank
 from docscope.session import local_df
 
-# The sitemap namespace, the default root, and the protocol's
-# limit of URLs per sitemap file.
+# The sitemap namespace, the well-known sitemap files (the first is
+# the default root), and the protocol's limit of URLs per sitemap file.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-DEFAULT_ROOT = "/sitemap.xml"
+CANDIDATES = ("/sitemap.xml", "/sitemap_index.xml")
+DEFAULT_ROOT = CANDIDATES[0]
 MAX_URLS_PER_FILE = 50_000
 
+_XML = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
+_XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
+# the root element's name after any byte-order mark, declarations, instructions,
+# comments and document type, in any number and order
+_ROOT_TAG = r"(?s)^\x{FEFF}?(?:\s++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<([A-Za-z_][\w:.-]*)"
+
 
 def robots_roots(spark: SparkSession, robots_path: str, default_root: str) -> DataFrame:
-    """(url, ord): distinct sitemap roots in order of first appearance (file
-    path, then line position inside the file)."""
-    lines = (spark.read.text(robots_path)
-             .select("value", F.col("_metadata.file_path").alias("f"),
-                     F.monotonically_increasing_id().alias("line")))
+    """(url, ord): distinct sitemap roots of the robots files in order of first
+    appearance; ``default_root`` if they name none. Files are read whole, so a
+    line's position is its own, however the files are split."""
+    lines = (spark.read.text(robots_path, wholetext=True)
+             .select(F.col("_metadata.file_path").alias("f"),
+                     F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "value")))
     roots = (lines.where(F.lower(F.col("value")).startswith("sitemap:"))
              .select(F.trim(F.regexp_extract("value", r"^[^:]*:(.*)$", 1)).alias("url"),
                      F.struct("f", "line").alias("o")))
     found = roots.groupBy("url").agg(F.min("o").alias("o"))
     if found.isEmpty():
-        found = local_df(spark, [(default_root,)], "url string").withColumn(
-            "o", F.struct(F.lit("").alias("f"), F.lit(0).cast("long").alias("line")))
+        return local_df(spark, [(default_root, 1)], "url string, ord int")
     # ranks over the distinct roots only
     return found.select("url", F.dense_rank().over(Window.orderBy("o")).alias("ord"))
 
 
+def candidate_roots(spark: SparkSession, robots_path: str, files: DataFrame, base: str) -> DataFrame:
+    """(url, ord): robots roots, then those well-known files below ``base`` that are
+    among ``files``; the default root if there is neither."""
+    known = [(base + c, i) for i, c in enumerate(CANDIDATES)]
+    named = robots_roots(spark, robots_path, known[0][0]).select("url", F.lit(0).alias("g"), "ord")
+    there = (local_df(spark, known, "url string, ord int").join(files.select("url"), "url", "left_semi")
+             .select("url", F.lit(1).alias("g"), "ord"))
+    first = named.unionByName(there).groupBy("url").agg(F.min(F.struct("g", "ord")).alias("o"))
+    return first.select("url", F.row_number().over(Window.orderBy("o")).alias("ord"))
+
+
 def sitemap_files(spark: SparkSession, site_dir: str) -> DataFrame:
-    """(url, kind, children): one row per XML file under ``site_dir``; kind is
+    """(url, kind, children, locs): one row per XML file under ``site_dir``; kind is
     ``index`` when the root tag ends with ``sitemapindex``, ``leaf`` for any
-    other root tag, ``malformed`` when no root element is found."""
+    other root tag, ``malformed`` when the file is not well-formed."""
     raw = (spark.read.option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.xml").text(site_dir, wholetext=True)
            .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("content")))
-    tag = F.regexp_extract("content", r"^\s*(?:<\?xml[^>]*\?>\s*)?(?:<!--.*?-->\s*)*<([A-Za-z_][\w:.-]*)", 1)
-    locs = F.regexp_extract_all(
-        "content", F.lit(r"(?s)<(?:\w+:)?sitemap\b[^>]*>.*?<(?:\w+:)?loc\b[^>]*>\s*(.*?)\s*</(?:\w+:)?loc>"), 1)
-    children = F.filter(F.transform(locs, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))),
-                        lambda x: x != "")
-    return raw.select(
+    parsed = raw.select("url", F.regexp_extract("content", _ROOT_TAG, 1).alias("tag"),
+                        F.from_xml(F.regexp_replace("content", r"^\x{FEFF}", ""), _XML, _XML_OPTIONS).alias("x"))
+
+    def texts(name):
+        values = F.transform(F.col(f"x.{name}"), lambda e: F.trim(e["loc"]))
+        return F.coalesce(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.array().cast("array<string>"))
+
+    return parsed.select(
         "url",
-        F.when(tag == "", F.lit("malformed"))
-        .when(F.lower(tag).endswith("sitemapindex"), F.lit("index")).otherwise(F.lit("leaf")).alias("kind"),
-        children.alias("children"))
-
-
-def expand(spark: SparkSession, roots: DataFrame, files: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Visited sitemap files (url, kind, depth) reachable from ``roots``.
-
-    One Spark job per level: the frontier minus the visited set is looked up
-    in ``files``; index children form the next frontier. A file listed twice
-    or in a cycle is visited once. The lineage is cut each round by a
-    reliable checkpoint (shared checkpoint folder)."""
-    files = files.cache()
-    visited = local_df(spark, [], "url string, kind string, depth int")
-    frontier = roots.select("url").distinct()
-    for depth in range(max_rounds):
-        new = frontier.join(visited.select("url"), "url", "left_anti").distinct()
-        fetched = new.join(files, "url").withColumn("depth", F.lit(depth))
-        fetched = fetched.checkpoint(eager=True)
+        F.when((F.col("tag") == "") | F.col("x._corrupt_record").isNotNull(), F.lit("malformed"))
+        .when(F.lower("tag").endswith("sitemapindex"), F.lit("index")).otherwise(F.lit("leaf")).alias("kind"),
+        texts("sitemap").alias("children"), texts("url").alias("locs"))
+
+
+def expand(spark: SparkSession, roots: DataFrame, files: DataFrame) -> DataFrame:
+    """Visited sitemap files (url, kind, depth, path) reachable from ``roots``.
+
+    One round per level, until a level brings no new file: the frontier minus
+    the visited set is looked up in ``files``; index children form the next
+    frontier. A file listed twice or in a cycle is visited once, at its first
+    path (root position, then child positions) of the least depth. Each level
+    is checkpointed once (shared checkpoint folder)."""
+    levels: list[DataFrame] = []
+    order = F.col("ord") if "ord" in roots.columns else F.lit(1)
+    frontier = roots.select("url", F.array(order.cast("int")).alias("path"))
+    while True:
+        new = frontier.groupBy("url").agg(F.min("path").alias("path"))
+        for seen in levels:
+            new = new.join(seen.select("url"), "url", "left_anti")
+        fetched = new.join(files.select("url", "kind", "children"), "url").withColumn(
+            "depth", F.lit(len(levels))).checkpoint(eager=True)
         if fetched.isEmpty():
             break
-        visited = visited.unionByName(fetched.select("url", "kind", "depth")).checkpoint(eager=True)
-        frontier = fetched.where(F.col("kind") == "index").select(F.explode("children").alias("url"))
+        levels.append(fetched)
+        frontier = fetched.where(F.col("kind") == "index").select(
+            "path", F.posexplode("children").alias("pos", "url")).select(
+            "url", F.concat("path", F.array("pos")).alias("path"))
+    visited = local_df(spark, [], "url string, kind string, depth int, path array<int>")
+    for level in levels:
+        visited = visited.unionByName(level.select("url", "kind", "depth", "path"))
     return visited
 
 
-def leaf_urls(spark: SparkSession, leaf_paths: list[str]) -> DataFrame:
-    """``url/loc`` values of the leaf files (trimmed, empty skipped)."""
-    if not leaf_paths:
-        return local_df(spark, [], "url string, sitemap string")
-    df = (spark.read.format("xml").option("rowTag", "url").option("mode", "DROPMALFORMED")
-          .schema("loc string").load(leaf_paths))
-    return (df.select(F.trim("loc").alias("url"), F.col("_metadata.file_path").alias("sitemap"))
-            .where(F.col("url").isNotNull() & (F.col("url") != "")))
+def leaf_urls(visited: DataFrame, files: DataFrame) -> DataFrame:
+    """(url, sitemap, ord): ``url/loc`` values of the visited leaf files; ``ord``
+    counts from 0 by depth, path and position in the file."""
+    rows = (visited.where(F.col("kind") == "leaf").select("url", "depth", "path")
+            .join(files.select("url", "locs"), "url")
+            .select(F.col("url").alias("sitemap"), "depth", "path", F.posexplode("locs").alias("pos", "url"))
+            .withColumn("g", F.lit(0)))
+    ranked = group_rank(rows, ["g"], ["depth", "path", "sitemap", "pos"], "ord")
+    return ranked.select("url", "sitemap", (F.col("ord") - 1).alias("ord"))
 
 
 def write_site(urls: DataFrame, out_dir: str) -> None:

@@ -3,18 +3,20 @@
 * ``ingest_stream`` - monitor a feed directory (``readStream.json``), add event
   time and source, append to a Parquet table with a checkpoint; run with
   ``availableNow`` to drain what is there, or with a processing-time trigger.
-* ``merge_topics`` - per micro-batch (``foreachBatch``) upsert of new topic rows
-  into the stored table: newest run per id wins. Done against the stored
-  table, not in streaming state, so state does not grow with the corpus.
+* ``merge_into`` - per micro-batch (``foreachBatch``) upsert of new topic rows
+  into the stored table: newest run per id wins. Done against the touched hash
+  partitions of the stored table, not in streaming state, so neither state nor
+  the work of a batch grows with the corpus.
 * ``latest_per_key`` - re-delivered events: the latest row per key.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.functions.times import event_time
+from docscope.functions.times import event_or_ingest_time
 from docscope.operators.publish import EVENT_SCHEMA
 from docscope.sources.feed import FEED_GLOB
 
@@ -30,7 +32,7 @@ def feed_stream(spark: SparkSession, path: str, glob: str = FEED_GLOB,
             .option("maxFilesPerTrigger", max_files)
             .option("encoding", "UTF-8").json(path)
             .withColumn("source", F.col("_metadata.file_path"))
-            .withColumn("_time", event_time("last_modified")))
+            .withColumn("_time", event_or_ingest_time("last_modified", F.col("_metadata.file_modification_time"))))
 
 
 def ingest_stream(spark: SparkSession, feed_dir: str, table_dir: str, checkpoint: str,
@@ -55,33 +57,72 @@ def merge_topics(stored: DataFrame, new: DataFrame, key: str = "id", run_col: st
     return latest_per_key(stored.unionByName(new, allowMissingColumns=True), [key], [run_col])
 
 
-def merge_into(table_dir: str, base: str | None = None, key: str = "id", run_col: str = "run"):
-    """``foreachBatch`` function: merge each micro-batch into the table and
-    write the result as a new version directory ``v<epoch>`` (readers of the
-    previous version are not disturbed). Epoch 0 merges into ``base``. The
-    function's ``latest`` attribute names the newest version written."""
+#: Hash partitions of an upserted table: a micro-batch rewrites those it touches.
+UPSERT_PARTS = 64
+
+
+def current_version(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
+    """(part, path) of the newest version's partitions (of the newest before epoch
+    ``before``), from the pointers; None before the first batch. A pointer is written after the files that it names,
+    so a reader sees a whole version or the one before."""
+    try:
+        p = spark.read.schema("part int, path string, epoch long").parquet(f"{table_dir}/_pointers/*")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if before is not None:
+        p = p.filter(F.col("epoch") < before)
+    return p.groupBy("part").agg(F.max_by("path", "epoch").alias("path"))
+
+
+def read_upserted(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The newest version of a table that ``merge_into`` keeps."""
+    now = current_version(spark, table_dir)
+    if now is None:
+        return None
+    paths = [r["path"] for r in now.collect()]  # at most UPSERT_PARTS
+    return spark.read.option("mergeSchema", True).parquet(*paths)
+
+
+def merge_into(table_dir: str, key: str = "id", run_col: str = "run", parts: int = UPSERT_PARTS):
+    """``foreachBatch`` function: upsert each micro-batch into the table.
+
+    Rows live in hash partitions of the key. A batch reads and rewrites only the
+    partitions that it has keys of, into files of its own epoch, and then writes
+    the pointers that name them; the others stay as they are. A batch that is run
+    again after a failure writes the same epoch again."""
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prev = base if epoch == 0 else f"{table_dir}/v{epoch - 1:08d}"
-        # a micro-batch may itself hold several runs of a key
-        merged = (latest_per_key(batch, [key], [run_col]) if prev is None
-                  else merge_topics(spark.read.parquet(prev), batch, key, run_col))
-        out = f"{table_dir}/v{epoch:08d}"
-        merged.write.mode("overwrite").parquet(out)
-        run.latest = out
-    run.latest = base
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        new = latest_per_key(batch, [key], [run_col]).withColumn("part", part).persist()
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
+        if touched:
+            out, merged = f"{table_dir}/epoch={epoch}", new
+            stored = current_version(spark, table_dir, before=epoch)
+            if stored is not None:
+                old = [r["path"] for r in stored.filter(F.col("part").isin(touched)).collect()]
+                if old:
+                    kept = spark.read.option("mergeSchema", True).parquet(*old).withColumn("part", part)
+                    merged = merge_topics(kept, new, key, run_col)
+            merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(out)
+            spark.createDataFrame([(p, f"{out}/part={p}", epoch) for p in touched],
+                                  "part int, path string, epoch long").coalesce(1).write.mode(
+                "overwrite").parquet(f"{table_dir}/_pointers/{epoch:08d}")
+        new.unpersist()
     return run
 
 
 def upsert_stream(spark: SparkSession, feed_glob: str, table_dir: str, checkpoint: str, key: str = "file",
-                  run_of_path: str = r"/run(\d+)/"):
+                  run_of_path: str = r"/run(\d+)/") -> DataFrame | None:
     """Drain feed files into a keyed table with ``foreachBatch`` upserts: each
-    file's run number comes from its path; per key the newest run wins.
-    Returns the path of the final table version."""
+    file's run number comes from its path; per key the newest run wins. Returns
+    the table's newest version, also if a restart finds no new files (None if
+    there never was one)."""
     rows = feed_stream(spark, feed_glob).withColumn(
         "run", F.regexp_extract("source", run_of_path, 1).cast("int")).drop("_time")
     merge = merge_into(table_dir, key=key, run_col="run")
     q = (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return merge.latest
+    return read_upserted(spark, table_dir)

@@ -112,3 +112,33 @@ def test_topic_record_from_metas(spark):
     assert r.last_modified == "2024-05-01T10:00:00.000Z"
     assert r.title == "Stats" and r.section == "search" and list(r.breadcrumb) == ["search", "stats"]
     assert r.content_node == "main" and r.file == r.id + ".html"
+
+
+def test_no_page_breaks_the_parser():
+    p = parse_html("<article>ok</article><![foo bar")
+    assert p["text"].startswith("ok")
+    deep = "<div>" * 3000 + "word " * 60 + "</div>" * 1500
+    for body in (deep, "<b>" * 3000 + "x", "<p>" * 3000, "</p>" * 3000):
+        parsed = parse_html(page(f"<article>{body}</article>"))
+        assert parsed["error"] is None
+    assert parse_html(page(f"<article>{deep}</article>"))["content_node"] == "article"
+
+
+def test_tokenizer_errors_are_reported(monkeypatch):
+    from docscope.operators import parse as P
+
+    def broken(self, tag, attrs):
+        raise AssertionError("no")
+
+    monkeypatch.setattr(P._TreeBuilder, "handle_startendtag", broken)
+    p = parse_html("<p>before</p><br/>after")
+    assert p["error"] == "AssertionError: no" and p["text"] == "before"
+
+
+def test_attribute_spans_and_repeated_attributes():
+    body = (f"<article><p>{FILLER}<a title='see href=abc' href='/x'>one</a><a href=/y href='/z'>two</a>"
+            "<a href>three</a><a data-href='/no'>four</a><img alt=a src = 'p.png'/></p></article>")
+    p = parse_html(page(body))
+    assert [x["value"] for x in p["parts"] if x["kind"] != "html"] == ["/x", "/z", "", "p.png"]
+    html = "".join(x["value"] if x["kind"] == "html" else '"' + x["value"] + '"' for x in p["parts"])
+    assert "title='see href=abc' href=\"/x\"" in html and '<a href="">three' in html

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from docscope.sources import sitemaps as SM
@@ -35,9 +36,45 @@ def test_sitemap_expand_with_cycle_duplicate_and_malformed(spark, tmp_dir):
     visited = SM.expand(spark, roots, files)
     names = sorted(r.url.rsplit("/", 1)[1] for r in visited.collect())
     assert names == ["a.xml", "b.xml", "index.xml", "sub.xml"]
-    leaves = [r.url for r in visited.where("kind = 'leaf'").collect()]
-    urls = sorted(r.url for r in SM.leaf_urls(spark, leaves).collect())
-    assert urls == ["https://d/en/p/1", "https://d/en/p/2", "https://d/en/p/2"]
+    urls = [(r.ord, r.url) for r in SM.leaf_urls(visited, files).orderBy("ord").collect()]
+    assert urls == [(0, "https://d/en/p/1"), (1, "https://d/en/p/2"), (2, "https://d/en/p/2")]
+
+
+LEAF = f"<urlset {NS}><url><loc>https://d/{{}}?a=1&amp;b=2</loc></url></urlset>"
+
+
+@pytest.mark.parametrize("name,text,kind", [
+    ("pi", "<?xml version='1.0'?>\n<?xml-stylesheet type='text/xsl' href='s.xsl'?>\n" + LEAF, "leaf"),
+    ("bom", "\ufeff<?xml version='1.0'?>" + LEAF, "leaf"),
+    ("comments", "<!-- one\n <urlset> two -->\n<!-- three -->" + LEAF + "<!-- end -->", "leaf"),
+    ("doctype", "<!DOCTYPE urlset>\n" + LEAF, "leaf"),
+    ("truncated", LEAF[:-12], "malformed"),
+    ("cut", f"<urlset {NS}><url><loc>https://d/1</loc></url><url><loc>https://d/2", "malformed"),
+    ("mismatch", "<urlset><url><loc>https://d/1</url></loc></urlset>", "malformed"),
+    ("blank", "\n ", "malformed")])
+def test_sitemap_prolog_and_malformed(spark, tmp_dir, name, text, kind):
+    write(f"{tmp_dir}/s/{name}.xml", text.format(name) if "{}" in text else text)
+    r = SM.sitemap_files(spark, f"{tmp_dir}/s").first()
+    assert r.kind == kind
+    assert r.locs == ([f"https://d/{name}?a=1&b=2"] if kind == "leaf" else [])
+
+
+def test_expansion_has_no_depth_limit(spark, tmp_dir):
+    files = spark.createDataFrame(
+        [(f"s{i}", "index", [f"s{i + 1}"], []) for i in range(70)] + [("s70", "leaf", [], ["https://d/deep"])],
+        "url string, kind string, children array<string>, locs array<string>")
+    roots = spark.createDataFrame([("s0", 1)], "url string, ord int")
+    visited = SM.expand(spark, roots, files)
+    assert visited.agg(F.max("depth")).first()[0] == 70
+    assert [r.url for r in SM.leaf_urls(visited, files).collect()] == ["https://d/deep"]
+
+
+def test_candidate_roots(spark, tmp_dir):
+    files = spark.createDataFrame([("https://d/sitemap_index.xml",), ("https://d/s2.xml",), ("https://d/sitemap.xml",)],
+                                  "url string")
+    write(f"{tmp_dir}/robots.txt", "Sitemap: https://d/s2.xml\r\nSitemap: https://d/sitemap_index.xml")
+    got = [r.url for r in SM.candidate_roots(spark, f"{tmp_dir}/robots.txt", files, "https://d").orderBy("ord").collect()]
+    assert got == ["https://d/s2.xml", "https://d/sitemap_index.xml", "https://d/sitemap.xml"]
 
 
 def test_robots_roots(spark, tmp_dir):
@@ -65,22 +102,64 @@ def test_stream_equals_batch_and_merge(spark, tmp_dir):
     q.awaitTermination()
     streamed = spark.read.parquet(os.path.join(tmp_dir, "t")).select(*EVENT_FIELDS)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect())) == sorted(rows)
-    # foreachBatch merge: newest run per id
-    base = os.path.join(tmp_dir, "stored")
-    spark.createDataFrame([("x", 0, "old"), ("y", 0, "old")], "id string, run int, v string").write.parquet(base)
-    merge = merge_into(os.path.join(tmp_dir, "merged"), base=base)
-    merge(spark.createDataFrame([("x", 1, "new")], "id string, run int, v string"), 0)
-    got = {r.id: r.v for r in spark.read.parquet(os.path.join(tmp_dir, "merged", "v00000000")).collect()}
-    assert got == {"x": "new", "y": "old"}
-
-
-def test_first_batch_with_two_runs_is_deduplicated(spark, tmp_dir):
-    from docscope.streaming.ingest import merge_into
-    merge = merge_into(os.path.join(tmp_dir, "m"))
-    batch = spark.createDataFrame([("x", 0, "old"), ("x", 1, "new"), ("y", 0, "only")], "id string, run int, v string")
-    merge(batch, 0)
-    got = {r.id: r.v for r in spark.read.parquet(merge.latest).collect()}
-    assert got == {"x": "new", "y": "only"}
+    # the undated rows of the stream are dated by their file
+    undated = spark.read.parquet(os.path.join(tmp_dir, "t"))
+    assert undated.where("_time is null").count() == 0
+
+
+def rows_of(df):
+    return {r.id: r.v for r in df.collect()}
+
+
+def test_upsert_keeps_the_newest_run_and_untouched_partitions(spark, tmp_dir):
+    from docscope.streaming.ingest import current_version, merge_into, read_upserted
+    table = os.path.join(tmp_dir, "m")
+    schema = "id string, run int, v string"
+    merge = merge_into(table, parts=8)
+    merge(spark.createDataFrame([(f"k{i}", 0, "old") for i in range(40)] + [("k1", 1, "new")], schema), 0)
+    assert rows_of(read_upserted(spark, table)) == {f"k{i}": "new" if i == 1 else "old" for i in range(40)}
+    merge(spark.createDataFrame([("k2", 2, "newer"), ("k1", 0, "older")], schema), 1)
+    merge(spark.createDataFrame([("k2", 2, "newer"), ("k1", 0, "older")], schema), 1)  # run again after a failure
+    want = {f"k{i}": "old" for i in range(40)} | {"k1": "new", "k2": "newer"}
+    assert rows_of(read_upserted(spark, table)) == want
+    paths = [r.path for r in current_version(spark, table).collect()]
+    assert 1 <= sum("epoch=1" in p for p in paths) <= 2 and len(paths) == 8
+    assert merge(spark.createDataFrame([], schema), 2) is None
+    assert rows_of(read_upserted(spark, table)) == want
+
+
+def test_upsert_stream_restart_returns_the_same_version(spark, tmp_dir):
+    from docscope.operators.publish import EVENT_FIELDS
+    from docscope.sources.feed import write_feed
+    from docscope.streaming.ingest import upsert_stream
+    feed, table, ck = (os.path.join(tmp_dir, x) for x in ("feed", "table", "ck"))
+    rows = [tuple(f"{f}{i}" for f in EVENT_FIELDS) for i in range(5)]
+    write_feed(spark.createDataFrame(rows, ", ".join(f"{f} string" for f in EVENT_FIELDS)), f"{feed}/run0")
+    first = sorted(map(str, upsert_stream(spark, f"{feed}/*", table, ck).collect()))
+    again = sorted(map(str, upsert_stream(spark, f"{feed}/*", table, ck).collect()))
+    assert len(first) == 5 and first == again
+
+
+def test_ndjson_files_are_read(spark, tmp_dir):
+    from docscope.sources.feed import read_feed
+    write(f"{tmp_dir}/f/a.ndjson", '{"url": "u", "title": "t"}\n')
+    write(f"{tmp_dir}/f/b.json", '{"url": "v", "title": "t"}\n')
+    write(f"{tmp_dir}/f/c.txt", '{"url": "w", "title": "t"}\n')
+    assert sorted(r.url for r in read_feed(spark, f"{tmp_dir}/f").collect()) == ["u", "v"]
+
+
+def test_undated_events_pass_time_filters(spark):
+    from docscope.functions.times import event_or_ingest_time
+    from docscope.operators.retention import keep_by_age, keep_by_size
+    df = spark.createDataFrame([(1, "2020-01-01T00:00:00Z"), (2, ""), (3, "no date"), (4, None)], "id int, t string")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    dated = df.withColumn("_time", event_or_ingest_time("t", now))
+    assert [r.id for r in dated.where(F.col("_time") >= "2024-01-01").orderBy("id").collect()] == [2, 3, 4]
+    assert sorted(r.id for r in keep_by_age(dated, "_time", now, 86_400).collect()) == [2, 3, 4]
+    from docscope.functions.times import event_time
+    raw = df.withColumn("_time", event_time("t"))
+    assert sorted(r.id for r in keep_by_age(raw, "_time", now, 86_400).collect()) == [2, 3, 4]
+    assert sorted(r.id for r in keep_by_size(raw, "_time", F.lit(600_000), 2).collect()) == [2, 3, 4]
 
 
 def test_monitor_picks_up_files_arriving_later(spark, tmp_dir):
