@@ -25,8 +25,6 @@ from docscope.session import work_dir
 from docscope.sources.catalog import typed_catalog
 from docscope.sources.tables import table
 
-HTML_CONTENT_TYPE = "text/html; charset=utf-8"
-
 
 def catalog(spark: SparkSession, rows=None) -> DataFrame:
     return typed_catalog(FX.catalog_raw(spark, FX.CATALOG_RAW if rows is None else rows))
@@ -40,9 +38,8 @@ def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawled pages keyed by the URL they were fetched from, with the
     response content type; only ``text/html`` responses are parsed."""
-    pages = FX.with_doc_url(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.select("page_id", F.col("doc_url").alias("url"), "html",
-                        F.lit(HTML_CONTENT_TYPE).alias("content_type"))
+    pages = FX.with_doc_url(FX.rich_pages(table(spark, sf_dir, "pages").select("page_id", "html")))
+    return pages.select("page_id", F.col("doc_url").alias("url"), "html", "content_type")
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ tables so their size follows the data.
   typed by ``sources.catalog.typed_catalog``.
 * ``doc_links`` - five links per page (absolute, with fragment, root-relative,
   fragment-only, external) pointing at another page's documentation URL.
+* ``rich_pages`` - page source with meta tags, a sidebar, links, images and
+  response types.
 * ``topics_fx`` - topic fields with empty strings, nulls and both timestamp
   shapes, for facet, normalisation and event-time operators.
 """
@@ -61,6 +63,30 @@ def with_doc_url(pages: DataFrame) -> DataFrame:
             .withColumn("doc_url", F.expr(_DOC_URL)).drop("root", "ver", "section"))
 
 
+# Page source of the documentation site, derived from every page: meta tags, a
+# removable sidebar, a link whose tag also holds the text "href=", an image. The
+# expressions below are the same in both engines.
+SIDEBAR = '<div class="sidebar x">side note</div>'
+META_VERSION = "concat('m', cast(page_id % 5 as varchar(20)))"
+META_TYPE = "case page_id % 3 when 0 then 'task' when 1 then 'reference' else '' end"
+META_MODIFIED = ("case when page_id % 4 = 3 then '' else concat('2024-', lpad(cast(1 + page_id % 12 as varchar(20)), 2, '0'), "
+                 "'-', lpad(cast(1 + page_id % 28 as varchar(20)), 2, '0'), 'T00:00:00.000Z') end")
+_METAS = f"""concat('<meta charset="utf-8"><meta name="Version_Number" content="', {META_VERSION},
+  '"><meta name="contentType" content="', {META_TYPE}, '">', case when page_id % 4 = 3 then '' else concat(
+  '<meta property="lastModifiedISO" content="', {META_MODIFIED}, '">') end)"""
+_EXTRA = """concat('<p>See <a title="a href=b" href="', case page_id % 3 when 0 then '/en/core/'
+  when 1 then concat('/en/core/#s', cast(page_id as varchar(20))) else 'https://other.example.org/x' end,
+  '">the topic</a> <img alt="i" src="/img/p', cast(page_id % 50 as varchar(20)), '.png"></p>')"""
+RICH_HTML = f"""replace(replace(html, '<meta charset="utf-8">', {_METAS}), '<article>', concat('<article>{SIDEBAR}', {_EXTRA}))"""
+#: Response types: some pages are no HTML and are not captured.
+CONTENT_TYPE = "case when page_id % 29 = 28 then 'application/pdf' else 'text/html; charset=utf-8' end"
+
+
+def rich_pages(pages: DataFrame) -> DataFrame:
+    """Pages as the site serves them: ``html`` and ``content_type`` by page (narrow)."""
+    return pages.withColumn("html", F.expr(RICH_HTML)).withColumn("content_type", F.expr(CONTENT_TYPE))
+
+
 def doc_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_doc_url(table(spark, sf_dir, "pages").select("page_id")).select("page_id", "doc_url")
 

@@ -2,13 +2,14 @@
 
 ``sql(body, *ctes)`` prefixes ``body`` with the named CTEs and everything they
 depend on. The page-parse CTE is the regular-expression form of the parser;
-it is valid for the driver's pages (one ``<article>``, plain ``<body>``, the
-entities they use), which is what the oracle runs on.
+it is valid for the derived pages (one ``<article>``, plain ``<body>``, the
+entities they use, one known sidebar of 9 characters), which is what the oracle runs on.
 """
 
 from __future__ import annotations
 
-from docscope.plans.fixtures import CATALOG_RAW, CATALOG_RAW_PREVIOUS, DOC_HOST
+from docscope.plans.fixtures import (CATALOG_RAW, CATALOG_RAW_PREVIOUS, CONTENT_TYPE, DOC_HOST, META_MODIFIED,
+                                     META_TYPE, META_VERSION, RICH_HTML, SIDEBAR)
 
 PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 STRIP_BLOCKS = (r"(?s)<(script|style|nav|header|footer|noscript|form)\b.*?"
@@ -70,14 +71,14 @@ WHERE m.versions = 'all' OR len(list_filter(m.segs, lambda x: NOT list_contains(
 def _topics_sql(planned: str):
     """Topic records of the run whose deduplicated plan is ``planned``."""
     return (f"""SELECT pl.id, pl.url, pa.title, pl.pid AS product, pl.product_title,
-  coalesce(pl.segs[1], '') AS version, '' AS content_type,
+  coalesce(pl.segs[1], pa.meta_version) AS version, pa.meta_type AS content_type,
   coalesce(cr.crumbs[1], '') AS section,
   coalesce(list_filter(cr.crumbs, lambda x: NOT regexp_matches(x, '^[0-9]+[.][0-9]+([.][0-9]+)?$'))[1], '') AS section_name,
-  cr.crumbs AS breadcrumb, '' AS last_modified,
+  cr.crumbs AS breadcrumb, pa.meta_modified AS last_modified,
   pl.id || '.html' AS file, pa.text, pa.body_html, pa.content_node, pl.pord, pl.uord
 FROM {planned} pl
 JOIN doc_urls d ON d.doc_url = pl.url
-JOIN parsed pa ON pa.page_id = d.page_id
+JOIN parsed pa ON pa.page_id = d.page_id AND pa.is_html
 JOIN (SELECT id, CASE WHEN len(rs) > 0 AND list_slice(p, 1, len(rs)) = rs THEN list_slice(p, len(rs) + 1, len(p)) ELSE p END AS crumbs
       FROM (SELECT id, string_split(root_path, '/') AS rs,
               CASE WHEN len(p0) > 0 AND p0[1] = 'en' THEN list_slice(p0, 2, len(p0)) ELSE p0 END AS p
@@ -107,25 +108,28 @@ FROM (SELECT page_id,
   regexp_replace(regexp_extract(doc_url, '{PATH_RE}', 1), ';[^/]*$', '') AS path FROM doc_urls""", ["doc_urls"]),
     **_plan("catalog", ""),
     **_plan("catalog_prev", "prev_"),
+    # page source as served, and without what the parser removes
+    "rich": (f"SELECT page_id, {RICH_HTML} AS html, {CONTENT_TYPE} AS content_type FROM pages", []),
     # page parse, regular-expression form
-    "px": ("""SELECT page_id, html,
+    "px": (f"""SELECT page_id, html, contains(content_type, 'text/html') AS is_html,
   regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art,
   regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)</(body|html)>.*$', '') AS bod,
   regexp_matches(html, '<title>') AS has_title,
   regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title_src,
   regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1_src
-FROM pages""", []),
-    "pp": (f"""SELECT page_id, html, art, bod, title_src, has_title, h1_src,
+FROM (SELECT page_id, replace(html, '{SIDEBAR}', '') AS html, content_type FROM rich) r""", ["rich"]),
+    "pp": (f"""SELECT page_id, html, is_html, art, bod, title_src, has_title, h1_src,
   {_pieces('art')} AS art_p, {_pieces('bod')} AS bod_p FROM px""", ["px"]),
-    "parsed": (f"""SELECT page_id,
+    "parsed": (f"""SELECT page_id, is_html, {META_VERSION} AS meta_version, {META_TYPE} AS meta_type,
+  {META_MODIFIED} AS meta_modified,
   CASE WHEN has_title AND title_src <> '' THEN
     {_strip("regexp_replace(string_split_regex(" + _strip(_dec('title_src')) + ", '\\s*\\|\\s*')[1], '\\s*\\(last updated.*?\\)\\s*$', '')")}
   ELSE coalesce(nullif(array_to_string(list_filter(list_transform(string_split(regexp_replace(h1_src, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: {_strip(_dec('x'))}), lambda x: x <> ''), ''), ''), 'Untitled') END AS title,
   {_dec('title_src')} AS title_raw,
-  CASE WHEN length(array_to_string(art_p, '')) > 150 THEN 'article' ELSE 'body' END AS content_node,
-  CASE WHEN length(array_to_string(art_p, '')) > 150 THEN array_to_string(art_p, ' ')
+  CASE WHEN length(array_to_string(art_p, '')) + 9 > 150 THEN 'article' ELSE 'body' END AS content_node,
+  CASE WHEN length(array_to_string(art_p, '')) + 9 > 150 THEN array_to_string(art_p, ' ')
        ELSE array_to_string(bod_p, ' ') END AS text,
-  CASE WHEN length(array_to_string(art_p, '')) > 150 THEN art
+  CASE WHEN length(array_to_string(art_p, '')) + 9 > 150 THEN art
        ELSE regexp_replace(bod, '{STRIP_BLOCKS}', '', 'g') END AS body_html
 FROM pp""", ["pp"]),
     "topics": _topics_sql("planned"),

@@ -193,8 +193,8 @@ def q_union_urls(spark, sf):
 # Parse and publish
 # --------------------------------------------------------------------------- #
 @register("pages_html", sql("""SELECT pl.id, pl.url, length(p.html) AS n_chars
-FROM planned pl JOIN doc_urls d ON d.doc_url = pl.url JOIN pages p ON p.page_id = d.page_id""",
-                            "planned", "doc_urls"))
+FROM planned pl JOIN doc_urls d ON d.doc_url = pl.url JOIN rich p ON p.page_id = d.page_id
+WHERE p.content_type LIKE 'text/html%'""", "planned", "doc_urls", "rich"))
 def q_pages_html(spark, sf):
     p = PL.dedup_by_id(C.published_plan(spark, sf))
     pages = C.html_pages(C.crawled_pages(spark, sf))
@@ -223,12 +223,12 @@ def q_main_content(spark, sf):
 _META_ATTR = """regexp_extract(tag, '\\s{a}\\s*=\\s*"([^"]*)"', 1)"""
 
 
-@register("page_meta", f"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS tag FROM pages)
-SELECT page_id, 'name' AS attr, {_META_ATTR.format(a='name')} AS name, {_META_ATTR.format(a='content')} AS content
+@register("page_meta", sql(f"""SELECT page_id, 'name' AS attr, {_META_ATTR.format(a='name')} AS name, {_META_ATTR.format(a='content')} AS content
 FROM m WHERE regexp_matches(tag, '\\sname\\s*=')
 UNION ALL
 SELECT page_id, 'property' AS attr, {_META_ATTR.format(a='property')} AS name, {_META_ATTR.format(a='content')} AS content
-FROM m WHERE regexp_matches(tag, '\\sproperty\\s*=')""")
+FROM m WHERE regexp_matches(tag, '\\sproperty\\s*=')""".replace("FROM m WHERE", "FROM (SELECT page_id, "
+    "unnest(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS tag FROM rich) m WHERE"), "rich"))
 def q_page_meta(spark, sf):
     """Meta tags of every page (name/property, content)."""
     p = C.published_pages(spark, sf)
@@ -376,10 +376,12 @@ def q_section_breaks(spark, sf):
 @register("hits_in_nav", sql(f"""SELECT h.id, h.product_title, coalesce(nullif(h.version, ''), '—') AS version FROM
   (SELECT * FROM topics WHERE contains(lower(title), '{SEARCH_QUERY}') OR contains(lower(coalesce(left(text, 1200), '')), '{SEARCH_QUERY}')
    ORDER BY pord, uord LIMIT 200) h
-WHERE h.product_title IN (SELECT product_title FROM nav)""", "topics", "nav"))
+WHERE h.product_title IN (SELECT product_title FROM prev_topics)""", "topics", "prev_topics"))
 def q_hits_in_nav(spark, sf):
     hits = S.first_in_index_order(S.substring_hits(C.published_index(spark, sf), SEARCH_QUERY))
-    nav_products = PB.nav_rows(_topics(spark, sf)).select("product_title").distinct()
+    # the navigation of the previous run, which lacks a product that the index has
+    nav = PB.nav_rows(C.published(spark, sf, FX.CATALOG_RAW_PREVIOUS))
+    nav_products = nav.select("product_title").distinct()
     return (hits.join(nav_products, "product_title", "left_semi")
             .select("id", "product_title", X.or_default("version", X.UNVERSIONED).alias("version")))
 
@@ -499,22 +501,22 @@ _COVERAGE_SQL = """SELECT c.pid AS id, c.title, coalesce(o.n, 0) AS online_count
   greatest(0, coalesce(o.n, 0) - coalesce(l.n, 0)) AS missing_count
 FROM catalog c
 LEFT JOIN (SELECT pid, count(*) AS n FROM plan GROUP BY pid) o ON o.pid = c.pid
-LEFT JOIN (SELECT pid, count(*) AS n FROM prev_planned GROUP BY pid) l ON l.pid = c.pid"""
+LEFT JOIN (SELECT product AS pid, count(*) AS n FROM prev_topics GROUP BY product) l ON l.pid = c.pid"""
 
 
-@register("coverage", sql(_COVERAGE_SQL, "catalog", "plan", "prev_planned"))
+@register("coverage", sql(_COVERAGE_SQL, "catalog", "plan", "prev_topics"))
 def q_coverage(spark, sf):
     return _coverage(spark, sf).select("id", "title", "online_count", "local_count", "missing_count")
 
 
 @register("coverage_summary", sql(f"""SELECT bool_or(missing_count > 0) AS updates_available, count(*) AS products,
-  sum(missing_count) AS missing_total FROM ({_COVERAGE_SQL}) r""", "catalog", "plan", "prev_planned"))
+  sum(missing_count) AS missing_total FROM ({_COVERAGE_SQL}) r""", "catalog", "plan", "prev_topics"))
 def q_coverage_summary(spark, sf):
     return CV.coverage_summary(_coverage(spark, sf))
 
 
 @register("coverage_keys", sql("""SELECT pid, count(*) AS missing_keys FROM planned
-WHERE id NOT IN (SELECT id FROM prev_planned) GROUP BY pid""", "planned", "prev_planned"))
+WHERE id NOT IN (SELECT id FROM prev_topics) GROUP BY pid""", "planned", "prev_topics"))
 def q_coverage_keys(spark, sf):
     planned = PL.dedup_by_id(C.published_plan(spark, sf))
     stored = _captured(spark, sf, FX.CATALOG_RAW_PREVIOUS)
@@ -524,19 +526,22 @@ def q_coverage_keys(spark, sf):
 @register("run_totals", sql("""SELECT (SELECT count(*) FROM doc_urls) AS urls_in_sitemaps,
   (SELECT count(*) FROM plan) AS planned,
   (SELECT count(*) FROM topics) AS captured,
-  CASE WHEN (SELECT count(*) FROM plan) > 0 THEN CAST(round(100.0 * (SELECT count(*) FROM plan) / (SELECT count(*) FROM plan)) AS BIGINT) ELSE 0 END AS progress_pct,
-  (SELECT count(*) FROM topics) AS topic_count""", "doc_urls", "plan", "topics"))
+  CASE WHEN (SELECT count(*) FROM planned) > 0 THEN CAST(round(100.0 * (SELECT count(*) FROM topics) / (SELECT count(*) FROM planned)) AS BIGINT) ELSE 0 END AS progress_pct,
+  (SELECT count(*) FROM topics) AS topic_count""", "doc_urls", "plan", "planned", "topics"))
 def q_run_totals(spark, sf):
     count = F.count(F.lit(1))
+    planned = PL.dedup_by_id(C.published_plan(spark, sf))
     t = spark.range(1).select(
         C.sitemap_urls(spark, sf).agg(count).scalar().alias("urls_in_sitemaps"),
         C.published_plan(spark, sf).agg(count).scalar().alias("planned"),
-        _topics(spark, sf).agg(count).scalar().alias("captured"))
-    # every planned pair is visited once, so done == planned at the end of a run;
+        planned.agg(count).scalar().alias("topics_planned"),
+        _topics(spark, sf).agg(count).scalar().alias("captured"),
+        C.published_index(spark, sf).agg(count).scalar().alias("indexed"))
+    # done: the planned topics that were captured (responses that are no HTML are not);
     # the stored count falls back to the search index size when unset
     return t.select("urls_in_sitemaps", "planned", "captured",
-                    CV.progress_pct(F.col("planned"), F.col("planned")).alias("progress_pct"),
-                    F.coalesce(F.nullif(F.col("captured"), F.lit(0)), F.col("captured")).alias("topic_count"))
+                    CV.progress_pct(F.col("captured"), F.col("topics_planned")).alias("progress_pct"),
+                    F.coalesce(F.nullif(F.col("captured"), F.lit(0)), F.col("indexed")).alias("topic_count"))
 
 
 # --------------------------------------------------------------------------- #
@@ -561,26 +566,63 @@ def q_time_range(spark, sf):
     return S.time_range(table(spark, sf, "events"), "ts", TIME_FROM, TIME_TO).select("event_id", "ts", "event_type")
 
 
-@register("retention_age", """SELECT event_id, ts FROM events
-WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 315360000 SECOND""")
+# a retention that cuts the given events: age in seconds, size in bytes
+RETENTION_SECONDS = 5 * 86_400
+RETENTION_BYTES = 30_000
+
+
+@register("retention_age", f"""SELECT event_id, ts FROM events
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_SECONDS} SECOND""")
 def q_retention_age(spark, sf):
     from docscope.operators.retention import keep_by_age
     ev = table(spark, sf, "events")
     now = ev.agg(F.max("ts")).scalar()  # reference time: the newest event
-    return keep_by_age(ev, "ts", now).select("event_id", "ts")
+    return keep_by_age(ev, "ts", now, RETENTION_SECONDS).select("event_id", "ts")
 
 
 _EVENT_BYTES = "strlen(event_type) + strlen(props) + 32"
 
 
-@register("retention_size", f"""SELECT day, bytes, sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes,
-  sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {10240 * 1024 * 1024} AS kept
-FROM (SELECT CAST(ts AS DATE) AS day, CAST(sum({_EVENT_BYTES}) AS BIGINT) AS bytes FROM events GROUP BY 1) d""")
+_DAY_SIZES_SQL = f"""SELECT day, bytes, sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes,
+  sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {RETENTION_BYTES} AS kept
+FROM (SELECT CAST(ts AS DATE) AS day, CAST(sum({_EVENT_BYTES}) AS BIGINT) AS bytes FROM events GROUP BY 1) d"""
+
+
+def _event_bytes():
+    return F.octet_length("event_type") + F.octet_length("props") + F.lit(32)
+
+
+@register("retention_size", _DAY_SIZES_SQL)
 def q_retention_size(spark, sf):
-    from docscope.operators.retention import MAX_SIZE_MB, day_sizes, size_cutoff
-    ev = table(spark, sf, "events")
-    size = F.octet_length("event_type") + F.octet_length("props") + F.lit(32)
-    return size_cutoff(day_sizes(ev, "ts", size), MAX_SIZE_MB * 1024 * 1024)
+    from docscope.operators.retention import day_sizes, size_cutoff
+    return size_cutoff(day_sizes(table(spark, sf, "events"), "ts", _event_bytes()), RETENTION_BYTES)
+
+
+@register("retention_size_rows", f"""SELECT event_id, ts FROM events
+WHERE CAST(ts AS DATE) IN (SELECT day FROM ({_DAY_SIZES_SQL}) s WHERE kept)""")
+def q_retention_size_rows(spark, sf):
+    """The events of the newest days that fit the size cap."""
+    from docscope.operators.retention import keep_by_size
+    kept = keep_by_size(table(spark, sf, "events"), "ts", _event_bytes(), RETENTION_BYTES / (1024 * 1024))
+    return kept.select("event_id", "ts")
+
+
+@register("feed_times", sql("""SELECT file, last_modified <> '' AS dated, true AS has_time FROM topics""", "topics"))
+def q_feed_times(spark, sf):
+    """Which feed events carry a time, and that all have one once ingested."""
+    from docscope.functions.times import event_or_ingest_time, event_time
+    from docscope.sources.feed import read_feed, write_feed
+    path = _scratch(spark, "feed")
+    write_feed(_events(spark, sf), path)
+    feed = read_feed(spark, path)
+    return feed.select("file", event_time("last_modified").isNotNull().alias("dated"),
+                       event_or_ingest_time("last_modified", F.current_timestamp()).isNotNull().alias("has_time"))
+
+
+@register("parse_errors", "SELECT page_id, false AS failed FROM pages")
+def q_parse_errors(spark, sf):
+    """Whether the parser gave up on a page before its end."""
+    return C.published_pages(spark, sf).select("page_id", F.col("page.error").isNotNull().alias("failed"))
 
 
 @register("json_roundtrip", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
@@ -725,7 +767,7 @@ def q_plan_from_sitemaps(spark, sf):
 @register("asset_manifest", sql("""SELECT abs_url, substring(sha1(abs_url), 1, 16) ||
   coalesce(nullif(left(regexp_extract(regexp_replace(regexp_extract(abs_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''),
     '[^/.][^/]*?(\\.[^./]*)$', 1), 5), ''), '.img') AS file, false AS available
-FROM (SELECT DISTINCT unnest(regexp_extract_all(body_html, '<img\\b[^>]*\\ssrc\\s*=\\s*"(https?://[^"]*)"', 1)) AS abs_url
+FROM (SELECT DISTINCT concat('""" + FX.DOC_HOST + """', unnest(regexp_extract_all(body_html, '<img\\b[^>]*\\ssrc\\s*=\\s*"(/[^"]*)"', 1))) AS abs_url
       FROM topics) i""", "topics"))
 def q_asset_manifest(spark, sf):
     from docscope.operators.links import asset_manifest
@@ -776,7 +818,9 @@ def q_documents_facet_lang(spark, sf):
     return S.facet_order(S.facet_counts(table(spark, sf, "documents"), "lang"), "lang")
 
 
-@register("asset_rewrite", ORACLE["topic_docs"])
+@register("asset_rewrite", ORACLE["topic_docs"].replace("body_html, '</article>", f"""replace(replace(body_html,
+  'src="/img/', 'src="{FX.DOC_HOST}/img/'), 'href="/en/core/', concat('href="', substring(sha1('{FX.DOC_HOST}/en/core/'), 1, 16), '.html')),
+  '</article>"""))
 def q_asset_rewrite(spark, sf):
     """Topic documents after link and image rewriting over the published
     topics: links against the plan, images against the asset manifest."""
@@ -845,7 +889,7 @@ def q_nav_tree_files(spark, sf):
 @register("coverage_report_products", sql(f"""SELECT row_number() OVER (ORDER BY c.ord) - 1 AS pos, r.id, r.title,
   r.online_count, r.local_count, r.missing_count,
   (SELECT bool_or(missing_count > 0) FROM ({_COVERAGE_SQL}) x) AS updates_available
-FROM ({_COVERAGE_SQL}) r JOIN catalog c ON c.pid = r.id""", "catalog", "plan", "prev_planned"))
+FROM ({_COVERAGE_SQL}) r JOIN catalog c ON c.pid = r.id""", "catalog", "plan", "prev_topics"))
 def q_coverage_report_products(spark, sf):
     """The written coverage report read back: its product list in catalog
     order, with the document's ``updates_available`` flag."""
