@@ -15,7 +15,7 @@ GENERAL = "General"
 SEARCH_HITS_MAX = 200
 MIN_QUERY_CHARS = 2
 PAGE_SIZE_DOCS = 20
-PAGE_SIZE_SPL = 25
+PAGE_SIZE_TABLE = 25
 
 
 def normalise(df: DataFrame, fields=("category", "content_type", "product_title", "version")) -> DataFrame:

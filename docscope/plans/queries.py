@@ -318,11 +318,11 @@ def q_keyword_search(spark, sf):
   SELECT coalesce(nullif(product_title, ''), 'Other') AS product_title, title,
     coalesce(nullif(version, ''), '—') AS version, content_type, url
   FROM topics WHERE {_KW_WHERE}) q
-ORDER BY product_title, title, url LIMIT {S.PAGE_SIZE_SPL} OFFSET {RESULT_PAGE * S.PAGE_SIZE_SPL}""", "topics"))
+ORDER BY product_title, title, url LIMIT {S.PAGE_SIZE_TABLE} OFFSET {RESULT_PAGE * S.PAGE_SIZE_TABLE}""", "topics"))
 def q_page_of_results(spark, sf):
     ev = S.normalise(S.keyword_filter(_events(spark, sf), KEYWORDS), ("product_title", "version"))
     return S.paginate(ev.select("product_title", "title", "version", "content_type", "url"),
-                      ["product_title", "title", "url"], RESULT_PAGE, S.PAGE_SIZE_SPL)
+                      ["product_title", "title", "url"], RESULT_PAGE, S.PAGE_SIZE_TABLE)
 
 
 @register("browse", sql(f"""SELECT title, file, section, row_number() OVER (ORDER BY section, title, file) AS item_rank
@@ -695,8 +695,9 @@ def q_stream_feed(spark, sf):
 @register("nav_flatten", sql("SELECT product_title, version, title, file, section FROM nav", "nav"))
 def q_nav_flatten(spark, sf):
     path = _scratch(spark, "nav")
-    PB.nav_tree(_topics(spark, sf)).write.mode("overwrite").json(path)
-    nav = spark.read.json(path)
+    tree = PB.nav_tree(_topics(spark, sf))
+    tree.write.mode("overwrite").json(path)
+    nav = spark.read.schema(tree.schema).json(path)
     return nav.select("product_title", "version", F.explode("leaves").alias("l")).select(
         "product_title", "version", "l.title", "l.file", "l.section")
 
@@ -835,8 +836,9 @@ def q_coverage_report(spark, sf):
     """The nested coverage report, written as JSON and read back."""
     from docscope.functions.times import now_iso
     path = _scratch(spark, "report")
-    CV.write_report(CV.report_document(_coverage(spark, sf), now_iso()), path)
-    return spark.read.json(path)
+    report = CV.report_document(_coverage(spark, sf), now_iso())
+    CV.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
 
 
 @register("stream_upsert", sql("""SELECT url, title, product, product_title, version, content_type, section,
@@ -859,6 +861,29 @@ def q_stream_upsert(spark, sf):
     return upsert_stream(spark, f"{feed}/*", f"{out}/table", f"{out}/_checkpoint").drop("source", "part")
 
 
+@register("document_table", sql(f"""SELECT * FROM (SELECT coalesce(nullif(product_title, ''), 'Other') AS category, title,
+  coalesce(nullif(version, ''), '—') AS version, coalesce(nullif(content_type, ''), 'Other') AS content_type,
+  left(last_modified, 10) AS updated, CAST(NULL AS VARCHAR) AS pdf_file, url FROM topics) t
+ORDER BY category, title, url LIMIT {S.PAGE_SIZE_TABLE} OFFSET {S.PAGE_SIZE_TABLE}""", "topics"))
+def q_document_table(spark, sf):
+    """The second page of the document result table, by category and title;
+    topics have no PDF of their own."""
+    from docscope.functions.times import day, event_time
+    t = _topics(spark, sf).withColumn("category", F.col("product_title"))
+    t = S.normalise(t, ("category", "version", "content_type")).select(
+        "category", "title", "version", "content_type",
+        F.coalesce(day(event_time("last_modified")), F.lit("")).alias("updated"),
+        F.lit(None).cast("string").alias("pdf_file"), "url")
+    return S.paginate(t, ["category", "title", "url"], 1, S.PAGE_SIZE_TABLE)
+
+
+@register("topics_facet_type", sql("""SELECT content_type, count(*) AS count FROM topics
+WHERE content_type <> '' GROUP BY content_type""", "topics"))
+def q_topics_facet_type(spark, sf):
+    """Content types of the published topics."""
+    return S.facet_order(S.facet_counts(_topics(spark, sf), "content_type"), "content_type")
+
+
 # a key inside the data's range: the page after it is a deep page
 PAGE_AFTER_KEY = ("src5", "es", 0)
 
@@ -895,8 +920,9 @@ def q_coverage_report_products(spark, sf):
     order, with the document's ``updates_available`` flag."""
     from docscope.functions.times import now_iso
     path = _scratch(spark, "report")
-    CV.write_report(CV.report_document(_coverage(spark, sf), now_iso()), path)
-    doc = spark.read.json(path)
+    report = CV.report_document(_coverage(spark, sf), now_iso())
+    CV.write_report(report, path)
+    doc = spark.read.schema(report.schema).json(path)
     return doc.select("updates_available", F.posexplode("products").alias("pos", "p")).select(
         F.col("pos").cast("long").alias("pos"), "p.id", "p.title", "p.online_count", "p.local_count",
         "p.missing_count", "updates_available")

@@ -51,3 +51,14 @@ def test_every_query_has_a_callable():
     q = E.queries()
     assert set(E.oracle_sql()) <= set(q)
     assert len(q) >= 60
+
+
+def test_entry_works_without_the_training_data_subpackage(monkeypatch):
+    import sys
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("docscope.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "docscope.llm", None)
+    assert set(E.queries()) >= set(ORACLE)
+    assert not any(k.startswith("op") and k[2].isdigit() for k in E.queries())
+    assert set(E.oracle_sql()) == set(ORACLE)
