@@ -41,6 +41,8 @@ M, M0, BUILD_BEAM, BEAM = 10, 20, 32, 24
 SHARD_ROWS = 4_096
 BLOCK_ROWS = 32_768
 AUDITED = 64
+#: Partitions that the (shard, block) tasks are dealt into at most; each then does several in turn.
+MAX_TASKS = 50_000
 #: Single precision finds, double precision decides.
 SLACK = 1e-4
 
@@ -273,7 +275,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
         "is_query", F.lit(False)).withColumn("block", each("blocks")).select(cols)
     queries = sized.withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn(
         "is_query", F.lit(True)).withColumn("shard", each("shards")).select(cols)
-    found = stash(graphs.unionByName(queries).groupBy("label", "dim", "shard", "block").applyInArrow(
+    # dealt by the whole key, one partition a task or so: the join above leaves a label
+    # in one partition, and rows are few for the work they cost
+    tasks = sizes.agg(F.sum(F.col("shards").cast("long") * F.col("blocks"))).first()[0] or 1
+    dealt = graphs.unionByName(queries).repartition(min(tasks, MAX_TASKS), "label", "dim", "shard", "block")
+    found = stash(dealt.groupBy("label", "dim", "shard", "block").applyInArrow(
         _task(threshold, beam), "node long, n_links long, peer long"), "hnsw-links")
     roots = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
