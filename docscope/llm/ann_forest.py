@@ -42,6 +42,8 @@ BLOCK_ROWS = 2_048
 TARGET = 0.97
 AUDITED = 48
 FIRST_SHARE = 0.15
+#: Partitions that the (shard, block) tasks are dealt into at most; each then does several in turn.
+MAX_TASKS = 50_000
 
 
 def usable(column: str) -> F.Column:
@@ -185,7 +187,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, trees: int = TRE
         "block", each(blocks)).select(cols)
     asked = queries.withColumn("block", place(blocks)).withColumn("is_query", F.lit(True)).withColumn(
         "shard", each(shards)).select(cols)
-    found = data.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(
+    # few rows for the work they cost: as many partitions as (shard, block) tasks
+    dealt = data.unionByName(asked).repartition(min(shards * blocks, MAX_TASKS), "dim", "shard", "block")
+    found = dealt.groupBy("dim", "shard", "block").applyInArrow(
         _task(k, trees, leaf, target), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
