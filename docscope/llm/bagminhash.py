@@ -257,6 +257,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame,
         _verify(threshold), "a long, b long, similarity double"), "bmh-links")
 
 
+def _mixed_buckets(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root, sketch) of the buckets that hold several components."""
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.select("node", "root", F.explode("bands").alias("bucket"))
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rest = rows.join(mixed.select("bucket"), "bucket", "left_semi")
+    return stash(rest.join(nodes.select("node", "sketch"), "node"), "bmh-rest")
+
+
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_shingles, key) for every row of ``docs`` (doc_id, text);
     ``class_id`` is the smallest doc_id of the class, ``key`` the digest of the text."""
@@ -268,42 +277,34 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     nodes = stash(signed.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "bmh-nodes")
-    rows = nodes.select("node", "sketch", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min(F.struct("node", "sketch")).alias("h"),
-                                       F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stash(rows.join(heads, "bucket").select("bucket", "node", "sketch", "h"), "bmh-buckets")
-    stars = stash(
-        shared.withColumn("s", F.struct("sketch")).filter("node <> h.node").filter(_far("s", "h") <= SKETCH_FAR)
-        .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "bmh-stars")
-
-    def different(pairs: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components by now and that aren't compared yet."""
-        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return stash(pairs.join(done, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").filter(
-            F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "bmh-more")
-
-    # one head a node first: it settles nearly all of a large group
-    compared = stash(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "bmh-first")
+    # one head a node first, the smallest of its buckets' smallest nodes: it settles nearly all
+    # of a large group, at one comparison a node
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"))
+    first = rows.join(heads, "bucket").filter("head <> node").groupBy("node").agg(F.min("head").alias("a"))
+    compared = stash(first.select("a", F.col("node").alias("b")), "bmh-first")
     links = verified(compared, docs, nodes, threshold)
     roots = components(links.select("a", "b"))
-    others = different(stars, compared)
-    if not others.isEmpty():
-        compared = compared.unionByName(others)
-        links = links.unionByName(verified(others, docs, nodes, threshold))
+
+    # then, in buckets that still hold several components, the heads that are in another one
+    rest = _mixed_buckets(nodes, roots)
+    head = rest.groupBy("bucket").agg(F.min(F.struct("node", "root", "sketch")).alias("h"))
+    stars = (rest.withColumn("s", F.struct("sketch")).join(head, "bucket")
+             .filter((F.col("root") != F.col("h.root")) & (_far("s", "h") <= SKETCH_FAR))
+             .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct())
+    stars = stash(stars.join(compared, ["a", "b"], "left_anti"), "bmh-stars")
+    if not stars.isEmpty():
+        compared = compared.unionByName(stars)
+        links = links.unionByName(verified(stars, docs, nodes, threshold))
         roots = components(links.select("a", "b"))
+        rest = _mixed_buckets(nodes, roots)
 
-    rooted = shared.select("bucket", "node", "sketch").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
-        "lo <> hi").select("bucket")
-    rest = stash(rooted.join(mixed, "bucket"), "bmh-rest")
-    a, b = rest.alias("l"), rest.alias("r")
-    more = (a.join(b, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
+    # then every pair of different components that the sketches do not rule out
+    l, r = rest.alias("l"), rest.alias("r")
+    more = (l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
                    & (F.col("l.root") != F.col("r.root")) & (_far("l", "r") <= SKETCH_FAR))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-            .join(compared, ["a", "b"], "left_anti"))
-    more = stash(more, "bmh-rest-pairs")
+            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
+    more = stash(more.join(compared, ["a", "b"], "left_anti"), "bmh-pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, docs, nodes, threshold))
         roots = components(links.select("a", "b"))
