@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from docscope.functions import text as X
 from docscope.functions import urls as U
 
+# Field names and order of the published records.
 TOPIC_FIELDS = ["id", "url", "title", "product", "product_title", "version", "content_type",
                 "section", "breadcrumb", "last_modified", "file"]
 SEARCH_FIELDS = ["id", "title", "product", "product_title", "version", "file", "text"]

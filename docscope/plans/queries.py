@@ -130,8 +130,7 @@ def q_product_urls(spark, sf):
 
 @register("product_urls_prefix_join", sql("SELECT pid, product_title, url FROM m", "m"))
 def q_product_urls_prefix_join(spark, sf):
-    """Same match through the equi-join on candidate root prefixes (the path
-    taken when the catalog is too long to broadcast)."""
+    """The match through the equi-join on candidate root prefixes, under its own key."""
     return PL.product_urls(C.sitemap_urls(spark, sf), C.catalog(spark)).select("pid", "product_title", "url")
 
 
@@ -266,10 +265,10 @@ def q_nav_tree(spark, sf):
     return PB.nav_tree(_topics(spark, sf))
 
 
-@register("topic_docs", sql("""SELECT id, file, concat('<!doctype html><html><head><meta charset=''utf-8''>',
-  '<meta name=''viewport'' content=''width=device-width,initial-scale=1''>',
-  '<link rel=''stylesheet'' href=''../assets/topic.css''>',
-  '<title>', replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</title></head>',
+_DOC_HEAD_SQL = PB.DOC_HEAD.replace("'", "''")
+
+
+@register("topic_docs", sql(f"""SELECT id, file, concat('{_DOC_HEAD_SQL}', '<title>', replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</title></head>',
   '<body><article class=''topic''>', body_html, '</article></body></html>') AS html_doc FROM topics""", "topics"))
 def q_topic_docs(spark, sf):
     return PB.topic_docs(_topics(spark, sf))

@@ -91,3 +91,16 @@ def test_salted_left_join_equals_plain_join(spark):
     got = sorted(map(tuple, salted_left_join(big, small, "key", salts=8, share=0.1, min_rows=10).collect()))
     want = sorted(map(tuple, big.join(small, "key", "left").collect()))
     assert got == want
+
+
+def test_planning_has_one_equi_join_and_bodies_are_not_shuffled(spark):
+    from conftest import SF_SMOKE
+    from docscope.plans import corpus as C
+
+    def executed(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    plan = executed(C.plan(spark, SF_SMOKE))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    build = executed(C.topics(spark, SF_SMOKE))
+    assert "NestedLoop" not in build and "MapInPandas" not in build and "html#" not in build
