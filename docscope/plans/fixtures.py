@@ -27,17 +27,17 @@ DOC_HOST = "https://docs.example.com"
 CATALOG_RAW = [
     ("core", "Core", "core", "2", ""),
     ("cloud", "Cloud", "cloud", "1", ""),
-    ("es", "Suite", "suite-8", "all", ""),
+    ("suite", "Suite", "suite-8", "all", ""),
     ("ops", "Ops", "ops", "2", "[legacy-cloud]"),
-    ("soar", "Soar", "soar/onprem", "none", "[legacy-cloud]"),
+    ("flow", "Flow", "flow/onsite", "none", "[legacy-cloud]"),
 ]
-# The same catalog one configuration change earlier (fewer versions, no "es"):
+# The same catalog one configuration change earlier (fewer versions, no "suite"):
 # what a previous run stored, for incremental planning.
 CATALOG_RAW_PREVIOUS = [
     ("core", "Core", "core", "1", ""),
     ("cloud", "Cloud", "cloud", "1", ""),
     ("ops", "Ops", "ops", "1", "[legacy-cloud]"),
-    ("soar", "Soar", "soar/onprem", "none", "[legacy-cloud]"),
+    ("flow", "Flow", "flow/onsite", "none", "[legacy-cloud]"),
 ]
 
 _DOC_URL = f"""
@@ -49,7 +49,7 @@ concat('{DOC_HOST}/en/', root, '/',
     case when page_id % 19 = 0 then 'legacy-cloud' else section end,
     '/t', cast(page_id as string)) end)"""
 _ROOT = """case page_id % 6 when 0 then 'core' when 1 then 'cloud' when 2 then 'suite-8'
-    when 3 then 'ops' when 4 then 'soar/onprem' else 'core-extra' end"""
+    when 3 then 'ops' when 4 then 'flow/onsite' else 'core-extra' end"""
 _VER = """case (page_id div 6) % 7 when 0 then '9.3' when 1 then '9.4' when 2 then '10.0'
     when 3 then '9.4.2' when 4 then '10.0.1' when 5 then '9.10' else '' end"""
 _SECTION = """case (page_id div 42) % 4 when 0 then 'admin' when 1 then 'search'

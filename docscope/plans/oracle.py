@@ -96,7 +96,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     '/t', CAST(page_id AS VARCHAR)) END) AS doc_url
 FROM (SELECT page_id,
   CASE page_id % 6 WHEN 0 THEN 'core' WHEN 1 THEN 'cloud' WHEN 2 THEN 'suite-8'
-    WHEN 3 THEN 'ops' WHEN 4 THEN 'soar/onprem' ELSE 'core-extra' END AS root,
+    WHEN 3 THEN 'ops' WHEN 4 THEN 'flow/onsite' ELSE 'core-extra' END AS root,
   CASE (page_id // 6) % 7 WHEN 0 THEN '9.3' WHEN 1 THEN '9.4' WHEN 2 THEN '10.0'
     WHEN 3 THEN '9.4.2' WHEN 4 THEN '10.0.1' WHEN 5 THEN '9.10' ELSE '' END AS ver,
   CASE (page_id // 42) % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'search'

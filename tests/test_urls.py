@@ -42,7 +42,7 @@ def test_version_order_matches_tuples(spark):
 
 
 def test_breadcrumb(spark):
-    cases = [("https://h/en/soar/onprem/9.4/admin/t1", "soar/onprem", ["9.4", "admin", "t1"]),
+    cases = [("https://h/en/flow/onsite/9.4/admin/t1", "flow/onsite", ["9.4", "admin", "t1"]),
              ("https://h/en/core/", "/core/", []),
              ("https://h/en/core-extra/x", "core", ["core-extra", "x"]),
              ("https://h/fr/core/x", "core", ["fr", "core", "x"])]
