@@ -19,13 +19,13 @@ shares no band with probability 6e-4 (3e-6). Verification is exact, on whole
 multisets:
 
 1. equal texts are one node, so copies cost nothing below;
-2. a bucket's head is its smallest node; every node is compared with the smallest of
-   its buckets' heads, and verified links give first components; then with the other
-   heads, as far as they are in another component (both linear in the bucket);
+2. a bucket's head is its node with most rows in its buckets; every node is compared with
+   the best of its buckets' heads, and verified links give first components; then with the
+   other heads, as far as they are in another component (both linear in the bucket);
 3. in buckets that still hold several components, pairs of *different* components
-   are compared; a one-bit sketch of the signature (``SKETCH_FAR`` differing bits of
-   320 is six deviations beyond similarity 0.8) rejects most before their
-   shingles are read. Pairs inside one component need no comparison: their class is known.
+   are compared; a one-bit sketch of the signature (more than ``SKETCH_FAR``
+   differing bits of 320 has probability 7e-5 at similarity 0.8, a ninth of the bands' own miss) and
+   the sizes reject most before their shingles are read. Pairs inside one component need no comparison: their class is known.
 
 So a group of thousands of near copies costs about one comparison per member, and no
 bucket is capped.
@@ -57,7 +57,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 8
 REGISTERS = BANDS * ROWS
 SKETCH_WORDS = REGISTERS // 64
-SKETCH_FAR = 65
+SKETCH_FAR = 52
 #: Distinct words whose hashes a task remembers (it starts anew when full).
 WORD_CACHE = 400_000
 
@@ -263,7 +263,7 @@ def _mixed_buckets(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     rows = rooted.select("node", "root", F.explode("bands").alias("bucket"))
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rest = rows.join(mixed.select("bucket"), "bucket", "left_semi")
-    return stash(rest.join(nodes.select("node", "sketch"), "node"), "bmh-rest")
+    return stash(rest.join(nodes.select("node", "sketch", "score", "size"), "node"), "bmh-rest")
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,20 +275,27 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
         _sign, "doc_id long, key binary, n_shingles long, bands array<bigint>, sketch array<bigint>"),
         "bmh-signed")
     nodes = stash(signed.filter("n_shingles > 0").groupBy("key").agg(
-        F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"),
+        F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "bmh-nodes")
-    # one head a node first, the smallest of its buckets' smallest nodes: it settles nearly all
-    # of a large group, at one comparison a node
+    # A bucket's head is its most popular node, the one with most rows in its own buckets: among
+    # near copies of one text that is the text they were made from, or what is closest to it.
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"))
-    first = rows.join(heads, "bucket").filter("head <> node").groupBy("node").agg(F.min("head").alias("a"))
-    compared = stash(first.select("a", F.col("node").alias("b")), "bmh-first")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    score = rows.join(sizes, "bucket").groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
+    nodes = stash(nodes.join(score, "node"), "bmh-scored")
+    best = F.struct("score", (-F.col("node")).alias("minus"))
+    heads = (nodes.select("node", "score", F.explode("bands").alias("bucket")).groupBy("bucket")
+             .agg(F.max(best).alias("h")))
+    # one head a node first: it settles nearly all of a large group, at one comparison a node
+    first = rows.join(heads, "bucket").filter(-F.col("h.minus") != F.col("node")).groupBy("node").agg(
+        F.max("h").alias("h"))
+    compared = stash(first.select((-F.col("h.minus")).alias("a"), F.col("node").alias("b")), "bmh-first")
     links = verified(compared, docs, nodes, threshold)
     roots = components(links.select("a", "b"))
 
     # then, in buckets that still hold several components, the heads that are in another one
     rest = _mixed_buckets(nodes, roots)
-    head = rest.groupBy("bucket").agg(F.min(F.struct("node", "root", "sketch")).alias("h"))
+    head = rest.groupBy("bucket").agg(F.max(F.struct("score", "node", "root", "sketch")).alias("h"))
     stars = (rest.withColumn("s", F.struct("sketch")).join(head, "bucket")
              .filter((F.col("root") != F.col("h.root")) & (_far("s", "h") <= SKETCH_FAR))
              .select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct())
@@ -302,7 +309,9 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     # then every pair of different components that the sketches do not rule out
     l, r = rest.alias("l"), rest.alias("r")
     more = (l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
-                   & (F.col("l.root") != F.col("r.root")) & (_far("l", "r") <= SKETCH_FAR))
+                   & (F.col("l.root") != F.col("r.root"))
+                   & (F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size"))
+                   & (_far("l", "r") <= SKETCH_FAR))
             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
     more = stash(more.join(compared, ["a", "b"], "left_anti"), "bmh-pairs")
     if not more.isEmpty():
