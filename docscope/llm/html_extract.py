@@ -15,7 +15,12 @@ The run is then fitted to the page's block structure: the smallest container
 element that holds all of it is the content, so short first and last blocks,
 which cannot pay for the tags around them, stay. Inside the content, menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, role, or class and id words) neither score nor count as text.
+comments (by element, role, or class and id) neither score nor count as text.
+A class or id names such a part by its whole token or its head noun (``page-footer``,
+``share-buttons``), not by any word in it (``social-impact``, ``has-sidebar``). Ids of
+headings, paragraphs and other text elements are link targets and name nothing; ``html``,
+``body``, ``main``, ``article`` and a layout box around nearly all of the page's words are
+never such parts. The text of formulas (``math``) is text.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one line feed.
@@ -32,6 +37,7 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +50,7 @@ MAX_LABELLED_CHARS = 200_000
 EPOCHS = 4
 
 # HTML element classes and boilerplate vocabulary
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math",
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg",
        "select", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
         "track", "wbr"}
@@ -57,7 +63,9 @@ CONTAINERS = {"article", "aside", "blockquote", "body", "center", "details", "di
               "fieldset", "figure", "footer", "form", "header", "html", "main", "menu", "nav", "ol",
               "section", "table", "tbody", "td", "th", "thead", "tfoot", "tr", "ul"}
 BOILERPLATE = {"nav", "menu", "header", "footer", "aside", "form", "head", "button", "dialog", "fieldset",
-               "label"}
+               "label", "annotation", "annotation-xml"}
+#: Never boilerplate, whatever their attributes say.
+CONTENT = {"html", "body", "main", "article"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert",
          "alertdialog", "menu", "menubar", "form", "toolbar"}
 NOISE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner",
@@ -70,6 +78,29 @@ NOISE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
 #: A class with one of these beside a noise word names a part of the content itself.
 KEEP = {"article", "entry", "post", "content", "story", "main", "page"}
 KEPT_NOISE = {"header"}
+#: A first word that makes a class a state of the layout or a subject, not a part of the page.
+STATES = {"has", "no", "with", "without", "is", "not", "hide", "hidden", "show", "category", "tag", "type",
+          "format"}
+#: Last words that say only that something is a part: the head noun is before them.
+PARTS = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "card", "cell", "center", "col",
+         "column", "container", "content", "count", "form", "frame", "group", "heading", "holder", "icon",
+         "inner", "item", "label", "left", "link", "list", "main", "message", "outer", "overlay", "panel",
+         "placeholder", "primary", "region", "right", "row", "secondary", "section", "slot", "space", "text",
+         "thread", "title", "toggle", "top", "unit", "wrap", "wrapper", "zone"}
+#: Nouns that a word of the second set makes a part of the boilerplate.
+ITEMS = {"article", "link", "page", "post", "product", "reading", "story", "stories", "topic", "video"}
+ADJECTIVES = {"related", "recommended", "sponsored", "promoted"}
+#: Elements whose id is the target of a link to their text.
+TEXT_ELEMENTS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "span", "b", "strong", "em", "i", "code", "dt",
+                 "dd", "td", "th", "tr", "caption", "figure", "figcaption", "blockquote", "pre", "summary"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}
+#: Words that, alone, are as well the title of a section of the text, or what a heading is called.
+TITLES = {"advertising", "banner", "cookies", "discussion", "header", "masthead", "menu", "modal", "nav",
+          "navigation", "notice", "notices", "promotion", "share", "sharing", "social", "toolbar", "widget"}
+#: Reader comments may hold more words than the text they are about.
+READERS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "respond"}
+#: A layout box holds at least so many words, and such a share of the page's, to be the page itself.
+BULK_WORDS, BULK_SHARE = 50, 0.8
 
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>|"
                   r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
@@ -78,27 +109,49 @@ _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^a-z]+")
 
 
-def _noisy(name: str, attributes: str) -> bool:
+def _head(token: str) -> tuple[list[str], str]:
+    """Words of a class or id token up to its head noun, and the head noun if it is a noise word."""
+    words = [w for w in _WORDS.split(token.split("--")[0]) if w]
+    if not words or words[0] in STATES:
+        return words, ""
+
+    def one_of(word, names):
+        return word in names or word.endswith("s") and word[:-1] in names
+
+    while len(words) > 1 and words[-1] not in NOISE and (
+            len(words[-1]) == 1 or one_of(words[-1], PARTS)
+            or (one_of(words[-1], ITEMS) and words[-2] in ADJECTIVES)):
+        words.pop()
+    return words, words[-1] if one_of(words[-1], NOISE) else ""
+
+
+def _noisy(name: str, attributes: str) -> int:
+    """0: content; 1: boilerplate by class or id; 2: boilerplate by element or role, or reader comments."""
     if name in BOILERPLATE:
-        return True
-    if not attributes:
-        return False
+        return 2
+    if not attributes or name in CONTENT:
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
-        if key not in ("class", "id", "role"):
+        if key not in ("class", "id", "role") or (key == "id" and name in TEXT_ELEMENTS):
             continue
         value = (m[2] or m[3] or m[4] or "")
         value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
         if key == "role":
             if value.strip() in ROLES:
-                return True
+                return 2
             continue
         for part in value.split():
-            words = set(_WORDS.split(part))
-            hit = words & NOISE
-            if hit and not (hit <= KEPT_NOISE and words & KEEP):
-                return True
-    return False
+            words, head = _head(part)
+            if not head or (head in KEPT_NOISE and set(words) & KEEP):
+                continue
+            if name in HEADINGS and (key == "id" or name != "section"):
+                # a slug of the section's title, or what the heading looks like
+                if head in TITLES and not set(words[:-1]) & NOISE:
+                    continue
+            found = max(found, 2 if head in READERS else 1)
+    return found
 
 
 class Page:
@@ -109,19 +162,20 @@ class Page:
     def __init__(self, page: str):
         self.texts: list[str] = []    # the text run ("" for a tag)
         self.names: list[str] = []    # the tag token ("" for a text run)
-        self.noise: list[bool] = []   # inside boilerplate
+        self.noise: list[bool] = []   # inside boilerplate, once all of the page is read
         self.paths: list[int] = []    # id of the innermost open container
         parents = [-1]                # container tree; 0 is the page
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
-        open_noise = 0
+        stack: list[tuple[str, int, int]] = [("", 0, -1)]   # name, container, number of its span
+        is_open: Counter = Counter()  # names on the stack
+        spans: list[list[int]] = []   # boilerplate elements: first token, end, kind (see _noisy)
         at, n = 0, len(page)
         while at < n:
             m = _TAG.search(page, at)
             if not m:
-                self._text(page[at:], stack[-1][1], open_noise > 0)
+                self._text(page[at:], stack[-1][1])
                 break
             if m.start() > at:
-                self._text(page[at:m.start()], stack[-1][1], open_noise > 0)
+                self._text(page[at:m.start()], stack[-1][1])
             at = m.end()
             if m[2] is None:
                 continue
@@ -132,32 +186,72 @@ class Page:
                     at = end.end() if end else n
                 continue
             token = f"/{name}" if closing else name
+            if is_open["math"] and name in BLOCKS:  # an unclosed formula ends here
+                self._close(stack, max(i for i, x in enumerate(stack) if x[0] == "math"), is_open, spans)
+            formula = name == "math" or is_open["math"] > 0
             if not closing and name not in VOID:
                 noisy = _noisy(name, m[3])
-                if name in CONTAINERS or noisy:
-                    parents.append(stack[-1][1])
-                    stack.append((name, len(parents) - 1, noisy))
-                    open_noise += noisy
-            elif closing:
+                if name in CONTAINERS or noisy or name == "math":
+                    path = stack[-1][1]
+                    if name != "math":
+                        parents.append(path)
+                        path = len(parents) - 1
+                    stack.append((name, path, len(spans) if noisy else -1))
+                    is_open[name] += 1
+                    if noisy:
+                        spans.append([len(self.texts), -1, noisy])
+            elif closing and is_open[name]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
-                        open_noise -= sum(x[2] for x in stack[i:])
-                        del stack[i:]
+                        self._close(stack, i, is_open, spans)
                         break
                     if stack[i][0] in ("article", "main", "body") and name not in ("html", "body"):
                         break  # a stray end tag doesn't close the content
+            if formula:
+                continue  # a formula's tags are part of its text
             self.texts.append("")
             self.names.append(token)
-            self.noise.append(open_noise > 0)
             self.paths.append(stack[-1][1])
+        self._close(stack, 1, is_open, spans)
         self.depths = parents
+        self._mark(spans)
 
-    def _text(self, text: str, path: int, noisy: bool) -> None:
+    def _text(self, text: str, path: int) -> None:
         self.texts.append(text)
         self.names.append("")
-        self.noise.append(noisy)
         self.paths.append(path)
 
+    def _close(self, stack: list[tuple[str, int, int]], i: int, is_open: Counter,
+               spans: list[list[int]]) -> None:
+        """Ends the open elements from the ``i``-th on before the next token."""
+        for name, _, span in stack[i:]:
+            is_open[name] -= 1
+            if span >= 0:
+                spans[span][1] = len(self.texts)
+        del stack[i:]
+
+    def _mark(self, spans: list[list[int]]) -> None:
+        """``noise``, from the boilerplate elements without those that hold the page itself."""
+        self.noise = self._covered(x for x in spans if x[2] == 2)
+        if any(x[2] == 1 for x in spans):
+            before = [0]
+            for text, noisy in zip(self.texts, self.noise):
+                before.append(before[-1] + (0 if noisy else len(text.split())))
+            least = max(BULK_WORDS, BULK_SHARE * before[-1])
+            marked = labelled_run(self)
+
+            def whole(a, b):
+                return before[b] - before[a] >= least and (marked is None or a < marked[0] <= b)
+
+            self.noise = self._covered(x for x in spans if x[2] == 2 or not whole(x[0], x[1]))
+
+    def _covered(self, spans) -> list[bool]:
+        change = [0] * (len(self.texts) + 1)
+        for a, b, _ in spans:
+            change[a] += 1
+            change[b] -= 1
+        return [x > 0 for x in accumulate(change[:-1])]
+
     def scores(self, weights: dict[str, float]) -> list[float]:
         word = weights[""]
         other = weights["*"]

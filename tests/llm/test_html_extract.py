@@ -44,6 +44,37 @@ def test_unclosed_stray_and_long():
     assert H.extract("a < b and <3 more", w) == "a < b and <3 more"
 
 
+def test_layout_classes_and_slug_ids_name_no_boilerplate():
+    w = weights()
+    text = f"<p>{LONG}</p><p>Tail.</p>"
+    want = f"{LONG.strip()}\nTail."
+    for html in (f"<html class='no-social'><body class='right-sidebar has-cookie-notice'>{NAV}<article>{text}</article>{FOOT}</body>",
+                 f"<body><main class='content has-sidebar'>{text}</main><div class='right-sidebar'>Other pages</div></body>",
+                 page(text).replace("<article>", "<article class='post category-social'>"),
+                 f"<body><div class='container sidebar'>{text}</div><div class='widget'>few words</div></body>",
+                 f"<body><div class='has-sidebar category-social'>{text}</div></body>"):
+        assert H.extract(html, w) == want, html
+    inside = (f"<h2 id='social-impact'>Impact</h2><p>{LONG}</p><section id='discussion'><h2 id='share' class='header'>"
+              "Discussion</h2><p id='share-prices'>Shares fell.</p></section><div id='social-security'>Pensions</div>"
+              "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>")
+    assert H.extract(page(inside, NAV, FOOT), w) == (
+        f"Impact\n{LONG.strip()}\nDiscussion\nShares fell.\nPensions\nSo x=2 holds.")
+
+
+def test_boilerplate_by_whole_token_or_head_noun():
+    w = weights()
+    names = ["ad-slot", "ad ad--large", "share-buttons", "shareButtons", "social-links", "left-sidebar", "sidebar-1",
+             "related-posts", "post-navigation", "comments-area", "reader-comments", "cookie-notice", "page-footer",
+             "newsletter-signup-form", "footer-widgets", "sidebar__list"]
+    for n in names:
+        for attribute in ("class", "id"):
+            got = H.extract(page(f"<p>{LONG}</p><div {attribute}='{n}'>left out</div><p>End.</p>", NAV, FOOT), w)
+            assert got == f"{LONG.strip()}\nEnd.", (attribute, n)
+    comments = f"<section id='reader-comments'><p>{LONG * 20}</p></section>"
+    assert H.extract(f"<body><div><p>{LONG}</p></div>{comments}</body>", w) == LONG.strip()
+    assert H.extract("<body><div class='ad'>Buy this now</div></body>", w) == ""
+
+
 def test_best_run_equals_brute_force():
     import itertools
     import random
