@@ -9,9 +9,12 @@ beam on the lowest, and then floods from the hits along graph links as long as i
 meets hits, so a group of thousands of near copies is found whole. Hits are
 verified: cosine in double precision on the original vectors.
 
-Beam: an audit in every task compares some queries with the shard searched
-exhaustively; the beam is doubled until all their links are found (at the beam of
-the whole shard the search is exhaustive in effect).
+Beam: an audit in every task compares queries, in random order, with the shard compared
+whole, until enough links and enough queries that have some are known; the beam is
+doubled until the graph finds all of them. Where it does not even with a beam of the
+whole shard (pruned links can leave nodes that no beam reaches), every query of the task
+is compared with the whole shard; where links are so few that the audit comes to the
+last query, its answers are the task's.
 
 A task returns, per node, the number of linked rows it found, and a spanning
 forest of its links (at most one link a node), never all pairs. Components
@@ -40,7 +43,10 @@ THRESHOLD = 0.98
 M, M0, BUILD_BEAM, BEAM = 10, 20, 32, 24
 SHARD_ROWS = 4_096
 BLOCK_ROWS = 32_768
-AUDITED = 64
+#: An audit ends once it knows so many queries that have links, and so many links.
+AUDITED, AUDITED_LINKS = 64, 256
+#: Queries compared with a whole shard at once.
+PRODUCT_ROWS = 256
 #: Partitions that the (shard, block) tasks are dealt into at most; each then does several in turn.
 MAX_TASKS = 50_000
 #: Single precision finds, double precision decides.
@@ -204,27 +210,48 @@ def _task(threshold: float, beam: int):
             return a / np.linalg.norm(a, axis=1)[:, None]
 
         ux, uq = unit(x), unit(q)
-        graph = Graph(ux.astype(np.float32))
-        low_q = uq.astype(np.float32)
         own = np.searchsorted(nodes, q_nodes)
         own[(own >= len(nodes)) | (nodes[np.minimum(own, len(nodes) - 1)] != q_nodes)] = -1
 
-        def links(i, width):
-            near = graph.hits(low_q[i], width, threshold - SLACK, int(own[i]) if own[i] >= 0 else None)
-            near = near[near != own[i]]
-            return near[ux[near] @ uq[i] >= threshold]
+        def whole(some):
+            """(query, its linked nodes) by comparison with every node of the shard."""
+            for at in range(0, len(some), PRODUCT_ROWS):
+                part = some[at:at + PRODUCT_ROWS]
+                for i, sims in zip(part.tolist(), uq[part] @ ux.T):
+                    near = np.flatnonzero(sims >= threshold)
+                    yield i, near[near != own[i]]
+
+        exact, n_linked, n_known = {}, 0, 0
+        for i, near in whole(np.random.default_rng(5).permutation(len(q))):
+            exact[i] = near
+            n_linked += len(near) > 0
+            n_known += len(near)
+            if n_linked >= AUDITED and n_known >= AUDITED_LINKS:
+                break
+
+        def answers():
+            if len(exact) == len(q):
+                return sorted(exact.items())
+            graph = Graph(ux.astype(np.float32))
+            low_q = uq.astype(np.float32)
+
+            def links(i, width):
+                near = graph.hits(low_q[i], width, threshold - SLACK, int(own[i]) if own[i] >= 0 else None)
+                near = near[near != own[i]]
+                return near[ux[near] @ uq[i] >= threshold]
+
+            width = beam
+            while any(len(links(i, width)) < len(near) for i, near in exact.items() if len(near)):
+                if width >= len(x):
+                    return whole(np.arange(len(q)))
+                width *= 2
+            return ((i, exact[i] if i in exact else links(i, width)) for i in range(len(q)))
 
-        audit = range(0, len(q), max(1, len(q) // AUDITED))
-        exact = {i: int((ux @ uq[i] >= threshold).sum()) - int(own[i] >= 0) for i in audit}
-        width = beam
-        while width < len(x) and any(len(links(i, width)) < n for i, n in exact.items()):
-            width *= 2
         label = np.arange(len(x))  # components among the shard's nodes
         count = np.zeros(len(q), np.int64)
         peer = np.full(len(q), -1)
         mutual = np.zeros((len(x), len(x)), bool) if (own >= 0).any() else None
-        for i in range(len(q)):
-            near = links(i, width)
+        for i, near in answers():
             if not len(near):
                 continue
             if own[i] >= 0:

@@ -1,6 +1,7 @@
 """Neighbour search and embedding near-duplicates against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,33 @@ def test_near_duplicates(spark, options):
     assert got == want
 
 
+class Pruned(D.Graph):
+    """A graph whose pruning has left a third of the nodes without in-links."""
+
+    def __init__(self, x, seed=3):
+        super().__init__(x, seed)
+        for i in range(len(x)):
+            kept = [j for j in self.links[0][i, :self.degree[i]] if j % 3]
+            self.links[0][i] = -1
+            self.links[0][i, :len(kept)] = kept
+            self.degree[i] = len(kept)
+
+
+@pytest.mark.parametrize("linked", [4, 600])
+def test_task_finds_links_that_no_beam_reaches(monkeypatch, linked):
+    # queries of other shards against a shard of 900: near copies of the first ``linked`` nodes, the rest alone
+    monkeypatch.setattr(D, "Graph", Pruned)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 24)).astype(np.float32)
+    q = rng.normal(size=(900, 24)).astype(np.float32)
+    q[:linked] = x[:linked] + rng.normal(size=(linked, 24)).astype(np.float32) * 0.02
+    rows = pa.table({
+        "node": np.arange(1800), "is_query": np.arange(1800) >= 900, "copies": np.full(1800, 2),
+        "embedding": pa.array([v.tolist() for v in np.concatenate([x, q])], pa.list_(pa.float32()))})
+    got = D._task(0.98, 24)(rows).to_pylist()
+    assert sorted((r["node"], r["n_links"], r["peer"]) for r in got) == [(900 + i, 2, i) for i in range(linked)]
+
+
 def test_no_rows(spark):
     df = table(spark, [(1, None, 1, 1, 1), (2, [1.0], None, 1, 1)])
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in D.near_duplicates(df).collect()) == [
