@@ -27,7 +27,8 @@ space, blocks are trimmed and joined in page order by one line feed.
 
 Edge cases: null or empty html gives the empty text, as does a page without
 words; unclosed and stray tags, comments, CDATA and ``<`` in text are taken as
-browsers take them; a page without containers is one container. Repeated rows stay.
+browsers take them, and the end tags that may be left out (of p, li, dt, dd, option and the
+parts of tables) are implied; a page without containers is one container. Repeated rows stay.
 An empty table gives an empty result. Extra input columns are ignored.
 """
 
@@ -62,6 +63,22 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
 CONTAINERS = {"article", "aside", "blockquote", "body", "center", "details", "dialog", "div", "dl",
               "fieldset", "figure", "footer", "form", "header", "html", "main", "menu", "nav", "ol",
               "section", "table", "tbody", "td", "th", "thead", "tfoot", "tr", "ul"}
+#: Elements that are not containers, but whose end counts, as it may be left out.
+IMPLIED = {"p", "li", "dt", "dd", "option", "math"}
+#: Start tags that end an open p.
+ENDS_P = BLOCKS - {"body", "br", "caption", "head", "html", "legend", "option"} | {"dir", "hgroup", "search"}
+_P_BOUNDS = CONTAINERS | {"button"}
+_SPECIAL = CONTAINERS - {"div"} | {"button", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
+_CELLS, _ROWS = {"td", "th", "caption"}, {"tbody", "thead", "tfoot"}
+#: Start tag: the open elements that it ends, and those that hide elements further out from it.
+ENDS = ({"li": ({"li"}, _SPECIAL - {"li"}), "option": ({"option"}, _SPECIAL)}
+        | dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, _SPECIAL - {"dt", "dd"}))
+        | dict.fromkeys(("td", "th"), (_CELLS, {"table", "tr"}))
+        | {"tr": (_CELLS | {"tr"}, {"table"})}
+        | dict.fromkeys(_ROWS, (_CELLS | _ROWS | {"tr"}, {"table"})))
+#: What hides open elements of ``IMPLIED`` from their end tag.
+SCOPES = {"table", "td", "th", "caption", "button"}
+LISTS = {"ul", "ol", "menu"}
 BOILERPLATE = {"nav", "menu", "header", "footer", "aside", "form", "head", "button", "dialog", "fieldset",
                "label", "annotation", "annotation-xml"}
 #: Never boilerplate, whatever their attributes say.
@@ -188,12 +205,14 @@ class Page:
             token = f"/{name}" if closing else name
             if is_open["math"] and name in BLOCKS:  # an unclosed formula ends here
                 self._close(stack, max(i for i, x in enumerate(stack) if x[0] == "math"), is_open, spans)
+            if not closing:
+                self._imply(name, stack, is_open, spans)
             formula = name == "math" or is_open["math"] > 0
             if not closing and name not in VOID:
                 noisy = _noisy(name, m[3])
-                if name in CONTAINERS or noisy or name == "math":
+                if name in CONTAINERS or noisy or name in IMPLIED:
                     path = stack[-1][1]
-                    if name != "math":
+                    if name in CONTAINERS or noisy:
                         parents.append(path)
                         path = len(parents) - 1
                     stack.append((name, path, len(spans) if noisy else -1))
@@ -207,6 +226,8 @@ class Page:
                         break
                     if stack[i][0] in ("article", "main", "body") and name not in ("html", "body"):
                         break  # a stray end tag doesn't close the content
+                    if name in IMPLIED and (stack[i][0] in SCOPES or name == "li" and stack[i][0] in LISTS):
+                        break
             if formula:
                 continue  # a formula's tags are part of its text
             self.texts.append("")
@@ -221,6 +242,22 @@ class Page:
         self.names.append("")
         self.paths.append(path)
 
+    def _imply(self, name: str, stack: list[tuple[str, int, int]], is_open: Counter,
+               spans: list[list[int]]) -> None:
+        """Ends the elements whose end tag the start tag ``name`` implies."""
+        ended, hidden = ENDS.get(name, ((), ()))
+        for names, bounds in ((ended, hidden), (("p",) if name in ENDS_P else (), _P_BOUNDS)):
+            if not any(is_open[x] for x in names):
+                continue
+            first = 0
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in names:
+                    first = i
+                elif stack[i][0] in bounds:
+                    break
+            if first:
+                self._close(stack, first, is_open, spans)
+
     def _close(self, stack: list[tuple[str, int, int]], i: int, is_open: Counter,
                spans: list[list[int]]) -> None:
         """Ends the open elements from the ``i``-th on before the next token."""

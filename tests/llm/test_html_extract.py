@@ -75,6 +75,26 @@ def test_boilerplate_by_whole_token_or_head_noun():
     assert H.extract("<body><div class='ad'>Buy this now</div></body>", w) == ""
 
 
+def test_implied_end_tags_end_boilerplate():
+    w = weights()
+    first = f"<p>{LONG}</p>"
+    for inside, want in {
+        "<p class='ad'>Buy now<p>Article text<p>goes on": "Article text\ngoes on",
+        "<p class='ad'>Buy <span class='share'>now<div>Article text</div>": "Article text",
+        "<p class='ad'>Buy now<hr>Article text": "Article text",
+        "<ul><li class='share'>a<li>b<li class='share'><p>c</p><div>d<li>e</ul>f": "b\ne\nf",
+        "<ul><li class='share'>a<ul><li>x</li></li><li>y</ul><li>b</ul>": "b",
+        "<ul><li>a<ul></li><li class='ad'>x</ul>b<li>c</ul>": "a\nb\nc",
+        "<dl><dt class='ad'>a<dd>b<dd class='ad'>c<dt>d</dl>": "b\nd",
+        "<table><tr class='ad'><td>a<tr><td class='ad'>b<td>c<th>d<tbody class='ad'><tr><td>e<tbody><tr><td>f</table>g":
+            "c\nd\nf\ng",
+        "<table><tr><td class='ad'><table><tr><td>a<tr><td>b</table>c<td>d</table>": "d",
+        "<datalist><option class='ad'>a<option>b</datalist>": "b",
+        "<ul><li>a<table><tr><td>b</li></p><p class='ad'>c<td>d</table></ul>e": "a\nb\nd\ne",
+    }.items():
+        assert H.extract(page(first + inside, NAV, FOOT), w) == f"{LONG.strip()}\n{want}", inside
+
+
 def test_best_run_equals_brute_force():
     import itertools
     import random
