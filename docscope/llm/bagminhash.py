@@ -32,9 +32,9 @@ bucket is capped.
 
 Edge cases: a text without words (null, empty, white space) is its own class and
 links with nothing; equal texts are one class, whatever their language or source; repeated
-rows (equal doc_id and text) share a class. A row without a doc_id joins the class of an equal
-text; a text that only such rows hold is not compared with others, and its class_id is null. An empty table gives an empty
-result. Extra input columns are ignored (``duplicate_classes``) or kept (``keep_one``).
+rows (equal doc_id and text) share a class. Rows without a doc_id are compared like others; the
+class_id of a class that only such rows make up is null, and of these the text with the smallest
+digest is kept. An empty table gives an empty result. Extra input columns are ignored (``duplicate_classes``) or kept (``keep_one``).
 """
 
 from __future__ import annotations
@@ -248,8 +248,13 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame,
         nodes.select("node", "key", F.col("first_doc").alias("doc_id")), "node")
     texts = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
     # rows that repeat a document are equal: one is read
-    one_each = texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
-    sets = stash(one_each.select("node", "text").mapInArrow(
+    one_each = texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text")
+    unnamed = nodes.filter("first_doc is null")
+    if not unnamed.isEmpty():  # texts that only rows without doc_id hold: equal ones go before the join
+        alone = texts.filter("doc_id is null").dropDuplicates(["key"])
+        one_each = one_each.unionByName(
+            alone.join(wanted.filter("doc_id is null").select("node", "key"), "key").select("node", "text"))
+    sets = stash(one_each.mapInArrow(
         _multisets, "node long, members array<bigint>"), "bmh-sets")
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
@@ -269,6 +274,11 @@ def _mixed_buckets(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_shingles, key) for every row of ``docs`` (doc_id, text);
     ``class_id`` is the smallest doc_id of the class, ``key`` the digest of the text."""
+    return _classes(docs, threshold).select("doc_id", "class_id", "n_shingles", "key")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``duplicate_classes`` and first_key, the smallest key of the class (null without words)."""
     prepare(docs.sparkSession)
     docs = clean_columns(docs, "doc_id", "text")
     signed = stash(docs.mapInArrow(
@@ -319,22 +329,22 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
         roots = components(links.select("a", "b"))
     named = nodes.select("node", "key", "first_doc").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    classes = named.join(least, "root").select("key", "class_id")
+    least = named.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.min("key").alias("first_key"))
+    classes = named.join(least, "root").select("key", "class_id", "first_key")
     return (signed.select("doc_id", "key", "n_shingles")
             .join(classes, "key", "left")
             .withColumn("class_id", F.coalesce("class_id", "doc_id"))
-            .select("doc_id", "class_id", "n_shingles", "key"))
+            .select("doc_id", "class_id", "n_shingles", "key", "first_key"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of every class of ``docs``, all columns kept: the one with
-    the smallest doc_id; texts without words all stay."""
+    the smallest doc_id, or in a class without any the smallest digest; texts without words all stay."""
     names = docs.columns
     key, n, w, d, k = (fresh(x, names) for x in ("bmh_key", "bmh_n", "bmh_words", "bmh_doc", "bmh_text"))
-    classes = duplicate_classes(docs, threshold)
+    classes = _classes(docs, threshold)
     kept = stash(classes.filter(
-        "doc_id = class_id or n_shingles = 0 or (doc_id is null and class_id is null)").groupBy(
+        "doc_id = class_id or n_shingles = 0 or (class_id is null and key = first_key)").groupBy(
             F.col("doc_id").alias(d), F.col("key").alias(k)).agg(
                 F.count(F.lit(1)).alias(n), F.max("n_shingles").alias(w)), "bmh-kept")
     keyed = docs.withColumn(key, F.unhex(F.md5(F.col("text").cast("binary"))))

@@ -1,5 +1,6 @@
 """BagMinHash near-duplicates against brute force on whole multisets."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -110,6 +111,33 @@ def test_keep_one_keeps_columns_and_one_row_per_class(spark):
     assert got == sorted([(False, i) for i in want] + [(True, 0)])
 
 
+def test_rows_without_doc_id_equal_brute_force(spark):
+    rng = random.Random(5)
+    unnamed = 1_000_000  # stands for no doc_id, above all others
+    rows = [(i, t) for i, t in make_rows(4) if (t or "").split()]
+    rows = [(unnamed + i if rng.random() < 0.5 or i < 8 else i, t) for i, t in rows]
+    # a class of near copies that no row with a doc_id belongs to, with copies
+    words = [f"u{i}" for i in range(100)]
+    for k in range(6):
+        rows += [(unnamed + 900 + 2 * k + j, " ".join(words[:99 - k] + [f"v{k}"])) for j in range(2)]
+    want = classes(rows)
+    df = spark.createDataFrame([(i if i < unnamed else None, t) for i, t in rows], "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, bytes(r.key)) for r in B.duplicate_classes(df).collect())
+    digest = {t: hashlib.md5(t.encode()).digest() for _, t in rows}
+
+    def name(i):
+        return i if i < unnamed else None
+
+    assert got == Counter((name(i), name(want[i]), digest[t]) for i, t in rows)
+    assert sum(c >= unnamed for c in want.values()) > 12 and any(i >= unnamed > c for i, c in want.items())
+    kept = sorted((r.doc_id or unnamed, r.text) for r in B.keep_one(df).collect())
+    first = {}
+    for i, t in rows:
+        if want[i] >= unnamed:
+            first[want[i]] = min(first.get(want[i], t), t, key=digest.get)
+    assert kept == sorted([(i, t) for i, t in rows if i == want[i] < unnamed] + [(unnamed, t) for t in first.values()])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert B.duplicate_classes(df).count() == 0
