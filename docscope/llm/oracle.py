@@ -89,3 +89,20 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+# Every line keyed; lines of common keys go except from the largest document.
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, row, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (
+    SELECT doc_id, row, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (
+      SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+common AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT l.*, c.key IS NOT NULL AND l.doc_id <> c.last AS gone FROM lines l LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id, row
+"""

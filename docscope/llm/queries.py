@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, mixing, oracle,
-                          quality, sentencepiece_codec, sharding, toxicity)
+from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, line_dedup, mixing,
+                          oracle, quality, sentencepiece_codec, sharding, toxicity)
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,14 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(probe)))
 
 
+@query("op13_line_dedup", oracle.LINE_DEDUP)
+def op13_line_dedup(spark, sf_dir):
+    """Lines of every document that no larger document repeats, as a digest."""
+    docs = table(spark, sf_dir, "documents")
+    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents."""
