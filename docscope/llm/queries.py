@@ -3,6 +3,7 @@ and their DuckDB oracle statements where SQL can express them."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, line_dedup, mixing,
-                          oracle, quality, sentencepiece_codec, sharding, toxicity)
+                          oracle, quality, sentencepiece_codec, sharding, token_align, toxicity)
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +113,17 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(probe)))
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@query("op12_token_align")
+def op12_token_align(spark, sf_dir):
+    """Groups and links between two tokenizers' tokens of every document."""
+    out = token_align.align_documents(table(spark, sf_dir, "documents"), render=_sha256)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 @query("op13_line_dedup", oracle.LINE_DEDUP)
 def op13_line_dedup(spark, sf_dir):
     """Lines of every document that no larger document repeats, as a digest."""
