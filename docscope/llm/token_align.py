@@ -9,8 +9,8 @@ links, the pairs of an A and a B token whose byte ranges overlap.
 Texts are cut into units first: a space inside the text, after a character that is no white space, begins one.
 No token of either side crosses such a place, so both sides end there and groups never
 reach over it; a unit's tokens, groups and links do not depend on its
-text. A task therefore encodes and aligns each distinct unit once and keeps it in a
-dictionary, a *chunk*, which is closed and begun anew when it holds ``CHUNK_UNITS`` units or
+text. A task therefore encodes and aligns each distinct unit once (a batch's new ones as one text) and
+keeps it in a dictionary, a *chunk*, which is closed and begun anew when it holds ``CHUNK_UNITS`` units or
 has served ``CHUNK_USES`` of them. A document comes out as the list of its units'
 numbers, a chunk as one row: links by unit, and how often each linked pair of ids occurs.
 
@@ -29,10 +29,11 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,14 @@ from pyspark.sql import functions as F
 
 from docscope.llm.common import clean_columns, prepare, stash
 
-CHUNK_UNITS = 200_000
+# Fixed value: how a byte-level BPE cuts text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CHUNK_UNITS = 400_000
 CHUNK_USES = 8_000_000
 #: A space begins a unit unless white space, its mark or the text's start is before it or the text's end behind.
 _CUT = re.compile("(?<=[^\\s▁᠎]) (?=.)", re.DOTALL)
+#: Ends that a following space could join in one token, and the mark that never comes back as itself.
+_BLUNT = re.compile("[\\s᠎]\\Z|▁")
 _ODD = re.compile("[\\s▁᠎] ")
 
 
@@ -82,45 +87,72 @@ class Tokenizers:
         self.b = SentencePieceProcessor(model_proto=pieces)
         known = byte_alphabet()
         special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
-        self.a_bytes = {i: t.encode() if i in special else bytes(map(known.__getitem__, t))
-                        for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
+        for t, i in self.a.get_vocab().items():
+            self.a_bytes[i] = t.encode() if i in special else bytes(map(known.__getitem__, t))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """Per unit A's ids, B's ids, and whether both give space and unit back."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for text, x, y in zip(texts, a, b):
-            whole = (" " + text).encode()
-            yield x, y, (b"".join([self.a_bytes[i] for i in x]) == whole
-                         and b"".join([self.b_bytes[i] for i in y]) == whole)
-
-
-def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Ends (in A's list, in B's list) of the slices between common ends."""
-    at_a, at_b = ({e: i for i, e in enumerate(ends, 1)} for ends in (a_ends, b_ends))
-    return [(at_a[e], at_b[e]) for e in sorted(at_a.keys() & at_b.keys())]
-
-
-def links_of(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int],
-             slices: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(A id, B id) of every overlapping pair of tokens, slice by slice."""
-    out, i, j = [], 0, 0
-    for to_a, to_b in slices:
-        while i < to_a and j < to_b:
-            out.append((a[i], b[j]))
-            x, y = a_ends[i], b_ends[j]
-            i, j = i + (x <= y), j + (y <= x)
-    return out
-
-
-def groups_text(a: list[int], b: list[int], slices: list[tuple[int, int]]) -> str:
-    out, i, j = [], 0, 0
-    for to_a, to_b in slices:
-        out.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))}")
-        i, j = to_a, to_b
-    return ";".join(out)
+        self.ascii = self._by_rank(json.loads(byte_bpe)["model"])
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        self.text = GroupText(max(len(self.a_bytes), len(self.b_bytes)))
+
+    def _by_rank(self, model: dict):
+        """A's fast form for ASCII text: where merge i makes id 256 + i, merging by id is merging by rank.
+        Other texts take the file's own tokenizer, whose Unicode classes count."""
+        import tiktoken
+
+        made = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        if any(model["vocab"].get(x + y) != 256 + i for i, (x, y) in enumerate(made)):
+            return None
+        ranks = {t: i for i, t in enumerate(self.a_bytes[:256 + len(model["merges"])])}
+        return tiktoken.Encoding("byte_bpe", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's and B's ids of units that follow each other as in a text."""
+        text = " " + " ".join(new)
+        a = (self.ascii.encode_ordinary(text) if self.ascii and text.isascii()
+             else self.a.encode(text, add_special_tokens=False).ids)
+        return np.array(a, np.int64), np.array(list(chain.from_iterable(self.b.encode(new, num_threads=1))), np.int64)
+
+    def whole(self, new: list[str], a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether both sides give the units back."""
+        text = (" " + " ".join(new)).encode()
+        return all(b"".join(map(known.__getitem__, ids.tolist())) == text
+                   for known, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
+
+def group_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common ends, and the number of A's and of B's tokens up to each: the slices'
+    ends in both id lists."""
+    at_a, at_b = (dict(zip(ends.tolist(), range(1, len(ends) + 1))) for ends in (a_ends, b_ends))
+    common = sorted(at_a.keys() & at_b.keys())
+    return tuple(np.fromiter(x, np.int64, len(common)) for x in (
+        common, map(at_a.__getitem__, common), map(at_b.__getitem__, common)))
+
+
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, A index, B index) of every overlapping pair of tokens, slice after slice:
+    inside a slice each end, of either side, closes the overlap of one pair."""
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])] if len(ends) else ends
+    return ends, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+class GroupText:
+    """Groups as text: every id followed by the sign that its place in its group asks for."""
+
+    def __init__(self, ids: int):
+        self.signed = {sign: np.array([f"{i}{sign}" for i in range(ids)], object) for sign in ",|;"}
+
+    def parts(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> np.ndarray:
+        """Ids and signs, slice after slice, A's before B's."""
+        out = np.empty(len(a) + len(b), object)
+        for ids, to, other, sign in ((a, to_a, np.concatenate([[0], to_b[:-1]]), "|"), (b, to_b, to_a, ";")):
+            place = np.arange(len(ids)) + np.repeat(other, np.diff(to, prepend=0))
+            text = self.signed[","][ids]
+            text[to - 1] = self.signed[sign][ids[to - 1]]
+            out[place] = text
+        return out
 
 
 class Chunk:
@@ -135,19 +167,36 @@ class Chunk:
         self.uses = 0
 
     def learn(self, new: list[str], tokenizers: Tokenizers) -> None:
-        for unit, (a, b, whole) in zip(new, tokenizers.encode(new)):
-            if not whole:
-                self.number[unit] = -1
-                continue
-            a_ends = list(accumulate(len(tokenizers.a_bytes[i]) for i in a))
-            b_ends = list(accumulate(len(tokenizers.b_bytes[i]) for i in b))
-            slices = groups_of(a_ends, b_ends)
-            links = links_of(a, b, a_ends, b_ends, slices)
-            self.number[unit] = len(self.text)
-            self.text.append(groups_text(a, b, slices))
-            for column, n in ((self.n_a, a), (self.n_b, b), (self.n_groups, slices), (self.n_links, links)):
-                column.append(len(n))
-            self.links.extend([x << 32 | y for x, y in links])
+        """Encode and align units not seen yet: as one text, but for those whose end would
+        melt into the next one's space, and one by one where some don't come back whole."""
+        alone = [u for u in new if _BLUNT.search(u)]
+        together = [u for u in new if not _BLUNT.search(u)] if alone else new
+        plain = [u for u in together if u.isascii()]
+        rest = [u for u in together if not u.isascii()]
+        for some in filter(None, [plain, rest, *([u] for u in alone)]):
+            a, b = tokenizers.encode(some)
+            if tokenizers.whole(some, a, b):
+                self.add(some, a, b, tokenizers)
+            elif len(some) == 1:
+                self.number[some[0]] = -1
+            else:
+                half = len(some) // 2
+                self.learn(some[:half], tokenizers)
+                self.learn(some[half:], tokenizers)
+
+    def add(self, new: list[str], a: np.ndarray, b: np.ndarray, tokenizers: Tokenizers) -> None:
+        a_ends, b_ends = np.cumsum(tokenizers.a_size[a]), np.cumsum(tokenizers.b_size[b])
+        unit_ends = np.cumsum([len(u.encode()) + 1 for u in new])
+        common, to_a, to_b = group_ends(a_ends, b_ends)
+        ends, i, j = links_of(a_ends, b_ends)
+        counts = [np.searchsorted(x, unit_ends, "right") for x in (a_ends, b_ends, common, ends)]
+        parts = tokenizers.text.parts(a, b, to_a, to_b).tolist()
+        cut = [0, *(counts[0] + counts[1]).tolist()]
+        self.number.update(zip(new, range(len(self.text), len(self.text) + len(new))))
+        self.text += ["".join(parts[x:y]) for x, y in zip(cut, cut[1:])]
+        for column, n in zip((self.n_a, self.n_b, self.n_groups, self.n_links), counts):
+            column.frombytes(np.diff(n, prepend=0).tobytes())
+        self.links.frombytes((a[i] << 32 | b[j]).tobytes())
 
     def use(self, flat: np.ndarray) -> None:
         n = np.bincount(flat, minlength=len(self.text))
@@ -200,7 +249,7 @@ def _align(byte_bpe: str, pieces: bytes, render: Callable[[str], str]):
             if -1 in found:
                 found = []
             lists.append(found)
-            groups.append(render(";".join([text[i] for i in found])) if found else "")
+            groups.append(render("".join(map(text.__getitem__, found))[:-1]) if found else "")
         ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         flat = np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1]))
         chunk.use(flat)
@@ -208,7 +257,9 @@ def _align(byte_bpe: str, pieces: bytes, render: Callable[[str], str]):
                    "groups": pa.array(groups, pa.string()), "units": pa.ListArray.from_arrays(
                        pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
         for k in ("n_a", "n_b", "n_groups", "n_links"):
-            each = np.concatenate([[0], np.cumsum(np.array(getattr(chunk, k), np.int64)[flat])])
+            known = getattr(chunk, k)
+            each = np.frombuffer(known, np.int64)[flat] if known else flat
+            each = np.concatenate([[0], np.cumsum(each)])
             columns[k] = pa.array(each[ends[1:]] - each[ends[:-1]], pa.int64())
         return rows(columns, len(cut))
 
@@ -217,7 +268,9 @@ def _align(byte_bpe: str, pieces: bytes, render: Callable[[str], str]):
         name = TaskContext.get().partitionId() << 24
         for batch in batches:
             cut = [units(t) if t else [] for t in batch.column("text").to_pylist()]
-            chunk.learn([u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in chunk.number], tokenizers)
+            new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in chunk.number]
+            if new:
+                chunk.learn(new, tokenizers)
             yield documents(chunk, name, batch.column("doc_id").cast(pa.int64()), cut)
             if chunk.full():
                 yield summary(chunk, name)
