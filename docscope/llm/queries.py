@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docscope.llm import (ann_forest, bagminhash, chat_format, hnsw_dedup, html_extract, line_dedup, mixing,
-                          oracle, quality, sentencepiece_codec, sharding, token_align, toxicity)
+                          oracle, quality, sentencepiece_codec, sharding, spelling,
+                          token_align, toxicity)
 from docscope.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +114,12 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(probe)))
 
 
+@query("op11_spelling_fm")
+def op11_spelling_fm(spark, sf_dir):
+    """Form and root of every word of the documents."""
+    return spelling.variant_groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
