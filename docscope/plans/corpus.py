@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from docscope.operators import parse as P
 from docscope.operators import plan as PL
 from docscope.operators import publish as PB
+from docscope.operators import textindex as TI
 from docscope.plans import fixtures as FX
 from docscope.session import work_dir
 from docscope.sources.catalog import typed_catalog
@@ -61,7 +62,11 @@ def topics(spark: SparkSession, sf_dir: str, catalog_rows=None, limit: int = 0)
 _PUBLISHED: dict[tuple, str] = {}
 
 
-def _publish(spark: SparkSession, name: str, key: tuple, build) -> DataFrame:
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def _publish(spark: SparkSession, name: str, key: tuple, build, write=_write) -> DataFrame:
     """Write ``build()`` once per application under the shared work folder and
     return the table read back."""
     k = (spark.sparkContext.applicationId, name) + key
@@ -69,7 +74,7 @@ def _publish(spark: SparkSession, name: str, key: tuple, build) -> DataFrame:
     if path is None:
         digest = hashlib.sha1(repr(k).encode()).hexdigest()[:16]
         path = f"{work_dir(spark)}/corpus-{digest}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        write(build(), path)
         _PUBLISHED[k] = path
     return spark.read.parquet(path)
 
@@ -92,6 +97,30 @@ def published_index(spark: SparkSession, sf_dir: str, catalog_rows=None) -> Data
                     lambda: PB.search_index(published(spark, sf_dir, catalog_rows)))
 
 
+def token_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, postings) of the topics' titles and bodies."""
+    key = (sf_dir.rstrip("/"),)
+    postings = _publish(spark, "topic_tokens", key, lambda: TI.token_postings(
+        published(spark, sf_dir).select("id", "title", F.col("text").alias("body")), "id", ["title", "body"]),
+        TI.write_postings)
+    return _publish(spark, "topic_dictionary", key, lambda: TI.token_dictionary(postings)), postings
+
+
+def gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-gram postings of the search index's titles and excerpts."""
+    return _publish(spark, "topic_grams", (sf_dir.rstrip("/"),), lambda: TI.gram_postings(
+        published_index(spark, sf_dir), "id", ["title", "text"]), TI.write_postings)
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(dictionary, postings) of the whole texts and sources of ``documents``."""
+    key = (sf_dir.rstrip("/"),)
+    postings = _publish(spark, "document_tokens", key, lambda: TI.token_postings(
+        table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body")),
+        "doc_id", ["title", "body"]), TI.write_postings)
+    return _publish(spark, "document_dictionary", key, lambda: TI.token_dictionary(postings)), postings
+
+
 def published_plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
     """The crawl plan (product, URL, order, path, version segments) of one
     catalog state, written once per application: the coverage, incremental,
@@ -110,8 +139,7 @@ def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     """The whole build for a data set: plans of the current and the previous
-    catalog state, the topic records of both runs, the search index and the
-    parsed pages."""
+    catalog state, the topic records of both runs, the search index, the text indexes and the parsed pages."""
     from docscope.plans.fixtures import CATALOG_RAW_PREVIOUS
     prev = CATALOG_RAW_PREVIOUS if previous_rows is None else previous_rows
     published_pages(spark, sf_dir)
@@ -119,4 +147,7 @@ def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     published_plan(spark, sf_dir, prev)
     published(spark, sf_dir)
     published_index(spark, sf_dir)
+    token_index(spark, sf_dir)
+    gram_index(spark, sf_dir)
+    document_index(spark, sf_dir)
     published(spark, sf_dir, prev)

@@ -19,6 +19,7 @@ from docscope.operators import coverage as CV
 from docscope.operators import plan as PL
 from docscope.operators import publish as PB
 from docscope.operators import search as S
+from docscope.operators import textindex as TI
 from docscope.plans import corpus as C
 from docscope.plans import fixtures as FX
 from docscope.plans.oracle import PATH_RE, sql
@@ -288,8 +289,8 @@ def q_total_topics(spark, sf):
 FROM (SELECT * FROM topics WHERE contains(lower(title), '{SEARCH_QUERY}') OR contains(lower(coalesce(left(text, 1200), '')), '{SEARCH_QUERY}')
       ORDER BY pord, uord LIMIT 200) h""", "topics"))
 def q_substring_search(spark, sf):
-    idx = C.published_index(spark, sf)
-    hits = S.substring_hits(idx, SEARCH_QUERY)
+    hits = TI.substring_search(C.published_index(spark, sf), "id", C.gram_index(spark, sf), SEARCH_QUERY,
+                               ["title", "text"])
     total = hits.agg(F.count(F.lit(1))).scalar()  # the true count, beside the capped list
     top = S.first_in_index_order(hits)
     w = Window.orderBy("pord", "uord")  # over at most 200 rows
@@ -302,6 +303,12 @@ def _events(spark, sf):
     return PB.event_rows(_topics(spark, sf))
 
 
+def _keyword_hits(spark, sf):
+    """The topics that hold all keywords, by index."""
+    topics = _topics(spark, sf).withColumnRenamed("text", "body")
+    return TI.keyword_search(topics, "id", *C.token_index(spark, sf), KEYWORDS, ["title", "body"])
+
+
 _KW_WHERE = " AND ".join(f"(title ILIKE '%{t}%' OR text ILIKE '%{t}%')" for t in KEYWORDS)
 
 
@@ -309,7 +316,7 @@ _KW_WHERE = " AND ".join(f"(title ILIKE '%{t}%' OR text ILIKE '%{t}%')" for t in
   coalesce(nullif(version, ''), '—') AS version, content_type, url
 FROM topics WHERE {_KW_WHERE}""", "topics"))
 def q_keyword_search(spark, sf):
-    ev = S.normalise(S.keyword_filter(_events(spark, sf), KEYWORDS), ("product_title", "version"))
+    ev = S.normalise(_keyword_hits(spark, sf), ("product_title", "version"))
     return ev.select("product_title", "title", "version", "content_type", "url").orderBy("product_title", "title")
 
 
@@ -319,7 +326,7 @@ def q_keyword_search(spark, sf):
   FROM topics WHERE {_KW_WHERE}) q
 ORDER BY product_title, title, url LIMIT {S.PAGE_SIZE_TABLE} OFFSET {RESULT_PAGE * S.PAGE_SIZE_TABLE}""", "topics"))
 def q_page_of_results(spark, sf):
-    ev = S.normalise(S.keyword_filter(_events(spark, sf), KEYWORDS), ("product_title", "version"))
+    ev = S.normalise(_keyword_hits(spark, sf), ("product_title", "version"))
     return S.paginate(ev.select("product_title", "title", "version", "content_type", "url"),
                       ["product_title", "title", "url"], RESULT_PAGE, S.PAGE_SIZE_TABLE)
 
@@ -787,6 +794,12 @@ def _documents_feed(spark, sf):
                     F.col("source").alias("title"), F.col("text").alias("body"), "n_chars")
 
 
+def _document_hits(spark, sf):
+    """The documents that hold all keywords, by index."""
+    return TI.keyword_search(_documents_feed(spark, sf), "doc_id", *C.document_index(spark, sf), DOC_KEYWORDS,
+                             ["title", "body"])
+
+
 _DOC_KW_WHERE = " AND ".join(f"(source ILIKE '%{t}%' OR text ILIKE '%{t}%')" for t in DOC_KEYWORDS)
 
 
@@ -794,14 +807,14 @@ _DOC_KW_WHERE = " AND ".join(f"(source ILIKE '%{t}%' OR text ILIKE '%{t}%')" for
   coalesce(nullif(lang, ''), '—') AS version, n_chars FROM documents WHERE {_DOC_KW_WHERE}""")
 def q_documents_keyword_search(spark, sf):
     """Every keyword in the whole text (or source), case-insensitive."""
-    hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
+    hits = _document_hits(spark, sf)
     return S.normalise(hits, ("product_title", "version")).select("doc_id", "product_title", "version", "n_chars")
 
 
 @register("documents_page_of_results", f"""SELECT doc_id, source, lang FROM documents WHERE {_DOC_KW_WHERE}
 ORDER BY source, lang, doc_id LIMIT {S.PAGE_SIZE_DOCS} OFFSET {3 * S.PAGE_SIZE_DOCS}""")
 def q_documents_page_of_results(spark, sf):
-    hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
+    hits = _document_hits(spark, sf)
     return S.paginate(hits.select("doc_id", F.col("product_title").alias("source"), F.col("version").alias("lang")),
                       ["source", "lang", "doc_id"], 3, S.PAGE_SIZE_DOCS)
 
@@ -892,7 +905,7 @@ PAGE_AFTER_KEY = ("src5", "es", 0)
 ORDER BY source, lang, doc_id LIMIT {S.PAGE_SIZE_DOCS}""")
 def q_documents_page_after(spark, sf):
     """Keyset pagination: the result page following a (source, lang, doc_id) key."""
-    hits = S.keyword_filter(_documents_feed(spark, sf), DOC_KEYWORDS)
+    hits = _document_hits(spark, sf)
     rows = hits.select("doc_id", F.col("product_title").alias("source"), F.col("version").alias("lang"))
     return S.page_after(rows, ["source", "lang", "doc_id"], PAGE_AFTER_KEY, S.PAGE_SIZE_DOCS)
 
