@@ -21,6 +21,7 @@ from docscope.operators import parse as P
 from docscope.operators import plan as PL
 from docscope.operators import publish as PB
 from docscope.operators import textindex as TI
+from docscope.operators.retention import write_by_day
 from docscope.plans import fixtures as FX
 from docscope.session import work_dir
 from docscope.sources.catalog import typed_catalog
@@ -121,6 +122,11 @@ def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return _publish(spark, "document_dictionary", key, lambda: TI.token_dictionary(postings)), postings
 
 
+def published_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table partitioned by day."""
+    return _publish(spark, "events", (sf_dir.rstrip("/"),), lambda: table(spark, sf_dir, "events"), write_by_day)
+
+
 def published_plan(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
     """The crawl plan (product, URL, order, path, version segments) of one
     catalog state, written once per application: the coverage, incremental,
@@ -139,7 +145,7 @@ def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     """The whole build for a data set: plans of the current and the previous
-    catalog state, the topic records of both runs, the search index, the text indexes and the parsed pages."""
+    catalog state, the topic records of both runs, the search index, the text indexes, the events by day and the parsed pages."""
     from docscope.plans.fixtures import CATALOG_RAW_PREVIOUS
     prev = CATALOG_RAW_PREVIOUS if previous_rows is None else previous_rows
     published_pages(spark, sf_dir)
@@ -150,4 +156,5 @@ def publish_all(spark: SparkSession, sf_dir: str, previous_rows=None) -> None:
     token_index(spark, sf_dir)
     gram_index(spark, sf_dir)
     document_index(spark, sf_dir)
+    published_events(spark, sf_dir)
     published(spark, sf_dir, prev)

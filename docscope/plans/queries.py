@@ -572,25 +572,27 @@ def q_time_range(spark, sf):
     return S.time_range(table(spark, sf, "events"), "ts", TIME_FROM, TIME_TO).select("event_id", "ts", "event_type")
 
 
-# a retention that cuts the given events: age in seconds, size in bytes
+# a retention that cuts the given events at every scale: age in seconds, size as a share of all bytes
 RETENTION_SECONDS = 5 * 86_400
-RETENTION_BYTES = 30_000
+RETENTION_SHARE = 3
 
 
 @register("retention_age", f"""SELECT event_id, ts FROM events
 WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_SECONDS} SECOND""")
 def q_retention_age(spark, sf):
-    from docscope.operators.retention import keep_by_age
-    ev = table(spark, sf, "events")
+    """The events of the last days, from the day-partitioned table: older days are not read."""
+    from docscope.operators.retention import keep_days_by_age
+    ev = C.published_events(spark, sf)
     now = ev.agg(F.max("ts")).scalar()  # reference time: the newest event
-    return keep_by_age(ev, "ts", now, RETENTION_SECONDS).select("event_id", "ts")
+    return keep_days_by_age(ev, "ts", now, RETENTION_SECONDS).select("event_id", "ts")
 
 
 _EVENT_BYTES = "strlen(event_type) + strlen(props) + 32"
 
 
 _DAY_SIZES_SQL = f"""SELECT day, bytes, sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes,
-  sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {RETENTION_BYTES} AS kept
+  sum(bytes) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    <= (SELECT CAST(sum({_EVENT_BYTES}) AS BIGINT) // {RETENTION_SHARE} FROM events) AS kept
 FROM (SELECT CAST(ts AS DATE) AS day, CAST(sum({_EVENT_BYTES}) AS BIGINT) AS bytes FROM events GROUP BY 1) d"""
 
 
@@ -598,19 +600,42 @@ def _event_bytes():
     return F.octet_length("event_type") + F.octet_length("props") + F.lit(32)
 
 
+def _size_cap(ev):
+    return ev.agg(F.floor(F.sum(_event_bytes()) / RETENTION_SHARE)).scalar()
+
+
 @register("retention_size", _DAY_SIZES_SQL)
 def q_retention_size(spark, sf):
     from docscope.operators.retention import day_sizes, size_cutoff
-    return size_cutoff(day_sizes(table(spark, sf, "events"), "ts", _event_bytes()), RETENTION_BYTES)
+    ev = C.published_events(spark, sf)
+    return size_cutoff(day_sizes(ev, "ts", _event_bytes()), _size_cap(ev))
+
+
+_SIZE_ROWS_SQL = f"""SELECT event_id, ts FROM events
+WHERE CAST(ts AS DATE) IN (SELECT day FROM ({_DAY_SIZES_SQL}) s WHERE kept)"""
 
 
-@register("retention_size_rows", f"""SELECT event_id, ts FROM events
-WHERE CAST(ts AS DATE) IN (SELECT day FROM ({_DAY_SIZES_SQL}) s WHERE kept)""")
+@register("retention_size_rows", _SIZE_ROWS_SQL)
 def q_retention_size_rows(spark, sf):
-    """The events of the newest days that fit the size cap."""
-    from docscope.operators.retention import keep_by_size
-    kept = keep_by_size(table(spark, sf, "events"), "ts", _event_bytes(), RETENTION_BYTES / (1024 * 1024))
-    return kept.select("event_id", "ts")
+    """The events of the newest days that fit the size cap; other days are not read."""
+    from docscope.operators.retention import keep_days_by_size
+    ev = C.published_events(spark, sf)
+    return keep_days_by_size(ev, "ts", _event_bytes(), _size_cap(ev)).select("event_id", "ts")
+
+
+@register("retention_drop", _SIZE_ROWS_SQL)
+def q_retention_drop(spark, sf):
+    """The event table as a catalog table by day, after the days that don't fit the size cap have been
+    dropped with their files."""
+    from docscope.operators.retention import day_sizes, drop_days, oldest_kept_day
+    from docscope.session import work_dir
+    ev = C.published_events(spark, sf)
+    name = f"retained.{_scratch(spark, 'events').rsplit('/', 1)[-1].replace('-', '_')}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS retained LOCATION '{work_dir(spark)}/retained'")
+    ev.hint("rebalance", F.col("day")).write.partitionBy("day").format("parquet").saveAsTable(name)
+    oldest = oldest_kept_day(day_sizes(spark.table(name), "ts", _event_bytes()), _size_cap(ev)).first()["day"]
+    drop_days(spark, name, oldest)
+    return spark.table(name).select("event_id", "ts")
 
 
 @register("feed_times", sql("""SELECT file, last_modified <> '' AS dated, true AS has_time FROM topics""", "topics"))
@@ -862,15 +887,52 @@ def q_coverage_report(spark, sf):
     SELECT url, title, product, product_title, version, content_type, section, last_modified, file,
       text AS body, 1 AS run FROM topics) u) q WHERE rn = 1""", "topics", "prev_topics"))
 def q_stream_upsert(spark, sf):
-    """Feeds of two runs (previous and current catalog) drained by a file
-    stream whose foreachBatch merges every micro-batch into a versioned
-    table: per topic file, the newest run wins."""
-    from docscope.sources.feed import write_feed
+    """Feeds of two runs (previous and current catalog) appended to one table by a
+    file stream; per topic file, the newest run wins."""
     from docscope.streaming.ingest import upsert_stream
-    feed, out = _scratch(spark, "feeds"), _scratch(spark, "upsert")
-    write_feed(PB.event_rows(C.published(spark, sf, FX.CATALOG_RAW_PREVIOUS)), f"{feed}/run0")
-    write_feed(_events(spark, sf), f"{feed}/run1")
-    return upsert_stream(spark, f"{feed}/*", f"{out}/table", f"{out}/_checkpoint").drop("source", "part")
+    feed, out = _two_runs(spark, sf), _scratch(spark, "upsert")
+    return upsert_stream(spark, f"{feed}/*/*", f"{out}/table", f"{out}/_checkpoint").drop("source")
+
+
+def _two_runs(spark, sf):
+    """Feed folder with the deliveries of the previous and the current run."""
+    from docscope.sources.feed import write_feed
+    feed = _scratch(spark, "feeds")
+    write_feed(PB.event_rows(C.published(spark, sf, FX.CATALOG_RAW_PREVIOUS)), f"{feed}/first/run0")
+    write_feed(_events(spark, sf), f"{feed}/first/run1")
+    return feed
+
+
+@register("stream_latest", sql("""SELECT file, run, url, title, product, version, last_modified FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY run DESC) AS rn FROM (
+    SELECT file, 0 AS run, url, title, product, version, last_modified FROM prev_topics
+    UNION ALL SELECT file, 1, url, title, product, version, last_modified FROM topics) u) q WHERE rn = 1""",
+                               "topics", "prev_topics"))
+def q_stream_latest(spark, sf):
+    """One row per topic from keyed state on the stream, though the newest run and then the
+    previous one are delivered again after the first drain."""
+    from docscope.sources.feed import write_feed
+    from docscope.streaming.ingest import latest_stream
+    feed, out = _two_runs(spark, sf), _scratch(spark, "latest")
+    columns = ["url", "title", "product", "version", "last_modified"]
+    latest_stream(spark, f"{feed}/*/*", f"{out}/table", f"{out}/_checkpoint", columns)
+    write_feed(_events(spark, sf), f"{feed}/again/run1")
+    write_feed(PB.event_rows(C.published(spark, sf, FX.CATALOG_RAW_PREVIOUS)), f"{feed}/again/run0")
+    return latest_stream(spark, f"{feed}/*/*", f"{out}/table", f"{out}/_checkpoint", columns)
+
+
+@register("atomic_replace", sql("""SELECT id, url, 1 AS run, (SELECT count(*) FROM prev_planned) AS before
+FROM planned""", "planned", "prev_planned"))
+def q_atomic_replace(spark, sf):
+    """The plan published over the previous one: the new rows, beside the count that a reader who
+    opened the old version still gets."""
+    from docscope.operators.swap import opened, publish
+    name = _scratch(spark, "plan").rsplit("/", 1)[-1].replace("-", "_")
+    publish(PL.dedup_by_id(C.published_plan(spark, sf, FX.CATALOG_RAW_PREVIOUS)).select("id", "url", F.lit(0).alias("run")),
+            name)
+    old = opened(spark, name)
+    publish(PL.dedup_by_id(C.published_plan(spark, sf)).select("id", "url", F.lit(1).alias("run")), name)
+    return opened(spark, name).withColumn("before", old.agg(F.count(F.lit(1))).scalar())
 
 
 @register("document_table", sql(f"""SELECT * FROM (SELECT coalesce(nullif(product_title, ''), 'Other') AS category, title,

@@ -1,18 +1,16 @@
 """Structured Streaming ingest of the event feed and incremental publishing.
 
 * ``ingest_stream`` - monitor a feed directory (``readStream.json``), add event
-  time and source, append to a Parquet table with a checkpoint; run with
+  time and source, append to a Parquet table partitioned by day with a checkpoint; run with
   ``availableNow`` to drain what is there, or with a processing-time trigger.
-* ``merge_into`` - per micro-batch (``foreachBatch``) upsert of new topic rows
-  into the stored table: newest run per id wins. Done against the touched hash
-  partitions of the stored table, not in streaming state, so neither state nor
-  the work of a batch grows with the corpus.
+* ``upsert_stream`` - append every run's rows to one table and read the newest run
+  per key: the work of a micro-batch is its own rows, whatever is stored.
+* ``latest_stream`` - the same on the stream itself: keyed state, one row per topic.
 * ``latest_per_key`` - re-delivered events: the latest row per key.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +36,8 @@ def feed_stream(spark: SparkSession, path: str, glob: str = FEED_GLOB,
 def ingest_stream(spark: SparkSession, feed_dir: str, table_dir: str, checkpoint: str,
                   available_now: bool = True, glob: str = FEED_GLOB):
     """Start the ingest query; returns the ``StreamingQuery``."""
-    w = (feed_stream(spark, feed_dir, glob).writeStream.format("parquet")
+    rows = feed_stream(spark, feed_dir, glob).withColumn("day", F.to_date("_time"))
+    w = (rows.writeStream.format("parquet").partitionBy("day")
          .option("path", table_dir).option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="4 seconds")
     return w.start()
@@ -57,72 +56,41 @@ def merge_topics(stored: DataFrame, new: DataFrame, key: str = "id", run_col: st
     return latest_per_key(stored.unionByName(new, allowMissingColumns=True), [key], [run_col])
 
 
-#: Hash partitions of an upserted table: a micro-batch rewrites those it touches.
-UPSERT_PARTS = 64
-
-
-def current_version(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """(part, path) of the newest version's partitions (of the newest before epoch
-    ``before``), from the pointers; None before the first batch. A pointer is written after the files that it names,
-    so a reader sees a whole version or the one before."""
-    try:
-        p = spark.read.schema("part int, path string, epoch long").parquet(f"{table_dir}/_pointers/*")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    if before is not None:
-        p = p.filter(F.col("epoch") < before)
-    return p.groupBy("part").agg(F.max_by("path", "epoch").alias("path"))
-
-
-def read_upserted(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    """The newest version of a table that ``merge_into`` keeps."""
-    now = current_version(spark, table_dir)
-    if now is None:
-        return None
-    paths = [r["path"] for r in now.collect()]  # at most UPSERT_PARTS
-    return spark.read.option("mergeSchema", True).parquet(*paths)
-
-
-def merge_into(table_dir: str, key: str = "id", run_col: str = "run", parts: int = UPSERT_PARTS):
-    """``foreachBatch`` function: upsert each micro-batch into the table.
-
-    Rows live in hash partitions of the key. A batch reads and rewrites only the
-    partitions that it has keys of, into files of its own epoch, and then writes
-    the pointers that name them; the others stay as they are. A batch that is run
-    again after a failure writes the same epoch again."""
-    def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-        new = latest_per_key(batch, [key], [run_col]).withColumn("part", part).persist()
-        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
-        if touched:
-            out, merged = f"{table_dir}/epoch={epoch}", new
-            stored = current_version(spark, table_dir, before=epoch)
-            if stored is not None:
-                old = [r["path"] for r in stored.filter(F.col("part").isin(touched)).collect()]
-                if old:
-                    kept = spark.read.option("mergeSchema", True).parquet(*old).withColumn("part", part)
-                    merged = merge_topics(kept, new, key, run_col)
-            merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(out)
-            spark.createDataFrame([(p, f"{out}/part={p}", epoch) for p in touched],
-                                  "part int, path string, epoch long").coalesce(1).write.mode(
-                "overwrite").parquet(f"{table_dir}/_pointers/{epoch:08d}")
-        new.unpersist()
-    return run
-
-
-def upsert_stream(spark: SparkSession, feed_glob: str, table_dir: str, checkpoint: str, key: str = "file",
-                  run_of_path: str = r"/run(\d+)/") -> DataFrame | None:
-    """Drain feed files into a keyed table with ``foreachBatch`` upserts: each
-    file's run number comes from its path; per key the newest run wins. Returns
-    the table's newest version, also if a restart finds no new files (None if
-    there never was one)."""
-    rows = feed_stream(spark, feed_glob).withColumn(
+def run_rows(spark: SparkSession, feed_glob: str, run_of_path: str = r"/run(\d+)/") -> DataFrame:
+    """The feed with the number of the run that wrote each file, from its path."""
+    return feed_stream(spark, feed_glob).withColumn(
         "run", F.regexp_extract("source", run_of_path, 1).cast("int")).drop("_time")
-    merge = merge_into(table_dir, key=key, run_col="run")
-    q = (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def upsert_stream(spark: SparkSession, feed_glob: str, table_dir: str, checkpoint: str, key: str = "file") -> DataFrame:
+    """Drain feed files into an append-only Parquet table, partitioned by run, and
+    return its newest row per key. Nothing written is written again; the file sink's log
+    makes each file's rows appear once, also after a restart."""
+    rows = run_rows(spark, feed_glob)
+    q = (rows.writeStream.format("parquet").option("path", table_dir).option("checkpointLocation", checkpoint)
+         .partitionBy("run").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_upserted(spark, table_dir, rows.schema, key)
+
+
+def read_upserted(spark: SparkSession, table_dir: str, schema, key: str = "file") -> DataFrame:
+    """The newest run's row per key; of one run, the last file's."""
+    return latest_per_key(spark.read.schema(schema).parquet(table_dir), [key], ["run", "source"])
+
+
+def latest_stream(spark: SparkSession, feed_glob: str, table_dir: str, checkpoint: str, columns: list[str],
+                  key: str = "file") -> DataFrame:
+    """Keyed state on the stream: per key the newest run's ``columns`` (no bodies), one
+    state row per topic however often it is delivered. Every micro-batch writes the keys it
+    has seen, with their newest values, to its own epoch partition (the same one when it is
+    run again); returns the newest epoch's row per key."""
+    newest = run_rows(spark, feed_glob).groupBy(key).agg(F.max(F.struct("run", *columns)).alias("newest"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.select(key, "newest.*").write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch}")
+
+    q = (newest.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_upserted(spark, table_dir)
+    schema = newest.select(key, "newest.*").schema.add("epoch", "long")
+    return latest_per_key(spark.read.schema(schema).parquet(table_dir), [key], ["epoch"]).drop("epoch")

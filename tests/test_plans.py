@@ -104,3 +104,67 @@ def test_planning_has_one_equi_join_and_bodies_are_not_shuffled(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     build = executed(C.topics(spark, SF_SMOKE))
     assert "NestedLoop" not in build and "MapInPandas" not in build and "html#" not in build
+
+
+def _by_day(spark, path):
+    from docscope.operators.retention import write_by_day
+    rows = [(i, None if i % 11 == 0 else dt.datetime(2024, 1, 1 + i % 9, i % 24), "x" * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz, payload string")
+    write_by_day(df, path)
+    return df, spark.read.parquet(path)
+
+
+def test_day_partitions_keep_what_the_rows_keep(spark, tmp_dir):
+    from docscope.operators import retention as R
+    df, stored = _by_day(spark, tmp_dir + "/days")
+    now, size = F.lit(dt.datetime(2024, 1, 9, 20)).cast("timestamp_ntz"), F.length("payload") + F.lit(1)
+    for seconds in (0, 3600, 100_000, 9 * 86_400):
+        want = sorted(r.id for r in R.keep_by_age(df, "ts", now, seconds).collect())
+        assert sorted(r.id for r in R.keep_days_by_age(stored, "ts", now, seconds).collect()) == want
+    for cap in (0, 20, 75, 160, 300, 800, 10_000):
+        days = R.size_cutoff(R.day_sizes(df, "ts", size), cap).where("kept").select("day")
+        want = sorted(r.id for r in df.join(days, F.to_date("ts").eqNullSafe(days["day"]), "left_semi").collect())
+        assert sorted(r.id for r in R.keep_days_by_size(stored, "ts", size, cap).collect()) == want, cap
+
+
+@pytest.mark.parametrize("name", ["retention_age", "retention_size_rows"])
+def test_retention_prunes_partitions(spark, name):
+    from docscope.plans.queries import QUERIES
+    scans = [x for x in _plan_text(QUERIES[name](spark, SF_SMOKE)).splitlines() if "FileScan" in x]
+    assert any("PartitionFilters: []" not in x and "day#" in x.split("PartitionFilters:")[1] for x in scans)
+
+
+def test_dropped_days_lose_their_files(spark, tmp_dir):
+    import os
+    from docscope.operators.retention import drop_days
+    _, stored = _by_day(spark, tmp_dir + "/days")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS drop_test LOCATION '{tmp_dir}/db'")
+    stored.write.partitionBy("day").format("parquet").saveAsTable("drop_test.events")
+    want = stored.where("day >= DATE'2024-01-04' or day is null").count()
+    assert drop_days(spark, "drop_test.events", dt.date(2024, 1, 4)) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert spark.table("drop_test.events").count() == want
+    left = sorted(x for x in os.listdir(f"{tmp_dir}/db/events") if x.startswith("day="))
+    assert left[0] == "day=2024-01-04" and any("HIVE_DEFAULT" in x for x in left)
+    assert drop_days(spark, "drop_test.events", dt.date(2024, 1, 4)) == []
+    spark.sql("DROP DATABASE drop_test CASCADE")
+
+
+def test_replacement_is_seen_whole_or_not_at_all(spark):
+    from docscope.operators.swap import opened, publish
+    publish(spark.range(5).withColumn("v", F.lit("old")), "swap_test")
+    reader = opened(spark, "swap_test")
+    publish(spark.range(7).withColumn("v", F.lit("new")).withColumn("more", F.lit(1)), "swap_test")
+    assert reader.count() == 5 and {r.v for r in reader.collect()} == {"old"}
+    assert opened(spark, "swap_test").count() == 7 and "more" in opened(spark, "swap_test").columns
+    broken = spark.range(9).withColumn("v", F.when(F.col("id") == 8, F.raise_error(F.lit("killed"))).otherwise("x"))
+    with pytest.raises(Exception, match="killed"):
+        publish(broken, "swap_test")
+    assert opened(spark, "swap_test").count() == 7
+    spark.sql("DROP VIEW swap_test")
+
+
+def test_size_retention_cuts_and_keeps_at_every_scale(spark):
+    from docscope.plans.queries import QUERIES
+    for sf in (SF_SMOKE, SF_SMOKE.replace("0.001", "0.1")):
+        kept = QUERIES["retention_size_rows"](spark, sf).count()
+        assert 0 < kept < spark.read.parquet(f"{sf}/events.parquet").count()

@@ -91,7 +91,7 @@ def test_stream_equals_batch_and_merge(spark, tmp_dir):
     from docscope.operators.publish import EVENT_FIELDS
     from docscope.sources.feed import write_decoy
     from docscope.sources.feed import read_feed, write_feed
-    from docscope.streaming.ingest import ingest_stream, merge_into
+    from docscope.streaming.ingest import ingest_stream
     rows = [tuple(f"{f}{i}" for f in EVENT_FIELDS[:-2]) + (f"f{i % 3}", "bödy\r\nx") for i in range(9)]
     ev = spark.createDataFrame(rows, ", ".join(f"{f} string" for f in EVENT_FIELDS))
     feed = os.path.join(tmp_dir, "feed")
@@ -107,25 +107,51 @@ def test_stream_equals_batch_and_merge(spark, tmp_dir):
     assert undated.where("_time is null").count() == 0
 
 
-def rows_of(df):
-    return {r.id: r.v for r in df.collect()}
-
-
-def test_upsert_keeps_the_newest_run_and_untouched_partitions(spark, tmp_dir):
-    from docscope.streaming.ingest import current_version, merge_into, read_upserted
-    table = os.path.join(tmp_dir, "m")
-    schema = "id string, run int, v string"
-    merge = merge_into(table, parts=8)
-    merge(spark.createDataFrame([(f"k{i}", 0, "old") for i in range(40)] + [("k1", 1, "new")], schema), 0)
-    assert rows_of(read_upserted(spark, table)) == {f"k{i}": "new" if i == 1 else "old" for i in range(40)}
-    merge(spark.createDataFrame([("k2", 2, "newer"), ("k1", 0, "older")], schema), 1)
-    merge(spark.createDataFrame([("k2", 2, "newer"), ("k1", 0, "older")], schema), 1)  # run again after a failure
-    want = {f"k{i}": "old" for i in range(40)} | {"k1": "new", "k2": "newer"}
-    assert rows_of(read_upserted(spark, table)) == want
-    paths = [r.path for r in current_version(spark, table).collect()]
-    assert 1 <= sum("epoch=1" in p for p in paths) <= 2 and len(paths) == 8
-    assert merge(spark.createDataFrame([], schema), 2) is None
-    assert rows_of(read_upserted(spark, table)) == want
+def _feed(spark, path, rows):
+    """``rows``: {file: title} written as one delivery."""
+    from docscope.operators.publish import EVENT_FIELDS
+    from docscope.sources.feed import write_feed
+    values = [tuple({"file": f, "title": t}.get(c, "x") for c in EVENT_FIELDS) for f, t in rows.items()]
+    write_feed(spark.createDataFrame(values, ", ".join(f"{f} string" for f in EVENT_FIELDS)), path)
+
+
+def _titles(df):
+    rows = df.select("file", "title", "run").collect()
+    assert len({r.file for r in rows}) == len(rows)
+    return {r.file: (r.title, r.run) for r in rows}
+
+
+@pytest.mark.parametrize("kind", ["append", "state"])
+def test_newest_run_wins_over_redeliveries(spark, tmp_dir, kind):
+    """Every delivery is drained by a restart on the same checkpoint."""
+    from docscope.streaming.ingest import latest_stream, upsert_stream
+    feed, table, ck = (os.path.join(tmp_dir, x) for x in ("feed", "table", "ck"))
+
+    def drain():
+        if kind == "append":
+            return _titles(upsert_stream(spark, f"{feed}/*/*", table, ck))
+        return _titles(latest_stream(spark, f"{feed}/*/*", table, ck, ["title", "url"]))
+
+    _feed(spark, f"{feed}/a/run0", {f"k{i}": "old" for i in range(9)})
+    assert drain() == {f"k{i}": ("old", 0) for i in range(9)}
+    _feed(spark, f"{feed}/a/run2", {"k1": "new", "k20": "first"})
+    want = {f"k{i}": ("old", 0) for i in range(9)} | {"k1": ("new", 2), "k20": ("first", 2)}
+    assert drain() == want
+    _feed(spark, f"{feed}/b/run2", {"k1": "new", "k20": "first"})  # delivered again
+    _feed(spark, f"{feed}/b/run1", {"k1": "late", "k2": "late"})  # an older run comes late
+    want["k2"] = ("late", 1)
+    assert drain() == want
+    assert drain() == want  # nothing new
+
+
+def test_state_holds_one_row_per_topic(spark, tmp_dir):
+    from docscope.streaming.ingest import latest_stream
+    feed, table, ck = (os.path.join(tmp_dir, x) for x in ("feed", "table", "ck"))
+    for again in range(3):
+        _feed(spark, f"{feed}/{again}/run1", {f"k{i}": "t" for i in range(7)})
+        assert latest_stream(spark, f"{feed}/*/*", table, ck, ["title", "url"]).count() == 7
+    state = spark.read.format("statestore").load(ck)
+    assert state.count() == 7
 
 
 def test_upsert_stream_restart_returns_the_same_version(spark, tmp_dir):
