@@ -22,13 +22,17 @@ multisets:
 2. a bucket's head is its node with most rows in its buckets; every node is compared with
    the best of its buckets' heads, and verified links give first components; then with the
    other heads, as far as they are in another component (both linear in the bucket);
-3. in buckets that still hold several components, pairs of *different* components
-   are compared; a one-bit sketch of the signature (more than ``SKETCH_FAR``
-   differing bits of 320 has probability 7e-5 at similarity 0.8, a ninth of the bands' own miss) and
-   the sizes reject most before their shingles are read. Pairs inside one component need no comparison: their class is known.
-
-So a group of thousands of near copies costs about one comparison per member, and no
-bucket is capped.
+   a one-bit sketch of the signature (more than ``SKETCH_FAR`` differing bits of 320) puts
+   unlikely heads off to the third step;
+3. nodes of buckets that still hold several components are joined exactly, whatever their buckets: the
+   members of a multiset are ordered by rising frequency among them, and a pair of
+   *different* components at similarity t or more shares a member among the first
+   ``n - ceil(2t/(1+t) n) + 1`` of the smaller and the first ``n - ceil(t n) + 1`` of the larger one, where what
+   follows in both is long enough to reach the overlap that t asks for. All of this is the join's
+   condition. Pairs inside one component need no comparison: their class is known.
+
+So a group of thousands of near copies costs about one comparison per member, and texts that only
+share a passage meet in none: their own members are rarer and stand first. No bucket is capped.
 
 Edge cases: a text without words (null, empty, white space) is its own class and
 links with nothing; equal texts are one class, whatever their language or source; repeated
@@ -240,12 +244,10 @@ def _far(a: str, b: str) -> F.Column:
                 for i in range(SKETCH_WORDS)), F.lit(0))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame,
-             threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b, similarity) among candidate ``pairs`` (a, b), by whole multisets.
+def multisets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, members) of the ``wanted`` nodes (node), from their whole texts.
     ``docs``: (doc_id, text); ``nodes``: (node, key, first_doc)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(
-        nodes.select("node", "key", F.col("first_doc").alias("doc_id")), "node")
+    wanted = wanted.distinct().join(nodes.select("node", "key", F.col("first_doc").alias("doc_id")), "node")
     texts = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
     # rows that repeat a document are equal: one is read
     one_each = texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text")
@@ -254,14 +256,50 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame,
         alone = texts.filter("doc_id is null").dropDuplicates(["key"])
         one_each = one_each.unionByName(
             alone.join(wanted.filter("doc_id is null").select("node", "key"), "key").select("node", "text"))
-    sets = stash(one_each.mapInArrow(
-        _multisets, "node long, members array<bigint>"), "bmh-sets")
+    return stash(one_each.mapInArrow(_multisets, "node long, members array<bigint>"), "bmh-sets")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b, similarity) among candidate ``pairs`` (a, b), by whole multisets."""
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     return stash(two.select("a", "b", "x", "y").mapInArrow(
         _verify(threshold), "a long, b long, similarity double"), "bmh-links")
 
 
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``linked`` with the multisets of the pairs' own nodes."""
+    return linked(pairs, multisets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, nodes), threshold)
+
+
+def _up(x: F.Column) -> F.Column:
+    """Rounded up, but for what floating point adds."""
+    return F.ceil(x - 1e-9)
+
+
+def prefix_pairs(sets: DataFrame, roots: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (node, members) whose ``roots`` (node, root) differ and whose similarity may
+    reach the threshold: every pair that does, and few others."""
+    t = threshold
+    each = sets.select("node", F.size("members").alias("n"), F.explode("members").alias("m"))
+    shared = each.groupBy("m").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # members of one node alone come first, in whatever order: only how many there are counts
+    lists = each.join(shared, "m").groupBy("node", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "m"))).alias("c"))
+    own = F.col("n") - F.size("c")
+    probe, index = (F.col("n") - _up(F.col("n") * x) + 1 for x in (t, 2 * t / (1 + t)))
+    first = lists.select("node", "n", own.alias("own"), index.alias("index"), F.posexplode(
+        F.slice("c", F.lit(1), F.greatest(probe - own, F.lit(0)).cast("int"))).alias("i", "x"))
+    first = stash(first.join(roots, "node").select(
+        "node", "root", "n", "index", (F.col("own") + F.col("i")).alias("pos"), F.col("x.m").alias("m")), "bmh-prefixes")
+    y, x = first.filter("pos < index").alias("y"), first.alias("x")
+    overlap = _up((F.col("x.n") + F.col("y.n")) * (t / (1 + t)))
+    within = (F.struct("y.n", "y.node") < F.struct("x.n", "x.node")) & (F.col("y.n") >= _up(F.col("x.n") * t))
+    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= overlap
+    return (x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.root") != F.col("y.root")) & within & reach)
+            .select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
+
+
 def _mixed_buckets(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, node, root, sketch) of the buckets that hold several components."""
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -316,16 +354,12 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         roots = components(links.select("a", "b"))
         rest = _mixed_buckets(nodes, roots)
 
-    # then every pair of different components that the sketches do not rule out
-    l, r = rest.alias("l"), rest.alias("r")
-    more = (l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node"))
-                   & (F.col("l.root") != F.col("r.root"))
-                   & (F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size"))
-                   & (_far("l", "r") <= SKETCH_FAR))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
-    more = stash(more.join(compared, ["a", "b"], "left_anti"), "bmh-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, nodes, threshold))
+    # then every pair of different components that may be similar enough
+    apart = stash(rest.select("node", "root").distinct(), "bmh-apart")
+    if not apart.isEmpty():
+        sets = multisets(apart.select("node"), docs, nodes)
+        more = stash(prefix_pairs(sets, apart, threshold).join(compared, ["a", "b"], "left_anti"), "bmh-pairs")
+        links = links.unionByName(linked(more, sets, threshold))
         roots = components(links.select("a", "b"))
     named = nodes.select("node", "key", "first_doc").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))

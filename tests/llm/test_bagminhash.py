@@ -169,3 +169,53 @@ def test_shingles_of_short_and_long_texts():
     size = np.bincount(doc, weights=count, minlength=len(texts))
     assert size.tolist() == [0, 0, 1, 1, 1, 2, 4996]
     assert (np.bincount(doc, minlength=len(texts)) == [0, 0, 1, 1, 1, 2, 1]).all()
+
+
+def passage_rows(n, own, seed=11):
+    """Documents that share one passage of 60 words and hold ``own`` words of their own."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    return [(i, " ".join(passage + [f"d{i}x{rng.randrange(10 ** 6)}" for _ in range(own)])) for i in range(n)]
+
+
+def _sets(spark, rows):
+    """(node, members) and (node, root) with every text its own component."""
+    from docscope.llm.common import prepare
+    prepare(spark)
+    docs = spark.createDataFrame(rows, "node long, text string")
+    sets = docs.mapInArrow(B._multisets, "node long, members array<bigint>")
+    return sets, docs.selectExpr("node", "node as root")
+
+
+@pytest.mark.parametrize("own", [4, 6, 7, 8, 9, 20])
+def test_texts_that_share_a_passage_meet_only_if_similar(spark, own):
+    rows = passage_rows(60, own)
+    sets, roots = _sets(spark, rows)
+    got = {tuple(sorted((r.a, r.b))) for r in B.prefix_pairs(sets, roots).collect()}
+    bags = [multiset(t) for _, t in rows]
+    want = {(i, j) for j in range(60) for i in range(j) if similarity(bags[i], bags[j]) >= 0.8}
+    assert got == want  # nothing missed, and none built in vain: all pairs or no pair
+
+
+def test_prefix_pairs_miss_no_similar_pair(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(140):
+        base = [f"w{rng.randrange(6)}_{j}" for j in range(rng.randrange(1, 40))]
+        rows.append((i, " ".join(rng.choice([base, base * 2, base[:-1] + ["end"]]))))
+        if i % 2:
+            words = rows[rng.randrange(i)][1].split()
+            words[rng.randrange(len(words))] = "changed"
+            rows[i] = (i, " ".join(words))
+    sets, roots = _sets(spark, rows)
+    got = {tuple(sorted((r.a, r.b))) for r in B.prefix_pairs(sets, roots).collect()}
+    bags = [multiset(t) for _, t in rows]
+    want = {(i, j) for j in range(140) for i in range(j) if similarity(bags[i], bags[j]) >= 0.8}
+    assert want and want <= got
+
+
+def test_large_passage_group_equals_brute_force(spark):
+    rows = passage_rows(120, 8) + [(1000 + i, t) for i, t in passage_rows(40, 3, seed=4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in B.duplicate_classes(docs).collect()}
+    assert got == classes(rows)
