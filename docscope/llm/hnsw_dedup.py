@@ -9,12 +9,13 @@ beam on the lowest, and then floods from the hits along graph links as long as i
 meets hits, so a group of thousands of near copies is found whole. Hits are
 verified: cosine in double precision on the original vectors.
 
-Beam: an audit in every task compares queries, in random order, with the shard compared
-whole, until enough links and enough queries that have some are known; the beam is
-doubled until the graph finds all of them. Where it does not even with a beam of the
+Beam: an audit in every task compares ``AUDITED`` queries with the whole shard, and as many of
+those that the graph itself puts beside a near copy. A search for a node of the shard begins at that
+node; where queries come from other shards, as many probes are audited too: shard vectors turned until
+their cosine is just above the threshold, so there are links to find also where the data has none. The beam is
+doubled until the graph finds all that the audit knows. Where it does not even with a beam of the
 whole shard (pruned links can leave nodes that no beam reaches), every query of the task
-is compared with the whole shard; where links are so few that the audit comes to the
-last query, its answers are the task's.
+is compared with the whole shard.
 
 A task returns, per node, the number of linked rows it found, and a spanning
 forest of its links (at most one link a node), never all pairs. Components
@@ -41,10 +42,13 @@ from docscope.llm.components import components
 
 THRESHOLD = 0.98
 M, M0, BUILD_BEAM, BEAM = 10, 20, 32, 24
-SHARD_ROWS = 4_096
+#: A shard's links among its own nodes are a bit matrix: 32 MB.
+SHARD_ROWS = 16_384
 BLOCK_ROWS = 32_768
-#: An audit ends once it knows so many queries that have links, and so many links.
-AUDITED, AUDITED_LINKS = 64, 256
+#: Queries, queries with links, and planted probes that a task audits, of each so many.
+AUDITED = 64
+#: Nodes among which the audit looks for those with links.
+AUDIT_LOOK = 2_048
 #: Queries compared with a whole shard at once.
 PRODUCT_ROWS = 256
 #: Partitions that the (shard, block) tasks are dealt into at most; each then does several in turn.
@@ -221,41 +225,54 @@ def _task(threshold: float, beam: int):
                     near = np.flatnonzero(sims >= threshold)
                     yield i, near[near != own[i]]
 
-        exact, n_linked, n_known = {}, 0, 0
-        for i, near in whole(np.random.default_rng(5).permutation(len(q))):
-            exact[i] = near
-            n_linked += len(near) > 0
-            n_known += len(near)
-            if n_linked >= AUDITED and n_known >= AUDITED_LINKS:
-                break
-
-        def answers():
-            if len(exact) == len(q):
-                return sorted(exact.items())
-            graph = Graph(ux.astype(np.float32))
-            low_q = uq.astype(np.float32)
-
-            def links(i, width):
-                near = graph.hits(low_q[i], width, threshold - SLACK, int(own[i]) if own[i] >= 0 else None)
-                near = near[near != own[i]]
-                return near[ux[near] @ uq[i] >= threshold]
-
+        graph = Graph(ux.astype(np.float32))
+
+        def links(v, width, start=-1):
+            near = graph.hits(v.astype(np.float32), width, threshold - SLACK, start if start >= 0 else None)
+            near = near[near != start]
+            return near[ux[near] @ v >= threshold]
+
+        def beam_wide_enough():
+            """Doubled until the audit's links are found; none if no beam finds them."""
+            rng = np.random.default_rng(5)
+            order = rng.permutation(len(q))
+            inside = order[own[order] >= 0]
+            # among the shard's own nodes, those that the graph itself puts beside a near copy come too
+            look = inside[:AUDIT_LOOK]
+            beside = graph.links[0][own[look]]
+            close = ((ux[np.maximum(beside, 0)] * uq[look][:, None, :]).sum(axis=2) >= threshold) & (beside >= 0)
+            some = np.unique(np.concatenate([order[:AUDITED], look[close.any(axis=1)][:AUDITED]]))
+            known = [(uq[i], own[i], len(near)) for i, near in whole(some)]
+            if len(inside) < len(q):  # queries that have no node here to start from
+                planted = ux[rng.permutation(len(x))[:AUDITED]]
+                aside = rng.normal(size=planted.shape)
+                aside -= (aside * planted).sum(axis=1)[:, None] * planted
+                aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-300)[:, None]
+                near = threshold + (1 - threshold) / 10
+                probes = near * planted + np.sqrt(1 - near * near) * aside
+                known += [(v, -1, int((ux @ v >= threshold).sum())) for v in probes]
             width = beam
-            while any(len(links(i, width)) < len(near) for i, near in exact.items() if len(near)):
+            while any(len(links(v, width, start)) < n for v, start, n in known if n):
                 if width >= len(x):
-                    return whole(np.arange(len(q)))
+                    return None
                 width *= 2
-            return ((i, exact[i] if i in exact else links(i, width)) for i in range(len(q)))
+            return width
+
+        width = beam_wide_enough()
+        answers = (whole(np.arange(len(q))) if width is None
+                   else ((i, links(uq[i], width, own[i])) for i in range(len(q))))
 
         label = np.arange(len(x))  # components among the shard's nodes
         count = np.zeros(len(q), np.int64)
         peer = np.full(len(q), -1)
-        mutual = np.zeros((len(x), len(x)), bool) if (own >= 0).any() else None
-        for i, near in answers():
+        # links among the shard's own nodes, found from either end, a bit each
+        mutual = np.zeros((len(x), (len(x) + 7) // 8), np.uint8) if (own >= 0).any() else None
+        for i, near in answers:
             if not len(near):
                 continue
             if own[i] >= 0:
-                mutual[own[i], near] = mutual[near, own[i]] = True
+                np.bitwise_or.at(mutual[own[i]], near >> 3, (128 >> (near & 7)).astype(np.uint8))
+                mutual[near, own[i] >> 3] |= np.uint8(128 >> (own[i] & 7))
                 near = np.append(near, own[i])
             else:
                 count[i] = copies[near].sum()
@@ -265,7 +282,8 @@ def _task(threshold: float, beam: int):
             peer[i] = roots[0]
         inside = own >= 0
         if inside.any():
-            count[inside] = [copies[mutual[r]].sum() for r in own[inside]]
+            count[inside] = [copies[np.unpackbits(mutual[r], count=len(x)).astype(bool)].sum() if mutual[r].any() else 0
+                             for r in own[inside]]
         joined = np.flatnonzero(label != np.arange(len(x)))
         linked = np.flatnonzero(peer >= 0)
         # counts by query; links of queries and of shard nodes to their component's first node
@@ -302,10 +320,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
         "is_query", F.lit(False)).withColumn("block", each("blocks")).select(cols)
     queries = sized.withColumn("block", F.pmod(h, F.col("blocks")).cast("int")).withColumn(
         "is_query", F.lit(True)).withColumn("shard", each("shards")).select(cols)
-    # dealt by the whole key, one partition a task or so: the join above leaves a label
-    # in one partition, and rows are few for the work they cost
+    # dealt by ranges of the whole key, at most one task a partition: rows are few for the
+    # work they cost, and a hash would put several tasks into one partition
     tasks = sizes.agg(F.sum(F.col("shards").cast("long") * F.col("blocks"))).first()[0] or 1
-    dealt = graphs.unionByName(queries).repartition(min(tasks, MAX_TASKS), "label", "dim", "shard", "block")
+    dealt = graphs.unionByName(queries).repartitionByRange(
+        min(2 * tasks, MAX_TASKS), "label", "dim", "shard", "block")
     found = stash(dealt.groupBy("label", "dim", "shard", "block").applyInArrow(
         _task(threshold, beam), "node long, n_links long, peer long"), "hnsw-links")
     roots = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))

@@ -130,6 +130,28 @@ def test_task_finds_links_that_no_beam_reaches(monkeypatch, linked):
     assert sorted((r["node"], r["n_links"], r["peer"]) for r in got) == [(900 + i, 2, i) for i in range(linked)]
 
 
+@pytest.mark.parametrize("linked", [0, 30])
+def test_answers_come_from_the_graph(monkeypatch, linked):
+    """Clean data too is searched, not compared whole: the audit is of a fixed size."""
+    searched = []
+    hits = D.Graph.hits
+
+    def watched(self, q, *rest):
+        searched.append(1)
+        return hits(self, q, *rest)
+
+    monkeypatch.setattr(D.Graph, "hits", watched)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    x[1500 - linked:] = x[:linked] + rng.normal(size=(linked, 24)).astype(np.float32) * 0.02
+    both = np.concatenate([x, x])
+    rows = pa.table({"node": np.tile(np.arange(1500), 2), "is_query": np.arange(3000) >= 1500,
+                     "copies": np.full(3000, 1), "embedding": pa.array(both.tolist(), pa.list_(pa.float32()))})
+    got = {r["node"]: r["n_links"] for r in D._task(0.98, 24)(rows).to_pylist() if r["n_links"]}
+    assert got == {i: 1 for i in [*range(linked), *range(1500 - linked, 1500)]}
+    assert len(searched) >= 1500
+
+
 def test_no_rows(spark):
     df = table(spark, [(1, None, 1, 1, 1), (2, [1.0], None, 1, 1)])
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in D.near_duplicates(df).collect()) == [
