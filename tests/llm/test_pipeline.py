@@ -90,4 +90,4 @@ def test_empty_table(spark, stages):
 def test_registered(spark):
     names = set(E.queries())
     assert "pipeline" in names
-    assert {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
