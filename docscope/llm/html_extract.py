@@ -13,7 +13,8 @@ hash); every page is then extracted whole.
 
 The run is then fitted to the page's block structure: the smallest container
 element that holds all of it is the content, so short first and last blocks,
-which cannot pay for the tags around them, stay. Inside the content, menus,
+which cannot pay for the tags around them, stay. Where that is the page itself, those
+of its ``div`` parts that the run does not touch are not content. Inside the content, menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments (by element, role, or class and id) neither score nor count as text.
 A class or id names such a part by its whole token or its head noun (``page-footer``,
@@ -26,8 +27,9 @@ Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one line feed.
 
 Edge cases: null or empty html gives the empty text, as does a page without
-words; unclosed and stray tags, comments, CDATA and ``<`` in text are taken as
-browsers take them, and the end tags that may be left out (of p, li, dt, dd, option and the
+words; unclosed and stray tags, comments, CDATA, quotes and ``<`` in text are taken as
+browsers take them (but a quote that never closes does not swallow the rest), in time linear
+in the page's length, and the end tags that may be left out (of p, li, dt, dd, option and the
 parts of tables) are implied; a page without containers is one container. Repeated rows stay.
 An empty table gives an empty result. Extra input columns are ignored.
 """
@@ -83,6 +85,8 @@ BOILERPLATE = {"nav", "menu", "header", "footer", "aside", "form", "head", "butt
                "label", "annotation", "annotation-xml"}
 #: Never boilerplate, whatever their attributes say.
 CONTENT = {"html", "body", "main", "article"}
+#: The page itself, as opposed to a part of it.
+WHOLE = {"", "html", "body"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert",
          "alertdialog", "menu", "menubar", "form", "toolbar"}
 NOISE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner",
@@ -119,9 +123,12 @@ READERS = {"comment", "comments", "commentlist", "discussion", "disqus", "replie
 #: A layout box holds at least so many words, and such a share of the page's, to be the page itself.
 BULK_WORDS, BULK_SHARE = 50, 0.8
 
-_TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>|"
-                  r"(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute: its name, then perhaps a value in quotes or up to white space.
+_PART = re.compile(r"[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(?P<quote>[\"'])|[^\s>\"'][^\s>]*)?)?)?")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in sorted(RAW)}
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))?)?")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^a-z]+")
 
@@ -171,10 +178,80 @@ def _noisy(name: str, attributes: str) -> int:
     return found
 
 
+class Scanner:
+    """The tags of one page in order, in time linear in its length.
+
+    A tag ends at the first ``>`` that is not in a quoted attribute value, and quotes count
+    only where a value starts, after ``=``. A quote that never closes starts no value. A tag
+    or declaration that never ends is markup up to the end of the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends: the place of its ``>``, or the page's length."""
+        page, n = self.page, len(self.page)
+        if at > self.last[">"]:
+            return n
+        end = page.find(">", at)
+        if page.find('"', at, end) < 0 and page.find("'", at, end) < 0:
+            return end
+        while at < n and page[at] != ">":
+            m = _PART.match(page, at)
+            at = m.end()
+            quote = m["quote"]
+            if quote and at <= self.last[quote]:
+                at = page.find(quote, at) + 1
+        return at
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes) of each tag; the name is empty for what
+        holds neither text nor tags: comments, declarations and the like. Raw elements
+        are one item with all they hold."""
+        page, n, at = self.page, len(self.page), 0
+        cdata = True
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                if page.startswith(("<!-->", "<!--->"), start):  # whole comments
+                    at = page.find(">", start) + 1
+                else:
+                    m = _COMMENT_END.search(page, start + 4)
+                    at = m.end() if m else n
+                yield start, at, "", False, ""
+                continue
+            if cdata and page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                cdata = end >= 0  # none follows: the next ones are declarations too
+                if cdata:
+                    at = end + 3
+                    yield start, at, "", False, ""
+                    continue
+            closing = page.startswith("/", start + 1)
+            m = _NAME.match(page, start + 1 + closing)
+            if m:
+                name, end = m[0].lower(), self.tag_end(m.end())
+                at, attributes = min(end + 1, n), page[m.end():end]
+                if name in RAW:
+                    if not closing and not attributes.rstrip().endswith("/"):
+                        last = _RAW_ENDS[name].search(page, at)
+                        at = min(self.tag_end(last.end()) + 1, n) if last else n
+                    name = ""
+                elif end == n:
+                    name = ""
+                yield start, at, name, closing, attributes
+            elif closing and start + 2 < n or page.startswith(("!", "?"), start + 1):
+                end = page.find(">", start + 1) if start < self.last[">"] else -1
+                at = end + 1 if end >= 0 else n
+                yield start, at, "", False, ""
+            else:
+                at = start + 1  # text
+
+
 class Page:
     """Tokens of one page: text runs and tags with their container path."""
 
-    __slots__ = ("texts", "names", "depths", "paths", "noise")
+    __slots__ = ("texts", "names", "depths", "paths", "noise", "kinds")
 
     def __init__(self, page: str):
         self.texts: list[str] = []    # the text run ("" for a tag)
@@ -182,25 +259,16 @@ class Page:
         self.noise: list[bool] = []   # inside boilerplate, once all of the page is read
         self.paths: list[int] = []    # id of the innermost open container
         parents = [-1]                # container tree; 0 is the page
+        self.kinds = [""]             # name of the container
         stack: list[tuple[str, int, int]] = [("", 0, -1)]   # name, container, number of its span
         is_open: Counter = Counter()  # names on the stack
         spans: list[list[int]] = []   # boilerplate elements: first token, end, kind (see _noisy)
-        at, n = 0, len(page)
-        while at < n:
-            m = _TAG.search(page, at)
-            if not m:
-                self._text(page[at:], stack[-1][1])
-                break
-            if m.start() > at:
-                self._text(page[at:m.start()], stack[-1][1])
-            at = m.end()
-            if m[2] is None:
-                continue
-            name, closing = m[2].lower(), bool(m[1])
-            if name in RAW:
-                if not closing and not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else n
+        at = 0
+        for start, end, name, closing, attributes in Scanner(page).tags():
+            if start > at:
+                self._text(page[at:start], stack[-1][1])
+            at = end
+            if not name:
                 continue
             token = f"/{name}" if closing else name
             if is_open["math"] and name in BLOCKS:  # an unclosed formula ends here
@@ -209,11 +277,12 @@ class Page:
                 self._imply(name, stack, is_open, spans)
             formula = name == "math" or is_open["math"] > 0
             if not closing and name not in VOID:
-                noisy = _noisy(name, m[3])
+                noisy = _noisy(name, attributes)
                 if name in CONTAINERS or noisy or name in IMPLIED:
                     path = stack[-1][1]
                     if name in CONTAINERS or noisy:
                         parents.append(path)
+                        self.kinds.append(name)
                         path = len(parents) - 1
                     stack.append((name, path, len(spans) if noisy else -1))
                     is_open[name] += 1
@@ -233,6 +302,8 @@ class Page:
             self.texts.append("")
             self.names.append(token)
             self.paths.append(stack[-1][1])
+        if at < len(page):
+            self._text(page[at:], stack[-1][1])
         self._close(stack, 1, is_open, spans)
         self.depths = parents
         self._mark(spans)
@@ -295,11 +366,23 @@ class Page:
         return [len(t.split()) * word if not x and not b else (0.0 if not x else weights.get(x, other))
                 for t, x, b in zip(self.texts, self.names, self.noise)]
 
-    def ancestors(self, path: int) -> list[int]:
-        out = []
-        while path >= 0:
-            out.append(path)
-            path = self.depths[path]
+    def within(self, paths: set[int]) -> list[bool]:
+        """By container: does it belong to the innermost container that holds all of ``paths``?
+        Where that is the page itself, its ``div`` parts that hold none of them don't."""
+        held = [0] * len(self.depths)
+        for path in paths:
+            held[path] = 1
+        inside = len(held) - 1
+        while held[inside] < len(paths):  # children are numbered after their parents
+            held[self.depths[inside]] += held[inside]
+            inside -= 1
+        whole = self.kinds[inside] in WHOLE
+        out = [False] * len(held)
+        out[inside] = True
+        for path in range(inside + 1, len(held)):
+            parent = self.depths[path]
+            out[path] = out[parent] and not (
+                whole and parent == inside and not held[path] and self.kinds[path] == "div")
         return out
 
 
@@ -360,23 +443,13 @@ def extract(page_html: str | None, weights: dict[str, float]) -> str:
     words = [i for i in range(a, b) if not page.names[i] and not page.noise[i] and page.texts[i].strip()]
     if not words:
         return ""
-    common = page.ancestors(page.paths[words[0]])
-    for path in {page.paths[i] for i in words}:
-        up = set(page.ancestors(path))
-        common = [c for c in common if c in up]
-    inside, known = common[0], {}
-
-    def within(path: int) -> bool:
-        if path not in known:
-            known[path] = path == inside or (path > inside and within(page.depths[path]))
-        return known[path]
-
+    within = page.within({page.paths[i] for i in words})
     blocks: list[list[str]] = [[]]
     for text, name, noisy, path in zip(page.texts, page.names, page.noise, page.paths):
         if name:
             if name.lstrip("/") in BLOCKS:
                 blocks.append([])
-        elif not noisy and within(path):
+        elif not noisy and within[path]:
             blocks[-1].append(text)
     lines = (_SPACE.sub(" ", html_lib.unescape("".join(x))).strip() for x in blocks if x)
     return "\n".join(x for x in lines if x)

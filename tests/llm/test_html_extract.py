@@ -95,6 +95,53 @@ def test_implied_end_tags_end_boilerplate():
         assert H.extract(page(first + inside, NAV, FOOT), w) == f"{LONG.strip()}\n{want}", inside
 
 
+def test_quotes_count_only_as_attribute_values():
+    w = weights()
+    for inside, want in {
+        """<p><a href="x"">two</a> words""": "two words",
+        "<p title=it's>One two three.</p><p>four it's six.</p>": "One two three.\nfour it's six.",
+        "<p title='a > b' class=x>One</p>": "One",
+        '<p title = "a > b"class="x">One</p>': "One",
+        "<p ' >One</p><p \" x>two</p>": "One\ntwo",
+        "<p title=a/b/>One</p>": "One",
+        "a<!-->b<!--->c<!-- x --!>d<!---->e": "abcde",
+        "a<![CDATA[ x > y ]]>b<? z ?>c</ q>d</>e": "abcde",
+        "a <1 b <= c < d": "a <1 b <= c < d",
+        "<svg><path d='>'/></svg>a<SCRIPT>x</p></scripty>y</Script >b": "ab",
+    }.items():
+        html = page(f"<p>{LONG}</p>{inside}", NAV, FOOT)
+        assert H.extract(html, w) == f"{LONG.strip()}\n{want}", inside
+    # a quote that never closes starts no value; a tag that never ends is no text
+    assert H.extract(f"<article><p>{LONG}</p><p title=\"x>One</p>two", w) == f"{LONG.strip()}\nOne\ntwo"
+    assert H.extract(f"<article><p>{LONG}</p>One <a href='x", w) == f"{LONG.strip()}\nOne"
+
+
+def test_scan_is_linear():
+    import time
+
+    w, n = weights(), 1_000_000
+    for unit in ("<a ", "<", "</", "<!", "<![CDATA[", "<a b='", "<a b=\"'", "<script", "<p '\">", "<!--", "&", "</script "):
+        body = unit * (n // len(unit))
+        for html in (body, f"<article>{body}</article>", f"<script>{body}"):
+            start = time.perf_counter()
+            H.extract(html, w)
+            assert time.perf_counter() - start < 10, unit
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    start = time.perf_counter()
+    got = H.extract("<div>a b c d e f g h i j k l " * 30_000, {"": 1.0, "*": -0.5})
+    assert time.perf_counter() - start < 20 and got.count("\n") == 29_999
+
+
+def test_parts_of_the_page_outside_the_run_are_left_out():
+    body = f"<div id=top>Home About</div><div><p>{LONG}</p><p>Tail.</p></div><div>{LONG}</div><div>Contact</div>"
+    got = H.extract(f"<body>{body}</body>", {"": 1.0, "*": -2.0})
+    assert got == f"{LONG.strip()}\nTail.\n{LONG.strip()}"
+
+
 def test_best_run_equals_brute_force():
     import itertools
     import random
