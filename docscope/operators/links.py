@@ -18,16 +18,13 @@ from docscope.functions import urls as U
 def rewrite_links(links: DataFrame, planned_urls: DataFrame) -> DataFrame:
     """``links(src_id, pos, href, abs_url)`` -> adds ``new_href``.
 
-    Distinct lookup keys are matched against distinct planned URLs first, so a
-    target linked from every page is probed once; the join back to the link
-    rows splits a hot target (say, a home page every topic links to) over
-    many tasks (``skew.salted_left_join``).
+    One left join with the distinct planned URLs: a target that many pages link to
+    (say, the home page) has one row there, and adaptive execution splits the link
+    rows of a skewed partition over many tasks.
     """
-    from docscope.operators.skew import key_counts, salted_left_join
     lk = links.withColumn("key", U.url_key("abs_url")).withColumn("frag", U.url_fragment("abs_url"))
-    counts = key_counts(lk, "key")  # distinct keys and hot keys from one aggregate
-    hits = counts.select("key").join(planned_urls.select(F.col("url").alias("key")).distinct(), "key", "left_semi")
-    j = salted_left_join(lk, hits.withColumn("hit", F.lit(True)), "key", counts=counts)
+    hits = planned_urls.select(F.col("url").alias("key")).distinct().withColumn("hit", F.lit(True))
+    j = lk.join(hits, "key", "left")
     new = F.when(F.col("hit"), F.concat(U.topic_id("key"), F.lit(".html"), F.col("frag"))).otherwise(F.col("href"))
     return j.select("src_id", "pos", "href", new.alias("new_href"))
 

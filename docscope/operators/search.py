@@ -16,6 +16,8 @@ SEARCH_HITS_MAX = 200
 MIN_QUERY_CHARS = 2
 PAGE_SIZE_DOCS = 20
 PAGE_SIZE_TABLE = 25
+#: Order of topic lists.
+COLLATION = "UNICODE"
 
 
 def normalise(df: DataFrame, fields=("category", "content_type", "product_title", "version")) -> DataFrame:
@@ -143,21 +145,25 @@ def version_ranks(nav_rows: DataFrame) -> DataFrame:
 
 
 def section_breaks(nav_rows: DataFrame) -> DataFrame:
-    """Topic lists in (section, title) order with a heading flag on the first
-    topic of each section and the position in the list. Neither step puts a
+    """Topic lists in (section, title) order (see ``ranked_list``) with a heading flag on the
+    first topic of each section and the position in the list. Neither step puts a
     whole (product, version) list in one task (see ``ranking``)."""
-    from docscope.operators.ranking import first_in_group, group_rank
+    from docscope.operators.ranking import first_in_group
     rows = nav_rows.select("product_title", "version", "title", "file",
                            F.coalesce(F.col("section"), F.lit("")).alias("section"))
-    flagged = first_in_group(rows, ["product_title", "version", "section"], ["title", "file"], "is_break")
-    ranked = group_rank(flagged, ["product_title", "version"], ["section", "title", "file"], "item_rank")
-    return ranked.select(
+    flagged = first_in_group(ranked_list(rows), ["product_title", "version", "section"], ["item_rank"], "is_break")
+    return flagged.select(
         "product_title", "version", "title", "file", "section", "is_break",
         F.when(F.col("section") == "", F.lit(GENERAL)).otherwise(F.col("section")).alias("heading"),
         "item_rank")
 
 
 def ranked_list(nav_rows: DataFrame) -> DataFrame:
-    """Topic list of the selected (product, version) with its position."""
+    """Topic lists by (product, version) with each topic's position by section and title, both in
+    the root locale's order (accents and case decide only between otherwise equal words);
+    what that holds equal stands in binary order, then by file."""
     from docscope.operators.ranking import group_rank
-    return group_rank(nav_rows, ["product_title", "version"], ["section", "title", "file"], "item_rank")
+    keyed = nav_rows.withColumns({"_section": F.collate("section", COLLATION), "_title": F.collate("title", COLLATION)})
+    ranked = group_rank(keyed, ["product_title", "version"], ["_section", "section", "_title", "title", "file"],
+                        "item_rank")
+    return ranked.drop("_section", "_title")

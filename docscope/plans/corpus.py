@@ -25,7 +25,7 @@ from docscope.operators.retention import write_by_day
 from docscope.plans import fixtures as FX
 from docscope.session import work_dir
 from docscope.sources.catalog import typed_catalog
-from docscope.sources.tables import table
+from docscope.sources.tables import stored_rows, table
 
 
 def catalog(spark: SparkSession, rows=None) -> DataFrame:
@@ -67,6 +67,20 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _write_topics(df: DataFrame, path: str) -> None:
+    """Topics with a Bloom filter on ``file``: a lookup skips the row groups whose range of ids
+    holds the key but which do not have it."""
+    (df.write.mode("overwrite").option("parquet.bloom.filter.enabled#file", "true")
+     .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path))
+
+
+def stored_total(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One row, ``total``: the rows of the published ``topics``, ``search_index`` or ``plan``,
+    from the files' footers."""
+    {"topics": published, "search_index": published_index, "plan": published_plan}[name](spark, sf_dir)
+    return stored_rows(spark, _PUBLISHED[(spark.sparkContext.applicationId, name, sf_dir.rstrip("/"), repr(None))])
+
+
 def _publish(spark: SparkSession, name: str, key: tuple, build, write=_write) -> DataFrame:
     """Write ``build()`` once per application under the shared work folder and
     return the table read back."""
@@ -87,7 +101,7 @@ def published(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:
     one row group per file."""
     key = (sf_dir.rstrip("/"), repr(catalog_rows))
     return _publish(spark, "topics", key,
-                    lambda: topics(spark, sf_dir, catalog_rows).sortWithinPartitions("id"))
+                    lambda: topics(spark, sf_dir, catalog_rows).sortWithinPartitions("id"), _write_topics)
 
 
 def published_index(spark: SparkSession, sf_dir: str, catalog_rows=None) -> DataFrame:

@@ -87,6 +87,17 @@ def rich_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", F.expr(RICH_HTML)).withColumn("content_type", F.expr(CONTENT_TYPE))
 
 
+#: Pages whose image the asset download has fetched.
+FETCHED = "{id} % 50 % 3 = 0"
+
+
+def fetched_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(abs_url): the images that have been fetched."""
+    pages = table(spark, sf_dir, "pages").where(FETCHED.format(id="page_id"))
+    return pages.select(F.expr(f"concat('{DOC_HOST}/img/p', cast(page_id % 50 as string), '.png')")
+                        .alias("abs_url")).distinct()
+
+
 def doc_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_doc_url(table(spark, sf_dir, "pages").select("page_id")).select("page_id", "doc_url")
 

@@ -280,7 +280,7 @@ def q_topic_docs(spark, sf):
 # --------------------------------------------------------------------------- #
 @register("total_topics", sql("SELECT count(*) AS total FROM topics", "topics"))
 def q_total_topics(spark, sf):
-    return _topics(spark, sf).agg(F.count(F.lit(1)).alias("total"))
+    return C.stored_total(spark, sf, "topics")
 
 
 @register("substring_search", sql(f"""SELECT row_number() OVER (ORDER BY pord, uord) AS hit_rank, id, title, product_title, version, file,
@@ -331,7 +331,11 @@ def q_page_of_results(spark, sf):
                       ["product_title", "title", "url"], RESULT_PAGE, S.PAGE_SIZE_TABLE)
 
 
-@register("browse", sql(f"""SELECT title, file, section, row_number() OVER (ORDER BY section, title, file) AS item_rank
+# topic lists stand in the root locale's order
+_LIST_ORDER = "icu_sort_key(section, 'und'), section, icu_sort_key(title, 'und'), title, file"
+
+
+@register("browse", sql(f"""SELECT title, file, section, row_number() OVER (ORDER BY {_LIST_ORDER}) AS item_rank
 FROM nav WHERE product_title = '{BROWSE_PRODUCT}' AND version = '{BROWSE_VERSION}'""", "nav"))
 def q_browse(spark, sf):
     nav = PB.nav_rows(_topics(spark, sf))
@@ -370,11 +374,11 @@ def q_version_labels(spark, sf):
     return nav.select("product_title", "version").distinct().withColumn("label", X.version_label("version"))
 
 
-@register("section_breaks", sql("""SELECT product_title, version, title, file, section,
+@register("section_breaks", sql(f"""SELECT product_title, version, title, file, section,
   lag(section) OVER w IS NULL OR lag(section) OVER w <> section AS is_break,
   CASE WHEN section = '' THEN 'General' ELSE section END AS heading,
   row_number() OVER w AS item_rank
-FROM nav WINDOW w AS (PARTITION BY product_title, version ORDER BY section, title, file)""", "nav"))
+FROM nav WINDOW w AS (PARTITION BY product_title, version ORDER BY {_LIST_ORDER})""", "nav"))
 def q_section_breaks(spark, sf):
     return S.section_breaks(PB.nav_rows(_topics(spark, sf)))
 
@@ -539,10 +543,10 @@ def q_run_totals(spark, sf):
     planned = PL.dedup_by_id(C.published_plan(spark, sf))
     t = spark.range(1).select(
         C.sitemap_urls(spark, sf).agg(count).scalar().alias("urls_in_sitemaps"),
-        C.published_plan(spark, sf).agg(count).scalar().alias("planned"),
+        C.stored_total(spark, sf, "plan").scalar().alias("planned"),
         planned.agg(count).scalar().alias("topics_planned"),
-        _topics(spark, sf).agg(count).scalar().alias("captured"),
-        C.published_index(spark, sf).agg(count).scalar().alias("indexed"))
+        C.stored_total(spark, sf, "topics").scalar().alias("captured"),
+        C.stored_total(spark, sf, "search_index").scalar().alias("indexed"))
     # done: the planned topics that were captured (responses that are no HTML are not);
     # the stored count falls back to the search index size when unset
     return t.select("urls_in_sitemaps", "planned", "captured",
@@ -550,6 +554,24 @@ def q_run_totals(spark, sf):
                     F.coalesce(F.nullif(F.col("captured"), F.lit(0)), F.col("indexed")).alias("topic_count"))
 
 
+@register("run_totals_repeat", sql("""SELECT * FROM (WITH todo AS (SELECT id, url FROM planned WHERE id NOT IN (SELECT id FROM topics)),
+  got AS (SELECT t.id FROM todo t JOIN doc_urls d ON d.doc_url = t.url JOIN parsed p ON p.page_id = d.page_id AND p.is_html)
+SELECT (SELECT count(*) FROM todo) AS planned,
+  (SELECT count(*) FROM got) AS captured,
+  CASE WHEN (SELECT count(*) FROM todo) > 0 THEN CAST(round(100.0 * (SELECT count(*) FROM got) / (SELECT count(*) FROM todo)) AS BIGINT) ELSE 0 END AS progress_pct,
+  coalesce(nullif((SELECT count(*) FROM got), 0), (SELECT count(*) FROM topics)) AS topic_count) t""", "planned", "topics"))
+def q_run_totals_repeat(spark, sf):
+    """Totals of a run over an unchanged catalog: what is still to do are responses that are no
+    HTML, nothing is captured, so the stored count falls back to the search index."""
+    count = F.count(F.lit(1))
+    todo = PL.incremental_todo(PL.dedup_by_id(C.published_plan(spark, sf)), _topics(spark, sf).select("id"))
+    got = C.html_pages(C.published_pages(spark, sf)).select("url").join(todo.select("url"), "url", "left_semi")
+    t = spark.range(1).select(todo.agg(count).scalar().alias("planned"), got.agg(count).scalar().alias("captured"),
+                              C.stored_total(spark, sf, "search_index").scalar().alias("indexed"))
+    return t.select("planned", "captured", CV.progress_pct(F.col("captured"), F.col("planned")).alias("progress_pct"),
+                    F.coalesce(F.nullif(F.col("captured"), F.lit(0)), F.col("indexed")).alias("topic_count"))
+
+
 # --------------------------------------------------------------------------- #
 # Event time, retention, JSON, re-delivery
 # --------------------------------------------------------------------------- #
@@ -751,23 +773,40 @@ def _site(spark, sf):
     return _SITES[key]
 
 
+_PARSED: dict[str, str] = {}
+
+
+def _sitemap_table(spark, site):
+    """The site's sitemap files, parsed and written once per application."""
+    from docscope.sources.sitemaps import parsed_site
+    if site not in _PARSED:
+        out = _scratch(spark, "sitemaps")
+        parsed_site(spark, site, out)
+        _PARSED[site] = out
+    return spark.read.parquet(_PARSED[site])
+
+
 def _discovered(spark, sf):
     """(files, visited): the site's sitemap files and those reached from its roots."""
-    from docscope.sources.sitemaps import candidate_roots, expand, sitemap_files
+    from docscope.sources.sitemaps import candidate_roots, expand
     out = _site(spark, sf)
-    files = sitemap_files(spark, out)
+    files = _sitemap_table(spark, out)
     return files, expand(spark, candidate_roots(spark, f"{out}/robots", files, FX.DOC_HOST), files)
 
 
 # the site has one index per write task, all named in robots.txt twice, and one leaf
 # file per folder and chunk; file names are unknown to SQL, counts are not
-@register("robots_sitemaps", "SELECT 1 AS ord, true AS in_index_folder")
+@register("robots_sitemaps", sql("""SELECT 'index' AS kind, 1 AS first, true AS gapless, count(*) AS n_children FROM (
+  SELECT DISTINCT string_split(doc_url, '/')[5], page_id // 50000 FROM doc_urls) f""", "doc_urls"))
 def q_robots_sitemaps(spark, sf):
-    """The site's sitemap roots: position, and whether the file is one of its indexes."""
-    from docscope.sources.sitemaps import candidate_roots, sitemap_files
+    """The site's sitemap roots by kind: their positions, and the leaf files they name."""
+    from docscope.sources.sitemaps import candidate_roots
     out = _site(spark, sf)
-    roots = candidate_roots(spark, f"{out}/robots", sitemap_files(spark, out), FX.DOC_HOST)
-    return roots.select("ord", F.col("url").contains("/index/").alias("in_index_folder"))
+    files = _sitemap_table(spark, out)
+    roots = candidate_roots(spark, f"{out}/robots", files, FX.DOC_HOST)
+    return roots.join(files.select("url", "kind", F.size("children").alias("n")), "url").groupBy("kind").agg(
+        F.min("ord").alias("first"), (F.max("ord") == F.count_distinct("ord")).alias("gapless"),
+        F.sum("n").alias("n_children"))
 
 
 @register("sitemap_expand", sql("""SELECT 0 AS depth, 'index' AS kind, '' AS folder, 1 AS n_files
@@ -798,12 +837,14 @@ def q_plan_from_sitemaps(spark, sf):
 
 @register("asset_manifest", sql("""SELECT abs_url, substring(sha1(abs_url), 1, 16) ||
   coalesce(nullif(left(regexp_extract(regexp_replace(regexp_extract(abs_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''),
-    '[^/.][^/]*?(\\.[^./]*)$', 1), 5), ''), '.img') AS file, false AS available
+    '[^/.][^/]*?(\\.[^./]*)$', 1), 5), ''), '.img') AS file,
+  abs_url IN (SELECT concat('""" + FX.DOC_HOST + """/img/p', CAST(page_id % 50 AS VARCHAR), '.png') FROM pages
+    WHERE """ + FX.FETCHED.format(id="page_id") + """) AS available
 FROM (SELECT DISTINCT concat('""" + FX.DOC_HOST + """', unnest(regexp_extract_all(body_html, '<img\\b[^>]*\\ssrc\\s*=\\s*"(/[^"]*)"', 1))) AS abs_url
       FROM topics) i""", "topics"))
 def q_asset_manifest(spark, sf):
     from docscope.operators.links import asset_manifest
-    return asset_manifest(_topics(spark, sf))
+    return asset_manifest(_topics(spark, sf), FX.fetched_assets(spark, sf))
 
 
 # --------------------------------------------------------------------------- #
@@ -856,15 +897,17 @@ def q_documents_facet_lang(spark, sf):
     return S.facet_order(S.facet_counts(table(spark, sf, "documents"), "lang"), "lang")
 
 
-@register("asset_rewrite", ORACLE["topic_docs"].replace("body_html, '</article>", f"""replace(replace(body_html,
-  'src="/img/', 'src="{FX.DOC_HOST}/img/'), 'href="/en/core/', concat('href="', substring(sha1('{FX.DOC_HOST}/en/core/'), 1, 16), '.html')),
+@register("asset_rewrite", ORACLE["topic_docs"].replace("body_html, '</article>", f"""replace(CASE WHEN {FX.FETCHED.format(id="uord")}
+  THEN replace(body_html, concat('src="/img/p', CAST(uord % 50 AS VARCHAR), '.png"'),
+    concat('src="../assets/', substring(sha1(concat('{FX.DOC_HOST}/img/p', CAST(uord % 50 AS VARCHAR), '.png')), 1, 16), '.png"'))
+  ELSE replace(body_html, 'src="/img/', 'src="{FX.DOC_HOST}/img/') END, 'href="/en/core/', concat('href="', substring(sha1('{FX.DOC_HOST}/en/core/'), 1, 16), '.html')),
   '</article>"""))
 def q_asset_rewrite(spark, sf):
     """Topic documents after link and image rewriting over the published
     topics: links against the plan, images against the asset manifest."""
     from docscope.operators.links import asset_manifest, rewrite_parts
     t = _topics(spark, sf)
-    out = rewrite_parts(t, C.published_plan(spark, sf).select("url"), asset_manifest(t))
+    out = rewrite_parts(t, C.published_plan(spark, sf).select("url"), asset_manifest(t, FX.fetched_assets(spark, sf)))
     return PB.topic_docs(out)
 
 

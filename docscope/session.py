@@ -29,6 +29,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # counts of whole Parquet tables come from the file footers (sources.tables.stored_rows)
+    "spark.sql.parquet.aggregatePushdown": "true",
     # page rows are wide (whole HTML): keep Arrow batches to the parser small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Constraint inference over the large URL expressions (derived URLs,

@@ -4,7 +4,7 @@
   the first ``:`` trimmed, in order of first appearance (file path, then line).
 * ``candidate_roots`` - robots lines first, then the well-known sitemap files
   that exist, else the default root.
-* ``sitemap_files``  - every sitemap file read once: root tag kind (index/leaf),
+* ``sitemap_files``  - every sitemap file: root tag kind (index/leaf),
   ``sitemap/loc`` children and ``url/loc`` values; a file that is not well-formed
   is ``malformed`` as a whole and has neither.
 * ``expand``         - transitive closure from the roots over index files with
@@ -35,7 +35,8 @@ _XML = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corru
 _XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
 # the root element's name after any byte-order mark, declarations, instructions,
 # comments and document type, in any number and order
-_ROOT_TAG = r"(?s)^\x{FEFF}?(?:\s++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<([A-Za-z_][\w:.-]*)"
+_ROOT_TAG = r"(?s)^\x{FEFF}?(?:\s++|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<([A-Za-z_][\w:.-]*)([^>]*)"
+_DECLARED = r"""\sxmlns(?::[\w.-]+)?\s*=\s*(?:"[^"]*"|'[^']*')"""
 
 
 def robots_roots(spark: SparkSession, robots_path: str, default_root: str) -> DataFrame:
@@ -69,16 +70,25 @@ def candidate_roots(spark: SparkSession, robots_path: str, files: DataFrame, bas
 def sitemap_files(spark: SparkSession, site_dir: str) -> DataFrame:
     """(url, kind, children, locs): one row per XML file under ``site_dir``; kind is
     ``index`` when the root tag ends with ``sitemapindex``, ``leaf`` for any
-    other root tag, ``malformed`` when the file is not well-formed."""
+    other root tag, ``malformed`` when the file is not well-formed. A file whose root is
+    not in the sitemap namespace names no URLs. Every consumer of this plan reads the
+    files again; ``parsed_site`` reads them once."""
     raw = (spark.read.option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.xml").text(site_dir, wholetext=True)
            .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("content")))
     parsed = raw.select("url", F.regexp_extract("content", _ROOT_TAG, 1).alias("tag"),
+                        F.regexp_extract("content", _ROOT_TAG, 2).alias("declared"),
                         F.from_xml(F.regexp_replace("content", r"^\x{FEFF}", ""), _XML, _XML_OPTIONS).alias("x"))
 
+    prefix = F.regexp_extract("tag", r"^([^:]*):", 1)
+    known = F.exists(F.regexp_extract_all("declared", F.lit(_DECLARED), F.lit(0)), lambda d: (
+        (F.regexp_extract(d, r"^\sxmlns:?([\w.-]*)", 1) == prefix)
+        & (F.regexp_extract(d, "[\"'](.*)[\"']", 1) == SITEMAP_NS)))
+
     def texts(name):
         values = F.transform(F.col(f"x.{name}"), lambda e: F.trim(e["loc"]))
-        return F.coalesce(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.array().cast("array<string>"))
+        return F.coalesce(F.when(known, F.filter(values, lambda v: v.isNotNull() & (v != ""))),
+                          F.array().cast("array<string>"))
 
     return parsed.select(
         "url",
@@ -87,6 +97,13 @@ def sitemap_files(spark: SparkSession, site_dir: str) -> DataFrame:
         texts("sitemap").alias("children"), texts("url").alias("locs"))
 
 
+def parsed_site(spark: SparkSession, site_dir: str, out_dir: str) -> DataFrame:
+    """``sitemap_files`` of the site, written to ``out_dir`` and read back: the roots, every
+    level of the expansion and the leaf scan read their columns of that table."""
+    sitemap_files(spark, site_dir).write.mode("overwrite").parquet(out_dir)
+    return spark.read.parquet(out_dir)
+
+
 def expand(spark: SparkSession, roots: DataFrame, files: DataFrame) -> DataFrame:
     """Visited sitemap files (url, kind, depth, path) reachable from ``roots``.
 

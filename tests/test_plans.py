@@ -82,15 +82,69 @@ def test_time_range_open_bounds(spark):
     assert [r.id for r in time_range(df, "ts", None, "2024-05-01 00:00:00").collect()] == [1]
 
 
-def test_salted_left_join_equals_plain_join(spark):
-    from docscope.operators.skew import hot_keys, key_counts, salted_left_join
-    rows = [("home" if i % 3 == 0 else f"k{i % 50}", i) for i in range(3000)]
-    big = spark.createDataFrame(rows, "key string, v int")
-    small = spark.createDataFrame([("home", "H"), ("k1", "A"), ("k2", "B")], "key string, tag string")
-    assert [r.key for r in hot_keys(key_counts(big, "key"), "key", share=0.1, min_rows=10).collect()] == ["home"]
-    got = sorted(map(tuple, salted_left_join(big, small, "key", salts=8, share=0.1, min_rows=10).collect()))
-    want = sorted(map(tuple, big.join(small, "key", "left").collect()))
-    assert got == want
+def test_hot_link_target(spark):
+    """A target that a third of all links name is one row of the looked-up side."""
+    from docscope.functions.urls import topic_id
+    from docscope.operators.links import rewrite_links
+    links = spark.range(3000).select(
+        F.col("id").alias("src_id"), F.lit(0).alias("pos"), F.lit("h").alias("href"),
+        F.when(F.col("id") % 3 == 0, "https://d/home#a").otherwise(
+            F.concat(F.lit("https://d/k"), F.col("id") % 50)).alias("abs_url"))
+    planned = spark.createDataFrame([("https://d/home",), ("https://d/home",), ("https://d/k1",)], "url string")
+    out = rewrite_links(links, planned)
+    assert _plan_text(out).count("SortMergeJoin") == 1
+    ids = {u: spark.range(1).select(topic_id(F.lit(u))).first()[0] for u in ("https://d/home", "https://d/k1")}
+    got = {r.src_id: r.new_href for r in out.collect()}
+    assert len(got) == 3000
+    for i, new in got.items():
+        assert new == (ids["https://d/home"] + ".html#a" if i % 3 == 0 else
+                       ids["https://d/k1"] + ".html" if i % 50 == 1 else "h")
+
+
+def test_counts_come_from_footers(spark, tmp_dir):
+    from docscope.plans.queries import QUERIES
+    from docscope.sources.tables import stored_rows
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.range(1000).selectExpr("id", "repeat('x', 50) AS t").repartition(4).write.parquet(f"{tmp_dir}/t")
+    out = stored_rows(spark, f"{tmp_dir}/t")
+    assert "PushedAggregation: [COUNT(*)]" in _plan_text(out) and out.first().total == 1000
+    spark.range(0).write.parquet(f"{tmp_dir}/none")
+    assert stored_rows(spark, f"{tmp_dir}/none").first().total == 0
+    assert "PushedAggregation: [COUNT(*)]" in _plan_text(QUERIES["total_topics"](spark, SF_SMOKE))
+    assert _plan_text(QUERIES["run_totals"](spark, SF_SMOKE)).count("PushedAggregation: [COUNT(*)]") == 3
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+
+
+def test_lookup_skips_row_groups_by_bloom_filter(spark, tmp_dir):
+    """A file name that no row group holds, though every row group's range does: no row is read."""
+    from docscope.plans.corpus import _write_topics
+    df = spark.range(40000).select(F.concat(F.sha1(F.col("id").cast("string")), F.lit(".html")).alias("file"))
+    _write_topics(df.repartition(2), f"{tmp_dir}/t")
+    df.repartition(2).write.parquet(f"{tmp_dir}/plain")
+
+    def scanned(path):
+        hit = spark.read.parquet(path).where(F.col("file") == "8000.html")
+        assert hit.count() == 0
+        executed = hit._jdf.queryExecution().executedPlan()
+        hit.collect()
+        leaf = executed.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    assert scanned(f"{tmp_dir}/t") == 0 and scanned(f"{tmp_dir}/plain") > 0
+
+
+def test_topic_lists_in_locale_order(spark):
+    from docscope.operators.search import ranked_list, section_breaks
+    titles = ["zoo", "Éclair", "eclair", "Apple", "apple", "Zoo", "éclair", "_x", "ärger", "b"]
+    rows = [("P", "1", t, f"{i}.html", s) for s in ("b", "Á", "a", None) for i, t in enumerate(titles)]
+    nav = spark.createDataFrame(rows, "product_title string, version string, title string, file string, section string")
+    lists = sorted(section_breaks(nav).collect(), key=lambda r: r.item_rank)
+    assert [r.item_rank for r in lists] == list(range(1, 41))
+    assert [r.section for r in lists[::10]] == ["", "a", "Á", "b"]
+    assert [r.title for r in lists[:10]] == ["_x", "apple", "Apple", "ärger", "b", "eclair", "éclair", "Éclair", "zoo", "Zoo"]
+    assert [r.is_break for r in lists] == [i % 10 == 0 for i in range(40)]
+    twice = nav.where("section = 'a'").unionByName(nav.where("section = 'a'"))
+    assert sorted(r.item_rank for r in ranked_list(twice).collect()) == list(range(1, 21))
 
 
 def test_planning_has_one_equi_join_and_bodies_are_not_shuffled(spark):

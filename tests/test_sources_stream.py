@@ -212,3 +212,17 @@ def test_monitor_picks_up_files_arriving_later(spark, tmp_dir):
         assert files == sorted([f"f0-{i}" for i in range(4)] + [f"f1-{i}" for i in range(3)])
     finally:
         q.stop()
+
+
+def test_sitemap_namespace(spark, tmp_dir):
+    """Only files whose root is in the sitemap namespace, by default or by prefix, name URLs."""
+    ns = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    files = {"a": f"<urlset xmlns='{ns}'><url><loc>u1</loc></url></urlset>",
+             "b": f'<s:urlset xmlns="x" xmlns:s = "{ns}"><s:url><s:loc>u2</s:loc></s:url></s:urlset>',
+             "c": "<urlset xmlns='http://example.org/other'><url><loc>u3</loc></url></urlset>",
+             "d": "<urlset><url><loc>u4</loc></url></urlset>",
+             "e": f"<s:urlset xmlns='{ns}' xmlns:s='x'><s:url><s:loc>u5</s:loc></s:url></s:urlset>"}
+    for name, text in files.items():
+        write(f"{tmp_dir}/s/{name}.xml", text)
+    got = {r.url[-5]: (r.kind, list(r.locs)) for r in SM.parsed_site(spark, f"{tmp_dir}/s", f"{tmp_dir}/out").collect()}
+    assert got == {"a": ("leaf", ["u1"]), "b": ("leaf", ["u2"]), "c": ("leaf", []), "d": ("leaf", []), "e": ("leaf", [])}
