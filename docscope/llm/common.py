@@ -14,6 +14,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docscope.session import work_dir
 
@@ -38,6 +39,14 @@ def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, the other columns of ``sample``, text): one row per doc_id of ``sample`` (one row
+    each, of bounded number, so broadcast) that is in ``docs``. Of several rows of a doc_id the
+    smallest text counts, found by partial aggregation, so repeats leave no more rows."""
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return found.groupBy(*sample.columns).agg(F.min("text").alias("text"))
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     """Number of blocks of about ``per_block`` rows; grows with the data."""
     return max(1, math.ceil(rows / per_block))

@@ -11,12 +11,12 @@ the ridge fit has not seen turns scores into probabilities of label 1.
 Training rows are a bounded sample: at most ``max_train`` labelled documents,
 the smallest by hash, whose ``crc32(doc_id) mod 5`` is not 0 (remainders 1 to 3
 fit the ridge, 4 the calibration). Their ids are broadcast (bounded by
-``max_train``), so no text is shuffled. Every document is then scored whole. Labels,
-language, source and doc_id are no inputs.
+``max_train``), and only their texts are shuffled, after partial aggregation to one a task.
+Every document is then scored whole. Labels, language, source and doc_id are no inputs.
 
 Edge cases: null text counts as empty; empty texts have all-zero statistics and are
 scored like others; null labels are no labels; of several labels of a doc_id the largest
-counts; with no training rows, or one class only, every score is the mean label (0.5
+counts, of several texts the smallest trains; very long texts are described whole; with no training rows, or one class only, every score is the mean label (0.5
 without any). Repeated rows stay. An empty table gives an empty result.
 Extra columns are ignored (``score_documents``) or kept (``keep_good``).
 """
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docscope.llm.bagminhash import WordHashes, shingles
-from docscope.llm.common import fresh, prepare, stash
+from docscope.llm.common import fresh, prepare, sampled_texts, stash
 
 MAX_TRAIN = 16_000
 FEATURES = 256
@@ -162,8 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_train:
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).cast("int")
     sample = labelled_sample(labels.filter(part != 0), column, max_train)
     train = stash(
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows
-        .select("text", "label", part.alias("part"))
+        sampled_texts(docs, sample).select("text", "label", part.alias("part"))
         .mapInArrow(_statistics_task, "part int, label double, x array<double>"), "quality-train")
     moments = train.filter("part <> 4").select("label", *[
         F.col("x")[i].alias(f"x{i}") for i in range(N_STATISTICS)]).agg(

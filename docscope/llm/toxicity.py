@@ -16,12 +16,12 @@ Categories of the given labels, in chain order: ``spam`` (quality 0), ``toxic``
 (toxic 1), ``toxic_spam`` (both). A document is rejected if ``p_toxic >= 0.5``.
 
 Training rows are a bounded sample, at most ``max_train`` labelled documents, the
-smallest by hash; their ids are broadcast (bounded by ``max_train``), so no text
-is shuffled. Every document is then scored whole.
+smallest by hash; their ids are broadcast (bounded by ``max_train``), and only their texts
+are shuffled, after partial aggregation to one a task. Every document is then scored whole.
 
 Edge cases: null text counts as empty and, like a text without words, has no word
 features; null labels count as not of the category; of several labels of a doc_id the
-largest counts; a category without both classes gets its share as constant
+largest counts, of several texts the smallest trains; very long texts count whole; a category without both classes gets its share as constant
 probability (0 without training rows). Repeated rows stay. An empty table gives an
 empty result. Extra columns are ignored (``score_documents``) or kept (``keep_clean``).
 """
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docscope.llm.common import prepare, stash
+from docscope.llm.common import prepare, sampled_texts, stash
 from docscope.llm.quality import N_CLASSES, byte_shares
 
 CATEGORIES = ("spam", "toxic", "toxic_spam")
@@ -201,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_featur
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
         .withColumn("toxic_spam", F.col("spam") & F.col("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
-    train = stash(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_train rows
-                  .select("doc_id", "text", *[F.col(c).cast("int").alias(c) for c in CATEGORIES]), "tox-train")
+    train = stash(sampled_texts(docs, sample).select(
+        "doc_id", "text", *[F.col(c).cast("int").alias(c) for c in CATEGORIES]), "tox-train")
     totals = train.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CATEGORIES]).first()
     n = totals["n"]
     if not n:

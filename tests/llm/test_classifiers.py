@@ -110,3 +110,63 @@ def test_empty_table(spark, tables):
     empty = docs.limit(0)
     assert Q.keep_good(empty, labels).count() == 0
     assert X.keep_clean(empty, labels).count() == 0
+
+
+def test_normal_equations_equal_one_solve_over_all_rows(spark, tables):
+    """The ridge weights from sums by partition against a dense solve over the training rows."""
+    docs, labels = tables
+    m = Q.fit(docs.repartition(7), labels)
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").filter("quality is not null").filter(
+        (part != 0) & (part != 4)).select("text", "quality").collect()
+    assert len(rows) < Q.MAX_TRAIN
+    x = Q.statistics([r.text for r in rows], Q.WordHashes())
+    y = np.array([float(r.quality) for r in rows])
+    assert np.allclose(m.centre, x.mean(axis=0))
+    f = m.expand(x)
+    d = f.shape[1]
+    # ridge regression as least squares over rows that pull every weight to nought
+    pull = np.sqrt(Q.RIDGE * len(y) / d) * np.eye(d)
+    want = np.linalg.lstsq(np.vstack([f, pull]), np.concatenate([y, np.zeros(d)]), rcond=None)[0]
+    assert np.abs(f @ m.weights - f @ want).max() < 1e-6
+
+
+def test_linear_model_equals_a_dense_one():
+    """The sparse fit against the same steps on the dense matrix of all features."""
+    rng = np.random.default_rng(3)
+    n, k = 60, 8
+    present, dense = rng.random((n, k)) < 0.3, rng.normal(size=(n, 2))
+    y = (rng.random(n) < 0.2 + 0.5 * present[:, 0]).astype(float)
+    rows, idx = np.nonzero(present)
+    got = X.fit_linear(rows, idx, n, dense, y, k)
+    a = present.astype(float)
+    ratio = np.log((y @ a + 0.5) / (y.sum() + 1)) - np.log(((1 - y) @ a + 0.5) / (n - y.sum() + 1))
+    x = np.hstack([a * ratio, dense, np.ones((n, 1))])
+    w, seen = np.zeros(k + 3), np.full(k + 3, 1e-8)
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    penalty = np.concatenate([np.full(k, X.PENALTY), np.zeros(3)])
+    for _ in range(X.STEPS):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / n + penalty * w
+        seen += g * g
+        w -= 0.3 * g / np.sqrt(seen)
+    assert np.allclose(got.predict(rows, idx, n, dense), 1 / (1 + np.exp(-x @ w)), atol=1e-6)
+
+
+def test_repeated_doc_ids_train_once(spark, tables):
+    """100,000 rows of one labelled doc_id: one of them, the smallest text, is trained on."""
+    from docscope.llm.common import sampled_texts
+    docs, labels = tables
+    one = labels.filter("quality is not null and toxic is not null").orderBy("doc_id").first().doc_id
+    many = docs.filter(F.col("doc_id") != one).select("doc_id", "text").unionByName(
+        spark.range(100_000).select(F.lit(one).cast("long").alias("doc_id"),
+                                    F.format_string("text %05d of many", F.col("id") % 1000).alias("text")))
+    once = docs.select("doc_id", "text").withColumn(
+        "text", F.when(F.col("doc_id") == one, "text 00000 of many").otherwise(F.col("text")))
+    sample = labels.select("doc_id").distinct()
+    assert sampled_texts(many, sample).filter(F.col("doc_id") == one).collect() == [(one, "text 00000 of many")]
+    a, b = Q.fit(many, labels), Q.fit(once, labels)
+    assert np.allclose(a.centre, b.centre) and np.allclose(a.weights, b.weights, atol=1e-6)
+    a, b = X.fit(many, labels), X.fit(once, labels)
+    assert a.chosen == b.chosen
+    assert all(np.allclose(m.dense, o.dense) and np.allclose(m.sparse, o.sparse)
+               for m, o in zip(a.models, b.models) if m.sparse is not None)
