@@ -12,9 +12,10 @@ verified: cosine in double precision on the original vectors.
 Beam: an audit in every task compares ``AUDITED`` queries with the whole shard, and as many of
 those that the graph itself puts beside a near copy. A search for a node of the shard begins at that
 node; where queries come from other shards, as many probes are audited too: shard vectors turned until
-their cosine is just above the threshold, so there are links to find also where the data has none. The beam is
-doubled until the graph finds all that the audit knows. Where it does not even with a beam of the
-whole shard (pruned links can leave nodes that no beam reaches), every query of the task
+their cosine is just above the threshold, so there are links to find also where the data has none. A first
+beam is doubled until it finds a link of every audited node that has one, and from there a full beam
+until it finds all of them; queries that the first finds links of are searched again with the full one.
+Where even a beam of the whole shard does not find them (pruned links can leave nodes that no beam reaches), every query of the task
 is compared with the whole shard.
 
 A task returns, per node, the number of linked rows it found, and a spanning
@@ -29,8 +30,6 @@ empty result. Extra input columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,8 +48,10 @@ BLOCK_ROWS = 32_768
 AUDITED = 64
 #: Nodes among which the audit looks for those with links.
 AUDIT_LOOK = 2_048
-#: Queries compared with a whole shard at once.
-PRODUCT_ROWS = 256
+#: Nodes that enter a graph together, queries that search it together or are compared with a whole shard.
+GROUP = 256
+#: Pairs of vectors multiplied at once.
+PAIRS = 32_768
 #: Partitions that the (shard, block) tasks are dealt into at most; each then does several in turn.
 MAX_TASKS = 50_000
 #: Single precision finds, double precision decides.
@@ -58,139 +59,163 @@ SLACK = 1e-4
 
 
 class Graph:
-    """HNSW graph over the rows of ``x`` (unit vectors, single precision)."""
+    """HNSW graph over the rows of ``x`` (unit vectors, single precision), built and searched by many at once.
+
+    Nodes enter from the highest level down, so each layer holds the first of them; every group of
+    new nodes (never more than are in) searches the graph so far and is compared within itself.
+    """
 
     def __init__(self, x: np.ndarray, seed: int = 3):
         n = len(x)
-        self.x = x
         rng = np.random.default_rng(seed)
         levels = np.minimum((-np.log(1.0 - rng.random(n)) / np.log(M)).astype(int), 8)
-        self.links = [np.full((n, M0), -1, np.int32)] + [
-            {} for _ in range(int(levels.max()) if n else 0)]
-        self.degree = np.zeros(n, np.int32)
-        self.stamp = np.zeros(n, np.int64)
-        self.now = 0
-        self.entry, self.top = 0, int(levels[0]) if n else 0
-        for layer in range(1, self.top + 1):
-            self.links[layer][0] = []
-        for i in range(1, n):
-            self._insert(i, int(levels[i]))
-
-    def neighbours(self, i: int, layer: int):
-        if layer == 0:
-            return self.links[0][i, :self.degree[i]]
-        return np.array(self.links[layer].get(i, ()), np.int32)
-
-    def beam(self, q: np.ndarray, start: list[int], width: int, layer: int) -> list[tuple[float, int]]:
-        """The best ``width`` nodes met on ``layer``: (similarity, node), best first."""
-        self.now += 1
-        now, stamp, x = self.now, self.stamp, self.x
-        stamp[start] = now
-        sims = x[start] @ q
-        todo = [(-s, i) for s, i in zip(sims.tolist(), start)]
-        best = [(-s, i) for s, i in todo]
-        heapq.heapify(todo)
-        heapq.heapify(best)
-        while todo:
-            s, i = heapq.heappop(todo)
-            if len(best) >= width and -s < best[0][0]:
-                break
-            near = self.neighbours(i, layer)
-            near = near[stamp[near] != now]
-            if not len(near):
-                continue
-            stamp[near] = now
-            sims = x[near] @ q
-            if len(best) >= width:
-                good = sims > best[0][0]
-                near, sims = near[good], sims[good]
-            for s, j in zip(sims.tolist(), near.tolist()):
-                if len(best) < width:
-                    heapq.heappush(best, (s, j))
-                    heapq.heappush(todo, (-s, j))
-                elif s > best[0][0]:
-                    heapq.heapreplace(best, (s, j))
-                    heapq.heappush(todo, (-s, j))
-        return sorted(best, reverse=True)
-
-    def _choose(self, nodes: np.ndarray, sims: np.ndarray, limit: int) -> list[int]:
-        """Diverse neighbours: nearer to the new node than to any chosen one, then the nearest left."""
-        if len(nodes) <= limit:
-            return nodes.tolist()
-        between = self.x[nodes] @ self.x[nodes].T
-        chosen, left = [0], []
-        most = between[0].copy()
-        for k in range(1, len(nodes)):
-            if len(chosen) < limit and sims[k] > most[k]:
-                chosen.append(k)
-                np.maximum(most, between[k], out=most)
-            else:
-                left.append(k)
-        chosen += left[:limit - len(chosen)]
-        return nodes[chosen].tolist()
-
-    def _link(self, i: int, layer: int, found: list[tuple[float, int]]) -> None:
-        nodes = np.array([j for _, j in found], np.int64)
-        sims = np.array([s for s, _ in found], np.float32)
-        mine = self._choose(nodes, sims, M)
-        room = M0 if layer == 0 else M
-        if layer == 0:
-            self.links[0][i, :len(mine)] = mine
-            self.degree[i] = len(mine)
-        else:
-            self.links[layer][i] = mine
-        for j in mine:
-            theirs = self.neighbours(j, layer)
-            if len(theirs) < room:
-                if layer == 0:
-                    self.links[0][j, self.degree[j]] = i
-                    self.degree[j] += 1
-                else:
-                    self.links[layer].setdefault(j, []).append(i)
-                continue
-            rivals = np.append(theirs, i).astype(np.int64)
-            near = self.x[rivals] @ self.x[j]
-            order = np.argsort(-near, kind="stable")
-            keep = self._choose(rivals[order], near[order], room)
-            if layer == 0:
-                self.links[0][j, :len(keep)] = keep
-                self.degree[j] = len(keep)
-            else:
-                self.links[layer][j] = keep
-
-    def _insert(self, i: int, level: int) -> None:
-        q, at = self.x[i], [self.entry]
-        for layer in range(self.top, level, -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        for layer in range(min(level, self.top), -1, -1):
-            found = self.beam(q, at, BUILD_BEAM, layer)
-            self._link(i, layer, found)
-            at = [j for _, j in found]
-        if level > self.top:
-            for layer in range(self.top + 1, level + 1):
-                self.links[layer][i] = []
-            self.entry, self.top = i, level
-
-    def hits(self, q: np.ndarray, width: int, floor: float, start: int | None = None) -> np.ndarray:
-        """Nodes with similarity of at least ``floor`` that the beam or the flood meets."""
-        at = [self.entry]
-        for layer in range(self.top, 0, -1):
-            at = [self.beam(q, at, 1, layer)[0][1]]
-        if start is not None and start not in at:
-            at.append(start)
-        found = [j for s, j in self.beam(q, at, width, 0) if s >= floor]
-        if not found:
-            return np.zeros(0, np.int64)
-        self.now += 1
-        self.stamp[found] = self.now
-        out = [np.array(found, np.int64)]
-        while len(out[-1]):
-            near = self.links[0][out[-1]].ravel()
-            near = np.unique(near[near >= 0])
-            near = near[self.stamp[near] != self.now]
-            self.stamp[near] = self.now
-            out.append(near[self.x[near] @ q >= floor].astype(np.int64))
-        return np.concatenate(out)
+        self.order = np.argsort(-levels, kind="stable")  # place in the graph -> row of x
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        self.x = x[self.order]
+        top = int(levels.max()) if n else 0
+        self.links = [np.full(((levels >= layer).sum(), M if layer else M0), -1, np.int64)
+                      for layer in range(top + 1)]
+        at = 1
+        while at < n:
+            size = min(GROUP, at, n - at)
+            self._insert(at, size)
+            at += size
+
+    def neighbours(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of ``x`` linked from each of ``rows`` on the lowest layer, -1 where there are fewer."""
+        near = self.links[0][self.place[rows]]
+        return np.where(near >= 0, self.order[near], -1)
+
+    def _sims(self, nodes: np.ndarray, q: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Similarity of each node with the query at the same place of ``of``."""
+        out = np.empty(len(nodes), np.float32)
+        for at in range(0, len(nodes), PAIRS):
+            part = slice(at, at + PAIRS)
+            out[part] = np.einsum("nd,nd->n", self.x[nodes[part]], q[of[part]])
+        return out
+
+    def beam(self, q: np.ndarray, start: np.ndarray, width: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``width`` nodes each query meets on ``layer`` from its row of ``start``: (nodes,
+        similarities), best first, -1 where there are fewer. A beam follows its best unfollowed
+        nodes, several at once if wide, until it has followed all that it holds."""
+        links, b = self.links[layer], len(q)
+        width = min(width, len(links))
+        seen = np.zeros((b, len(links) + 1), bool)
+        seen[:, -1] = True  # stands for no node
+        ids, sims = np.full((b, width), -1, np.int64), np.full((b, width), -np.inf, np.float32)
+        todo = np.zeros((b, width), bool)
+        act, near = np.arange(b), start
+        step = max(1, width // 16)
+        while True:
+            near = np.sort(near, axis=1)
+            new = ~seen[act[:, None], near]
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            seen[act[:, None], near] = True
+            r, c = np.nonzero(new)
+            found = np.full(near.shape, -np.inf, np.float32)
+            found[r, c] = self._sims(near[r, c], q, act[r])
+            every = np.concatenate([sims[act], found], axis=1)
+            best = np.argsort(-every, axis=1, kind="stable")[:, :width]
+            sims[act] = np.take_along_axis(every, best, axis=1)
+            ids[act] = np.take_along_axis(np.concatenate([ids[act], np.where(new, near, -1)], axis=1), best, axis=1)
+            todo[act] = np.take_along_axis(np.concatenate([todo[act], new], axis=1), best, axis=1)
+            act = np.flatnonzero(todo.any(axis=1))
+            if not len(act):
+                return ids, sims
+            first = np.argsort(~todo[act], axis=1, kind="stable")[:, :step]
+            follow = np.where(np.take_along_axis(todo[act], first, axis=1),
+                              np.take_along_axis(ids[act], first, axis=1), -1)
+            todo[act[:, None], first] = False
+            near = np.where(follow[:, :, None] >= 0, links[follow], -1).reshape(len(act), -1)
+
+    def _choose(self, cand: np.ndarray, sims: np.ndarray, limit: int) -> np.ndarray:
+        """Diverse neighbours out of each row of candidates (best first, -1: none): nearer to the
+        row's node than to any chosen one, then the nearest left."""
+        v = self.x[cand]
+        between = v @ v.transpose(0, 2, 1)
+        most = np.full(cand.shape, -np.inf, np.float32)
+        taken, count = np.zeros(cand.shape, bool), np.zeros(len(cand), np.int64)
+        for k in range(cand.shape[1]):
+            good = (cand[:, k] >= 0) & (count < limit) & (sims[:, k] > most[:, k])
+            taken[:, k] = good
+            count += good
+            most = np.where(good[:, None], np.maximum(most, between[:, k]), most)
+        first = np.argsort(np.where(taken, 0, np.where(cand >= 0, 1, 2)), axis=1, kind="stable")[:, :limit]
+        return np.take_along_axis(cand, first, axis=1)
+
+    def _link(self, layer: int, new: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
+        """Link new nodes with the best of their candidates, and those back with them."""
+        links = self.links[layer]
+        mine = self._choose(cand, sims, M)
+        links[new, :mine.shape[1]] = mine
+        r, c = np.nonzero(mine >= 0)
+        target, source = mine[r, c], new[r]
+        sims = self._sims(target, self.x, source)
+        order = np.lexsort((-sims, target))
+        target, source, sims = target[order], source[order], sims[order]
+        nodes, first, many = np.unique(target, return_index=True, return_counts=True)
+        nth = np.arange(len(target)) - np.repeat(first, many)
+        room = links.shape[1]
+        kept = nth < room  # of more newcomers than a node has room for, the nearest
+        row = np.repeat(np.arange(len(nodes)), many)
+        for at in range(0, len(nodes), GROUP):
+            some = slice(at, at + GROUP)
+            old = links[nodes[some]]
+            come = np.full(old.shape, -1, np.int64)
+            here = kept & (row >= at) & (row < at + GROUP)
+            come[row[here] - at, nth[here]] = source[here]
+            come[(come[:, :, None] == old[:, None, :]).any(axis=2)] = -1
+            both = np.concatenate([old, come], axis=1)
+            near = np.where(both >= 0, np.einsum("tkd,td->tk", self.x[both], self.x[nodes[some]]), -np.inf)
+            best = np.argsort(-near, axis=1, kind="stable")
+            links[nodes[some]] = self._choose(np.take_along_axis(both, best, axis=1),
+                                              np.take_along_axis(near, best, axis=1), room)
+
+    def _insert(self, at: int, size: int) -> None:
+        new = np.arange(at, at + size)
+        q = self.x[new]
+        start = np.zeros((size, 1), np.int64)
+        for layer in range(len(self.links) - 1, -1, -1):
+            k = min(max(len(self.links[layer]) - at, 0), size)  # the first k belong to this layer
+            best = np.full((size, BUILD_BEAM), -1, np.int64)
+            if k:
+                ids, sims = self.beam(q[:k], start[:k], BUILD_BEAM, layer)
+                best[:k, :ids.shape[1]] = ids
+                each = q[:k] @ q[:k].T
+                np.fill_diagonal(each, -np.inf)
+                ids = np.concatenate([ids, np.where(np.isfinite(each), new[:k], -1)], axis=1)
+                sims = np.concatenate([sims, each], axis=1)
+                first = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
+                self._link(layer, new[:k], np.take_along_axis(ids, first, axis=1),
+                           np.take_along_axis(sims, first, axis=1))
+            if k < size:
+                best[k:, :1] = self.beam(q[k:], start[k:], 1, layer)[0]
+            start = best
+
+    def hits(self, q: np.ndarray, width: int, floor: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row of ``x``) of the similarities of at least ``floor`` that each query's beam or the
+        flood meets; a query whose ``start`` is not -1 begins at that row too."""
+        at = np.zeros((len(q), 1), np.int64)
+        for layer in range(len(self.links) - 1, 0, -1):
+            at = self.beam(q, at, 1, layer)[0]
+        own = np.where(start >= 0, self.place[start], -1)
+        ids, sims = self.beam(q, np.column_stack([at, own]), width, 0)
+        r, c = np.nonzero(sims >= floor)
+        n = len(self.x)
+        front = r * n + ids[r, c]
+        seen = np.zeros(len(q) * n, bool)
+        seen[front] = True
+        out = [front]
+        while len(front):
+            near = self.links[0][front % n]
+            near = np.where(near >= 0, near + (front // n * n)[:, None], front[:, None]).ravel()
+            near = np.unique(near[~seen[near]])
+            seen[near] = True
+            front = near[self._sims(near % n, q, near // n) >= floor]
+            out.append(front)
+        every = np.sort(np.concatenate(out))
+        return every // n, self.order[every % n]
 
 
 def _task(threshold: float, beam: int):
@@ -219,30 +244,40 @@ def _task(threshold: float, beam: int):
 
         def whole(some):
             """(query, its linked nodes) by comparison with every node of the shard."""
-            for at in range(0, len(some), PRODUCT_ROWS):
-                part = some[at:at + PRODUCT_ROWS]
+            for at in range(0, len(some), GROUP):
+                part = some[at:at + GROUP]
                 for i, sims in zip(part.tolist(), uq[part] @ ux.T):
                     near = np.flatnonzero(sims >= threshold)
                     yield i, near[near != own[i]]
 
         graph = Graph(ux.astype(np.float32))
 
-        def links(v, width, start=-1):
-            near = graph.hits(v.astype(np.float32), width, threshold - SLACK, start if start >= 0 else None)
-            near = near[near != start]
-            return near[ux[near] @ v >= threshold]
-
-        def beam_wide_enough():
-            """Doubled until the audit's links are found; none if no beam finds them."""
+        def links(v, start, width):
+            """Of each of ``v``, the linked nodes that its beam finds."""
+            for at in range(0, len(v), GROUP):
+                some, begin = v[at:at + GROUP], start[at:at + GROUP]
+                of, near = graph.hits(some.astype(np.float32), width, threshold - SLACK, begin)
+                good = np.zeros(len(of), bool)
+                for a in range(0, len(of), PAIRS):
+                    part = slice(a, a + PAIRS)
+                    good[part] = np.einsum("nd,nd->n", ux[near[part]], some[of[part]]) >= threshold
+                good &= near != begin[of]
+                of, near = of[good], near[good]
+                yield from np.split(near, np.searchsorted(of, np.arange(1, len(some))))
+
+        def beams_wide_enough():
+            """(first, full) width: doubled until the audit's queries with links find one, and all; none if no beam
+            finds them."""
             rng = np.random.default_rng(5)
             order = rng.permutation(len(q))
             inside = order[own[order] >= 0]
             # among the shard's own nodes, those that the graph itself puts beside a near copy come too
             look = inside[:AUDIT_LOOK]
-            beside = graph.links[0][own[look]]
+            beside = graph.neighbours(own[look])
             close = ((ux[np.maximum(beside, 0)] * uq[look][:, None, :]).sum(axis=2) >= threshold) & (beside >= 0)
             some = np.unique(np.concatenate([order[:AUDITED], look[close.any(axis=1)][:AUDITED]]))
-            known = [(uq[i], own[i], len(near)) for i, near in whole(some)]
+            v, start = uq[some], own[some]
+            n = np.array([len(near) for _, near in whole(some)], np.int64)
             if len(inside) < len(q):  # queries that have no node here to start from
                 planted = ux[rng.permutation(len(x))[:AUDITED]]
                 aside = rng.normal(size=planted.shape)
@@ -250,17 +285,31 @@ def _task(threshold: float, beam: int):
                 aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-300)[:, None]
                 near = threshold + (1 - threshold) / 10
                 probes = near * planted + np.sqrt(1 - near * near) * aside
-                known += [(v, -1, int((ux @ v >= threshold).sum())) for v in probes]
-            width = beam
-            while any(len(links(v, width, start)) < n for v, start, n in known if n):
-                if width >= len(x):
-                    return None
-                width *= 2
-            return width
-
-        width = beam_wide_enough()
-        answers = (whole(np.arange(len(q))) if width is None
-                   else ((i, links(uq[i], width, own[i])) for i in range(len(q))))
+                v, start = np.concatenate([v, probes]), np.append(start, np.full(len(probes), -1))
+                n = np.append(n, ((probes @ ux.T) >= threshold).sum(axis=1))
+            v, start, n = v[n > 0], start[n > 0], n[n > 0]
+
+            def widened(width, least):
+                while len(n) and any(len(near) < m for near, m in zip(links(v, start, width), least)):
+                    if width >= len(x):
+                        return None
+                    width *= 2
+                return width
+
+            first = widened(beam, np.ones(len(n), np.int64))
+            return first and (first, widened(first, n))
+
+        def searched(first, full):
+            """Every query by the first beam, those that it finds links of by the full one."""
+            found = {}
+            for i, near in enumerate(links(uq, own, first)):
+                if len(near):
+                    found[i] = near
+            some = np.array(list(found), np.int64)
+            return zip(some.tolist(), found.values() if full == first else links(uq[some], own[some], full))
+
+        widths = beams_wide_enough()
+        answers = searched(*widths) if widths and widths[1] else whole(np.arange(len(q)))
 
         label = np.arange(len(x))  # components among the shard's nodes
         count = np.zeros(len(q), np.int64)

@@ -108,11 +108,7 @@ class Pruned(D.Graph):
 
     def __init__(self, x, seed=3):
         super().__init__(x, seed)
-        for i in range(len(x)):
-            kept = [j for j in self.links[0][i, :self.degree[i]] if j % 3]
-            self.links[0][i] = -1
-            self.links[0][i, :len(kept)] = kept
-            self.degree[i] = len(kept)
+        self.links[0][self.links[0] % 3 == 0] = -1
 
 
 @pytest.mark.parametrize("linked", [4, 600])
@@ -137,7 +133,7 @@ def test_answers_come_from_the_graph(monkeypatch, linked):
     hits = D.Graph.hits
 
     def watched(self, q, *rest):
-        searched.append(1)
+        searched.extend(q)
         return hits(self, q, *rest)
 
     monkeypatch.setattr(D.Graph, "hits", watched)
