@@ -21,7 +21,7 @@ pieces' bytes and takes the first space off, so it gives the text back
 
 Edge cases: null and empty texts have no tokens; decoding no tokens gives the
 empty text; texts of any length are whole (a unit may be a whole text without
-spaces). Repeated rows stay. An empty table gives an empty result. Extra input
+spaces: long ones are indexed window by window). Repeated rows stay. An empty table gives an empty result. Extra input
 columns are ignored (``encode``, ``decode``).
 """
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,8 +48,12 @@ PENDING_CHARS = 8_000_000
 #: Units, and token pairs, that a task remembers (each starts anew when full).
 UNIT_CACHE = 300_000
 PAIR_CACHE = 600_000
+#: Characters of the units that a task remembers, likewise.
+CACHE_CHARS = 30_000_000
 #: Units up to this length are relaxed together, position by position.
 TOGETHER = 48
+#: Longer units than this are indexed in windows of so many characters.
+WINDOW = 100_000
 _UNITS = re.compile(r" *[^ ]+| +")
 
 
@@ -171,17 +176,21 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.kept = 0
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text ``i`` are ``ids[offsets[i]:offsets[i + 1]]``."""
-        if len(self.index) > UNIT_CACHE:
+        if len(self.index) > UNIT_CACHE or self.kept > CACHE_CHARS:
             self._forget()
         cut = [_UNITS.findall(" " + t.replace(SPACE, " ")) if t else () for t in texts]
         new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.index]
         group, size = [], 0
-        for u in new:  # index by index, each of bounded size but for a single long unit
+        for u in new:  # index by index, each of bounded size
+            if len(u) > WINDOW:
+                self._learn([u])
+                continue
             group.append(u)
             size += len(u)
             if size >= INDEX_BYTES:
@@ -199,10 +208,11 @@ class Encoder:
         return self.flat[take], by_unit[np.concatenate([[0], np.cumsum(counts)])]
 
     def _learn(self, units: list[str]) -> None:
-        ids, counts = self._units(units)
+        ids, counts = self._long(units[0]) if len(units[0]) > WINDOW else self._units(units)
         base = len(self.index)
         for k, u in enumerate(units):
             self.index[u] = base + k
+            self.kept += len(u)
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
 
@@ -255,6 +265,35 @@ class Encoder:
             self._relax_singly(char[long_unit], piece[long_unit], end[long_unit], unit[long_unit], last)
         return self._collect(first, lengths, last, raw, begins)
 
+    def _long(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one unit, window by window of the places where edges start: an edge into a
+        place starts before it, so what ends there is known when its own window comes."""
+        v, n = self.v, len(unit)
+        reach = int(v.chars.max())
+        last = np.full(n + 1, -1, np.int32)
+        last[0] = -2
+        for at in range(0, n, WINDOW):
+            data = np.frombuffer(unit[at:at + WINDOW + reach].replace(" ", SPACE).encode(), np.uint8)
+            begins = np.flatnonzero((data & 0xC0) != 0x80)[:WINDOW]
+            char, piece = self._edges(data, begins)
+            single = np.zeros(len(begins), bool)
+            single[char[v.chars[piece] == 1]] = True
+            lone = np.flatnonzero(~single)
+            char = np.concatenate([char, lone]) + at
+            piece = np.concatenate([piece, np.full(len(lone), v.unknown)])
+            self._relax_singly(char, piece, char + v.chars[piece], np.zeros(len(char), np.int8), last)
+        ids, node = array("i"), n
+        while node:
+            token = int(last[node])
+            if token < 0:
+                raise AssertionError("every place of a unit has a last token")
+            node -= int(v.chars[token])
+            if token == v.unknown:  # a character outside the vocabulary becomes its bytes
+                ids.extend(v.byte_id[x] for x in reversed(unit[node].replace(" ", SPACE).encode()))
+            else:
+                ids.append(token)
+        return np.frombuffer(ids, np.int32)[::-1], np.array([len(ids)], np.int64)
+
     def _relax_together(self, char, piece, end, step, last) -> None:
         bounds = np.searchsorted(step, np.arange(1, TOGETHER + 2))
         base = self.v.size + 1

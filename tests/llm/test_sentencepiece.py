@@ -1,6 +1,7 @@
 """Token ids against the library's own encoder; exact round trips."""
 
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -50,6 +51,31 @@ def test_ids_do_not_depend_on_caches_and_index_size(vocabulary, library, monkeyp
         assert ids[:offsets[1]].tolist() == library.encode(t) == ids[offsets[2]:].tolist()
 
 
+@pytest.mark.parametrize("window", [3, 17, 100])
+def test_long_units_by_windows(vocabulary, library, monkeypatch, window):
+    monkeypatch.setattr(S, "WINDOW", window)
+    monkeypatch.setattr(S, "CACHE_CHARS", 500)
+    rng = random.Random(window)
+    parts = ["the", "ing", "a", "é", "中", "0", "ss", "▁", "\U0001f600", "er", "ation", "----", "\x00"]
+    texts = [*samples()[::5], "x" * 1_000, " " * 333 + "end",
+             *("".join(rng.choice(parts) for _ in range(400)) for _ in range(5))]
+    encoder = S.Encoder(vocabulary)
+    for t in texts:
+        ids, offsets = encoder.encode([t, "short", t])
+        assert ids[:offsets[1]].tolist() == library.encode(t) == ids[offsets[2]:].tolist(), repr(t)
+
+
+def test_memory_of_a_text_without_spaces(vocabulary):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["the", "ing", "a", "0", "er", "ation"]) for _ in range(400_000))
+    tracemalloc.start()
+    ids, _ = S.Encoder(vocabulary).encode([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"".join(vocabulary.out[i] for i in ids.tolist()).decode() == " " + text
+    assert peak < 100 * len(text), peak
+
+
 def test_round_trip_over_documents(spark, vocabulary, library):
     rows = [(i, t, 1) for i, t in enumerate(samples()[:60])] + [(1000, None, 2), (None, "null id", 3), (5, "again", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
