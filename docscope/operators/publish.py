@@ -3,12 +3,13 @@ topic documents)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docscope.functions import text as X
 from docscope.functions import urls as U
+from docscope.operators.ranking import group_rank
 
 # Field names and order of the published records.
 TOPIC_FIELDS = ["id", "url", "title", "product", "product_title", "version", "content_type",
@@ -101,6 +102,57 @@ def nav_tree(topics: DataFrame, block: int = NAV_BLOCK) -> DataFrame:
                                                         x["section"].alias("section"))).alias("leaves")))
 
 
+# Leaves in one row of the navigation map; part of the format, whatever the corpus' size.
+NAV_CHUNK = 5_000
+NAV_SCHEMA = T.StructType([
+    T.StructField("product_title", T.StringType()), T.StructField("chunk", T.LongType()),
+    T.StructField("versions", T.MapType(T.StringType(), T.ArrayType(NAV_LEAF)))])
+
+
+def nav_map(topics: DataFrame, chunk: int = NAV_CHUNK) -> DataFrame:
+    """The navigation map product -> version -> leaves: a product's versions in order of their
+    first leaf, the leaves of each in arrival order. A product's leaves are numbered in that order
+    (by ranges, no product is one task) and every ``chunk`` of them is one row, so that a map
+    holds at most so many leaves; a version that crosses chunks goes on in the next row's map.
+    Product titles are not null (the catalog's are typed)."""
+    rows = nav_rows(topics)
+    order = ["pord", "uord", "file"]
+    first = rows.groupBy("product_title", "version").agg(F.min(F.struct(*order)).alias("first"))
+    placed = (rows.alias("r").join(first.alias("f"), (F.col("r.product_title") == F.col("f.product_title"))
+                                   & (F.col("r.version") == F.col("f.version")))
+              .select("r.*", *[F.col(f"f.first.{c}").alias(f"v{c}") for c in order]))
+    ranked = group_rank(placed, ["product_title"], [*[f"v{c}" for c in order], *order], "pos")
+    # one exchange serves both groupings: equal (product, chunk) lie together
+    dealt = ranked.withColumn("chunk", F.floor((F.col("pos") - 1) / chunk)).repartition("product_title", "chunk")
+    leaves = dealt.groupBy("product_title", "chunk", "version").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "title", "file", "section"))).alias("l"))
+    versions = leaves.groupBy("product_title", "chunk").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("l")[0]["pos"].alias("at"), "version",
+        F.transform("l", lambda x: x.dropFields("pos")).alias("leaves")))).alias("v"))
+    return versions.select("product_title", "chunk", F.map_from_entries(
+        F.transform("v", lambda x: x.dropFields("at"))).alias("versions"))
+
+
+def write_nav(topics: DataFrame, path: str, chunk: int = NAV_CHUNK) -> None:
+    nav_map(topics, chunk).write.mode("overwrite").json(path)
+
+
+def read_nav(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NAV_SCHEMA).json(path)
+
+
+def nav_leaves(nav: DataFrame, chunk: int = NAV_CHUNK) -> DataFrame:
+    """The leaves of a navigation map, each with its place in its product's list (from 0)."""
+    sizes = F.transform(F.map_values("versions"), lambda x: F.size(x))
+    lists = nav.withColumn("sizes", sizes).select(
+        "product_title", "chunk", "sizes", F.posexplode("versions").alias("v", "version", "leaves"))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("v")), F.lit(0), lambda a, n: a + n)
+    return lists.select("product_title", "chunk", "version", before.alias("before"),
+                        F.posexplode("leaves").alias("i", "l")).select(
+        "product_title", "version", "l.title", "l.file", "l.section",
+        (F.col("chunk") * chunk + F.col("before") + F.col("i")).alias("pos"))
+
+
 def topic_docs(topics: DataFrame) -> DataFrame:
     """Complete HTML document per topic (``html_doc``), named by ``file``."""
     body = F.array_join(F.transform("parts", lambda p: F.when(

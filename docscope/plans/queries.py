@@ -747,12 +747,22 @@ def q_stream_feed(spark, sf):
 
 @register("nav_flatten", sql("SELECT product_title, version, title, file, section FROM nav", "nav"))
 def q_nav_flatten(spark, sf):
+    return _written_nav(spark, sf).drop("pos")
+
+
+@register("nav_nested", sql("""SELECT product_title, version, title, file, section,
+  row_number() OVER (PARTITION BY product_title ORDER BY first.p, first.u, first.f, pord, uord, file) - 1 AS pos
+FROM (SELECT *, min({'p': pord, 'u': uord, 'f': file}) OVER (PARTITION BY product_title, version) AS first FROM nav)""",
+                            "nav"))
+def q_nav_nested(spark, sf):
+    """The written navigation map product -> version -> leaves read back, with each leaf's place."""
+    return _written_nav(spark, sf)
+
+
+def _written_nav(spark, sf):
     path = _scratch(spark, "nav")
-    tree = PB.nav_tree(_topics(spark, sf))
-    tree.write.mode("overwrite").json(path)
-    nav = spark.read.schema(tree.schema).json(path)
-    return nav.select("product_title", "version", F.explode("leaves").alias("l")).select(
-        "product_title", "version", "l.title", "l.file", "l.section")
+    PB.write_nav(_topics(spark, sf), path)
+    return PB.nav_leaves(PB.read_nav(spark, path))
 
 
 _SITES: dict[tuple, str] = {}

@@ -61,6 +61,35 @@ def test_nav_tree_blocks_are_bounded_and_ordered(spark):
     assert [leaf.file for r in out for leaf in r.leaves] == [f"f{i}.html" for i in range(25)]
 
 
+def test_nav_map_is_nested_bounded_and_read_back(spark, tmp_path):
+    from docscope.operators.publish import nav_leaves, nav_map, read_nav, write_nav
+    rows = [("P", ["9.4", "", "10.0"][i % 3], f"t{i}", f"f{i}.html", None if i == 4 else "s", 0, 40 - i)
+            for i in range(25)]
+    rows += [("Q", "9.4", "q", "q.html", "s", 1, 7)]
+    topics = spark.createDataFrame(rows, "product_title string, version string, title string, file string, "
+                                         "section string, pord int, uord long")
+    write_nav(topics, f"{tmp_path}/nav", 10)
+    nav = read_nav(spark, f"{tmp_path}/nav")
+    assert nav.schema.simpleString() == nav_map(topics, 10).schema.simpleString()
+    chunks = {(r.product_title, r.chunk): r.versions for r in nav.collect()}
+    assert sorted((p, c, sum(map(len, v.values()))) for (p, c), v in chunks.items()) == [
+        ("P", 0, 10), ("P", 1, 10), ("P", 2, 5), ("Q", 0, 1)]
+    want: dict = {}  # a map filled in arrival order
+    for p, v, t, f, s, *_ in sorted(rows, key=lambda r: r[5:]):
+        want.setdefault(p, {}).setdefault(v or "—", []).append((t, f, s))
+    assert {p: [x[1:] for x in sorted((r.pos, r.version, r.title, r.file, r.section) for r in got)]
+            for p, got in _by_product(nav_leaves(nav, 10)).items()} == {
+        p: [(v, *leaf) for v, leaves in vs.items() for leaf in leaves] for p, vs in want.items()}
+    assert nav_leaves(nav_map(topics.limit(0))).count() == 0
+
+
+def _by_product(leaves):
+    out: dict = {}
+    for r in leaves.collect():
+        out.setdefault(r.product_title, []).append(r)
+    return out
+
+
 def test_coverage_report_document(spark):
     from docscope.operators.coverage import coverage, report_document
     cat = spark.createDataFrame([(0, "a", "A"), (1, "b", "B")], "ord int, pid string, title string")
