@@ -160,12 +160,14 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 
 def plan_mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, weights=WEIGHTS,
              max_repeat: float = MAX_REPEAT, blocks_per_shard: int = BLOCKS_PER_SHARD,
-             range_rows: int = RANGE_ROWS) -> DataFrame:
+             range_rows: int = RANGE_ROWS, content: list[str] | None = None) -> DataFrame:
     """Plan of the mix over ``docs`` (doc_id, text, source), one row per document:
     (doc_id, size, source_size, target, copies, shards): ``shards[c]`` is the output
-    shard of copy ``c``."""
+    shard of copy ``c``. A row's place is drawn from its ``content`` (columns; doc_id and text if not
+    given), so the same rows give the same mix however they lie in files."""
     prepare(docs.sparkSession)
-    facts = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-facts")
+    facts = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                              F.xxhash64(F.lit(seed), *(content or ["doc_id", "text"])).alias("key")), "mix-facts")
     sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"))
     aim = targets(sizes, weights, max_repeat)
     everywhere = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -181,9 +183,8 @@ def plan_mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, weights=W
     by_source = stash(plan.join(ends, "rank"), "mix-quota")
 
     bits = max(0, (blocks_for(facts.count(), range_rows) - 1).bit_length())
-    key = F.xxhash64(F.lit(seed), "doc_id")
     rng = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
-    keyed = facts.withColumn("key", key).withColumn("range", rng)
+    keyed = facts.withColumn("range", rng)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (keyed.groupBy("source", "range").agg(F.sum("size").alias("n"))
                .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
@@ -217,8 +218,25 @@ def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, **
     the plan takes it, with ``mix_shard`` and ``mix_order`` (a hash to sort a shard
     by; both names are lengthened if ``docs`` has them). Rows are matched to the plan by a
     written row key, so repeated doc_ids stay rows of their own."""
-    shard, order, row, copy = (fresh(x, docs.columns) for x in ("mix_shard", "mix_order", "mix_row", "mix_copy"))
-    keyed = stash(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    plan = plan_mix(keyed.select(F.col(row).alias("doc_id"), "text", "source"), n_shards, seed, **options)
+    return _mixed(docs, n_shards, seed, **options)[0]
+
+
+def shuffled_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 7, **options) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``, in shards and shuffled inside each: the
+    written files, read in order, are shard after shard."""
+    mixed, shard, order = _mixed(docs, n_shards, seed, **options)
+    return (mixed.repartitionByRange(shard, order).sortWithinPartitions(shard, order)
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _mixed(docs: DataFrame, n_shards: int, seed: int, **options) -> tuple[DataFrame, str, str]:
+    shard, order, row, copy, key = (
+        fresh(x, docs.columns) for x in ("mix_shard", "mix_order", "mix_row", "mix_copy", "mix_key"))
+    content = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    keyed = stash(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.xxhash64(*content)),
+                  "mix-docs")
+    plan = plan_mix(keyed.select(F.col(row).alias("doc_id"), "text", "source", F.col(key).alias("content")),
+                    n_shards, seed, content=["content"], **options)
     taken = plan.filter("copies > 0").select(F.col("doc_id").alias(row), F.posexplode("shards").alias(copy, shard))
-    return keyed.join(taken, row).withColumn(order, F.xxhash64(F.lit(seed), shard, row, copy)).drop(row, copy)
+    mixed = keyed.join(taken, row).withColumn(order, F.xxhash64(F.lit(seed), shard, key, copy)).drop(row, copy, key)
+    return mixed, shard, order

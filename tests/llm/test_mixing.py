@@ -120,3 +120,20 @@ def test_native(spark):
     df, _ = docs(spark, 30)
     for out in (M.plan_mix(df), M.mixed_documents(df)):
         assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def test_same_rows_in_other_splits_give_the_same_mix(spark):
+    rows = [(i % 40 if i % 7 else None, "w " * (i % 23), "abc"[i % 3] if i % 11 else None, f"x{i % 5}")
+            for i in range(300)]
+    rows += rows[:30]
+    runs = []
+    for n, order in ((1, 1), (7, -1)):
+        docs = spark.createDataFrame(rows[::order], "doc_id long, text string, source string, mix_shard string")
+        docs = docs.repartition(n)
+        runs.append(sorted(map(str, M.mixed_documents(docs, n_shards=4, range_rows=50).collect())))
+        out = M.shuffled_documents(docs, n_shards=4, range_rows=50)
+        assert out.columns == docs.columns
+        runs.append([str(r) for r in out.collect()])
+    assert runs[0] == runs[2] and sorted(runs[1]) == sorted(runs[3])
+    assert runs[1] == runs[3]  # shard after shard, shuffled inside
+    assert len(runs[0]) == len(runs[1]) > 0
