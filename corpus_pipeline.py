@@ -4,7 +4,8 @@ and read again as the next one's input.
 1. toxicity: documents that the classifier chain rejects go;
 2. quality: documents that the calibrated classifier scores below its cut go;
 3. near_duplicates: one document of each near-duplicate class stays;
-4. mix: every source's documents as often as the mix to source weights takes them;
+4. mix: every source's documents as often as the mix to source weights takes them, written shard
+   after shard, shuffled inside each;
 5. tokens: SentencePiece ids of every remaining row.
 
 The first four return the columns of ``documents``. SQL can't express the trained
@@ -35,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.shuffled_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
