@@ -3,29 +3,45 @@
 Both are tables that Spark writes once and searches by partition and join; a search
 reads no text.
 
-* **Tokens.** A text's lower-cased, white-space separated tokens: one row (token, field, key)
-  per document and token, and a dictionary with one row per token. A term without
+* **Tokens.** A text's lower-cased, white-space separated tokens: lists (token, field, keys) of the
+  documents that hold a token, and a dictionary with one row per token. A term without
   white space occurs in a text if and only if it occurs inside one of its tokens, so
   the term is matched against the dictionary and its tokens are joined to the postings.
 * **Grams.** Every place of a text with the up to three characters that begin there: (gram, field, pos,
   key). A substring is covered by grams side by side; a document holds it where the grams
   stand at the same distances. Two characters are a gram's prefix.
 
+A task groups the tokens of the documents it reads into lists, segment by segment, so the shuffle, the
+sort and the files carry a row per term and segment, not one per place.
+
 Postings are partitioned by a hash of the term (of a gram's first two characters, so a prefix lies
-in one partition) and sorted by it inside files: a search names its partitions and Parquet skips
+in one partition), those of grams sorted inside files: a search names its partitions and Parquet skips
 row groups. Writing rebalances, so the postings of a frequent term are many files, not one task.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# workers have the libraries, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRAM = 3
+#: A task groups this many places of terms, or this many bytes, into lists at a time.
+SEGMENT, SEGMENT_BYTES = 2_000_000, 64 << 20
 #: Partitions of a postings table.
 BUCKETS = 16
+#: A bucket's terms are written in this many slices at least, if they are many.
+SLICES = 8
 #: A dictionary match up to this many bytes is broadcast, a larger one is joined by shuffle.
 MATCH_BYTES = 8 << 20
 
@@ -39,14 +55,46 @@ def _lowered(field: str) -> Column:
 
 
 def token_postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(token, field, key, bucket), each once."""
-    def tokens(field):
-        return F.transform(F.array_distinct(F.split(_lowered(field), r"\s+")),
-                           lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
-
-    each = [tokens(f) for f in fields]
-    rows = df.select(F.col(key).alias("key"), F.inline(F.concat(*each)))
-    return rows.where("token <> ''").select("token", "field", "key", bucket_of(F.col("token")).alias("bucket"))
+    """(token, field, keys, bucket): a token's documents, each once, in one list per segment."""
+    def lists(field, keys, tokens):
+        keys, tokens = pa.chunked_array(keys).combine_chunks(), pa.chunked_array(tokens).combine_chunks()
+        places = pa.table([pc.list_flatten(tokens), pc.list_parent_indices(tokens)], ["token", "row"])
+        # one thread keeps the order of rows, so a row's repeats of a token stand side by side
+        found = places.group_by("token", use_threads=False).aggregate([("row", "list")])
+        rows = found["row_list"].combine_chunks()
+        ends, rows = rows.offsets.to_numpy(), rows.values.to_numpy()
+        new = np.r_[True, rows[1:] != rows[:-1]]
+        new[ends[:-1]] = True
+        kept = np.r_[0, np.cumsum(new)][ends]
+        listed = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), keys.take(pa.array(rows[new])))
+        yield from pa.table([found["token"], pa.repeat(field, len(found)), listed],
+                            ["token", "field", "keys"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _segments(batches, fields, pc.ascii_split_whitespace, lambda x: len(x.values), lists)
+
+    # ASCII white space is that of the pattern \s
+    rows = df.select(F.col(key).alias("key"), *map(_lowered, fields)).mapInArrow(
+        run, f"token string, field string, keys array<{df.schema[key].dataType.simpleString()}>")
+    return rows.where("token <> ''").withColumn("bucket", bucket_of(F.col("token")))
+
+
+def _segments(batches, fields, cut, places, lists):
+    """``lists(field, keys, cut texts)`` for every SEGMENT places or SEGMENT_BYTES of a field's texts."""
+    held = {f: ([], [], [0, 0]) for f in fields}
+    for b in batches:
+        for f, texts in zip(fields, b.columns[1:], strict=True):
+            keys, cuts, size = held[f]
+            keys.append(b.column(0))
+            cuts.append(cut(texts))
+            size[0] += places(cuts[-1])
+            size[1] += texts.nbytes
+            if size[0] >= SEGMENT or size[1] >= SEGMENT_BYTES:
+                yield from lists(f, keys, cuts)
+                held[f] = ([], [], [0, 0])
+    for f, (keys, cuts, size) in held.items():
+        if size[0]:
+            yield from lists(f, keys, cuts)
 
 
 def token_dictionary(postings: DataFrame) -> DataFrame:
@@ -69,9 +117,13 @@ def gram_postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    term = postings.columns[0]
-    (postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", term)
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    # in slices: what one map task sends to one partition can't be split
+    term = F.col(postings.columns[0])
+    spread = (postings.withColumn("slice", F.pmod(F.hash(term), F.lit(SLICES)))
+              .hint("rebalance", F.col("bucket"), F.col("slice")).drop("slice"))
+    if "gram" in postings.columns:  # searches push an equality of grams, but none of tokens
+        spread = spread.sortWithinPartitions("bucket", "gram")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def fragments(term: str) -> tuple[list[str], bool]:
@@ -91,7 +143,7 @@ def keys_with_fragment(dictionary: DataFrame, postings: DataFrame, fragment: str
     if (found["size"] or 0) <= MATCH_BYTES:
         side = F.broadcast(side)
     rows = postings.where(F.col("bucket").isin(found["buckets"]) & F.col("field").isin(fields))
-    return rows.join(side, "token", "left_semi").select("key").distinct()
+    return rows.join(side, "token", "left_semi").select(F.explode("keys").alias("key")).distinct()
 
 
 def keyword_search(df: DataFrame, key: str, dictionary: DataFrame, postings: DataFrame, terms: list[str],
