@@ -7,8 +7,8 @@ reads no text.
   documents that hold a token, and a dictionary with one row per token. A term without
   white space occurs in a text if and only if it occurs inside one of its tokens, so
   the term is matched against the dictionary and its tokens are joined to the postings.
-* **Grams.** Every place of a text with the up to three characters that begin there: (gram, field, pos,
-  key). A substring is covered by grams side by side; a document holds it where the grams
+* **Grams.** Every place of a text with the up to three characters that begin there: lists (gram, field,
+  keys, places). A substring is covered by grams side by side; a document holds it where the grams
   stand at the same distances. Two characters are a gram's prefix.
 
 A task groups the tokens of the documents it reads into lists, segment by segment, so the shuffle, the
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 3
+#: Stands in a gram for the characters behind the end of a text.
+NO_CHAR = (1 << 21) - 1
 #: A task groups this many places of terms, or this many bytes, into lists at a time.
 SEGMENT, SEGMENT_BYTES = 2_000_000, 64 << 20
 #: Partitions of a postings table.
@@ -103,17 +105,37 @@ def token_dictionary(postings: DataFrame) -> DataFrame:
 
 
 def gram_postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(gram, field, pos, key, bucket) of every place of every text."""
-    out = None
-    for f in fields:
-        # a column of its own: the lambda below reads it, it doesn't compute it
-        chars = df.select(F.col(key).alias("key"), F.regexp_extract_all(
-            _lowered(f), F.lit("(?s)."), F.lit(0)).alias("c")).where(F.size("c") > 0)
-        ahead = [F.coalesce(F.get("c", F.col("pos") + i), F.lit("")) for i in range(GRAM)]
-        rows = (chars.select("key", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 1)).alias("pos"))
-                .select(F.concat(*ahead).alias("gram"), F.lit(f).alias("field"), "pos", "key"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("bucket", bucket_of(F.substring("gram", 1, 2)))
+    """(gram, field, keys, places, bucket): the documents and places of a gram, side by side in two
+    lists per segment."""
+    def cut(texts):
+        return [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype("int64")
+                for t in texts.cast(pa.binary()).to_pylist()]
+
+    def lists(field, keys, cuts):
+        texts = [t for c in cuts for t in c]
+        # a gram as one number, 21 bits a code point
+        ahead = [np.r_[t, [NO_CHAR] * (GRAM - 1)] for t in texts]
+        codes = np.concatenate([sum(c[i:i + len(t)] << 21 * (GRAM - 1 - i) for i in range(GRAM))
+                                for c, t in zip(ahead, texts, strict=True) if len(t)])
+        order = np.argsort(codes, kind="stable")
+        grams, starts = np.unique(codes[order], return_index=True)
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        places = np.concatenate([np.arange(len(t), dtype="int32") for t in texts])
+        ends = pa.array(np.r_[starts, len(codes)], pa.int32())
+        names = ["".join(chr(c) for c in (int(g) >> 21 * (GRAM - 1 - i) & NO_CHAR for i in range(GRAM)) if c != NO_CHAR)
+                 for g in grams]
+        found = pa.chunked_array(keys).combine_chunks().take(pa.array(rows[order]))
+        yield from pa.table([pa.array(names, pa.string()), pa.repeat(field, len(names)),
+                             pa.ListArray.from_arrays(ends, found),
+                             pa.ListArray.from_arrays(ends, pa.array(places[order]))],
+                            ["gram", "field", "keys", "places"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _segments(batches, fields, cut, lambda texts: sum(map(len, texts)), lists)
+
+    rows = df.select(F.col(key).alias("key"), *map(_lowered, fields)).mapInArrow(
+        run, f"gram string, field string, keys array<{df.schema[key].dataType.simpleString()}>, places array<int>")
+    return rows.withColumn("bucket", bucket_of(F.substring("gram", 1, 2)))
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
@@ -180,7 +202,7 @@ def substring_keys(postings: DataFrame, query: str, fields: list[str]) -> DataFr
     grams = cover(query)
     if not grams:
         return rows.where((F.col("bucket") == bucket_of(F.lit(query[:2]))) & F.col("gram").startswith(query)).select(
-            "key").distinct()
+            F.explode("keys").alias("key")).distinct()
     offsets: dict[str, list[int]] = {}
     for o, g in grams:
         offsets.setdefault(g, []).append(o)
@@ -189,10 +211,11 @@ def substring_keys(postings: DataFrame, query: str, fields: list[str]) -> DataFr
     for g, os in offsets.items():
         # equality on a literal is pushed to the scan, as is the partition
         here = here | ((F.col("bucket") == bucket_of(F.lit(g[:2]))) & (F.col("gram") == g))
-        starts = F.when(F.col("gram") == g, F.array(*[F.col("pos") - o for o in os])).otherwise(starts)
+        starts = F.when(F.col("gram") == g, F.array(*[F.col("place") - o for o in os])).otherwise(starts)
     if len(grams) == 1:
-        return rows.where(here).select("key").distinct()
-    placed = rows.where(here).select("key", "field", F.explode(starts).alias("start"))
+        return rows.where(here).select(F.explode("keys").alias("key")).distinct()
+    each = rows.where(here).select("gram", "field", F.inline(F.arrays_zip("keys", "places")).alias("key", "place"))
+    placed = each.select("key", "field", F.explode(starts).alias("start"))
     return (placed.groupBy("key", "field", "start").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") == len(grams)).select("key").distinct())
 
